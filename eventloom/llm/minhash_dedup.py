@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, map_batches, materialize, mix64, word_hashes
+from .common import components, fresh, map_batches, materialize, mix64, word_hashes
 
 SHINGLE = 5
 BANDS = 32
@@ -85,11 +85,11 @@ def band_keys(sig: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarr
         return mix64(parts + mix64(np.arange(100, 100 + bands, dtype=np.uint64))).astype(np.int64)
 
 
-def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, n_shingles, class, keys): the class is a 128-bit digest of the
     shingle set (null for an empty set), keys its bucket keys."""
     def sketch(batch: dict[str, list]) -> dict[str, object]:
-        out: dict[str, list] = {"doc_id": batch["doc_id"], "n_shingles": [], "class": [], "keys": []}
+        out = {c: batch[c] for c in ("doc_id", *carry)} | {"n_shingles": [], "class": [], "keys": []}
         for text in batch["text"]:
             s = shingle_hashes(text)
             out["n_shingles"].append(len(s))
@@ -98,9 +98,9 @@ def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame
         return out
 
     return map_batches(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")),
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry),
         sketch,
-        "doc_id long, n_shingles long, class binary, keys array<long>",
+        "doc_id long, " + "".join(f"{c} long, " for c in carry) + "n_shingles long, class binary, keys array<long>",
     )
 
 
@@ -154,9 +154,10 @@ def _small(pairs: DataFrame) -> bool:
     return pairs.limit(1_000_001).count() <= 1_000_000
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of ``docs(doc_id, text)``."""
-    rows = materialize(sketches(docs), "sketch")
+def near_duplicates(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) and the long columns of ``carry`` for
+    every row of ``docs(doc_id, text)``."""
+    rows = materialize(sketches(docs, carry=carry), "sketch")
     classes = rows.filter("class is not null and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("rep"))
     reps = materialize(
         rows.filter("class is not null")
@@ -176,17 +177,33 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .select("class", F.coalesce("component", "rep").alias("component_id"))
     )
     return (
-        rows.select("doc_id", "n_shingles", "class")
+        rows.select("doc_id", "n_shingles", "class", *carry)
         .join(whole, "class", "left")
         .select(
             "doc_id",
             "n_shingles",
             F.coalesce("component_id", "doc_id").alias("component_id"),
             F.coalesce(F.col("doc_id") == F.coalesce("component_id", "doc_id"), F.lit(False)).alias("kept"),
+            *carry,
         )
     )
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates: the first row of the
+    smallest ``doc_id``.  Rows that are linked with nothing stay, repeated rows with
+    words fold into one."""
+    row = fresh(docs, "row")
+    numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "dedupin")
+    judged = near_duplicates(numbered, carry=(row,))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col(row).alias("r")))
+    group = F.when(F.col("n_shingles") > 0, F.col("component_id"))
+    # rows without words and rows without any id are groups of their own
+    alone = judged.filter(group.isNull()).select(row)
+    chosen = judged.filter(group.isNotNull()).groupBy(group.alias("g")).agg(best.alias("b")).select(F.col("b.r").alias(row))
+    return numbered.join(chosen.union(alone), row, "left_semi").drop(row)
+
+
 def link_components(members: DataFrame, docs: DataFrame) -> DataFrame:
     """(id, component) of the linked classes in ``members(key, rep, n, leader)``."""
     pairs = (

@@ -16,15 +16,18 @@ class only, every score is the share of the positive class (0.5 without rows).
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_batches, mix64, span_hashes, training_fold, word_spans
 
 BITS = 20
+THRESHOLD = 0.5
 SAMPLE_PER_CLASS = 2_500  # bound of the training sample: this many rows of either label
 SAMPLE_CHARS = 40_000  # a labelled text longer than this is not used for training
 _M = mix64(np.arange(201, 211, dtype=np.uint64)) | np.uint64(1)
@@ -139,20 +142,24 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS)
     return Model(model.ids, model.weights, model.bias + shift)
 
 
+def predictions(model: Model, texts: list[str | None], memo: dict[str, np.ndarray]) -> np.ndarray:
+    """Scores of texts; ``memo`` keeps the dense weights between calls."""
+    if not memo:
+        memo["w"] = model.dense()
+    w, out = memo["w"], []
+    for t in texts:
+        f = features(t)
+        f = f[w[f] != 0]
+        out.append(float(w[np.unique(f)].sum(dtype=np.float64)) + model.bias)
+    return 1 / (1 + np.exp(-np.clip(out, -35, 35)))
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row of ``docs(doc_id, text)``."""
-    packed = (model.ids, model.weights, model.bias)
     memo: dict[str, np.ndarray] = {}
 
     def run(batch: dict[str, list]) -> dict[str, object]:
-        if not memo:
-            memo["w"] = Model(*packed).dense()
-        w, out = memo["w"], []
-        for t in batch["text"]:
-            f = features(t)
-            f = f[w[f] != 0]
-            out.append(float(w[np.unique(f)].sum(dtype=np.float64)) + packed[2])
-        return {"doc_id": batch["doc_id"], "held": batch["held"], "score": 1 / (1 + np.exp(-np.clip(out, -35, 35)))}
+        return {**{k: batch[k] for k in ("doc_id", "held")}, "score": predictions(model, batch["text"], memo)}
 
     held = (training_fold(F.col("doc_id")) == 0).alias("held")
     scored = map_batches(
@@ -161,5 +168,22 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held boolean, score double",
     )
     return scored.select(
-        "doc_id", F.col("held").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+        "doc_id",
+        F.col("held").alias("held_out"),
+        "score",
+        (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
     )
+
+
+def filter_toxic(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs`` that are not predicted toxic, in one pass without a join."""
+    memo: dict[str, np.ndarray] = {}
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                yield part.filter(pa.array(predictions(model, part.column(at).to_pylist(), memo) < THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)
