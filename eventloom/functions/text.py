@@ -63,14 +63,14 @@ def truncate(c: Column, length: int) -> Column:
 def ics_escape(c: Column) -> Column:
     r"""Text as an ICS value: \ ; , and line ends escaped, in this order."""
     s = F.replace(blank(c), F.lit("\\"), F.lit("\\\\"))
-    s = F.replace(F.replace(s, F.lit(";"), F.lit("\;")), F.lit(","), F.lit("\\,"))
+    s = F.replace(F.replace(s, F.lit(";"), F.lit("\\;")), F.lit(","), F.lit("\\,"))
     return F.replace(s, F.lit("\n"), F.lit("\\n"))
 
 
 def ics_unescape(c: Column, newline: str = "\n") -> Column:
     r"""ICS value as text, in the order \n \, \; \\ (so a literal ``\\n`` is misread)."""
     s = F.replace(c, F.lit("\\n"), F.lit(newline))
-    s = F.replace(F.replace(s, F.lit("\\,"), F.lit(",")), F.lit("\;"), F.lit(";"))
+    s = F.replace(F.replace(s, F.lit("\\,"), F.lit(",")), F.lit("\\;"), F.lit(";"))
     return F.trim(F.replace(s, F.lit("\\\\"), F.lit("\\")))
 
 
