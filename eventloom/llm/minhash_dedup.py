@@ -29,13 +29,14 @@ an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import components, fresh, map_batches, materialize, mix64, word_hashes
 
@@ -86,21 +87,24 @@ def band_keys(sig: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarr
 
 
 def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, n_shingles, class, keys): the class is a 128-bit digest of the
-    shingle set (null for an empty set), keys its bucket keys."""
+    """(doc_id, n_shingles, class, keys, tiny): the class is a 128-bit digest of the
+    shingle set (null for an empty set), keys its bucket keys, tiny the low byte of
+    each signature coordinate."""
     def sketch(batch: dict[str, list]) -> dict[str, object]:
-        out = {c: batch[c] for c in ("doc_id", *carry)} | {"n_shingles": [], "class": [], "keys": []}
+        out = {c: batch[c] for c in ("doc_id", *carry)} | {"n_shingles": [], "class": [], "keys": [], "tiny": []}
         for text in batch["text"]:
             s = shingle_hashes(text)
             out["n_shingles"].append(len(s))
             out["class"].append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-            out["keys"].append(band_keys(signature(s, bands * rows), bands, rows) if len(s) else np.empty(0, np.int64))
+            sig = signature(s, bands * rows)
+            out["keys"].append(band_keys(sig, bands, rows) if len(s) else np.empty(0, np.int64))
+            out["tiny"].append(sig.astype(np.uint8).tobytes() if len(s) else None)
         return out
 
     return map_batches(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry),
         sketch,
-        "doc_id long, " + "".join(f"{c} long, " for c in carry) + "n_shingles long, class binary, keys array<long>",
+        "doc_id long, " + "".join(f"{c} long, " for c in carry) + "n_shingles long, class binary, keys array<long>, tiny binary",
     )
 
 
@@ -164,13 +168,13 @@ def near_duplicates(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
         .join(classes, "class")
         .filter("doc_id = rep")
         .groupBy("class")
-        .agg(F.first("rep").alias("rep"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys")),
+        .agg(F.first("rep").alias("rep"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), F.first("tiny").alias("tiny")),
         "reps",
     )
     bands = reps.select(F.explode("keys").alias("key"), "rep", "n")
     shared = bands.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("c")).filter("c > 1")
     members = materialize(bands.join(shared.drop("c"), "key"), "buckets")
-    linked = link_components(members, docs)
+    linked = link_components(members, reps.select("rep", "n", "tiny"), docs)
     whole = (
         reps.select("class", "rep")
         .join(linked, F.col("rep") == F.col("id"), "left")
@@ -204,7 +208,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     return numbered.join(chosen.union(alone), row, "left_semi").drop(row)
 
 
-def link_components(members: DataFrame, docs: DataFrame) -> DataFrame:
+def link_components(members: DataFrame, tiny: DataFrame, docs: DataFrame) -> DataFrame:
     """(id, component) of the linked classes in ``members(key, rep, n, leader)``."""
     pairs = (
         members.filter("rep <> leader")
@@ -223,8 +227,10 @@ def link_components(members: DataFrame, docs: DataFrame) -> DataFrame:
         .filter("lo <> hi")
         .select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
     )
-    opened = materialize(known.join(several, "key"), "open")
-    more = materialize(bucket_links(opened, shingle_sets(opened.select("rep").distinct(), docs)), "more")
+    opened = known.join(several, "key").join(tiny, "rep")
+    # full sets are shipped only for members that a partner in another component may match
+    likely = materialize(likely_members(opened), "likely")
+    more = materialize(bucket_links(likely, shingle_sets(likely.select("rep").distinct(), docs)), "more")
     return components(stars.unionByName(more), "all")
 
 
@@ -248,75 +254,117 @@ def shingle_sets(reps: DataFrame, docs: DataFrame) -> DataFrame:
     return materialize(made.dropDuplicates(["rep"]), "sets")
 
 
-def bucket_links(opened: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links between members of one bucket that are in different components.
-
-    A bucket of more than BLOCK members is split into blocks, and each pair of
-    blocks is a task's work of its own, so that a task holds 2 * BLOCK members at
-    most.  Signatures rule out most pairs; the rest are compared on the full sets,
-    and only links that join two components are emitted: at most one less than
-    members, never all pairs.  A pair that meets in several buckets is compared
-    in the first one only."""
+def _in_blocks(opened: DataFrame) -> DataFrame:
+    """A bucket of more than BLOCK members is split into blocks, and each pair of blocks
+    (i, j) is a group of its own: a group holds 2 * BLOCK members or so at most."""
     rows = opened.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select(
-        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "comp"
-    ).join(sets, "rep")
+    return rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other")
+
+
+def _by_group(rows: DataFrame, fn: Callable[[list[tuple]], list[tuple]], schema: str) -> DataFrame:
+    """Apply ``fn`` to the rows of each (key, i, j), as tuples without these three.  Groups
+    come sorted, so a task holds one at a time."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    arrow = to_arrow_schema(T.StructType.fromDDL(schema))
+    cols = [c for c in rows.columns if c not in ("key", "i", "j")]
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "comp", "rep")
-    rows = rows.select("key", "i", "j", "own", "rep", "comp", "sig", "hashes")
+
+    def flush(group: tuple | None, held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        if found := fn(held) if held else []:
+            out = [(*group, *f) for f in found]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(v, f.type) for v, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow
+            )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: tuple | None = None
         held: list[tuple] = []
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[:3] != group:
-                    yield from _flush(held)
-                    group, held = row[:3], []
-                held.append(row[1:])
-        yield from _flush(held)
-
-    return rows.mapInArrow(run, "src long, dst long")
-
+            for at in range(0, batch.num_rows, 256):
+                for row in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns), strict=True):
+                    if row[:3] != group:
+                        yield from flush(group, held)
+                        group, held = row[:3], []
+                    held.append(row[3:])
+        yield from flush(group, held)
+
+    return rows.select("key", "i", "j", *cols).mapInArrow(run, schema)
+
+
+def likely_members(opened: DataFrame) -> DataFrame:
+    """Of ``opened(key, blocks, rep, comp, n, tiny)``, the members that may be linked to a
+    member of another component in their bucket, judged by size and by the low bytes of
+    the signatures (equal by chance once in 256, which is taken off)."""
+    rows = _in_blocks(opened).select("key", "i", "j", "own", "rep", "comp", "n", "blocks", "tiny")
+
+    def likely(held: list[tuple]) -> list[tuple]:
+        comp = np.array([r[2] for r in held])
+        if (comp == comp[0]).all():
+            return []
+        own, n = np.array([r[0] for r in held]), np.array([r[3] for r in held])
+        tiny = np.stack([np.frombuffer(r[5], np.uint8) for r in held])
+        cross = (own != own[0]).any()
+        keep = np.zeros(len(held), bool)
+        for x in range(len(held) - 1):
+            maybe = (comp[x + 1 :] != comp[x]) & (np.minimum(n[x + 1 :], n[x]) * 100 >= SIMILARITY * np.maximum(n[x + 1 :], n[x]))
+            if cross:
+                maybe &= own[x + 1 :] != own[x]
+            ys = np.flatnonzero(maybe) + x + 1
+            if len(ys):
+                like = ((tiny[ys] == tiny[x]).mean(axis=1) - 1 / 256) / (255 / 256)
+                ys = ys[like >= _LIKELY]
+                keep[ys] = True
+                keep[x] |= len(ys) > 0
+        return [(held[k][1], held[k][2], held[k][4]) for k in np.flatnonzero(keep)]
+
+    found = _by_group(rows, likely, "key long, i int, j int, rep long, comp long, blocks int")
+    return found.select("key", "rep", "comp", "blocks").distinct()
+
+
+def bucket_links(likely: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between members of one bucket that are in different components.
 
-def _flush(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-    if found := _joins(held):
-        src, dst = zip(*found, strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
+    Signatures rule out most pairs; the rest are compared on the full sets, and only links
+    that join two components are emitted: at most one less than members, never all pairs.
+    A pair that meets in several buckets is compared in the first one only."""
+    rows = _in_blocks(likely).join(sets, "rep").select("key", "i", "j", "own", "rep", "comp", "sig", "hashes")
+    return _by_group(rows, _joins, "key long, i int, j int, src long, dst long").select("src", "dst")
 
 
 def _joins(held: list[tuple]) -> list[tuple[int, int]]:
-    """Links that join components, within one block or between two blocks."""
-    if len({r[4] for r in held}) < 2:
+    """Links that join components, within one block or between two blocks; rows are
+    (own block, rep, comp, sig, hashes)."""
+    own = np.array([r[0] for r in held])
+    label = np.unique(np.array([r[2] for r in held]), return_inverse=True)[1]
+    if (label == label[0]).all():
         return []
-    cross = held[0][0] != held[0][1]
-    own = np.array([r[2] for r in held])
-    sigs = np.stack([np.frombuffer(r[5], dtype=np.uint32) for r in held])
-    sets = [np.frombuffer(r[6], dtype=np.uint64) for r in held]
+    cross = (own != own[0]).any()
+    sigs = np.stack([np.frombuffer(r[3], dtype=np.uint32) for r in held])
+    sets = [np.frombuffer(r[4], dtype=np.uint64) for r in held]
     sizes = np.array([len(s) for s in sets])
     bands = np.stack([band_keys(s) for s in sigs])
     common = (bands == bands[0]).all(axis=0)
-    at = int(np.argmax(common)) if common.any() else 0  # the band that this bucket belongs to
-    label = np.unique(np.array([r[4] for r in held]), return_inverse=True)[1]
+    at = int(np.argmax(common))  # the band that this bucket belongs to
     out = []
     for x in range(len(held) - 1):
         rest = slice(x + 1, None)
         maybe = label[rest] != label[x]
         if cross:
             maybe &= own[rest] != own[x]
-        low, high = np.minimum(sizes[rest], sizes[x]), np.maximum(sizes[rest], sizes[x])
-        maybe &= low * 100 >= SIMILARITY * high
+        maybe &= np.minimum(sizes[rest], sizes[x]) * 100 >= SIMILARITY * np.maximum(sizes[rest], sizes[x])
         if not maybe.any():
             continue
         ys = np.flatnonzero(maybe) + x + 1
         like = (sigs[ys] == sigs[x]).mean(axis=1)
-        first = (bands[ys] == bands[x]).argmax(axis=1) == at
-        ys, like = ys[(like >= _LIKELY) & first], like[(like >= _LIKELY) & first]
+        good = (like >= _LIKELY) & ((bands[ys] == bands[x]).argmax(axis=1) == at)
+        ys, like = ys[good], like[good]
         for y in ys[np.argsort(-like, kind="stable")]:
             if label[x] == label[y]:
                 continue
             shared = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
             if 100 * shared >= SIMILARITY * (sizes[x] + sizes[y] - shared):
-                out.append((held[x][3], held[y][3]))
+                out.append((held[x][1], held[y][1]))
                 label[label == label[y]] = label[x]
     return out
