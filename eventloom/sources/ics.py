@@ -15,7 +15,7 @@ def read_files(spark: SparkSession, path: str, skip: tuple[str, ...] = ("combine
     """(file, stem, content) of ``*.ics`` files; bytes that are not UTF-8 are dropped."""
     raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.ics").load(path)
     name = F.element_at(F.split("path", "/"), -1)
-    text = F.replace(F.decode("content", "UTF-8"), F.lit("�"), F.lit(""))
+    text = F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("\ufffd"), F.lit(""))
     rows = raw.select(name.alias("file"), F.regexp_replace(name, r"\.ics$", "").alias("stem"), text.alias("content"))
     return rows.filter(~F.col("stem").isin(*skip)) if skip else rows
 
@@ -54,7 +54,7 @@ def image_url(vevent: Column) -> Column:
     whale = F.regexp_replace(F.replace(get(r"^X-LIVEWHALE-IMAGE:([^\r\n]+)"), F.lit("\\,"), F.lit(",")), r"/width/\d+/height/\d+/", "/width/400/height/300/")
     shown = [get(rf"^IMAGE;[^:\r\n]*DISPLAY={d}[^:\r\n]*:(https?://[^\r\n]+)") for d in ("fullsize", "badge", "thumbnail")]
     press = get(r"^X-WP-IMAGES-URL:([^\r\n]+)")
-    sized = [F.nullif(F.regexp_extract(press, rf"(?i)(?:^|,){s}\;(https?://[^\\,]+)", 1), F.lit("")) for s in ("large", "full", "medium")]
+    sized = [F.nullif(F.regexp_extract(press, rf"(?i)(?:^|,){s}\\;(https?://[^\\,]+)", 1), F.lit("")) for s in ("large", "full", "medium")]
     return F.coalesce(
         get(r"^ATTACH;[^:\r\n]*FMTTYPE=image/[^:\r\n]*:([^\r\n]+)"), get(r"^X-TKF-FEATURED-IMAGE:([^\r\n]+)"), whale,
         *shown, get(r"^IMAGE;[^:\r\n]*:(https?://[^\r\n]+)"), *sized,
