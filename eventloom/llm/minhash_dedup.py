@@ -21,7 +21,8 @@ with probability (1 - 0.75**4)**32 = 5e-6.
 
 Edge cases: a null, empty or blank text has an empty set, ``n_shingles`` 0, and
 is linked with nothing, itself its component.  Fewer words than a shingle: the
-whole sequence is the only shingle.  Repeated rows are kept, one result each; a
+whole sequence is the only shingle.  Repeated rows are kept, one result each; rows
+of one ``doc_id`` with different texts are one vertex of the link graph; a
 null ``doc_id`` has a null component (its smallest id being unknown) unless its
 class has a member with an id.  Extra columns are ignored.  An empty table gives
 an empty result.

@@ -9,7 +9,7 @@ into the score.
 Labels exist for documents only, so training starts from the document's label on
 each of its lines, then relabels the lines of bad documents by their own marginals
 and fits again.  It uses a bounded sample: SAMPLE_PER_CLASS rows of either label,
-texts of at most SAMPLE_CHARS characters.  Scoring reads whole texts.
+texts of at most SAMPLE_CHARS characters and SAMPLE_LINES lines.  Scoring reads whole texts.
 
 Edge cases: null, empty and blank texts are one empty line.  Repeated rows score
 alike; a null ``doc_id`` counts as held out.  With no labelled row, or one class
@@ -31,6 +31,7 @@ from .toxicity import labelled_sample
 
 SAMPLE_PER_CLASS = 1_200
 SAMPLE_CHARS = 40_000
+SAMPLE_LINES = 400
 THRESHOLD = 0.3
 _UPPER = bytes(range(65, 91))
 _LOWER = bytes(range(97, 123))
@@ -233,10 +234,11 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS)
     sample, share = labelled_sample(docs, labels, "quality", per_class, SAMPLE_CHARS)
 
     def make(batch: dict[str, list]) -> dict[str, object]:
-        got = [line_features(t) for t in batch["text"]]
+        rows = [i for i, t in enumerate(batch["text"]) if (t or "").count("\n") < SAMPLE_LINES]
+        got = [line_features(batch["text"][i]) for i in rows]
         return {
-            "doc_id": batch["doc_id"],
-            "y": batch["y"],
+            "doc_id": [batch["doc_id"][i] for i in rows],
+            "y": [batch["y"][i] for i in rows],
             "x": [x.tobytes() for x, _ in got],
             "s": [s.tobytes() for _, s in got],
         }

@@ -11,6 +11,7 @@ from . import (
     line_dedup,
     minhash_dedup,
     mixing,
+    oracles,
     packing,
     quality_crf,
     quality_rules,
@@ -79,6 +80,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_line_dedup": oracles.LINE_DEDUP,
+        "op4_minhash_dedup": oracles.NEAR_DUPLICATES,
+        "op8_quality_rules": oracles.quality_rules(
+            quality_rules.MAX_HOST_DOCS, quality_rules.MIN_WORDS, quality_rules.MIN_KEPT
+        ),
         "op3_url_filter": url_filter.oracle(),
         "op6_source_mixing": mixing.oracle(),
         "op7_topk_search": topk_search.oracle(),

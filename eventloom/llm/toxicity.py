@@ -29,7 +29,7 @@ from .common import map_batches, mix64, span_hashes, training_fold, word_spans
 BITS = 20
 THRESHOLD = 0.5
 SAMPLE_PER_CLASS = 2_500  # bound of the training sample: this many rows of either label
-SAMPLE_CHARS = 40_000  # a labelled text longer than this is not used for training
+SAMPLE_CHARS = 12_000  # a labelled text longer than this is not used for training
 _M = mix64(np.arange(201, 211, dtype=np.uint64)) | np.uint64(1)
 _EDGE = np.frombuffer(b".,;:!?\"'()[]{}*#&$%|<>", np.uint8)
 
