@@ -72,7 +72,6 @@ PLATFORMS = (
 
 #: PRODID patterns of generated calendars, which reports skip.
 OWN_PRODIDS = (
-    r"Community Calendar//",
     r"//combined//",
     r"//\w[\w\s&;'.\-]+//[\w.\-]+\.\w{2,}//",
     r"//\w[\w\s&;'.\-]+//Events//EN",

@@ -43,11 +43,12 @@ def feed_content(content: Column) -> Column:
     )
 
 
-def platform(prodid: Column) -> Column:
+def platform(prodid: Column, own: tuple[str, ...] = OWN_PRODIDS) -> Column:
+    """The platform that wrote a calendar; ``skip`` for patterns of one's own; else ``unknown``."""
     out = None
     for pattern, name in PLATFORMS:
         out = F.when(prodid.rlike(pattern), name) if out is None else out.when(prodid.rlike(pattern), name)
-    for pattern in OWN_PRODIDS:
+    for pattern in own:
         out = out.when(prodid.rlike(pattern), "skip")
     return out.otherwise("unknown")
 

@@ -651,7 +651,7 @@ def k5_jsonld(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "SELECT id, substr(sha256('BEGIN:VEVENT' || e || 'UID:event-' || CAST(id AS VARCHAR) || '@community-calendar' || e || 'DTSTAMP:20240110T120000Z' || e || 'DTSTART:' || strftime(start_time, '%Y%m%dT%H%M%SZ') || coalesce(e || 'DTEND:' || strftime(end_time, '%Y%m%dT%H%M%SZ'), '') "
+    "SELECT id, substr(sha256('BEGIN:VEVENT' || e || 'UID:event-' || CAST(id AS VARCHAR) || '@eventloom' || e || 'DTSTAMP:20240110T120000Z' || e || 'DTSTART:' || strftime(start_time, '%Y%m%dT%H%M%SZ') || coalesce(e || 'DTEND:' || strftime(end_time, '%Y%m%dT%H%M%SZ'), '') "
     "|| e || 'SUMMARY:' || title || CASE WHEN coalesce(location, '') <> '' THEN e || 'LOCATION:' || replace(location, ',', '\\,') ELSE '' END || CASE WHEN coalesce(description, '') <> '' THEN e || 'DESCRIPTION:' || description ELSE '' END || CASE WHEN coalesce(url, '') <> '' THEN e || 'URL:' || url ELSE '' END || e || 'END:VEVENT'), 1, 16) AS etag FROM (SELECT *, chr(13) || chr(10) AS e FROM cal)"
 )
 def k7_event_ics(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,13 +20,17 @@ def _optional(label: str, value: Column) -> Column:
     return F.when(blank(value) != "", F.concat(F.lit(label), value))
 
 
-def event_ics(now: Column) -> Column:
-    """One event as a VEVENT block, CRLF-joined; optional properties only if filled."""
+PRODUCER = "eventloom"
+
+
+def event_ics(now: Column, domain: str = PRODUCER) -> Column:
+    """One event as a VEVENT block, CRLF-joined; optional properties only if filled.
+    ``domain`` ends the uid."""
     rule = F.when(F.startswith(F.col("rrule"), F.lit("RRULE:")), F.col("rrule")).otherwise(F.concat(F.lit("RRULE:"), F.col("rrule")))
     return F.concat_ws(
         "\r\n",
         F.lit("BEGIN:VEVENT"),
-        F.concat(F.lit("UID:event-"), F.col("id").cast("string"), F.lit("@community-calendar")),
+        F.concat(F.lit("UID:event-"), F.col("id").cast("string"), F.lit(f"@{domain}")),
         F.concat(F.lit("DTSTAMP:"), ics_stamp(now)),
         F.concat(F.lit("DTSTART:"), ics_stamp(F.col("start_time"))),
         F.when(F.col("end_time").isNotNull(), F.concat(F.lit("DTEND:"), ics_stamp(F.col("end_time")))),
@@ -39,9 +43,9 @@ def event_ics(now: Column) -> Column:
     )
 
 
-def calendar_lines(events: DataFrame, name: str, content: str = "content", order: tuple[str, ...] = ("dtstart", "pos")) -> DataFrame:
+def calendar_lines(events: DataFrame, name: str, content: str = "content", order: tuple[str, ...] = ("dtstart", "pos"), producer: str = PRODUCER) -> DataFrame:
     """(part, line): header, one row for each event's block, footer, in file order."""
-    head = ["BEGIN:VCALENDAR", "VERSION:2.0", "PRODID:-//Community Calendar//Combined Feed//EN", "CALSCALE:GREGORIAN",
+    head = ["BEGIN:VCALENDAR", "VERSION:2.0", f"PRODID:-//{producer}//Combined Feed//EN", "CALSCALE:GREGORIAN",
             "METHOD:PUBLISH", f"X-WR-CALNAME:{name}", "REFRESH-INTERVAL;VALUE=DURATION:PT1H", "X-PUBLISHED-TTL:PT1H"]
     ends = events.sparkSession.createDataFrame([(0, "\r\n".join(head)), (2, "END:VCALENDAR")], "part int, line string")
     block = F.concat(F.lit("BEGIN:VEVENT\r\n"), F.col(content), F.lit("\r\nEND:VEVENT"))
