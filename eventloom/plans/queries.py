@@ -23,8 +23,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 NOW = "TIMESTAMP '2024-01-10 12:00:00'"
-NOW_ = F.expr("TIMESTAMP_NTZ '2024-01-10 12:00:00'")
-TODAY_ = F.expr("DATE '2024-01-10'")
+_now = lambda: F.expr("TIMESTAMP_NTZ '2024-01-10 12:00:00'")
+_today = lambda: F.expr("DATE '2024-01-10'")
 AGGREGATORS = ("src2", "src5")
 HIDDEN = ("src1", "src5")
 _list = lambda names: F.array(*[F.lit(n) for n in names])
@@ -156,7 +156,7 @@ def a15_similarity_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT CAST(min(date_diff('day', DATE '2024-01-10', CAST(start_time AS DATE))) AS INTEGER) AS first_day, CAST(max(date_diff('day', DATE '2024-01-10', CAST(start_time AS DATE))) AS INTEGER) AS last_day FROM cal")
 def a18_day_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return aggregates.day_range(calendar(spark, sf_dir), TODAY_)
+    return aggregates.day_range(calendar(spark, sf_dir), _today())
 
 
 @query("SELECT DISTINCT city FROM cal")
@@ -202,7 +202,7 @@ def w3_recent_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT id, title, start_time FROM cal WHERE start_time >= {NOW} - INTERVAL 24 HOUR")
 def f2_upcoming(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return filters.upcoming_instant(calendar(spark, sf_dir), NOW_).select("id", "title", "start_time")
+    return filters.upcoming_instant(calendar(spark, sf_dir), _now()).select("id", "title", "start_time")
 
 
 @query(
@@ -237,7 +237,7 @@ def f5_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"AND start_time <= {NOW} + INTERVAL 90 DAY ORDER BY start_time, id LIMIT 6000"
 )
 def f7_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lo, hi = NOW_ - F.expr("INTERVAL 1 HOUR"), NOW_ + F.expr("INTERVAL 90 DAYS")
+    lo, hi = _now() - F.expr("INTERVAL 1 HOUR"), _now() + F.expr("INTERVAL 90 DAYS")
     return filters.listing(calendar(spark, sf_dir), "city1", lo, hi)
 
 
@@ -258,7 +258,7 @@ def f10_visible(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT id FROM cal WHERE len(list_filter(string_split(coalesce(source, ''), ', '), lambda s: s IN ('src3', 'src4'))) = 0 AND coalesce(category, '') <> 'Film / Cinema' AND coalesce(source_uid, '') NOT IN ('u5', 'u6') AND NOT coalesce(created_at, start_time) > {NOW}")
 def f11_exclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return filters.not_excluded(calendar(spark, sf_dir), _list(("src3", "src4")), _list(("Film / Cinema",)), _list(("u5", "u6")), NOW_).select("id")
+    return filters.not_excluded(calendar(spark, sf_dir), _list(("src3", "src4")), _list(("Film / Cinema",)), _list(("u5", "u6")), _now()).select("id")
 
 
 @query("SELECT id, start_time FROM cal WHERE start_time >= TIMESTAMP '2024-01-12' AND start_time < TIMESTAMP '2024-01-16'")
@@ -393,7 +393,7 @@ def w4_first_by_uid(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT id, start_time, count(*) OVER (PARTITION BY t, l, h) >= 5 AS is_recurring FROM k QUALIFY count(*) OVER (PARTITION BY t, l, h) < 5 OR row_number() OVER (PARTITION BY t, l, h, w ORDER BY start_time, id) = 1"
 )
 def w5_collapse_long_running(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows.collapse_long_running(calendar(spark, sf_dir), TODAY_).select("id", "start_time", "is_recurring")
+    return windows.collapse_long_running(calendar(spark, sf_dir), _today()).select("id", "start_time", "is_recurring")
 
 
 @query(", b AS (SELECT city, date AS generated, CAST(sum(count) AS BIGINT) AS total FROM hist GROUP BY 1, 2) SELECT city, generated, total, lag(total) OVER (PARTITION BY city ORDER BY generated) AS previous, total - lag(total) OVER (PARTITION BY city ORDER BY generated) AS delta FROM b")
@@ -440,7 +440,7 @@ def x2_rss_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     cal = calendar(spark, sf_dir).filter("start_time >= TIMESTAMP_NTZ '2024-01-10 00:00:00'")
     items = cal.groupBy(F.coalesce("source_uid", F.col("id").cast("string")).alias("guid")).agg(F.min("start_time").alias("start_time"))
     latest = items.filter("guid like 'u1%'").select("guid", F.expr("TIMESTAMP_NTZ '2024-01-05 00:00:00'").alias("pub_date"))
-    return store.rss_latest(items, latest, items.filter("guid like 'u1%' or guid like 'u2%'").select("guid"), NOW_)
+    return store.rss_latest(items, latest, items.filter("guid like 'u1%' or guid like 'u2%'").select("guid"), _now())
 
 
 @query("SELECT DISTINCT feed FROM hist WHERE feed NOT IN (SELECT concat('feed', CAST(s_suppkey % 3 AS VARCHAR)) FROM supplier)")
@@ -566,7 +566,7 @@ def u13_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def u15_expand_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = calendar(spark, sf_dir).filter("id % 50 = 0").select("id", "start_time").withColumn("rrule", F.lit("FREQ=WEEKLY;INTERVAL=2;BYDAY=TU,TH"))
-    return recurrence.expand(rows, "rrule", "start_time", TODAY_, F.expr("DATE '2024-02-20'")).select("id", "occurrence")
+    return recurrence.expand(rows, "rrule", "start_time", _today(), F.expr("DATE '2024-02-20'")).select("id", "occurrence")
 
 
 @query(
@@ -641,7 +641,7 @@ def s2_ics_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT id, md5(coalesce(nullif(source_uid, ''), md5(title || '|' || strftime(start_time, '%Y-%m-%d %H:%M:%S')))) AS guid_md5, start_time FROM cal WHERE start_time BETWEEN {NOW} - INTERVAL 12 HOUR AND {NOW} + INTERVAL 90 DAY".replace("id, md5(", "md5("))
 def k4_rss_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return export.rss_rows(calendar(spark, sf_dir), NOW_, "https://x.example/").select(F.md5("guid").alias("guid_md5"), "start_time")
+    return export.rss_rows(calendar(spark, sf_dir), _now(), "https://x.example/").select(F.md5("guid").alias("guid_md5"), "start_time")
 
 
 @query(f"SELECT id, CASE category {' '.join(f'''WHEN '{c}' THEN '{t}' ''' for c, t in SCHEMA_TYPES.items())} ELSE 'Event' END AS kind, trim(split_part(location, ',', 1)) AS place FROM cal")
@@ -656,7 +656,7 @@ def k5_jsonld(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def k7_event_ics(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = calendar(spark, sf_dir).withColumn("rrule", F.lit(None).cast("string"))
-    return rows.select("id", export.etag(export.event_ics(NOW_)).alias("etag"))
+    return rows.select("id", export.etag(export.event_ics(_now())).alias("etag"))
 
 
 @query("SELECT id, 'https://calendar.google.com/calendar/render?action=TEMPLATE&text=+' || substr(trim(title), 1, 99) || '+&dates=' || strftime(start_time, '%Y%m%dT%H%M%SZ') || '%2F' || strftime(coalesce(end_time, start_time), '%Y%m%dT%H%M%SZ') || '&location=' || coalesce(location, '') || '&details=' AS url FROM cal WHERE coalesce(location, '') NOT LIKE '% %' AND coalesce(description, '') = ''")
