@@ -64,10 +64,11 @@ def _fits(day: Column, first: Column) -> Column:
     )
 
 
-def expand(df: DataFrame, rule: str, start: str, from_day: Column, to_day: Column, excluded: str | None = None, out: str = "occurrence") -> DataFrame:
+def expand(df: DataFrame, rule: str, start: str, from_day: Column, to_day: Column, excluded: str | None = None, out: str = "occurrence", limit: int | None = None) -> DataFrame:
     """One row for each occurrence of ``rule`` in [from_day, to_day]; rows without a
     rule occur once, at their start.  ``start`` is a wall clock (TIMESTAMP_NTZ), and so
-    is ``out``: 19:00 stays 19:00 across a clock change.  COUNT counts from the start."""
+    is ``out``: 19:00 stays 19:00 across a clock change.  COUNT counts from the start;
+    ``limit`` bounds the occurrences of one rule."""
     first = F.to_date(F.col(start))
     stop = F.least(to_day, F.coalesce(F.col("last"), to_day))
     # a rule with COUNT must be counted from its start; others may begin at the window
@@ -76,6 +77,8 @@ def expand(df: DataFrame, rule: str, start: str, from_day: Column, to_day: Colum
     hits = F.filter(days, lambda d: _fits(d, first))
     hits = F.when(F.col("n").isNotNull(), F.slice(hits, 1, F.greatest(F.col("n"), F.lit(0)))).otherwise(hits)
     hits = F.filter(hits, lambda d: (d >= from_day) & (d <= to_day))
+    if limit is not None:
+        hits = F.slice(hits, 1, limit)
     if excluded:
         hits = F.array_except(hits, F.coalesce(F.col(excluded), F.array().cast("array<date>")))
     single = F.when(first.between(from_day, to_day), F.array(first)).otherwise(F.array().cast("array<date>"))

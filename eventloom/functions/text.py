@@ -138,3 +138,8 @@ def clean_command(cmd: Column) -> Column:
     """A scraper command without its output option, blanks collapsed."""
     bare = F.regexp_replace(blank(cmd), r"(^|\s)(--output|-o)([ =]\S+)", " ")
     return F.trim(F.regexp_replace(bare, r"\s+", " "))
+
+
+def url_map(c: Column) -> Column:
+    """``source_urls`` JSON as a map; invalid text gives an empty one."""
+    return F.coalesce(F.from_json(c, "map<string,string>"), F.create_map().cast("map<string,string>"))

@@ -134,3 +134,18 @@ def report_documents(parts: dict[str, DataFrame]) -> DataFrame:
 
 def sources_of(events: DataFrame) -> DataFrame:
     return events.select("id", F.explode(source_list(F.col("source"))).alias("source"))
+
+
+def user_calendars(picked: DataFrame, now: Column) -> DataFrame:
+    """(user_id, ics, etag): one calendar for each user's picks, in order of start."""
+    one = F.struct("start_time", "event_id", event_ics(now).alias("block"))
+    rows = picked.withColumn("id", F.col("event_id")).groupBy("user_id").agg(F.array_sort(F.collect_list(one)).alias("blocks"))
+    body = F.array_join(F.transform("blocks", lambda b: b["block"]), "\r\n")
+    made = rows.select("user_id", F.concat(F.lit("BEGIN:VCALENDAR\r\nVERSION:2.0\r\n"), body, F.lit("\r\nEND:VCALENDAR")).alias("ics"))
+    return made.withColumn("etag", etag(F.col("ics")))
+
+
+def markdown_rows(df: DataFrame) -> DataFrame:
+    """(line): a Markdown table line for each row."""
+    cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns]
+    return df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
