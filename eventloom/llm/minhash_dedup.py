@@ -154,9 +154,9 @@ def _ids(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
 
 
-def _small(pairs: DataFrame) -> bool:
-    """True if the pair list is proven to be under a million rows."""
-    return pairs.limit(1_000_001).count() <= 1_000_000
+def _small(rows: DataFrame) -> bool:
+    """True if a list of ids is proven to be of at most a million rows."""
+    return rows.limit(1_000_001).count() <= 1_000_000
 
 
 def near_duplicates(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -251,8 +251,9 @@ def shingle_sets(reps: DataFrame, docs: DataFrame) -> DataFrame:
             "hashes": [s.tobytes() for s in got],
         }
 
-    made = map_batches(texts.join(reps, "rep", "left_semi"), sets, "rep long, sig binary, hashes binary")
-    return materialize(made.dropDuplicates(["rep"]), "sets")
+    wanted = F.broadcast(reps) if _small(reps) else reps  # so that texts are not shuffled for the few wanted
+    made = map_batches(texts.join(wanted, "rep", "left_semi"), sets, "rep long, sig binary, hashes binary")
+    return made.dropDuplicates(["rep"])
 
 
 def _in_blocks(opened: DataFrame) -> DataFrame:
@@ -307,6 +308,8 @@ def likely_members(opened: DataFrame) -> DataFrame:
         own, n = np.array([r[0] for r in held]), np.array([r[3] for r in held])
         tiny = np.stack([np.frombuffer(r[5], np.uint8) for r in held])
         cross = (own != own[0]).any()
+        bands = tiny.view(np.uint32)  # the low bytes of a band's ROWS coordinates, as one number
+        at = int(np.argmax((bands == bands[0]).all(axis=0)))  # the band that this bucket belongs to
         keep = np.zeros(len(held), bool)
         for x in range(len(held) - 1):
             maybe = (comp[x + 1 :] != comp[x]) & (np.minimum(n[x + 1 :], n[x]) * 100 >= SIMILARITY * np.maximum(n[x + 1 :], n[x]))
@@ -315,7 +318,7 @@ def likely_members(opened: DataFrame) -> DataFrame:
             ys = np.flatnonzero(maybe) + x + 1
             if len(ys):
                 like = ((tiny[ys] == tiny[x]).mean(axis=1) - 1 / 256) / (255 / 256)
-                ys = ys[like >= _LIKELY]
+                ys = ys[(like >= _LIKELY) & ((bands[ys] == bands[x]).argmax(axis=1) == at)]
                 keep[ys] = True
                 keep[x] |= len(ys) > 0
         return [(held[k][1], held[k][2], held[k][4]) for k in np.flatnonzero(keep)]
