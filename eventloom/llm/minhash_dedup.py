@@ -87,25 +87,31 @@ def band_keys(sig: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarr
         return mix64(parts + mix64(np.arange(100, 100 + bands, dtype=np.uint64))).astype(np.int64)
 
 
+def class_of(shingles: np.ndarray) -> bytes | None:
+    """A 128-bit digest of a shingle set, null for an empty one."""
+    return xxhash.xxh3_128_digest(shingles.tobytes()) if len(shingles) else None
+
+
 def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, n_shingles, class, keys, tiny): the class is a 128-bit digest of the
-    shingle set (null for an empty set), keys its bucket keys, tiny the low byte of
-    each signature coordinate."""
+    """(doc_id, n_shingles, class, keys, marks, tiny): the class stands for the shingle
+    set, keys are its bucket keys, marks the same as bytes, tiny the low byte of each
+    signature coordinate."""
     def sketch(batch: dict[str, list]) -> dict[str, object]:
-        out = {c: batch[c] for c in ("doc_id", *carry)} | {"n_shingles": [], "class": [], "keys": [], "tiny": []}
+        out = {c: batch[c] for c in ("doc_id", *carry)} | {"n_shingles": [], "class": [], "keys": [], "marks": [], "tiny": []}
         for text in batch["text"]:
             s = shingle_hashes(text)
             out["n_shingles"].append(len(s))
-            out["class"].append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
+            out["class"].append(class_of(s))
             sig = signature(s, bands * rows)
             out["keys"].append(band_keys(sig, bands, rows) if len(s) else np.empty(0, np.int64))
+            out["marks"].append(out["keys"][-1].tobytes() if len(s) else None)
             out["tiny"].append(sig.astype(np.uint8).tobytes() if len(s) else None)
         return out
 
     return map_batches(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry),
         sketch,
-        "doc_id long, " + "".join(f"{c} long, " for c in carry) + "n_shingles long, class binary, keys array<long>, tiny binary",
+        "doc_id long, " + "".join(f"{c} long, " for c in carry) + "n_shingles long, class binary, keys array<long>, marks binary, tiny binary",
     )
 
 
@@ -169,13 +175,13 @@ def near_duplicates(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
         .join(classes, "class")
         .filter("doc_id = rep")
         .groupBy("class")
-        .agg(F.first("rep").alias("rep"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), F.first("tiny").alias("tiny")),
+        .agg(F.first("rep").alias("rep"), F.first("n_shingles").alias("n"), *(F.first(c).alias(c) for c in ("keys", "marks", "tiny"))),
         "reps",
     )
-    bands = reps.select(F.explode("keys").alias("key"), "rep", "n")
+    bands = reps.select(F.posexplode("keys").alias("band", "key"), "class", "rep")
     shared = bands.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("c")).filter("c > 1")
     members = materialize(bands.join(shared.drop("c"), "key"), "buckets")
-    linked = link_components(members, reps.select("rep", "n", "tiny"), docs)
+    linked = link_components(members, reps.select("class", "n", "marks", "tiny"), docs)
     whole = (
         reps.select("class", "rep")
         .join(linked, F.col("rep") == F.col("id"), "left")
@@ -209,8 +215,9 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     return numbered.join(chosen.union(alone), row, "left_semi").drop(row)
 
 
-def link_components(members: DataFrame, tiny: DataFrame, docs: DataFrame) -> DataFrame:
-    """(id, component) of the linked classes in ``members(key, rep, n, leader)``."""
+def link_components(members: DataFrame, sketched: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, component) of the linked classes in ``members(key, band, class, rep, leader)``;
+    a ``rep`` with several texts is in several classes, so sketches go by class."""
     pairs = (
         members.filter("rep <> leader")
         .select(F.col("leader").alias("src"), F.col("rep").alias("dst"))
@@ -220,7 +227,7 @@ def link_components(members: DataFrame, tiny: DataFrame, docs: DataFrame) -> Dat
     comps = materialize(components(stars, "star"), "starcomp")
     # buckets with members of more than one component: these may hide further links
     known = members.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select(
-        "key", "rep", F.coalesce("component", "rep").alias("comp")
+        "key", "band", "class", "rep", F.coalesce("component", "rep").alias("comp")
     )
     several = (
         known.groupBy("key")
@@ -228,7 +235,7 @@ def link_components(members: DataFrame, tiny: DataFrame, docs: DataFrame) -> Dat
         .filter("lo <> hi")
         .select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
     )
-    opened = known.join(several, "key").join(tiny, "rep")
+    opened = known.join(several, "key").join(sketched, "class")
     # full sets are shipped only for members that a partner in another component may match
     likely = materialize(likely_members(opened), "likely")
     more = materialize(bucket_links(likely, shingle_sets(likely.select("rep").distinct(), docs)), "more")
@@ -240,20 +247,21 @@ _LIKELY = 0.55  # an estimate this low is over five standard errors under the th
 
 
 def shingle_sets(reps: DataFrame, docs: DataFrame) -> DataFrame:
-    """(rep, sig, hashes): signature and full hashed shingle set of the given documents."""
+    """(class, sig, hashes): signature and full hashed shingle set of each text of the
+    given documents."""
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
 
     def sets(batch: dict[str, list]) -> dict[str, object]:
         got = [shingle_hashes(t) for t in batch["text"]]
         return {
-            "rep": batch["rep"],
+            "class": [class_of(s) for s in got],
             "sig": [signature(s).tobytes() for s in got],
             "hashes": [s.tobytes() for s in got],
         }
 
     wanted = F.broadcast(reps) if _small(reps) else reps  # so that texts are not shuffled for the few wanted
-    made = map_batches(texts.join(wanted, "rep", "left_semi"), sets, "rep long, sig binary, hashes binary")
-    return made.dropDuplicates(["rep"])
+    made = map_batches(texts.join(wanted, "rep", "left_semi"), sets, "class binary, sig binary, hashes binary")
+    return made.dropDuplicates(["class"])
 
 
 def _in_blocks(opened: DataFrame) -> DataFrame:
@@ -296,20 +304,22 @@ def _by_group(rows: DataFrame, fn: Callable[[list[tuple]], list[tuple]], schema:
 
 
 def likely_members(opened: DataFrame) -> DataFrame:
-    """Of ``opened(key, blocks, rep, comp, n, tiny)``, the members that may be linked to a
-    member of another component in their bucket, judged by size and by the low bytes of
-    the signatures (equal by chance once in 256, which is taken off)."""
-    rows = _in_blocks(opened).select("key", "i", "j", "own", "rep", "comp", "n", "blocks", "tiny")
+    """Of ``opened(key, band, blocks, class, rep, comp, n, marks, tiny)``, the members that
+    may be linked to a member of another component in their bucket, judged by size and by
+    the low bytes of the signatures (equal by chance once in 256, which is taken off).  A
+    pair counts only in the bucket of the first band whose full keys agree: it is a bucket
+    of both and, the pair being of two components, an opened one."""
+    rows = _in_blocks(opened).select("key", "i", "j", "own", "rep", "comp", "n", "blocks", "class", "band", "marks", "tiny")
 
     def likely(held: list[tuple]) -> list[tuple]:
         comp = np.array([r[2] for r in held])
         if (comp == comp[0]).all():
             return []
         own, n = np.array([r[0] for r in held]), np.array([r[3] for r in held])
-        tiny = np.stack([np.frombuffer(r[5], np.uint8) for r in held])
+        tiny = np.stack([np.frombuffer(r[8], np.uint8) for r in held])
         cross = (own != own[0]).any()
-        bands = tiny.view(np.uint32)  # the low bytes of a band's ROWS coordinates, as one number
-        at = int(np.argmax((bands == bands[0]).all(axis=0)))  # the band that this bucket belongs to
+        marks = np.stack([np.frombuffer(r[7], np.int64) for r in held])
+        at = held[0][6]  # the band that this bucket belongs to
         keep = np.zeros(len(held), bool)
         for x in range(len(held) - 1):
             maybe = (comp[x + 1 :] != comp[x]) & (np.minimum(n[x + 1 :], n[x]) * 100 >= SIMILARITY * np.maximum(n[x + 1 :], n[x]))
@@ -318,13 +328,14 @@ def likely_members(opened: DataFrame) -> DataFrame:
             ys = np.flatnonzero(maybe) + x + 1
             if len(ys):
                 like = ((tiny[ys] == tiny[x]).mean(axis=1) - 1 / 256) / (255 / 256)
-                ys = ys[(like >= _LIKELY) & ((bands[ys] == bands[x]).argmax(axis=1) == at)]
+                ys = ys[like >= _LIKELY]
+                ys = ys[(marks[ys] == marks[x]).argmax(axis=1) == at]
                 keep[ys] = True
                 keep[x] |= len(ys) > 0
-        return [(held[k][1], held[k][2], held[k][4]) for k in np.flatnonzero(keep)]
+        return [(held[k][1], held[k][2], held[k][4], held[k][5], at) for k in np.flatnonzero(keep)]
 
-    found = _by_group(rows, likely, "key long, i int, j int, rep long, comp long, blocks int")
-    return found.select("key", "rep", "comp", "blocks").distinct()
+    found = _by_group(rows, likely, "key long, i int, j int, rep long, comp long, blocks int, class binary, band int")
+    return found.select("key", "band", "class", "rep", "comp", "blocks").distinct()
 
 
 def bucket_links(likely: DataFrame, sets: DataFrame) -> DataFrame:
@@ -333,13 +344,13 @@ def bucket_links(likely: DataFrame, sets: DataFrame) -> DataFrame:
     Signatures rule out most pairs; the rest are compared on the full sets, and only links
     that join two components are emitted: at most one less than members, never all pairs.
     A pair that meets in several buckets is compared in the first one only."""
-    rows = _in_blocks(likely).join(sets, "rep").select("key", "i", "j", "own", "rep", "comp", "sig", "hashes")
+    rows = _in_blocks(likely).join(sets, "class").select("key", "i", "j", "own", "rep", "comp", "sig", "hashes", "band")
     return _by_group(rows, _joins, "key long, i int, j int, src long, dst long").select("src", "dst")
 
 
 def _joins(held: list[tuple]) -> list[tuple[int, int]]:
     """Links that join components, within one block or between two blocks; rows are
-    (own block, rep, comp, sig, hashes)."""
+    (own block, rep, comp, sig, hashes, band)."""
     own = np.array([r[0] for r in held])
     label = np.unique(np.array([r[2] for r in held]), return_inverse=True)[1]
     if (label == label[0]).all():
@@ -349,8 +360,7 @@ def _joins(held: list[tuple]) -> list[tuple[int, int]]:
     sets = [np.frombuffer(r[4], dtype=np.uint64) for r in held]
     sizes = np.array([len(s) for s in sets])
     bands = np.stack([band_keys(s) for s in sigs])
-    common = (bands == bands[0]).all(axis=0)
-    at = int(np.argmax(common))  # the band that this bucket belongs to
+    at = held[0][5]  # the band that this bucket belongs to
     out = []
     for x in range(len(held) - 1):
         rest = slice(x + 1, None)

@@ -110,6 +110,46 @@ def test_one_of_each_keeps_one_row_a_group(docs, rows):
     assert len(ids) == len(groups) + empty
 
 
+def led_family(seed):
+    """Two texts at similarity 0.756, and sixty at 0.70 or less to both, of which some text
+    shares each bucket that the two share."""
+    rnd = random.Random(seed)
+    base = [f"w{rnd.randrange(10**6)}" for _ in range(400)]
+    at = list(range(5, 395, 6))
+    rnd.shuffle(at)
+    put = lambda places: " ".join(places.get(i, w) for i, w in enumerate(base))
+    led = [put({p: f"b{p}" for p in rnd.sample(at[:11], 5)} | {p: f"l{k}x{p}" for p in rnd.sample(at[11:], 9)}) for k in range(60)]
+    return [put({}), put({p: f"b{p}" for p in at[:11]})], led
+
+
+@pytest.mark.parametrize("twice", [False, True])
+def test_minhash_finds_pairs_led_by_others(spark, twice):
+    """In each of these pairs a band agrees in its low bytes before one agrees in full, and
+    every bucket of the pair is led by a document of a smaller id; with ``twice`` each
+    second document has another text under the same id."""
+    import numpy as np
+
+    data = []
+    for n, seed in enumerate([104, 214, 385]):
+        pair, led = led_family(seed)
+        sigs = [minhash_dedup.signature(minhash_dedup.shingle_hashes(t)) for t in (*pair, *led)]
+        keys = [minhash_dedup.band_keys(x) for x in sigs]
+        full = keys[0] == keys[1]
+        low = (sigs[0].astype(np.uint8) == sigs[1].astype(np.uint8)).reshape(full.size, -1).all(axis=1)
+        assert low.argmax() < full.argmax() and all(any(k[b] == keys[0][b] for k in keys[2:]) for b in np.flatnonzero(full))
+        data += [(1000 * n + i, t) for i, t in enumerate([*led, *pair])]
+        if twice:
+            data.append((1000 * n + 61, " ".join(f"other{n}x{i}" for i in range(300))))
+            # texts near the other one, but under the threshold, so that it has opened buckets as well
+            data += [(1000 * n + 900 + i, " ".join(f"other{n}x{j}" if (j + i) % 20 else f"o{i}x{j}" for j in range(300))) for i in range(8)]
+    _, comp = components_of(data)
+    got = Counter(tuple(r) for r in minhash_dedup.near_duplicates(spark.createDataFrame(data, "doc_id long, text string")).select("doc_id", "component_id").collect())
+    first = dict(reversed([(i, c) for (i, _), c in zip(data, comp)]))  # rows of one id are one vertex
+    want = Counter((i, first[i]) for i, _ in data)
+    assert [first[1000 * n + 61] for n in range(3)] == [60, 1060, 2060]
+    assert got == want
+
+
 def test_signature_is_circulant():
     import numpy as np
 
