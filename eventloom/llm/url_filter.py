@@ -1,7 +1,6 @@
-"""URL rules by a bit-parallel wildcard automaton.
+"""URL rules by bit-parallel wildcard automata.
 
-All glob rules are packed into one multiword Shift-And automaton: bit i of the
-state says that some rule has matched up to its position i.  One step over a
+Globs are packed into a multiword Shift-And automaton: bit i of the state says that some rule has matched up to its position i.  One step over a
 character shifts the state into the next positions and masks it with the
 positions that this character fits; a position before ``*`` also keeps its bit.
 All rules are simulated at once over each canonical URL, and numpy advances all
@@ -9,7 +8,11 @@ URLs of a batch together.
 
 A canonical URL is ``.host`` + path: the host is what follows the first ``://``
 up to ``/ ? #`` or the end, A-Z lower-cased; the path is the rest up to ``? #``.
-The leading dot lets one pattern ``*.org/*`` cover a host and its subdomains.
+The leading dot lets one pattern ``*.org`` cover a host and its subdomains.
+
+A base rule is two globs, ``*.org`` over ``.host`` and ``/prefix*`` over the path,
+in an automaton each, so that no rule can match inside a path.  The block globs
+run over the whole canonical URL.
 
 Edge cases: a null URL or one without ``://`` has an empty host and path, no
 rule, and the default verdict.  Any characters may occur; ``?`` in a glob is any
@@ -128,19 +131,22 @@ def judge_urls(
 ) -> DataFrame:
     """All rows of ``pages(page_id, url)`` as (page_id, host, path, rule, verdict)."""
     order = sorted(range(len(rules)), key=lambda i: (-len(rules[i][1]), i))
-    globs = [f"*.{rules[i][1]}*" for i in order] + list(block)
+    parts = [rules[i][1].partition("/") for i in order]
+    hosts = [f"*.{host}" for host, _, _ in parts]
+    paths = [f"{slash}{prefix}*" for _, slash, prefix in parts]
     made: dict[str, Automaton] = {}
 
     def run(batch: dict[str, list]) -> dict[str, object]:
         if not made:
-            made["a"] = Automaton(globs)
-        hit = made["a"].matches([f".{h}{p}" for h, p in zip(batch["host"], batch["path"], strict=True)])
+            made.update(host=Automaton(hosts), path=Automaton(paths), block=Automaton(list(block)))
+        fits = made["host"].matches([f".{h}" for h in batch["host"]]) & made["path"].matches(batch["path"])
+        blocked = made["block"].matches([f".{h}{p}" for h, p in zip(batch["host"], batch["path"], strict=True)]).any(axis=1)
         rule, verdict = [], []
-        for row in hit:
+        for row, bad in zip(fits, blocked, strict=True):
             at = next((i for i in range(len(order)) if row[i]), None)
             if at is None:
                 rule.append(None)
-                verdict.append("block" if row[len(order) :].any() else default)
+                verdict.append("block" if bad else default)
             else:
                 rule.append(rules[order[at]][1])
                 verdict.append(rules[order[at]][0])

@@ -255,6 +255,19 @@ def test_urls_equal_brute_force(spark):
     assert url_filter.judge_urls(df.limit(0)).count() == 0
 
 
+def test_hosts_inside_paths_fit_no_rule(spark):
+    urls = [
+        "http://site.net/out/www.example.com/de/x", "http://a.net/mirror/www.example.org/es/1", "http://a.net/x.org/y", "http://a.net/x.org/y.html", "http://a.net/.com/fr/a.zip",
+        "http://www.example.org/x.com/de/1", "http://x.com/fr/a.example.org/es/1", "http://a.org.net/org/", "http:///x.org/y", "http://h/a://x.org/", "http://x.com/de", "http://x.com",
+    ]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge_urls(df).collect()}
+    assert got == {i: rule_of(u) for i, u in enumerate(urls)}
+    assert [got[i][2] for i in range(5)] == [None] * 5 and [got[i][3] for i in range(5)] == ["allow", "allow", "allow", "block", "block"]
+    no_path = spark.createDataFrame([(1, "http://x.com"), (2, None)], "page_id long, url string")
+    assert [r.verdict for r in url_filter.judge_urls(no_path).collect()] == ["allow", "allow"]
+
+
 def test_automaton_of_many_words():
     globs = ["*" + "".join(random.Random(i).choices("ab?", k=9)) + "*" for i in range(40)]
     texts = ["".join(random.Random(i).choices("abc", k=30)) for i in range(50)] + ["", "é" * 9]
