@@ -2,7 +2,9 @@
 
 The base patterns find assignments, access keys and hex runs.  The battery looks at
 every other run of key-like characters that is long enough for its encoding (hex,
-base32, base64, base64url, inferred from its characters) and tests it for
+base32, base64, base64url, inferred from its characters): what base spans leave of a
+run is cut at ``=`` (trailing padding stays with its token) and at the characters that
+an encoding does not have, for each encoding in turn, and each distinct token is tested for
 (a) uniformity over the alphabet by chi-squared, (b) the number of runs above and
 below the alphabet's middle, and (c) serial correlation.  Each test's p-value tells
 how a random string of that encoding would look; a token counts as random if no
@@ -10,12 +12,13 @@ test rejects it.  What is controlled is the false discovery of *ordinary* text:
 the p-value of a token under ordinary text is the probability of so small a
 chi-squared value when letters follow a natural-language frequency (a non-central
 chi-squared, whose shift grows with length, so short tokens can hardly reach a
-small one).  Benjamini-Hochberg runs over all tokens of the corpus within length
-classes; their counts are a table bounded by LEVELS x classes.
+small one).  Benjamini-Hochberg runs over all tested tokens of the corpus within length
+classes, those that a test rejects having p-value 1; their counts are a table bounded by
+LEVELS x classes.
 
 Edge cases: a null text is empty and has no span.  Overlapping finds: a battery
-span that touches a base span is dropped; base spans of different kinds may overlap
-and all stay.  Repeated rows are scanned each, and count each in the control.
+span never overlaps a base span; base spans of different kinds may overlap, as may
+battery spans of different encodings, and all stay.  Repeated rows are scanned each, and count each in the control.
 Positions are code points, the end is exclusive.
 """
 
@@ -40,7 +43,10 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 6, 20, 24
 KINDS = ("assign", "access", "hex", "random")
-TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+#: Runs of one encoding's characters; runs of lower-case hex are base spans.
+TOKENS = tuple(map(re.compile, (r"[A-Za-z0-9+/]{20,}", r"[A-Za-z0-9_-]{20,}", r"[A-Z2-7]{24,}", r"[0-9A-F]{24,}")))
+PADDING = re.compile(r"=+(?![A-Za-z0-9+/_=-])")
 LONG_HEX = re.compile(r"[0-9a-f]{24,}")
 KEYWORD = re.compile(r"(?i)password|passwd|secret|token|api_?key", re.ASCII)
 #: Encodings: name, alphabet size, least length at which the tests have power.
@@ -129,18 +135,40 @@ def battery(token: str) -> tuple[float, float, str] | None:
     return min(uniform, p_runs, p_serial), ordinary, name
 
 
-def scan_text(text: str | None) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, float]]]:
-    """Base spans, and (start, end, p-value as ordinary text) of tokens that pass as random."""
+def candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    """Distinct spans of the tokens beside the base spans, given by their start."""
+    out, at = set(), 0
+    for run in RUN.finditer(text):
+        while at < len(base) and base[at][1] <= run.start():
+            at += 1
+        pieces, start = [], run.start()
+        for s, e, _ in base[at:]:
+            if s >= run.end():
+                break
+            pieces.append((start, s))
+            start = max(start, e)
+        pieces.append((start, run.end()))
+        for s, e in pieces:
+            for kind in TOKENS:
+                for m in kind.finditer(text, s, max(s, e)):
+                    pad = PADDING.match(text, m.end())
+                    out.add((m.start(), pad.end() if pad else m.end()))
+    return sorted(out)
+
+
+def scan_text(text: str | None) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, float]], Counter]:
+    """Base spans, (start, end, p-value as ordinary text) of tokens that pass as random,
+    and the number of tested tokens by length class."""
     text = text or ""
     base = base_spans(text)
-    found = []
-    for m in TOKEN.finditer(text):
-        if any(s < m.end() and m.start() < e for s, e, _ in base):
-            continue
-        got = battery(m.group())
-        if got and got[0] >= ALPHA:
-            found.append((m.start(), m.end(), got[1]))
-    return base, found
+    found, tested = [], Counter()
+    for s, e in candidates(text, base):
+        got = battery(text[s:e])
+        if got:
+            tested[length_class(e - s)] += 1
+            if got[0] >= ALPHA:
+                found.append((s, e, got[1]))
+    return base, found, tested
 
 
 def level_of(p: float) -> int:
@@ -157,9 +185,10 @@ def scan(docs: DataFrame) -> DataFrame:
     spans and those that the battery adds, for every row of ``docs(doc_id, text)``."""
 
     def run(batch: dict[str, list]) -> dict[str, object]:
-        out: dict[str, list] = {"doc_id": batch["doc_id"], "base": [], "found": []}
+        out: dict[str, list] = {"doc_id": batch["doc_id"], "base": [], "found": [], "tested": []}
         for t in batch["text"]:
-            base, found = scan_text(t)
+            base, found, tested = scan_text(t)
+            out["tested"].append([{"c": c, "n": n} for c, n in sorted(tested.items())])
             out["base"].append([{"s": s, "k": KINDS.index(k), "e": e} for s, e, k in base])
             out["found"].append(
                 [{"s": s, "e": e, "c": length_class(e - s), "l": level_of(p)} for s, e, p in found]
@@ -171,12 +200,14 @@ def scan(docs: DataFrame) -> DataFrame:
         map_batches(
             docs.select("doc_id", F.col("text").cast("string").alias("text")),
             run,
-            f"doc_id {kind}, base array<struct<s:int,k:int,e:int>>, found array<struct<s:int,e:int,c:int,l:int>>",
+            f"doc_id {kind}, base array<struct<s:int,k:int,e:int>>, found array<struct<s:int,e:int,c:int,l:int>>, "
+            "tested array<struct<c:int,n:long>>",
         ),
         "scan",
     )
     table = rows.select(F.explode("found").alias("f")).groupBy("f.c", "f.l").count().collect()  # <= 8 * LEVELS rows
-    limit = thresholds({(r[0], r[1]): r[2] for r in table})
+    tests = rows.select(F.explode("tested").alias("t")).groupBy("t.c").agg(F.sum("t.n")).collect()  # <= 8 rows
+    limit = thresholds({(r[0], r[1]): r[2] for r in table}, {r[0]: r[1] for r in tests})
     least = F.create_map(*[F.lit(x) for c, l in limit.items() for x in (c, l)])
     passed = F.filter("found", lambda f: f["l"] >= least[f["c"]])
     return rows.select(
@@ -186,12 +217,13 @@ def scan(docs: DataFrame) -> DataFrame:
     )
 
 
-def thresholds(counts: dict[tuple[int, int], int]) -> dict[int, int]:
+def thresholds(counts: dict[tuple[int, int], int], tested: dict[int, int]) -> dict[int, int]:
     """Benjamini-Hochberg within each length class: the least level (largest p-value
-    class) that is discovered, or LEVELS if none is."""
+    class) that is discovered, or LEVELS if none is.  ``counts`` are of the tokens that
+    pass as random, ``tested`` of all."""
     out = {}
     for c in range(8):
-        total = sum(n for (k, _), n in counts.items() if k == c)
+        total = tested.get(c, 0)
         out[c] = LEVELS
         above = 0
         for level in range(LEVELS - 1, -1, -1):

@@ -384,6 +384,36 @@ def test_secrets_equal_base_patterns(spark):
     assert "random" not in found[13].spans
 
 
+def test_secrets_beside_names_and_base_spans(spark):
+    rnd = random.Random(8)
+    b64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    key = lambda more, n=43: "".join(rnd.choices(b64, k=n // 2)) + more + "".join(rnd.choices(b64, k=n - n // 2))
+    hexes = "0123456789abcdef" * 2
+    cases = [
+        ("AWS_SECRET_ACCESS_KEY=", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzzzzzzKEY", ""), ("auth_key=", key("/") + "==", " x"), ("?x=", key("+") + "=", ""), ("sig=", key("_"), "&b=c"),
+        ("a=b==", key("-"), "=c"), ("my-own-name/", key("-"), ""), (hexes + "=", key("/"), ""), ("", key("+"), "=" + hexes), (f"token={hexes} AKIA{'A' * 20}=", key(""), "=password=abcdefg"),
+        ("KEY_", "".join(rnd.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", k=56)), "_END"),
+    ]
+    for before, secret, after in cases:
+        base, found, tested = secret_scan.scan_text(before + secret + after)
+        span = (len(before), len(before) + len(secret))
+        assert span in [f[:2] for f in found], before
+        assert not any(s < e2 and s2 < e for s, e, _ in base for s2, e2, _ in found)
+        assert sum(tested.values()) >= len(found)
+    data = [(i, "".join(c)) for i, c in enumerate(cases)]
+    got = {r.doc_id: r.spans for r in secret_scan.digest(secret_scan.scan(spark.createDataFrame(data, "doc_id long, text string"))).collect()}
+    for i in (1, 2, 3):
+        assert f"random:{len(cases[i][0])}:{len(cases[i][0]) + len(cases[i][1])}" in got[i].split(",")
+
+
+def test_control_counts_all_tested_tokens():
+    counts = {(1, 20): 1}  # p = 1e-5
+    assert secret_scan.thresholds(counts, {1: 10})[1] <= 20
+    assert secret_scan.thresholds(counts, {1: 10_000})[1] == secret_scan.LEVELS
+    _, found, tested = secret_scan.scan_text("xyz" * 10 + " x=" + "wxyz" * 8)
+    assert not found and sum(tested.values()) == 2
+
+
 def test_battery_tells_random_from_words():
     rnd = random.Random(4)
     b64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
