@@ -70,14 +70,16 @@ def prefix_groups(keys: DataFrame, min_length: int = 12, max_ratio: float = 0.75
     one side has an aggregator.  Keys go by length; an absorbed key is not used again; the
     absorber's aggregator flag grows with what it absorbs.
 
-    ``keys(day, title_key, has_agg)`` holds distinct keys, not events."""
+    ``keys(day, title_key, has_agg)`` holds distinct keys, not events.  A group is a family:
+    the keys of a day whose shortest beginning that is a key of ``min_length`` characters
+    is the same.  A key and its beginnings are always in one family."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.assign(n=pdf["title_key"].str.len()).sort_values(["n", "title_key"])
         names, flags = pdf["title_key"].tolist(), pdf["has_agg"].tolist()
         into: dict[str, str] = {}
         for i, short in enumerate(names):
-            if short in into or len(short) < min_length:
+            if short is None or short in into or len(short) < min_length:
                 continue
             agg = flags[i]
             for j in range(i + 1, len(names)):
@@ -89,7 +91,12 @@ def prefix_groups(keys: DataFrame, min_length: int = 12, max_ratio: float = 0.75
                     agg = agg or flags[j]
         return pd.DataFrame({"day": pdf["day"], "title_key": names, "merged_key": [into.get(n, n) for n in names]})
 
-    return keys.select("day", "title_key", "has_agg").groupBy("day").applyInPandas(run, "day date, title_key string, merged_key string")
+    n = F.explode(F.sequence(F.lit(min_length), F.greatest(F.lit(min_length), F.length("title_key")))).alias("n")
+    begins = keys.select("day", "title_key", "has_agg", n).withColumn("begin", F.expr("substring(title_key, 1, n)"))
+    known = keys.select(F.col("day").alias("on"), F.col("title_key").alias("known"))
+    found = begins.join(known, F.col("day").eqNullSafe(F.col("on")) & F.col("begin").eqNullSafe(F.col("known")))
+    rows = found.groupBy("day", "title_key", "has_agg").agg(F.min("n").alias("n")).withColumn("family", F.expr("substring(title_key, 1, n)"))
+    return rows.select("day", "title_key", "has_agg", "family").groupBy("day", "family").applyInPandas(run, "day date, title_key string, merged_key string")
 
 
 def legacy_dedupe(events: DataFrame, slot: list[str], threshold: float = 0.85) -> DataFrame:

@@ -470,7 +470,7 @@ def e5_merge_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def e3_prefix_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select((F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 7).cast("int"))).alias("day"), text.normalize_title(F.substring("text", 1, 20 + 1)).alias("title_key"), (F.col("source") == "src0").alias("agg"))
+    docs = _table(spark, sf_dir, "documents").select((F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 7).cast("int"))).alias("day"), text.normalize_title(F.col("text")).alias("title_key"), (F.col("source") == "src0").alias("agg"))
     keys = docs.groupBy("day", "title_key").agg(F.bool_or("agg").alias("has_agg"))
     return cluster.prefix_groups(keys)
 

@@ -182,6 +182,36 @@ def test_prefix_groups(spark):
     assert all(k == v for k, v in got.items())
 
 
+def test_prefix_groups_query_reads_whole_titles(spark, tmp_path):
+    """Against the greedy pass over each whole day, on nested titles of up to 50 letters."""
+    import random
+
+    from eventloom.plans import queries
+
+    rnd = random.Random(2)
+    texts = ["Hands on a Hard Body", "Hands on a Hard Body at Spreckels", "Hands on a Hard Body at Spreckels performing arts", "short", None]
+    for _ in range(200):
+        texts.append((rnd.choice(texts) or "hands")[:40] + " " + "".join(rnd.choices("ab", k=rnd.randint(1, 9))))
+    rows = [(i, t, rnd.choice(["src0", "src1", "src1"])) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    want, days = {}, {}
+    for i, t, source in rows:
+        key = t and "".join(c for c in t.lower() if c.isalnum())[:40]
+        day = days.setdefault(i % 7 + 1, {})
+        day[key] = day.get(key, False) or source == "src0"
+    for d, keys in days.items():
+        order = sorted((k for k in keys if k), key=lambda k: (len(k), k))
+        want |= {(d, k): k for k in keys}
+        for at, short in enumerate(order):
+            agg = keys[short]
+            for long in order[at + 1 :] if len(short) >= 12 and want[d, short] == short else ():
+                if want[d, long] == long and long.startswith(short) and len(short) / len(long) <= 0.75 and (agg or keys[long]):
+                    want[d, long], agg = short, agg or keys[long]
+    assert sum(len(k or "") > 21 and m != k for (_, k), m in want.items()) > 5
+    got = {(r.day.day, r.title_key): r.merged_key for r in queries.e3_prefix_groups(spark, str(tmp_path)).collect()}
+    assert got == want
+
+
 def test_clusters_are_transitive(spark):
     t = datetime(2026, 1, 1)
     rows = [(1, "Open Mic Night", "A", t), (2, "Open Mic Night", None, t), (3, "Open Mic Night", "B", t), (4, "Yoga", None, t), (5, "Open Mic Night", "A", datetime(2026, 1, 2))]
