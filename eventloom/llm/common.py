@@ -1,54 +1,45 @@
 """Shared helpers of the training-data operators.
 
-Scratch tables go to the folder named by ``spark.checkpoint.dir`` (shared by
-driver and executors).  Only where that setting is missing, as in unit tests,
-a folder of our own is made.
+Scratch tables go to the folder named by ``spark.checkpoint.dir``, see ``eventloom.scratch``.
 """
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_made: set[str] = set()
+from ..operators.graph import components  # noqa: F401
+from ..scratch import discard, materialize, written  # noqa: F401
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The application's scratch folder below ``spark.checkpoint.dir``."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/eventloom-{spark.sparkContext.applicationId}"
-    if path not in _made:
-        _made.add(path)
-        atexit.register(_remove, spark, path)
-    return path
+def placed(docs: DataFrame, as_read: bool, label: str) -> tuple[DataFrame, list[str]]:
+    """``docs`` with two columns that tell its rows apart, and their names.
 
-
-def _remove(spark: SparkSession, path: str) -> None:
-    """Delete the application's scratch folder when Python ends."""
+    With ``as_read`` the caller vouches that ``docs`` is a table as read from files (no
+    join or generator has repeated its rows): path and row number in the file tell rows
+    apart, nothing is copied, and each scan gives the same.  Otherwise, and where the
+    source has no such numbers, rows are numbered and written."""
+    path, at = fresh(docs, "path"), fresh(docs, "at")
     try:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # the JVM may have gone before us; the folder is scratch
-        pass
+        if as_read:
+            origin = docs.metadataColumn("_metadata")
+            return docs.select("*", origin["file_path"].alias(path), origin["row_index"].alias(at)), [path, at]
+    except AnalysisException:
+        pass  # not read from files
+    numbered = docs.select("*", F.lit("").alias(path), F.monotonically_increasing_id().alias(at))
+    return materialize(numbered, label), [path, at]
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once to shared storage and read it back: lineage is cut,
-    row ids stay fixed, and a lost executor costs a read, not a recomputation."""
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def small(rows: DataFrame, most: int = 1_000_000) -> bool:
+    """True if a list of ids is proven to be of at most ``most`` rows."""
+    return rows.limit(most + 1).count() <= most
 
 
 def fresh(df: DataFrame, stem: str) -> str:
@@ -73,9 +64,9 @@ def training_fold(doc_id: Column) -> Column:
 def map_batches(
     df: DataFrame, fn: Callable[[dict[str, list]], dict[str, object]], schema: str | T.StructType, rows: int = 256
 ) -> DataFrame:
-    """``mapInArrow`` in slices of at most ``rows`` rows, so that a batch of very
-    long texts is never turned into Python objects all at once.  ``fn`` gets
-    columns as Python lists and returns columns."""
+    """``mapInArrow`` in slices of at most ``rows`` rows and, beyond one row, of at most
+    SLICE_BYTES of strings, so that a batch of very long texts is never turned into
+    Python objects all at once.  ``fn`` gets columns as Python lists and returns columns."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     if isinstance(schema, str):
@@ -84,8 +75,7 @@ def map_batches(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                part = batch.slice(at, rows)
+            for part in slices(batch, rows):
                 out = fn({n: part.column(i).to_pylist() for i, n in enumerate(part.schema.names)})
                 arrays = [_array(out[f.name], f.type) for f in arrow]
                 if arrays and len(arrays[0]):
@@ -94,6 +84,24 @@ def map_batches(
     return df.mapInArrow(run, schema)
 
 
+SLICE_BYTES = 8 << 20
+
+
+def slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Consecutive parts of a batch, bounded in rows and in bytes of its strings."""
+    held = np.zeros(batch.num_rows + 1, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
+            held[1:] += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    held = np.cumsum(held)
+    at = 0
+    while at < batch.num_rows:
+        upto = int(np.searchsorted(held, held[at] + SLICE_BYTES, "right")) - 1
+        to = max(at + 1, min(at + rows, upto))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def _array(values: object, kind: pa.DataType) -> pa.Array:
     if isinstance(values, pa.Array):
         return values
@@ -201,42 +209,10 @@ def running_sum(df: DataFrame, keys: list[Column], value: str, out: str, label:
         before += totals[p] or 0
     if not offsets:
         return summed.withColumn(out, F.col(local)).drop(pid, local)
-    table = df.sparkSession.createDataFrame(list(offsets.items()), f"{pid} int, __before long")
+    before = fresh(summed, "before")
+    table = df.sparkSession.createDataFrame(list(offsets.items()), f"{pid} int, {before} long")
     return (
         summed.join(F.broadcast(table), pid, "left")
-        .withColumn(out, F.col(local) + F.col("__before"))
-        .drop(pid, local, "__before")
-    )
-
-
-def components(edges: DataFrame, label: str) -> DataFrame:
-    """Connected components of ``edges(src long, dst long)``: (id, component) for
-    every id in an edge, the component being its smallest member.
-
-    Alternating large-star and small-star steps; each step groups by one end of
-    the edges with a map-side minimum, and its result is written to shared
-    storage.  The only thing that reaches the driver is a pair of counts."""
-    both = lambda e: e.select("src", "dst").union(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    digest = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()
-    e = materialize(edges.filter("src <> dst").select("src", "dst").distinct(), f"{label}-edges")
-    last = digest(e)
-    while last[0]:
-        # large star: every larger neighbour of a node is linked to the node's smallest neighbour
-        sym = both(e)
-        low = sym.groupBy("src").agg(F.min("dst").alias("m")).withColumn("m", F.least("src", "m"))
-        large = sym.filter("dst > src").join(low, "src").select(F.col("dst").alias("src"), F.col("m").alias("dst"))
-        large = large.filter("src <> dst").distinct()
-        # small star: a node and its smaller neighbours are linked to the smallest of them
-        down = large.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
-        low = down.groupBy("src").agg(F.min("dst").alias("m"))
-        small = down.join(low, "src").select(F.col("dst").alias("src"), F.col("m").alias("dst"))
-        e = small.union(low.select("src", F.col("m").alias("dst"))).filter("src <> dst").distinct()
-        e = materialize(e, f"{label}-star")
-        now = digest(e)
-        if now == last:
-            break
-        last = now
-    pairs = e.select(F.col("src").alias("id"), F.col("dst").alias("component"))
-    return pairs.groupBy("id").agg(F.min("component").alias("component")).union(
-        e.select(F.col("dst").alias("id"), F.col("dst").alias("component")).distinct()
+        .withColumn(out, F.col(local) + F.col(before))
+        .drop(pid, local, before)
     )

@@ -16,8 +16,9 @@ a passage of yet another document: these are settled by their own 128-bit hash,
 first occurrence stays.  Together, exactly the lines are deleted that lie in a run of
 RUN_WORDS words or more which occurs earlier, in another document or in the same.
 
-Documents' line hashes, not texts, are joined; a hot fingerprint is a hot join key
-whose rows carry one short array each, and Spark's skew join splits it.
+Documents' line hashes, not texts, are joined, once for each pair of a later and a
+first document, however many fingerprints the two share; a hot fingerprint is a hot
+join key whose rows carry one short array each, and Spark's skew join splits it.
 
 Edge cases: a null text stays null, empty and blank texts stay as they are.  Of
 repeated rows (also of one doc_id) the first stays whole, the later lose all lines
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, mix64, span_hashes
+from .common import fresh, materialize, mix64, placed, slices, small, span_hashes
 
 RUN_WORDS = 50
 GRAM_WORDS = 25
@@ -91,43 +92,46 @@ def winnow(hashes: np.ndarray, words: np.ndarray, run: int = RUN_WORDS, gram: in
     return [{"at": at, "gram": int(signed[at]), "windows": w} for at, w in chosen.items()]
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``__row``, line numbers, line hashes and selected grams, written once."""
+def fingerprints(docs: DataFrame, place: tuple[str, ...] = ()) -> DataFrame:
+    """(__row, __doc, __id, __at, __hashes, __prints) and, as ``__place0`` and so on, the
+    columns of ``place`` for each row of ``docs(doc_id, text)``, written once: a row number,
+    doc_id, doc_id as a number, line numbers, line hashes and selected grams."""
     window = "struct<s:int,e:int,a:bigint,b:bigint>"
     extra = T.StructType.fromDDL(
         f"__at array<int>, __hashes binary, __prints array<struct<at:int,gram:bigint,windows:array<{window}>>>"
     )
     base = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"),
+        *[F.col(c).alias(f"__place{i}") for i, c in enumerate(place)],
         F.monotonically_increasing_id().alias("__row"),
+        F.col("doc_id").alias("__doc"),
         F.col("doc_id").cast("long").alias("__id"),
         F.col("text").cast("string").alias("__text"),
     )
-    schema = T.StructType([*base.schema.fields[:3], *extra.fields])
+    schema = T.StructType([*base.schema.fields[:-1], *extra.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(schema)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
+            for part in slices(batch):
                 at, hashes, prints = [], [], []
-                for text in part.column(3).to_pylist():
+                for text in part.columns[-1].to_pylist():
                     lines, h, words = lines_of(text)
                     at.append(lines.tolist())
                     hashes.append(h.tobytes())
                     prints.append(winnow(h, words))
-                made = [pa.array(v, f.type) for v, f in zip((at, hashes, prints), list(arrow)[3:], strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], *made], names=arrow.names)
+                made = [pa.array(v, f.type) for v, f in zip((at, hashes, prints), list(arrow)[-3:], strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *made], names=arrow.names)
 
     return materialize(base.mapInArrow(run, schema), "lines")
 
 
-def mark_repeats(docs: DataFrame) -> DataFrame:
-    """``__doc`` (the row of ``docs``), ``__at`` (numbers of its non-blank lines) and
-    ``__runs``, the runs [s, e) of these lines that repeat earlier text."""
-    rows = fingerprints(docs)
+def mark_repeats(docs: DataFrame, place: tuple[str, ...] = ()) -> DataFrame:
+    """For each row of ``docs``: ``__doc`` (its doc_id), ``place`` as ``__place0`` and so on, ``__at``
+    (numbers of its non-blank lines) and ``__runs``, the runs [s, e) of these lines that
+    repeat earlier text, null if none does."""
+    rows = fingerprints(docs, place)
     prints = rows.select("__row", "__id", F.explode("__prints").alias("p")).select(
         F.col("p.gram").alias("gram"),
         F.struct(F.col("__id").isNull().alias("n"), F.col("__id").alias("id"), F.col("__row").alias("row"), F.col("p.at").alias("at")).alias("place"),
@@ -136,23 +140,24 @@ def mark_repeats(docs: DataFrame) -> DataFrame:
     first = prints.groupBy("gram").agg(F.min("place").alias("first"), F.count("*").alias("c")).filter("c > 1").drop("c")
     shared = materialize(prints.join(first, "gram"), "shared")
     later = shared.filter("place <> first").select(
-        F.col("place.row").alias("row"), F.col("place.at").alias("at"), F.col("first.row").alias("row0"),
-        F.col("first.at").alias("at0"), "windows", "gram",
+        F.col("place.row").alias("row"), F.col("first.row").alias("row0"),
+        F.struct(F.col("place.at").alias("at"), F.col("first.at").alias("at0"), "gram", "windows").alias("p"),
     )
+    later = later.groupBy("row", "row0").agg(F.collect_list("p").alias("prints"))  # of one document: bounded by its text
     hashes = rows.select(F.col("__row").alias("row"), F.col("__hashes").alias("h"))
     paired = later.join(hashes, "row").join(
         hashes.select(F.col("row").alias("row0"), F.col("h").alias("h0")), "row0"
     )
     checked = materialize(
-        paired.select("row", "at", "at0", "windows", "gram", "h", "h0").mapInArrow(
+        paired.select("row", "prints", "h", "h0").mapInArrow(
             _extend, "row long, gram long, s int, e int, covered boolean"
         ),
         "extended",
     )
     # windows outside the extended run: settled by their own hash among all windows of that gram
-    open_ = checked.filter("not covered").select("gram").distinct()
-    windows = shared.join(open_, "gram", "left_semi").select("place", F.explode("windows").alias("w"))
-    windows = windows.select(
+    open_ = materialize(checked.filter("not covered").select("gram").distinct(), "open")
+    windows = shared.join(F.broadcast(open_) if small(open_) else open_, "gram", "left_semi")
+    windows = windows.select("place", F.explode("windows").alias("w")).select(
         F.col("w.a").alias("a"), F.col("w.b").alias("b"), F.col("w.s").alias("s"), F.col("w.e").alias("e"),
         F.struct("place.n", "place.id", "place.row", F.col("w.s").alias("at")).alias("place"),
     )
@@ -162,32 +167,45 @@ def mark_repeats(docs: DataFrame) -> DataFrame:
         checked.filter("covered").select("row", "s", "e").union(rest)
         .groupBy("row").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("__runs"))
     )
-    return rows.select("__doc", "__row", "__at").join(runs.withColumnRenamed("row", "__row"), "__row", "left").drop("__row")
+    return rows.drop("__id", "__hashes", "__prints").join(runs.withColumnRenamed("row", "__row"), "__row", "left").drop("__row")
 
 
 def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Extend each match both ways and tell which windows the run covers."""
+    """Extend each match both ways and tell which windows the run covers.  A match that
+    lies in the run of the one before, at the same distance, has the same run."""
     for batch in batches:
-        out: dict[str, list] = {"row": [], "gram": [], "s": [], "e": [], "covered": []}
-        for row, at, at0, windows, gram, h, h0 in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            a, b = np.frombuffer(h, np.uint64), np.frombuffer(h0, np.uint64)
-            k = min(len(a) - at, len(b) - at0)
-            differ = np.flatnonzero(a[at : at + k] != b[at0 : at0 + k])
-            hi = at + (int(differ[0]) if len(differ) else k)
-            k = min(at, at0)
-            differ = np.flatnonzero(a[at - k : at][::-1] != b[at0 - k : at0][::-1])
-            lo = at - (int(differ[0]) if len(differ) else k)
-            for w in windows:
-                out["row"].append(row)
-                out["gram"].append(gram)
-                out["s"].append(w["s"])
-                out["e"].append(w["e"])
-                out["covered"].append(lo <= w["s"] and w["e"] <= hi)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(out["row"], pa.int64()), pa.array(out["gram"], pa.int64()), pa.array(out["s"], pa.int32()),
-             pa.array(out["e"], pa.int32()), pa.array(out["covered"], pa.bool_())],
-            names=list(out),
-        )
+        for part in slices(batch, 64):
+            out: dict[str, list] = {"row": [], "gram": [], "s": [], "e": [], "covered": []}
+            for row, prints, h, h0 in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                a, b = np.frombuffer(h, np.uint64), np.frombuffer(h0, np.uint64)
+                prints.sort(key=lambda p: (p["at"] - p["at0"], p["at"]))
+                shift, lo, hi = None, 0, 0
+                for p in prints:
+                    at, at0 = p["at"], p["at0"]
+                    if at - at0 != shift or at >= hi:
+                        shift = at - at0
+                        lo, hi = _run(a, b, at, at0)
+                    for w in p["windows"]:
+                        out["row"].append(row)
+                        out["gram"].append(p["gram"])
+                        out["s"].append(w["s"])
+                        out["e"].append(w["e"])
+                        out["covered"].append(lo <= w["s"] and w["e"] <= hi)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(out["row"], pa.int64()), pa.array(out["gram"], pa.int64()), pa.array(out["s"], pa.int32()),
+                 pa.array(out["e"], pa.int32()), pa.array(out["covered"], pa.bool_())],
+                names=list(out),
+            )
+
+
+def _run(a: np.ndarray, b: np.ndarray, at: int, at0: int) -> tuple[int, int]:
+    """The longest run of equal lines around line ``at`` of a and ``at0`` of b, as [lo, hi) of a."""
+    k = min(len(a) - at, len(b) - at0)
+    differ = np.flatnonzero(a[at : at + k] != b[at0 : at0 + k])
+    hi = at + (int(differ[0]) if len(differ) else k)
+    k = min(at, at0)
+    differ = np.flatnonzero(a[at - k : at][::-1] != b[at0 - k : at0][::-1])
+    return at - (int(differ[0]) if len(differ) else k), hi
 
 
 def removed_lines(marked: DataFrame) -> DataFrame:
@@ -205,26 +223,27 @@ def digest(marked: DataFrame) -> DataFrame:
     and their numbers, comma-joined."""
     m = removed_lines(marked)
     return m.select(
-        F.col("__doc.doc_id").alias("doc_id"),
+        F.col("__doc").alias("doc_id"),
         F.size("__at").cast("long").alias("n_lines"),
         F.size("__gone").cast("long").alias("n_removed"),
         F.array_join(F.col("__gone").cast("array<string>"), ",").alias("removed"),
     )
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
+def without_repeats(docs: DataFrame, as_read: bool = False) -> DataFrame:
     """``docs`` without the repeated lines; a document that loses all its lines with a
-    word is dropped, all others stay, in the columns of ``docs``."""
-    m = removed_lines(mark_repeats(docs))
-    lines = F.split(F.col("__doc.text").cast("string"), "\n", -1)
-    gone = F.map_from_arrays("__gone", F.transform("__gone", lambda _: F.lit(True)))
-    numbered = F.transform(lines, lambda x, i: F.when(~F.coalesce(F.element_at(gone, i), F.lit(False)), x))
-    kept = F.array_join(F.filter(numbered, lambda x: x.isNotNull()), "\n")
-    text = F.when(F.size("__gone") > 0, kept).otherwise(F.col("__doc.text"))
-    left = m.filter((F.size("__gone") == 0) | (F.size("__gone") < F.size("__at")))
-    return left.select(
-        *[
-            (text.cast(docs.schema[c].dataType) if c == "text" else F.col(f"__doc.`{c}`")).alias(c)
-            for c in docs.columns
-        ]
+    word is dropped, all others stay, in the columns of ``docs``.  ``as_read`` tells that
+    ``docs`` is a table as read from files, which is then not copied."""
+    rows, place = placed(docs, as_read, "rows")
+    gone, whole = fresh(rows, "gone"), fresh(rows, "whole")
+    marked = removed_lines(mark_repeats(rows, tuple(place))).filter(F.size("__gone") > 0).select(
+        *[F.col(f"__place{i}").alias(c) for i, c in enumerate(place)], F.col("__gone").alias(gone), (F.size("__gone") == F.size("__at")).alias(whole)
+    )
+    m = rows.join(materialize(marked, "gone"), place, "left").filter(~F.coalesce(F.col(whole), F.lit(False)))
+    lines = F.split(F.col("text").cast("string"), "\n", -1)
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
+    kept = F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
+    text = F.when(F.col(gone).isNotNull(), kept).otherwise(F.col("text"))
+    return m.select(
+        *[(text.cast(docs.schema[c].dataType) if c == "text" else F.col(f"`{c}`")).alias(c) for c in docs.columns]
     )

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, fresh, map_batches, materialize, mix64, word_hashes
+from .common import components, map_batches, materialize, mix64, placed, small, word_hashes
 
 SHINGLE = 5
 BANDS = 32
@@ -111,7 +111,8 @@ def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, carry: tuple
     return map_batches(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry),
         sketch,
-        "doc_id long, " + "".join(f"{c} long, " for c in carry) + "n_shingles long, class binary, keys array<long>, marks binary, tiny binary",
+        "doc_id long, " + "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in carry)
+        + "n_shingles long, class binary, keys array<long>, marks binary, tiny binary",
     )
 
 
@@ -132,7 +133,8 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     text of a hot ``src`` is on the unsplit side of its join and is parsed once
     per run of equal ids."""
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    texts = texts.join(F.broadcast(_ids(pairs)) if _small(pairs) else _ids(pairs), "id", "left_semi")
+    ids = pairs.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    texts = texts.join(F.broadcast(ids) if small(ids) else ids, "id", "left_semi")
     texts = texts.dropDuplicates(["id", "text"])
     both = pairs.join(texts.select(F.col("id").alias("dst"), F.col("text").alias("b")), "dst")
     both = both.join(texts.select(F.col("id").alias("src"), F.col("text").alias("a")), "src")
@@ -156,18 +158,8 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return map_batches(both.select("src", "dst", "a", "b"), keep, "src long, dst long")
 
 
-def _ids(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
-
-
-def _small(rows: DataFrame) -> bool:
-    """True if a list of ids is proven to be of at most a million rows."""
-    return rows.limit(1_000_001).count() <= 1_000_000
-
-
 def near_duplicates(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) and the long columns of ``carry`` for
-    every row of ``docs(doc_id, text)``."""
+    """(doc_id, n_shingles, component_id, kept) and the columns of ``carry`` for every row of ``docs(doc_id, text)``."""
     rows = materialize(sketches(docs, carry=carry), "sketch")
     classes = rows.filter("class is not null and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("rep"))
     reps = materialize(
@@ -200,19 +192,20 @@ def near_duplicates(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     )
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, as_read: bool = False) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: the first row of the
     smallest ``doc_id``.  Rows that are linked with nothing stay, repeated rows with
-    words fold into one."""
-    row = fresh(docs, "row")
-    numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "dedupin")
-    judged = near_duplicates(numbered, carry=(row,))
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col(row).alias("r")))
+    words fold into one.  ``as_read`` tells that ``docs`` is a table as read from files,
+    which is then not copied."""
+    rows, place = placed(docs, as_read, "dedupin")
+    judged = near_duplicates(rows, carry=tuple(place))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), *[F.col(c) for c in place]))
     group = F.when(F.col("n_shingles") > 0, F.col("component_id"))
     # rows without words and rows without any id are groups of their own
-    alone = judged.filter(group.isNull()).select(row)
-    chosen = judged.filter(group.isNotNull()).groupBy(group.alias("g")).agg(best.alias("b")).select(F.col("b.r").alias(row))
-    return numbered.join(chosen.union(alone), row, "left_semi").drop(row)
+    alone = judged.filter(group.isNull()).select(*place)
+    chosen = judged.filter(group.isNotNull()).groupBy(group.alias("g")).agg(best.alias("b"))
+    chosen = chosen.select(*[F.col("b").getField(c).alias(c) for c in place])
+    return rows.join(chosen.union(alone), place, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def link_components(members: DataFrame, sketched: DataFrame, docs: DataFrame) -> DataFrame:
@@ -259,7 +252,7 @@ def shingle_sets(reps: DataFrame, docs: DataFrame) -> DataFrame:
             "hashes": [s.tobytes() for s in got],
         }
 
-    wanted = F.broadcast(reps) if _small(reps) else reps  # so that texts are not shuffled for the few wanted
+    wanted = F.broadcast(reps) if small(reps) else reps  # so that texts are not shuffled for the few wanted
     made = map_batches(texts.join(wanted, "rep", "left_semi"), sets, "class binary, sig binary, hashes binary")
     return made.dropDuplicates(["class"])
 

@@ -8,7 +8,9 @@ then serves all sources in proportion to their targets.
 
 Both cumulative sums are range-partitioned (see ``running_sum``), so that a source
 with a third of all rows is spread over many tasks.  Only ids, sources and sizes
-are sorted, never texts.
+are sorted, never texts: of a source the documents taken once, twice and thrice are
+beginnings of its shuffled order, so that the mix itself is one more scan of the
+documents, each compared with the last places of its source that are taken.
 
 Targets: weights 5, 2, 1 in turn over the sources by code point, null last; the
 budget is the total size; a target stops at three times its source's size and the
@@ -26,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize, running_sum
+from .common import fresh, materialize, placed, running_sum, small
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
@@ -68,18 +70,22 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row for each row of ``docs(doc_id, text, source)``: doc_id, src, size,
     source_size, target, ``finish`` (virtual finish time of its first copy), ``copies``
-    (how often the mix takes it, 0 if left out), and the columns of ``carry``."""
+    (how often the mix takes it, 0 if left out), and the columns of ``carry``, which
+    order rows of one doc_id and size."""
     rows = docs.select(
         "doc_id", F.col("source").alias("src"), n_words(F.col("text")).alias("size"), *[F.col(c) for c in carry]
     )
     rows = materialize(rows, "sizes")
-    return _serve(rows, targets(rows, weights))
+    return _serve(rows, targets(rows, weights), carry)
 
 
-def _serve(rows: DataFrame, goal: DataFrame) -> DataFrame:
-    shuffle = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    keyed = rows.withColumn("shuffle", shuffle).withColumn("last", F.col("src").isNull())
-    keys = [F.col("last"), F.col("src"), F.col("shuffle"), F.col("doc_id"), F.col("size")]
+def _shuffled() -> Column:
+    return F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+
+
+def _serve(rows: DataFrame, goal: DataFrame, carry: tuple[str, ...]) -> DataFrame:
+    keyed = rows.withColumn("shuffle", _shuffled()).withColumn("last", F.col("src").isNull())
+    keys = [F.col("last"), F.col("src"), F.col("shuffle"), F.col("doc_id"), F.col("size"), *map(F.col, carry)]
     served = running_sum(keyed, keys, "size", "run", "served")
     # the running sum goes over all sources: subtract what the sources before this one hold
     before = running_sum(goal.withColumn("last", F.col("src").isNull()), [F.col("last"), F.col("src")], "source_size", "upto", "before")
@@ -118,13 +124,28 @@ def _finish(epoch: Column) -> Column:
     return (F.col("cum") + epoch * F.col("source_size")).cast("double") / F.col("target")
 
 
-def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """The mix itself: the rows of ``docs`` that are taken, each as often as it is taken."""
-    row = fresh(docs, "row")
-    numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "mixin")
-    taken = mix(numbered, weights, (row,)).select(row, F.col("copies").alias("__copies")).filter("__copies > 0")
-    repeated = numbered.join(taken, row).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-    return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, as_read: bool = False) -> DataFrame:
+    """The mix itself: the rows of ``docs`` that are taken, each as often as it is taken.
+
+    ``as_read`` tells that ``docs`` is a table as read from files, which is then neither
+    copied nor shuffled: a row is compared with the last places of its source that are
+    taken once, twice and thrice, one row a source, broadcast if proven few."""
+    rows, place = placed(docs, as_read, "mixin")
+    judged = mix(rows, weights, tuple(place))
+    spot = lambda size: F.struct(_shuffled().alias("a"), F.col("doc_id").alias("b"), size.alias("c"), *[F.col(c) for c in place])
+    src, copy = fresh(rows, "source"), fresh(rows, "copy")
+    last = [fresh(rows, f"last{e}") for e in range(MAX_REPEATS)]
+    ends = judged.filter("copies > 0").groupBy(F.col("src").alias(src)).agg(
+        *[F.max(F.when(F.col("copies") > e, spot(F.col("size")))).alias(last[e]) for e in range(MAX_REPEATS)],
+    )
+    ends = materialize(ends, "ends")
+    joined = rows.join(F.broadcast(ends) if small(ends, 100_000) else ends, F.col("source").eqNullSafe(F.col(src)))
+    # the words of a text are counted again only where the id alone does not decide
+    upto = lambda c: F.when(_shuffled() < c["a"], True).when(_shuffled() > c["a"], False).otherwise(spot(n_words(F.col("text"))) <= c)
+    times = sum((F.when(F.col(c).isNotNull() & upto(F.col(c)), 1).otherwise(0) for c in last), F.lit(0))
+    times = F.when(F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"), times).otherwise(0)
+    taken = joined.withColumn(copy, F.explode(F.array_repeat(F.lit(0), times)))
+    return taken.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def oracle() -> str:
