@@ -101,3 +101,43 @@ COMMAND_CLASSES = (
 
 #: Path parts that a feed slug leaves out.
 SLUG_SKIPS = ("events", "ical", "feed", "calendar", "list", "public", "basic.ics")
+
+#: Snippets, fixed values: how descriptions become plain text, as patterns and replacements in order.
+#: The first list is for texts with a tag, before tags and entities are resolved.
+SNIPPET_BREAKS = ((r"(?i)<\s*br\s*/?\s*>", "\n"), (r"(?i)<\s*/p\s*>", "\n"), (r"(?i)<\s*li\s*>", "\n"), (r"(?i)<\s*/li\s*>", "\n"))
+SNIPPET_CLEANUPS = (
+    (r"https?://\S+", ""),
+    (r"\*\*([^*]+)\*\*", "$1"),
+    (r"\*([^*]+)\*", "$1"),
+    (r"\\([*_\[\](){}+#>|`~])", "$1"),
+    (r"([a-z])([A-Z])", "$1 $2"),
+    (r"[\t\r]+", " "),
+    (r" {2,}", " "),
+)
+
+#: Snippets, fixed values: a label before a sentence, and the words that what follows it needs.
+SNIPPET_LABEL = r"^\w+(\s+\w+){0,2}\s*:\s*"
+SNIPPET_AFTER_LABEL = r"(?i)\b(the|a|an|and|or|for|with|to|from|at|in|on|by|is|are|was|will|this|that)\b"
+
+#: Snippets, fixed values: sentences that are never shown.
+SNIPPET_REJECTS = (
+    r"(?i)^(back to|buy|register|sign up|rsvp|tickets?|click|tap|view|see all|read more|get|call or text|call or email)\b",
+    r"(?i)\b(zoom|meeting id|passcode|one tap|meeting url|webex|microsoft teams|google meet|agenda|packet|minutes|prohibited|not permitted|are not allowed)\b",
+)
+SNIPPET_WORLDWIDE = r"(?i)\b(from almost anywhere in the world|from anywhere in the world)\b"
+
+#: Snippets, fixed values: points, for sentences that match the first pattern and not the
+#: second, of a least and a most length.
+SNIPPET_POINTS = (
+    (3, r"[.!?]", None, 0, None),
+    (2, r"(?i)\b(the|a|an|and|or|but|for|with|to|from|at|in|on|by)\b", None, 0, None),
+    (2, r"(?i)\b(join|learn|discover|explore|enjoy|experience|celebrate|meet|hear|watch|featuring|presents)\b", None, 0, None),
+    (-3, r"(?i)(\$\s*\d|\bprice\b|\bfee\b|\badmission\b|\bfree but\b)", None, 0, None),
+    (-3, r"\d(\D*\d){5}", None, 0, None),
+    (-3, None, r"[.!?]", 0, 24),
+    (-3, None, r"(?i)\b(the|a|an|is|are|was|will|has|have|can|do|and|but|for|with|from)\b", 0, 39),
+    (1, None, None, 40, None),
+    (-2, None, None, 221, None),
+)
+#: Snippets, fixed values: points for the title alone, and for the title and little else.
+SNIPPET_TITLE_POINTS = (-6, -4)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from zoneinfo import available_timezones
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+MONTHS = "january february march april may june july august september october november december"
+
 
 def valid_zones(spark: SparkSession) -> DataFrame:
     """Known zone names, a table of bounded size (about 600 rows)."""
@@ -83,31 +86,48 @@ def normalize_captured(value: Column) -> Column:
     ).cast("timestamp_ntz")
 
 
-def parse_date(text: Column) -> Column:
-    """A date in one of the usual notations, first that fits; null if none does."""
-    t = F.regexp_replace(F.trim(text), r"(?i)^(mon|tue|wed|thu|fri|sat|sun)[a-z]*,?\s+|(?<=\d)(st|nd|rd|th)\b", "")
-    tries = (
-        (r"^\d{4}-\d{2}-\d{2}", "yyyy-MM-dd", F.substring(t, 1, 10)),
-        (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy", t),
-        (r"^\d{1,2}/\d{1,2}/\d{2}$", "M/d/yy", t),
-        (r"^[A-Za-z]{4,9} \d{1,2}, \d{4}$", "MMMM d, yyyy", t),
-        (r"^[A-Za-z]{3} \d{1,2}, \d{4}$", "MMM d, yyyy", t),
-        (r"^\d{1,2} [A-Za-z]{4,9} \d{4}$", "d MMMM yyyy", t),
-        (r"^\d{1,2} [A-Za-z]{3} \d{4}$", "d MMM yyyy", t),
+def parse_date(text: Column, year: int | None = None) -> Column:
+    """The first date found in a text: ``2026-02-03``, ``02.03.26`` (month first),
+    ``February 3, 2026``, and, given a target ``year``, ``Feb 3``; beyond these, a text that is
+    ``2/3/2026``, ``2/3/26`` or ``3 February 2026`` (a weekday before it).  Null if none is."""
+    t = F.trim(text)
+    at = lambda p: [F.nullif(F.regexp_extract(t, p, i), F.lit("")) for i in range(1, re.compile(p).groups + 1)]
+    numbers = {m: i % 12 + 1 for i, m in enumerate(f"{MONTHS} {' '.join(m[:3] for m in MONTHS.split())}".split())}
+    named = F.create_map(*[F.lit(x) for kv in numbers.items() for x in kv])
+    month = lambda c: F.try_element_at(named, F.lower(F.coalesce(c, F.lit("")))).cast("string")
+    day = lambda y, m, d: F.try_to_timestamp(F.concat_ws("-", y, m, d), F.lit("y-M-d"))
+    whole = lambda y, m, d: F.when(y.isNotNull() & m.isNotNull() & d.isNotNull(), day(y, m, d))
+    iso, dotted = at(r"(\d{4})-(\d{2})-(\d{2})"), at(r"(\d{2})\.(\d{2})\.(\d{2})")
+    full, short = at(r"([A-Za-z]+)\s+(\d{1,2}),?\s+(\d{4})"), at(r"([A-Za-z]+)\s+(\d{1,2})")
+    bare = F.regexp_replace(t, r"(?i)^(mon|tue|wed|thu|fri|sat|sun)[a-z]*,?\s+|(?<=\d)(st|nd|rd|th)\b", "")
+    plain = F.regexp_extract(bare, r"^([A-Za-z]+)\s+(\d{1,2}),?\s+(\d{4})$", 1)
+    found = (
+        F.when(iso[0].isNotNull(), day(*iso))
+        .when(dotted[0].isNotNull(), day(F.concat(F.lit("20"), dotted[2]), dotted[0], dotted[1]))
+        .when(month(full[0]).isNotNull(), day(full[2], month(full[0]), full[1]))
     )
-    return F.coalesce(*[F.when(t.rlike(p), F.try_to_timestamp(v, F.lit(f))) for p, f, v in tries]).cast("date")
+    rest = [
+        F.when(month(plain).isNotNull(), day(F.regexp_extract(bare, r"(\d{4})$", 1), month(plain), F.regexp_extract(bare, r"(\d{1,2}),?\s+\d{4}$", 1))),
+        F.when(bare.rlike(r"^\d{1,2}/\d{1,2}/\d{4}$"), F.try_to_timestamp(bare, F.lit("M/d/yyyy"))),
+        F.when(bare.rlike(r"^\d{1,2}/\d{1,2}/\d{2}$"), F.try_to_timestamp(bare, F.lit("M/d/yy"))),
+        F.when(bare.rlike(r"^\d{1,2} [A-Za-z]+ \d{4}$"), whole(F.regexp_extract(bare, r"(\d{4})$", 1), month(F.regexp_extract(bare, r" ([A-Za-z]+) ", 1)), F.regexp_extract(bare, r"^(\d{1,2})", 1))),
+    ]
+    if year:
+        rest.append(whole(F.lit(str(year)), month(short[0]), short[1]))
+    return F.coalesce(found, *rest).cast("date")
 
 
 def parse_time(text: Column) -> Column:
-    """Time of day as ``HH:mm``: ``7pm``, ``7:30 p.m.``, ``19:30``, noon, midnight."""
-    t = F.lower(F.replace(F.trim(text), F.lit("."), F.lit("")))
-    pattern = r"^(\d{1,2})(?::(\d{2}))?\s*(am|pm)?"
-    h = F.regexp_extract(t, pattern, 1).try_cast("int")
-    m = F.coalesce(F.regexp_extract(t, pattern, 2).try_cast("int"), F.lit(0))
-    half = F.regexp_extract(t, pattern, 3)
-    hour = F.when((half == "pm") & (h < 12), h + 12).when((half == "am") & (h == 12), 0).otherwise(h)
-    clock = F.format_string("%02d:%02d", hour, m)
-    return F.when(t == "noon", "12:00").when(t == "midnight", "00:00").when((hour < 24) & (m < 60), clock)
+    """The first time of day found in a text, as ``HH:mm``: with AM or PM (also ``p.m.``), else
+    ``18:00``; null without either.  A text may also be noon or midnight."""
+    t = F.regexp_replace(F.upper(F.trim(text)), r"([AP])\.\s?M\.?", "$1M")
+    half, clock = r"(\d{1,2}):?(\d{2})?\s*(AM|PM)", r"(\d{1,2}):(\d{2})"
+    part = lambda p, i: F.regexp_extract(t, p, i).try_cast("int")
+    pm = F.regexp_extract(t, half, 3) == "PM"
+    hour = F.when(t.rlike(half), part(half, 1) % 12 + F.when(pm, 12).otherwise(0)).otherwise(part(clock, 1))
+    minute = F.when(t.rlike(half), F.coalesce(part(half, 2), F.lit(0))).otherwise(part(clock, 2))
+    sound = (hour < 24) & (minute < 60) & (~t.rlike(half) | part(half, 1).between(0, 12))
+    return F.when(t == "NOON", "12:00").when(t == "MIDNIGHT", "00:00").when(sound, F.format_string("%02d:%02d", hour, minute))
 
 
 def repair_double_conversion(at: Column, host: Column, hosts: tuple[str, ...], zone: Column) -> Column:

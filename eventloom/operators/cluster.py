@@ -1,53 +1,50 @@
 """Greedy and transitive matching of titles inside small blocks (a day, a time slot).
 
-A block is a group of a calendar: all events of one instant, or all distinct title
-keys of one day.  Order-dependent passes run per block with ``applyInPandas`` on the
-columns they need only; blocks are keyed by city as well where there is one, so that
-a block holds what one city has at one time.
-"""
+Work is done on the distinct titles of a block, never on its events: pairs come from a
+join, each pair of titles is scored once however many blocks it occurs in, and clusters
+are the connected components of the links.  Only order-dependent passes run per block
+with ``applyInPandas``, on the columns they need."""
 
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.similarity import levenshtein_similarity, token_set, token_set_similarity
+from ..functions.similarity import levenshtein_similarity, title_words, token_set_similarity
+from ..functions.text import blank
+from ..scratch import materialize
+from .graph import components
 
 
 def cluster_titles(events: DataFrame, slot: list[str], threshold: float = 0.85) -> DataFrame:
-    """(id, cluster_id): clusters of like titles within a slot, numbered from 0 per slot
-    by their first title; events alone get null.  An edge needs similarity at the
-    threshold and no two different locations; clusters are transitive."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id").reset_index(drop=True)
-        parent = list(range(len(pdf)))
-
-        def find(i: int) -> int:
-            while parent[i] != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
-
-        titles = pdf["title"].fillna("").tolist()
-        places = pdf["location"].fillna("").tolist()
-        for i in range(len(pdf)):
-            for j in range(i + 1, len(pdf)):
-                if find(i) != find(j) and not (places[i] and places[j] and places[i] != places[j]):
-                    if token_set(titles[i], titles[j]) >= threshold:
-                        parent[find(j)] = find(i)
-        groups: dict[int, list[int]] = {}
-        for i in range(len(pdf)):
-            groups.setdefault(find(i), []).append(i)
-        big = sorted((min((titles[i].lower(), i) for i in g), g) for g in groups.values() if len(g) > 1)
-        number = {i: n for n, (_, g) in enumerate(big) for i in g}
-        return pd.DataFrame({"id": pdf["id"], "cluster_id": pd.array([number.get(i) for i in range(len(pdf))], dtype="Int32")})
-
-    several = events.groupBy(*slot).agg(F.count("*").alias("__n")).filter("__n > 1").drop("__n")
-    return events.select("id", "title", "location", *slot).join(several, slot).groupBy(*slot).applyInPandas(run, "id long, cluster_id int")
+    """(id, cluster_id) of every event: clusters of like titles within a slot, numbered from
+    0 per slot by their first title; events alone and those without a slot get null.  An
+    edge needs similarity at the threshold and no two different locations; clusters are
+    transitive."""
+    rows = events.select("id", *slot, blank(F.col("title")).alias("title"), blank(F.col("location")).alias("location"))
+    kind = [*slot, "title", "location"]
+    kinds = materialize(rows.groupBy(*kind).agg(F.min("id").alias("rep"), F.count("*").alias("n")), "kinds")
+    words = kinds.select("title").distinct().withColumn("words", title_words("title"))
+    known = materialize(kinds.dropna(subset=slot).join(words, "title"), "titles")
+    other = known.select(*slot, F.col("title").alias("title_b"), F.col("location").alias("location_b"), F.col("rep").alias("rep_b"), F.col("words").alias("words_b"))
+    place = (F.col("location") == "") | (F.col("location_b") == "") | (F.col("location") == F.col("location_b"))
+    # without a common word only titles of about the same length can be alike
+    size = lambda c: F.length(F.array_join(c, " "))
+    alike = F.arrays_overlap("words", "words_b") | (2 * F.least(size("words"), size("words_b")) >= threshold * (size("words") + size("words_b")))
+    pairs = known.join(other, slot).filter((F.col("rep") < F.col("rep_b")) & place & alike).select("rep", "rep_b", "title", "title_b")
+    scored = pairs.select("title", "title_b").distinct().filter(token_set_similarity("title", "title_b") >= threshold)
+    links = pairs.join(scored, ["title", "title_b"]).select(F.col("rep_b").alias("src"), F.col("rep").alias("dst"))
+    joined = kinds.join(components(links, "titles").withColumnRenamed("id", "rep"), "rep", "left").withColumn("group", F.coalesce("component", "rep"))
+    joined = materialize(joined, "grouped")
+    groups = joined.dropna(subset=slot).groupBy(*slot, "group").agg(F.sum("n").alias("size"), F.min(F.struct(F.lower("title"), "rep")).alias("first")).filter("size > 1")
+    number = F.row_number().over(Window.partitionBy(*slot).orderBy("first")) - 1
+    numbered = joined.join(groups.select("group", number.alias("cluster_id")), "group").select(*[F.col(c).alias(f"k_{c}") for c in kind], "cluster_id")
+    same = [F.col(c).eqNullSafe(F.col(f"k_{c}")) for c in kind]
+    return rows.join(numbered, same, "left").select("id", F.col("cluster_id").cast("int").alias("cluster_id"))
 
 
 def similar_pairs(events: DataFrame, slot: list[str], threshold: float, method: str = "levenshtein") -> DataFrame:
@@ -55,7 +52,12 @@ def similar_pairs(events: DataFrame, slot: list[str], threshold: float, method:
     a = events.select("id", "title", *slot)
     b = a.withColumnRenamed("id", "id_b").withColumnRenamed("title", "title_b")
     pairs = a.join(b, slot).filter(F.col("id") < F.col("id_b"))
-    score = levenshtein_similarity(F.col("title"), F.col("title_b")) if method == "levenshtein" else token_set_similarity("title", "title_b")
+    if method == "levenshtein":
+        x, y = F.length(blank(F.col("title"))), F.length(blank(F.col("title_b")))
+        pairs = pairs.filter(F.abs(x - y) <= (1 - threshold) * F.greatest(x, y) + 1e-9)  # a distance is no less
+        score = levenshtein_similarity(F.col("title"), F.col("title_b"))
+    else:
+        score = token_set_similarity("title", "title_b")
     return pairs.select(F.col("id").alias("id_a"), "id_b", score.alias("similarity")).filter(F.col("similarity") >= threshold)
 
 
@@ -65,13 +67,13 @@ def similarity_histogram(pairs: DataFrame) -> DataFrame:
 
 
 def prefix_groups(keys: DataFrame, min_length: int = 12, max_ratio: float = 0.75) -> DataFrame:
-    """(day, title_key, merged_key): within a day the shorter key absorbs a longer one that
+    """(city, day, title_key, merged_key): within a city's day the shorter key absorbs a longer one that
     it begins, if it has ``min_length`` characters, is at most ``max_ratio`` as long, and
     one side has an aggregator.  Keys go by length; an absorbed key is not used again; the
     absorber's aggregator flag grows with what it absorbs.
 
-    ``keys(day, title_key, has_agg)`` holds distinct keys, not events.  A group is a family:
-    the keys of a day whose shortest beginning that is a key of ``min_length`` characters
+    ``keys(city, day, title_key, has_agg)`` holds distinct keys, not events.  A group is a
+    family: the keys of a city's day whose shortest beginning that is a key of ``min_length`` characters
     is the same.  A key and its beginnings are always in one family."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -89,25 +91,32 @@ def prefix_groups(keys: DataFrame, min_length: int = 12, max_ratio: float = 0.75
                 if agg or flags[j]:
                     into[long] = short
                     agg = agg or flags[j]
-        return pd.DataFrame({"day": pdf["day"], "title_key": names, "merged_key": [into.get(n, n) for n in names]})
+        return pd.DataFrame({"city": pdf["city"], "day": pdf["day"], "title_key": names, "merged_key": [into.get(n, n) for n in names]})
 
     n = F.explode(F.sequence(F.lit(min_length), F.greatest(F.lit(min_length), F.length("title_key")))).alias("n")
-    begins = keys.select("day", "title_key", "has_agg", n).withColumn("begin", F.expr("substring(title_key, 1, n)"))
-    known = keys.select(F.col("day").alias("on"), F.col("title_key").alias("known"))
-    found = begins.join(known, F.col("day").eqNullSafe(F.col("on")) & F.col("begin").eqNullSafe(F.col("known")))
-    rows = found.groupBy("day", "title_key", "has_agg").agg(F.min("n").alias("n")).withColumn("family", F.expr("substring(title_key, 1, n)"))
-    return rows.select("day", "title_key", "has_agg", "family").groupBy("day", "family").applyInPandas(run, "day date, title_key string, merged_key string")
+    begins = keys.select("city", "day", "title_key", "has_agg", n).withColumn("begin", F.expr("substring(title_key, 1, n)"))
+    known = keys.select(F.col("city").alias("in"), F.col("day").alias("on"), F.col("title_key").alias("known"))
+    found = begins.join(known, F.col("city").eqNullSafe(F.col("in")) & F.col("day").eqNullSafe(F.col("on")) & F.col("begin").eqNullSafe(F.col("known")))
+    rows = found.groupBy("city", "day", "title_key", "has_agg").agg(F.min("n").alias("n")).withColumn("family", F.expr("substring(title_key, 1, n)"))
+    return rows.select("city", "day", "title_key", "has_agg", "family").groupBy("city", "day", "family").applyInPandas(run, "city string, day date, title_key string, merged_key string")
+
+
+@lru_cache(maxsize=100_000)
+def _ratio(a: str, b: str) -> float:
+    return SequenceMatcher(None, a, b).ratio()
 
 
 def legacy_dedupe(events: DataFrame, slot: list[str], threshold: float = 0.85) -> DataFrame:
-    """Ids that stay when, in id order, an event goes if its title is like one already kept."""
+    """Ids that stay when, in id order, an event goes if its title is like one already kept.
+    A title's later events fare no better than its first, so that only these are compared."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[tuple[int, str]] = []
+        kept: dict[str, int] = {}
         for i, t in pdf.sort_values("id")[["id", "title"]].itertuples(index=False):
             t = " ".join((t or "").lower().replace("@", " at ").replace("&", " and ").split())
-            if not any(SequenceMatcher(None, t, k).ratio() >= threshold for _, k in kept):
-                kept.append((i, t))
-        return pd.DataFrame({"id": [i for i, _ in kept]})
+            if t not in kept and not any(_ratio(t, k) >= threshold for k in kept):
+                kept[t] = i
+        return pd.DataFrame({"id": list(kept.values())})
 
-    return events.select("id", "title", *slot).groupBy(*slot).applyInPandas(run, "id long")
+    first = events.groupBy(*slot, "title").agg(F.min("id").alias("id"))
+    return first.groupBy(*slot).applyInPandas(run, "id long")

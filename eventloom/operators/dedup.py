@@ -56,21 +56,24 @@ def merge_groups(events: DataFrame, group: list[str], aggregators: Column, pos:
     is_agg = F.array_contains(aggregators, F.col("source"))
     names = F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(F.col(pos), source_list(F.col("source")).alias("n")))), lambda x: x["n"])))
     ordered = F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), source_list(F.col("source")).alias("n"), F.col("url").alias("u"))))
-    entries = F.flatten(F.transform(F.filter(ordered, lambda x: F.coalesce(x["u"], F.lit("")) != ""), lambda x: F.transform(x["n"], lambda s: F.struct(s.alias("key"), x["u"].alias("value"), x["p"].alias("p")))))
+    entries = F.flatten(F.transform(F.filter(ordered, lambda x: F.coalesce(x["u"], F.lit("")) != ""), lambda x: F.transform(x["n"], lambda s: F.struct(s.alias("key"), x["p"].alias("p"), x["u"].alias("value")))))
     rest = [c for c in events.columns if c not in group]
     best = F.min_by(F.struct(*rest), F.struct(is_agg.cast("int"), F.col(pos)))
-    made = events.groupBy(*group).agg(best.alias("s"), names.alias("names"), entries.alias("entries"), F.count("*").alias("members"))
+    made = events.groupBy(*group).agg(best.alias("s"), names.alias("names"), F.array_sort(entries).alias("entries"), F.count("*").alias("members"))
     agg_of = lambda s: F.array_contains(aggregators, s)
     merged = F.concat(F.array_sort(F.filter("names", lambda s: ~agg_of(s))), F.array_sort(F.filter("names", agg_of)))
-    last = F.filter("entries", lambda e: ~F.exists("entries", lambda o: (o["key"] == e["key"]) & (o["p"] > e["p"])))
+    # by name and place, a name's last URL is the one that another name or nothing follows
+    after = F.slice("entries", 2, F.size("entries"))
+    last = F.filter("entries", lambda e, i: F.coalesce(F.get(after, i)["key"] != e["key"], F.lit(True)))
     urls = F.map_from_entries(F.array_distinct(F.transform(last, lambda e: F.struct(e["key"], e["value"]))))
     out = made.select(*group, "s.*", "names", "members", merged.alias("merged"), urls.alias("source_urls"))
     return out.withColumn("source", F.when(F.size("names") > 1, F.array_join("merged", ", ")).otherwise(F.col("source"))).drop("names", "merged")
 
 
-def combine_key(title: Column, wall_clock: Column) -> list[Column]:
-    """Key of the combine stage: the date of the wall clock as written, and the title's key form."""
-    return [F.to_date(wall_clock).alias("day"), normalize_title(title).alias("title_key")]
+def combine_key(city: Column, title: Column, wall_clock: Column) -> list[Column]:
+    """Key of the combine stage: the city, the date of the wall clock as written, and the
+    title's key form."""
+    return [city.alias("city"), F.to_date(wall_clock).alias("day"), normalize_title(title).alias("title_key")]
 
 
 def display_sources(source: Column, location: Column, aggregators: Column) -> Column:
@@ -84,12 +87,12 @@ def display_sources(source: Column, location: Column, aggregators: Column) -> Co
 
 
 def merge_for_sources(events: DataFrame, aggregators: Column, pos: str = "id") -> DataFrame:
-    """Client merge: by lower-trimmed title and instant; sources united, first filled
+    """Client merge: by city, lower-trimmed title and instant; sources united, first filled
     url, location and description in ``pos`` order."""
     filled = lambda c: first_known(c, pos, F.coalesce(F.col(c), F.lit("")) != "").alias(c)
     lists = F.array_sort(F.collect_list(F.struct(F.col(pos), source_list(F.col("source")).alias("n"))))
     united = F.array_join(F.array_distinct(F.flatten(F.transform(lists, lambda x: x["n"]))), ", ")
-    merged = events.groupBy(F.lower(F.trim("title")).alias("key"), "start_time").agg(
+    merged = events.groupBy("city", F.lower(F.trim("title")).alias("key"), "start_time").agg(
         F.min_by("title", pos).alias("title"), F.min(pos).alias("id"), filled("url"), filled("location"),
         filled("description"), united.alias("source"), F.array_sort(F.collect_list(pos)).alias("merged_ids"),
     )

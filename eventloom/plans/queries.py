@@ -4,8 +4,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,8 +11,9 @@ from pyspark.sql import functions as F
 
 from ..config import CATEGORIES, COMMAND_CLASSES, LOG_CLASSES, REGIONS, SCHEMA_TYPES, STREETS, VIRTUAL
 from ..functions import dates, geo, labels, recurrence, text, urls
-from ..functions.snippet import snippet
+from ..functions.snippet import snippet_sql, with_snippet
 from ..operators import aggregates, classify, cluster, dedup, filters, store, windows
+from ..scratch import new_folder
 from ..sources import export, ics, registries
 from ..streaming import jobs
 from .adapter import CALENDAR_SQL, FEEDS_SQL, HISTORY_SQL, calendar, calendar_of, feed_history, feeds
@@ -146,12 +145,11 @@ def a12_timezone_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    ", b AS (SELECT a.id AS id_a, b.id AS id_b, 1 - levenshtein(lower(a.title), lower(b.title)) / greatest(length(a.title), length(b.title)) AS s FROM p a JOIN p b ON a.start_time = b.start_time AND a.id < b.id) "
-    "SELECT floor(s * 10) / 10 AS bucket, count(*) AS pairs FROM b WHERE s >= 0.3 GROUP BY 1".replace(", b AS", ", p AS (SELECT id, title, start_time FROM cal WHERE city = 'city1'), b AS", 1)
+    ", b AS (SELECT a.id AS id_a, b.id AS id_b, 1 - levenshtein(lower(a.title), lower(b.title)) / greatest(length(a.title), length(b.title)) AS s FROM cal a JOIN cal b ON a.city = b.city AND a.start_time = b.start_time AND a.id < b.id) "
+    "SELECT floor(s * 10) / 10 AS bucket, count(*) AS pairs FROM b WHERE s >= 0.3 GROUP BY 1"
 )
 def a15_similarity_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = calendar(spark, sf_dir).filter("city = 'city1'")
-    return cluster.similarity_histogram(cluster.similar_pairs(events, ["start_time"], 0.3))
+    return cluster.similarity_histogram(cluster.similar_pairs(calendar(spark, sf_dir), ["city", "start_time"], 0.3))
 
 
 @query("SELECT CAST(min(date_diff('day', DATE '2024-01-10', CAST(start_time AS DATE))) AS INTEGER) AS first_day, CAST(max(date_diff('day', DATE '2024-01-10', CAST(start_time AS DATE))) AS INTEGER) AS last_day FROM cal")
@@ -165,12 +163,12 @@ def a20_cities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f", m AS (SELECT lower(trim(title)) AS k, start_time, arg_min(title, id) AS title, min(id) AS id, arg_min(url, id) FILTER (WHERE coalesce(url, '') <> '') AS url, "
+    f", m AS (SELECT city, lower(trim(title)) AS k, start_time, arg_min(title, id) AS title, min(id) AS id, arg_min(url, id) FILTER (WHERE coalesce(url, '') <> '') AS url, "
     "arg_min(location, id) FILTER (WHERE coalesce(location, '') <> '') AS location, arg_min(description, id) FILTER (WHERE coalesce(description, '') <> '') AS description, "
-    f"list_sort(list_distinct(flatten(list({_NAMES})))) AS n, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS merged_ids FROM cal GROUP BY 1, 2), "
+    f"list_sort(list_distinct(flatten(list({_NAMES})))) AS n, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS merged_ids FROM cal GROUP BY 1, 2, 3), "
     f"o AS (SELECT *, list_filter(n, lambda s: s NOT IN {_in(AGGREGATORS)}) AS p, list_filter(n, lambda s: s IN {_in(AGGREGATORS)}) AS a FROM m), "
     "q AS (SELECT *, list_filter(p, lambda s: contains(lower(coalesce(location, '')), s))[1:1] AS lead FROM o) "
-    "SELECT start_time, title, id, url, location, description, merged_ids, array_to_string(list_concat(list_concat(lead, list_filter(p, lambda s: NOT list_contains(lead, s))), a), ', ') AS source FROM q"
+    "SELECT city, start_time, title, id, url, location, description, merged_ids, array_to_string(list_concat(list_concat(lead, list_filter(p, lambda s: NOT list_contains(lead, s))), a), ', ') AS source FROM q"
 )
 def a17_merge_for_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup.merge_for_sources(calendar(spark, sf_dir), _list(AGGREGATORS))
@@ -188,11 +186,11 @@ def a19_feed_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     ", l AS (SELECT city, feed, max(date) AS last, max(date) FILTER (WHERE count = 0 AND error IS NULL) AS z, max(date) FILTER (WHERE NOT (count = 0 AND error IS NULL)) AS broken, "
-    "arg_max(count, date) FILTER (WHERE count > 0) AS was, max(date) FILTER (WHERE count > 0) AS was_date FROM hist WHERE day(date) <= 29 GROUP BY city, feed) "
-    "SELECT l.city, l.feed, was, was_date, min(h.date) AS silent_since FROM l JOIN hist h ON h.city = l.city AND h.feed = l.feed AND day(h.date) <= 29 AND (broken IS NULL OR h.date > broken) WHERE last = z GROUP BY ALL"
+    "arg_max(count, date) FILTER (WHERE count > 0) AS was, max(date) FILTER (WHERE count > 0) AS was_date FROM hist GROUP BY city, feed) "
+    "SELECT l.city, l.feed, was, was_date, min(h.date) AS silent_since FROM l JOIN hist h ON h.city = l.city AND h.feed = l.feed AND (broken IS NULL OR h.date > broken) WHERE last = z GROUP BY ALL"
 )
 def w2_silent_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows.silent_feeds(feed_history(spark, sf_dir).filter("day(date) <= 29"))
+    return windows.silent_feeds(feed_history(spark, sf_dir))
 
 
 @query("SELECT city, feed, date, count, error, seq FROM hist QUALIFY row_number() OVER (PARTITION BY city, feed ORDER BY date DESC) <= 9")
@@ -293,7 +291,7 @@ def j1_overrides_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    ", picks AS (SELECT o_custkey % 50 AS user_id, o_orderkey % 2000 AS event_id FROM orders), en AS (SELECT o_orderkey AS id, o_custkey % 50 AS curator_id, o_orderkey % 2000 AS event_id, "
+    ", picks AS (SELECT o_custkey % 50 AS user_id, o_orderkey AS event_id FROM orders), en AS (SELECT o_orderkey AS id, o_custkey % 50 AS curator_id, o_orderkey AS event_id, "
     "CASE WHEN o_orderkey % 3 = 0 THEN 'note ' || CAST(o_orderkey AS VARCHAR) ELSE '' END AS description, 'at ' || o_orderstatus AS location, CAST(NULL AS VARCHAR) AS url FROM orders WHERE o_orderkey % 7 = 0), "
     "l AS (SELECT curator_id, event_id, arg_max(description, id) AS d, arg_max(location, id) AS l FROM en GROUP BY 1, 2) "
     "SELECT p.user_id, p.event_id, c.title, coalesce(nullif(l.d, ''), c.description) AS description, coalesce(nullif(l.l, ''), c.location) AS location, c.url FROM picks p JOIN cal c ON c.id = p.event_id "
@@ -301,9 +299,9 @@ def j1_overrides_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def j2_picked_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = _table(spark, sf_dir, "orders")
-    picks = orders.selectExpr("o_custkey % 50 as user_id", "o_orderkey % 2000 as event_id")
+    picks = orders.selectExpr("o_custkey % 50 as user_id", "o_orderkey as event_id")
     notes = orders.filter("o_orderkey % 7 = 0").selectExpr(
-        "o_orderkey as id", "o_custkey % 50 as curator_id", "o_orderkey % 2000 as event_id",
+        "o_orderkey as id", "o_custkey % 50 as curator_id", "o_orderkey as event_id",
         "case when o_orderkey % 3 = 0 then concat('note ', cast(o_orderkey as string)) else '' end as description", "concat('at ', o_orderstatus) as location", "cast(null as string) as url",
     )
     return store.picked_events(picks, calendar(spark, sf_dir), notes).select("user_id", "event_id", "title", "description", "location", "url")
@@ -366,9 +364,9 @@ def j8_feed_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.feed_sync(wanted.unionByName(new), stored)
 
 
-@query(", p AS (SELECT DISTINCT o_orderkey % 2000 AS event_id FROM orders WHERE o_orderkey % 9 = 0), m AS (SELECT min(id) AS id, list(id) AS ids FROM cal WHERE source <> 'poster_capture' GROUP BY city, lower(trim(title)), start_time) SELECT id, len(list_filter(ids, lambda i: i IN (SELECT event_id FROM p))) > 0 AS picked FROM m".replace("len(list_filter(ids, lambda i: i IN (SELECT event_id FROM p))) > 0", "list_has_any(ids, (SELECT list(event_id) FROM p))"))
+@query(", p AS (SELECT DISTINCT o_orderkey AS event_id FROM orders), m AS (SELECT min(id) AS id, list(id) AS ids FROM cal WHERE source <> 'poster_capture' GROUP BY city, lower(trim(title)), start_time) SELECT id, len(list_filter(ids, lambda i: i IN (SELECT event_id FROM p))) > 0 AS picked FROM m".replace("len(list_filter(ids, lambda i: i IN (SELECT event_id FROM p))) > 0", "list_has_any(ids, (SELECT list(event_id) FROM p))"))
 def j12_stamp_picked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    picks = _table(spark, sf_dir, "orders").filter("o_orderkey % 9 = 0").selectExpr("o_orderkey % 2000 as event_id")
+    picks = _table(spark, sf_dir, "orders").selectExpr("o_orderkey as event_id")
     return store.stamp_picked(dedup.deduplicated_events(calendar(spark, sf_dir)), picks).select("id", "picked")
 
 
@@ -455,23 +453,23 @@ def e1_normalize_title(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f", g AS (SELECT CAST(start_time AS DATE) AS day, substr(lower(regexp_replace(trim(title), '[^\\p{{L}}\\p{{N}}]', '', 'g')), 1, 40) AS title_key, id, source, url, coalesce(list_contains({_sqlist(AGGREGATORS)}, source), false) AS agg, {_NAMES} AS n FROM cal WHERE source IS NOT NULL), "
-    "s AS (SELECT day, title_key, arg_min(id, CAST(agg AS INT) * 1000000000 + id) AS id, arg_min(source, CAST(agg AS INT) * 1000000000 + id) AS src, list_sort(list_distinct(flatten(list(n)))) AS n, count(*) AS members FROM g GROUP BY 1, 2), "
-    "m AS (SELECT day, title_key, name || '=' || arg_max(url, id) AS pair FROM (SELECT day, title_key, id, url, unnest(n) AS name FROM g WHERE coalesce(url, '') <> '') GROUP BY day, title_key, name), "
-    "u AS (SELECT day, title_key, string_agg(pair, ';' ORDER BY pair) AS source_urls FROM m GROUP BY 1, 2) "
-    f"SELECT s.day, s.title_key, s.id, members, CASE WHEN len(n) > 1 THEN array_to_string(list_concat(list_filter(n, lambda x: x NOT IN {_in(AGGREGATORS)}), list_filter(n, lambda x: x IN {_in(AGGREGATORS)})), ', ') ELSE src END AS source, coalesce(source_urls, '') AS source_urls FROM s LEFT JOIN u ON u.day = s.day AND u.title_key = s.title_key"
+    f", g AS (SELECT city, CAST(start_time AS DATE) AS day, substr(lower(regexp_replace(trim(title), '[^\\p{{L}}\\p{{N}}]', '', 'g')), 1, 40) AS title_key, id, source, url, coalesce(list_contains({_sqlist(AGGREGATORS)}, source), false) AS agg, {_NAMES} AS n FROM cal WHERE source IS NOT NULL), "
+    "s AS (SELECT city, day, title_key, arg_min(id, CAST(agg AS INT) * 1000000000 + id) AS id, arg_min(source, CAST(agg AS INT) * 1000000000 + id) AS src, list_sort(list_distinct(flatten(list(n)))) AS n, count(*) AS members FROM g GROUP BY 1, 2, 3), "
+    "m AS (SELECT city, day, title_key, name || '=' || arg_max(url, id) AS pair FROM (SELECT city, day, title_key, id, url, unnest(n) AS name FROM g WHERE coalesce(url, '') <> '') GROUP BY city, day, title_key, name), "
+    "u AS (SELECT city, day, title_key, string_agg(pair, ';' ORDER BY pair) AS source_urls FROM m GROUP BY 1, 2, 3) "
+    f"SELECT s.city, s.day, s.title_key, s.id, members, CASE WHEN len(n) > 1 THEN array_to_string(list_concat(list_filter(n, lambda x: x NOT IN {_in(AGGREGATORS)}), list_filter(n, lambda x: x IN {_in(AGGREGATORS)})), ', ') ELSE src END AS source, coalesce(source_urls, '') AS source_urls FROM s LEFT JOIN u ON u.city = s.city AND u.day = s.day AND u.title_key = s.title_key"
 )
 def e5_merge_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cal = calendar(spark, sf_dir).filter("source is not null").select(*dedup.combine_key(F.trim("title"), F.col("start_time")), "id", "source", "url")
-    out = dedup.merge_groups(cal, ["day", "title_key"], _list(AGGREGATORS), "id")
+    cal = calendar(spark, sf_dir).filter("source is not null").select(*dedup.combine_key(F.col("city"), F.trim("title"), F.col("start_time")), "id", "source", "url")
+    out = dedup.merge_groups(cal, ["city", "day", "title_key"], _list(AGGREGATORS), "id")
     pairs = F.transform(F.map_entries("source_urls"), lambda e: F.concat_ws("=", e["key"], e["value"]))
-    return out.select("day", "title_key", "id", "members", "source", F.array_join(F.array_sort(pairs), ";").alias("source_urls"))
+    return out.select("city", "day", "title_key", "id", "members", "source", F.array_join(F.array_sort(pairs), ";").alias("source_urls"))
 
 
 @query()
 def e3_prefix_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select((F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 7).cast("int"))).alias("day"), text.normalize_title(F.col("text")).alias("title_key"), (F.col("source") == "src0").alias("agg"))
-    keys = docs.groupBy("day", "title_key").agg(F.bool_or("agg").alias("has_agg"))
+    docs = _table(spark, sf_dir, "documents").select(F.col("lang").alias("city"), (F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 7).cast("int"))).alias("day"), text.normalize_title(F.col("text")).alias("title_key"), (F.col("source") == "src0").alias("agg"))
+    keys = docs.groupBy("city", "day", "title_key").agg(F.bool_or("agg").alias("has_agg"))
     return cluster.prefix_groups(keys)
 
 
@@ -504,10 +502,12 @@ def e13_feed_slug(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "pages").select("page_id", urls.feed_slug(F.col("url")).alias("slug"))
 
 
-@query("SELECT id, CASE WHEN contains(lower(description), 'river') THEN '...' || substr(description, instr(lower(description), 'river') - 12, 12) || '**river**.' END AS snip FROM cal WHERE description IS NULL OR description = ''")
+@query(
+    "SELECT doc_id, CASE WHEN p > 0 THEN CASE WHEN p > 41 THEN '...' ELSE '' END || substr(t, greatest(p - 40, 1), least(p - 1, 40)) || '**' || substr(t, p, 2) || '**' || substr(t, p + 2, 40) "
+    "|| CASE WHEN length(t) > p + 41 THEN '...' ELSE '' END END AS snip FROM (SELECT *, instr(lower(t), 'an') AS p FROM (SELECT doc_id, regexp_replace(regexp_replace(text, '[\\r\\n]+', ' ', 'g'), ' {2,}', ' ', 'g') AS t FROM documents))"
+)
 def u2_term_snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = calendar(spark, sf_dir).filter("description is null or description = ''")
-    return rows.select("id", text.term_snippet(F.col("description"), F.lit("river")).alias("snip"))
+    return _table(spark, sf_dir, "documents").select("doc_id", text.term_snippet(F.col("text"), F.lit("an")).alias("snip"))
 
 
 @query("SELECT doc_id, CASE WHEN length(text) > 80 THEN substr(text, 1, 80) || '...' ELSE text END AS short, regexp_replace(text, '<[^>]+>', '', 'g') AS plain FROM documents")
@@ -546,12 +546,16 @@ def u8_ics_datetime(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", "raw", dates.wall_clock(F.col("raw")).alias("wall"), dates.instant(F.col("raw"), F.col("zone")).cast("timestamp_ntz").alias("instant"), dates.is_all_day(F.col("raw"), params).alias("all_day"))
 
 
-@query("SELECT id, CAST(start_time AS DATE) AS d1, CAST(start_time AS DATE) AS d2, strftime(start_time, '%H:00') AS t1 FROM cal")
+@query(
+    "SELECT id, d AS d1, d AS d2, d AS d3, d AS d4, make_date(2028, month(d), day(d)) AS d5, CAST(NULL AS DATE) AS d6, strftime(start_time, '%H:00') AS t1, strftime(start_time, '%H:00') AS t2, strftime(start_time, '%H:%M') AS t3, "
+    "CAST(NULL AS VARCHAR) AS t4 FROM (SELECT *, CAST(start_time AS DATE) AS d FROM cal)"
+)
 def u12_parse_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = calendar(spark, sf_dir)
-    return rows.select(
-        "id", dates.parse_date(F.date_format("start_time", "MMMM d, yyyy")).alias("d1"), dates.parse_date(F.date_format("start_time", "M/d/yyyy")).alias("d2"),
-        dates.parse_time(F.date_format("start_time", "h:mm a")).alias("t1"),
+    said = lambda before, form, after="": F.concat(F.lit(before), F.date_format("start_time", form), F.lit(after))
+    return calendar(spark, sf_dir).select(
+        "id", dates.parse_date(said("", "MMMM d, yyyy")).alias("d1"), dates.parse_date(said("", "M/d/yyyy")).alias("d2"), dates.parse_date(said("on ", "yyyy-MM-dd", "!")).alias("d3"),
+        dates.parse_date(said("", "MM.dd.yy", " doors 7pm")).alias("d4"), dates.parse_date(said("Sat ", "MMM d"), 2028).alias("d5"), dates.parse_date(said("Sat ", "MMM d")).alias("d6"),
+        dates.parse_time(said("", "h:mm a")).alias("t1"), dates.parse_time(said("Doors ", "ha")).alias("t2"), dates.parse_time(said("from ", "HH:mm", " on")).alias("t3"), dates.parse_time(said("", "yyyy-MM-dd")).alias("t4"),
     )
 
 
@@ -561,21 +565,21 @@ def u13_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    ", r AS (SELECT id, start_time, unnest(generate_series(CAST(start_time AS DATE), DATE '2024-02-20', INTERVAL 1 DAY)) AS d FROM cal WHERE id % 50 = 0) "
+    ", r AS (SELECT id, start_time, unnest(generate_series(CAST(start_time AS DATE), DATE '2024-02-20', INTERVAL 1 DAY)) AS d FROM cal) "
     "SELECT id, d + (start_time - date_trunc('day', start_time)) AS occurrence FROM r WHERE d >= DATE '2024-01-10' AND isodow(d) IN (2, 4) AND (date_diff('day', CAST(date_trunc('week', start_time) AS DATE), CAST(date_trunc('week', d) AS DATE)) // 7) % 2 = 0"
 )
 def u15_expand_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = calendar(spark, sf_dir).filter("id % 50 = 0").select("id", "start_time").withColumn("rrule", F.lit("FREQ=WEEKLY;INTERVAL=2;BYDAY=TU,TH"))
+    rows = calendar(spark, sf_dir).select("id", "start_time").withColumn("rrule", F.lit("FREQ=WEEKLY;INTERVAL=2;BYDAY=TU,TH"))
     return recurrence.expand(rows, "rrule", "start_time", _today(), F.expr("DATE '2024-02-20'")).select("id", "occurrence")
 
 
 @query(
-    ", r AS (SELECT id, start_time, unnest(generate_series(CAST(start_time AS DATE), DATE '2024-06-30', INTERVAL 1 DAY)) AS d FROM cal WHERE id % 50 = 1), "
+    ", r AS (SELECT id, start_time, unnest(generate_series(CAST(start_time AS DATE), DATE '2024-06-30', INTERVAL 1 DAY)) AS d FROM cal), "
     "h AS (SELECT id, start_time, d, row_number() OVER (PARTITION BY id ORDER BY d) AS n FROM r WHERE isodow(d) = 5 AND ceil(day(d) / 7) = 2) "
     "SELECT id, d + (start_time - date_trunc('day', start_time)) AS occurrence FROM h WHERE n <= 3"
 )
 def u15_expand_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = calendar(spark, sf_dir).filter("id % 50 = 1").select("id", "start_time").withColumn("rrule", F.lit("FREQ=MONTHLY;BYDAY=2FR;COUNT=3"))
+    rows = calendar(spark, sf_dir).select("id", "start_time").withColumn("rrule", F.lit("FREQ=MONTHLY;BYDAY=2FR;COUNT=3"))
     return recurrence.expand(rows, "rrule", "start_time", F.expr("DATE '2024-01-01'"), F.expr("DATE '2024-06-30'")).select("id", "occurrence")
 
 
@@ -611,10 +615,16 @@ def u28_category_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calendar(spark, sf_dir).select("id", labels.category_label(answer).alias("label"))
 
 
-@query()
+@query(f"SELECT doc_id, {snippet_sql('text', 'left(text, 30)')} AS snippet FROM documents")
 def u1_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(spark, sf_dir, "documents").select("doc_id", snippet("text", F.lit("").cast("string")).alias("snippet"), F.col("source").alias("city"))
-    return aggregates.snippet_coverage(rows)
+    docs = _table(spark, sf_dir, "documents").withColumn("title", F.substring("text", 1, 30))
+    return with_snippet(docs, "text").select("doc_id", "snippet")
+
+
+@query(f"SELECT city, count(*) AS total, count(s) AS with_snippet, round_even(count(s) * 100.0 / count(*), 1) AS pct FROM (SELECT source AS city, {snippet_sql('text')} AS s FROM documents) GROUP BY city")
+def a16_snippet_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").withColumn("title", F.lit(""))
+    return aggregates.snippet_coverage(with_snippet(docs, "text").withColumn("city", F.col("source")))
 
 
 @query("SELECT id, CASE WHEN coalesce(category, '') <> '' THEN category WHEN contains(lower(d), 'story') THEN 'Family / Kids' END AS category FROM (SELECT id, category, description AS d FROM cal) WHERE false OR id IN (SELECT id FROM cal WHERE coalesce(category, '') <> '')")
@@ -624,30 +634,49 @@ def c1_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "SELECT id, title, location, uid, dtstart_raw FROM (SELECT id, trim(title) AS title, coalesce(location, '') AS location, 'uid-' || CAST(id AS VARCHAR) AS uid, strftime(start_time, '%Y%m%dT%H%M%SZ') AS dtstart_raw FROM cal)"
+    "SELECT id, trim(title) AS title, coalesce(location, '') AS location, trim(coalesce(description, '')) || chr(10) || 'x, y; z\\' AS description, url, 'uid-' || CAST(id AS VARCHAR) AS uid, strftime(start_time, '%Y%m%dT%H%M%SZ') AS dtstart_raw, strftime(start_time, '%Y%m%d') AS dtend_raw, "
+    "'' AS tzid, 'Etc/Nowhere' AS end_tzid, '' AS dtstart_params, 'src9' AS x_source, 'a|b c' AS categories, image_url, city || '-' || strftime(start_time, '%Y%m%d%H') AS file, "
+    "CAST(row_number() OVER (PARTITION BY city, date_trunc('hour', start_time) ORDER BY CAST(id AS VARCHAR)) - 1 AS INTEGER) AS pos FROM cal"
 )
 def s2_ics_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events written as folded ICS text, one file a city and hour, and parsed again."""
+    put = lambda label, value: F.when(value.isNotNull(), F.concat(F.lit(label), value))
+    place = text.ics_escape(F.col("location"))
+    told = text.ics_escape(F.concat(F.coalesce("description", F.lit("")), F.lit("\nx, y; z\\")))
     line = F.concat_ws(
-        "\r\n", F.lit("BEGIN:VEVENT"), F.concat(F.lit("UID:uid-"), F.col("id").cast("string")), F.concat(F.lit("DTSTART:"), F.date_format("start_time", "yyyyMMdd'T'HHmmss'Z'")),
-        F.concat(F.lit("SUMMARY;LANGUAGE=en:"), text.ics_escape(F.col("title"))), F.concat(F.lit("LOCATION:"), F.substring(text.ics_escape(F.col("location")), 1, 5), F.lit("\r\n "), F.substring(text.ics_escape(F.col("location")), 6, 1000)), F.lit("END:VEVENT"),
+        "\r\n", F.lit("BEGIN:VEVENT"), put("UID:uid-", F.col("id").cast("string")), put("DTSTART:", F.date_format("start_time", "yyyyMMdd'T'HHmmss'Z'")),
+        put("DTEND;TZID=Etc/Nowhere;VALUE=DATE:", F.date_format("start_time", "yyyyMMdd'Z'")), put("SUMMARY;LANGUAGE=en:", text.ics_escape(F.col("title"))),
+        F.concat(F.lit("LOCATION:"), F.substring(place, 1, 5), F.lit("\r\n "), F.substring(place, 6, 1000)), put("DESCRIPTION:", told), put("URL:", F.col("url")),
+        F.lit("X-SOURCE:src9"), F.lit("CATEGORIES: a ,b c,"), put("ATTACH;FMTTYPE=image/png:", F.col("image_url")), F.lit("END:VEVENT"),
     )
+    block = F.struct(F.col("id").cast("string").alias("id"), line.alias("line"))
     files = calendar(spark, sf_dir).groupBy(F.concat_ws("-", "city", F.date_format("start_time", "yyyyMMddHH")).alias("file")).agg(
-        F.concat(F.lit("BEGIN:VCALENDAR\r\n"), F.array_join(F.array_sort(F.collect_list(line)), "\r\n"), F.lit("\r\nEND:VCALENDAR")).alias("content")
+        F.concat(F.lit("BEGIN:VCALENDAR\r\n"), F.array_join(F.transform(F.array_sort(F.collect_list(block)), lambda b: b["line"]), "\r\n"), F.lit("\r\nEND:VCALENDAR")).alias("content")
     )
-    rows = ics.parse(files)
-    return rows.select(F.substring("uid", 5, 20).cast("bigint").alias("id"), "title", "location", "uid", "dtstart_raw")
+    rows = ics.parse(files).withColumn("categories", F.array_join("ics_categories", "|")).withColumn("id", F.substring("uid", 5, 20).cast("bigint"))
+    return rows.select("id", "title", "location", "description", "url", "uid", "dtstart_raw", "dtend_raw", "tzid", "end_tzid", "dtstart_params", "x_source", "categories", "image_url", "file", "pos")
+
 
+_XML = "replace(replace(replace(coalesce({0}, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
 
-@query(f"SELECT id, md5(coalesce(nullif(source_uid, ''), md5(title || '|' || strftime(start_time, '%Y-%m-%d %H:%M:%S')))) AS guid_md5, start_time FROM cal WHERE start_time BETWEEN {NOW} - INTERVAL 12 HOUR AND {NOW} + INTERVAL 90 DAY".replace("id, md5(", "md5("))
+
+@query(
+    f", r AS (SELECT *, coalesce(nullif(source_uid, ''), md5(title || '|' || strftime(start_time, '%Y-%m-%d %H:%M:%S'))) AS guid FROM cal WHERE start_time BETWEEN {NOW} - INTERVAL 12 HOUR AND {NOW} + INTERVAL 90 DAY) "
+    f"SELECT guid, start_time, '<item><title>' || {_XML.format('title')} || '</title><link>' || {_XML.format("coalesce(nullif(url, ''), 'https://x.example/')")} || '</link><description>' || {_XML.format('left(description, 300)')} "
+    "|| '</description><guid isPermaLink=\"false\">' || guid || '</guid><pubDate>' || strftime(start_time, '%a, %d %b %Y %H:%M:%S') || ' +0000</pubDate></item>' AS item FROM r"
+)
 def k4_rss_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return export.rss_rows(calendar(spark, sf_dir), _now(), "https://x.example/").select(F.md5("guid").alias("guid_md5"), "start_time")
+    return export.rss_rows(calendar(spark, sf_dir), _now(), "https://x.example/")
 
 
-@query(f"SELECT id, CASE category {' '.join(f'''WHEN '{c}' THEN '{t}' ''' for c, t in SCHEMA_TYPES.items())} ELSE 'Event' END AS kind, trim(split_part(location, ',', 1)) AS place FROM cal")
+@query(
+    f"SELECT id, CASE category {' '.join(f"WHEN '{c}' THEN '{t}'" for c, t in SCHEMA_TYPES.items())} ELSE 'Event' END AS kind, title AS name, strftime(start_time, '%Y-%m-%d %H:%M:%S') AS start, url, strftime(end_time, '%Y-%m-%d %H:%M:%S') AS until, nullif(description, '') AS description, "
+    "trim(split_part(location, ',', 1)) AS place, nullif(trim(regexp_extract(location, '^[^,]*,(.*)$', 1)), '') AS street, nullif(image_url, '') AS image, 'https://schema.org/OfflineEventAttendanceMode' AS mode FROM cal"
+)
 def k5_jsonld(spark: SparkSession, sf_dir: str) -> DataFrame:
+    get = {"kind": "['@type']", "name": ".name", "start": ".startDate", "url": ".url", "until": ".endDate", "description": ".description", "place": ".location.name", "street": ".location.address.streetAddress", "image": ".image", "mode": ".eventAttendanceMode"}
     doc = calendar(spark, sf_dir).select("id", export.jsonld().alias("j"))
-    return doc.select("id", F.get_json_object("j", "$['@type']").alias("kind"), F.get_json_object("j", "$.location.name").alias("place"))
+    return doc.select("id", *[F.get_json_object("j", f"${p}").alias(n) for n, p in get.items()])
 
 
 @query(
@@ -659,10 +688,15 @@ def k7_event_ics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", export.etag(export.event_ics(_now())).alias("etag"))
 
 
-@query("SELECT id, 'https://calendar.google.com/calendar/render?action=TEMPLATE&text=+' || substr(trim(title), 1, 99) || '+&dates=' || strftime(start_time, '%Y%m%dT%H%M%SZ') || '%2F' || strftime(coalesce(end_time, start_time), '%Y%m%dT%H%M%SZ') || '&location=' || coalesce(location, '') || '&details=' AS url FROM cal WHERE coalesce(location, '') NOT LIKE '% %' AND coalesce(description, '') = ''")
+_URL = "replace(url_encode(coalesce({0}, '')), '%20', '+')"
+
+
+@query(
+    f"SELECT id, 'https://calendar.google.com/calendar/render?action=TEMPLATE&text=' || {_URL.format('title')} || '&dates=' || strftime(start_time, '%Y%m%dT%H%M%SZ') || '%2F' || strftime(coalesce(end_time, start_time), '%Y%m%dT%H%M%SZ') "
+    f"|| '&location=' || {_URL.format('location')} || '&details=' || {_URL.format('description')} AS url FROM cal"
+)
 def k7_google_url(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = calendar(spark, sf_dir).filter("coalesce(location, '') not like '% %' and coalesce(description, '') = ''")
-    return rows.select("id", export.google_calendar_url().alias("url"))
+    return calendar(spark, sf_dir).select("id", export.google_calendar_url().alias("url"))
 
 
 @query("SELECT city, unnest(['# ' || name, url]) AS line FROM feeds WHERE status = 'active'")
@@ -676,12 +710,13 @@ def k3_geo_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregates.geo_summary(dropped).withColumn("titles", F.array_join("titles", "|"))
 
 
-@query("SELECT city, count(*) AS n FROM cal GROUP BY city")
+@query(
+    "SELECT city, '{\"categories\":[' || c || '],\"images\":[{\"with_image\":' || i || '}]}' AS report FROM (SELECT city, string_agg('{\"category\":\"' || category || '\",\"count\":' || n || '}', ',' ORDER BY category) AS c, CAST(sum(i) AS VARCHAR) AS i "
+    "FROM (SELECT city, coalesce(category, '') AS category, CAST(count(*) AS VARCHAR) AS n, count(image_url) AS i FROM cal GROUP BY 1, 2) GROUP BY city)"
+)
 def k9_report_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     cal = calendar(spark, sf_dir)
-    docs = export.report_documents({"categories": cal.groupBy("city", F.coalesce("category", F.lit("")).alias("category")).count(), "images": cal.groupBy("city").agg(F.count("image_url").alias("with_image"))})
-    parsed = F.from_json(F.get_json_object("report", "$.categories"), "array<struct<category:string,count:bigint>>")
-    return docs.select("city", F.aggregate(parsed, F.lit(0).cast("bigint"), lambda a, x: a + x["count"]).alias("n"))
+    return export.report_documents({"categories": cal.groupBy("city", F.coalesce("category", F.lit("")).alias("category")).count(), "images": cal.groupBy("city").agg(F.count("image_url").alias("with_image"))})
 
 
 @query("SELECT id, name, url FROM feeds WHERE status IN ('active', 'pending') AND city = 'city1' AND id >= 5 ORDER BY name DESC, id LIMIT 7".replace("id >= 5", "id >= 5"))
@@ -720,15 +755,6 @@ def i2_delete_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.delete_stale(cal, "city1", cal.filter("id % 2 = 0"))[0].select("id", "city")
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``, or a temporary one where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def _calendar_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{sf_dir}/events.parquet"
     stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/events.parque[t]")  # a glob: file or folder
@@ -738,12 +764,12 @@ def _calendar_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT start_time AS hour, city, count(*) AS events FROM cal WHERE start_time + INTERVAL 1 HOUR <= (SELECT max(start_time) FROM cal) - INTERVAL 24 HOUR GROUP BY 1, 2")
 def i10_streaming_hourly_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = jobs.run_to_files(jobs.hourly_counts(_calendar_stream(spark, sf_dir)), _scratch(spark, "hourly"), _scratch(spark, "hourly-state"))
+    out = jobs.run_to_files(jobs.hourly_counts(_calendar_stream(spark, sf_dir)), new_folder(spark, "hourly"), new_folder(spark, "hourly-state"))
     return out.select(F.col("hour").cast("timestamp_ntz").alias("hour"), "city", "events")
 
 
 @query("SELECT DISTINCT source_uid FROM cal WHERE source_uid IS NOT NULL")
 def i6_streaming_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = _calendar_stream(spark, sf_dir).filter("source_uid is not null").select("source_uid", "start_time", "id")
-    out = jobs.run_to_files(jobs.first_seen(stream), _scratch(spark, "seen"), _scratch(spark, "seen-state"))
+    out = jobs.run_to_files(jobs.first_seen(stream), new_folder(spark, "seen"), new_folder(spark, "seen-state"))
     return out.select("source_uid")

@@ -103,7 +103,8 @@ def combine(rows: DataFrame, now: Column, year: int, month: int, allowed: tuple[
     kept = kept.filter(~is_stale(blank(F.col("url")), year, month))
     if allowed:
         kept = kept.filter(in_area(F.col("location"), allowed, excluded))
-    return first_by_uid(kept, [F.col("dtstart"), F.col("file"), F.col("pos")], "uid")
+    order = [F.col("dtstart"), F.col("file"), F.col("pos")]
+    return first_by_uid(kept, order, "uid").orderBy(*order)
 
 
 def convert(rows: DataFrame, city_zone: Column, now: Column) -> DataFrame:

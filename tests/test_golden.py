@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from eventloom.functions import dates, geo, html, labels, recurrence, text, urls
 from eventloom.functions.similarity import token_set
-from eventloom.functions.snippet import best_sentence
+from eventloom.functions.snippet import REPORT, SITE, with_snippet
 from eventloom.operators import aggregates, classify, cluster, dedup, filters, store, windows
 from eventloom.sources import export, ics, registries, web
 from eventloom.streaming import jobs
@@ -176,10 +176,11 @@ def test_prefix_groups(spark):
         (date(2026, 1, 1), "handsonahardbody", False), (date(2026, 1, 1), "handsonahardbodyatspreckelsperforming", True),
         (date(2026, 1, 2), "afterschoolclub", False), (date(2026, 1, 2), "afterschoolclubrobotics", False), (date(2026, 1, 3), "short", True), (date(2026, 1, 3), "shortandlong", True),
     ]
-    df = spark.createDataFrame(rows, "day date, title_key string, has_agg boolean")
-    got = {r.title_key: r.merged_key for r in cluster.prefix_groups(df).collect()}
-    assert got.pop("handsonahardbodyatspreckelsperforming") == "handsonahardbody"
-    assert all(k == v for k, v in got.items())
+    cities = [("a", *r) for r in rows] + [("b", *rows[1]), ("c", *rows[0])]  # no city's keys meet another's
+    df = spark.createDataFrame(cities, "city string, day date, title_key string, has_agg boolean")
+    got = {(r.city, r.title_key): r.merged_key for r in cluster.prefix_groups(df).collect()}
+    assert got.pop(("a", "handsonahardbodyatspreckelsperforming")) == "handsonahardbody"
+    assert len(got) == 7 and all(k == v for (_, k), v in got.items())
 
 
 def test_prefix_groups_query_reads_whole_titles(spark, tmp_path):
@@ -193,9 +194,10 @@ def test_prefix_groups_query_reads_whole_titles(spark, tmp_path):
     for _ in range(200):
         texts.append((rnd.choice(texts) or "hands")[:40] + " " + "".join(rnd.choices("ab", k=rnd.randint(1, 9))))
     rows = [(i, t, rnd.choice(["src0", "src1", "src1"])) for i, t in enumerate(texts)]
-    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = [(i, t, s, "en") for i, t, s in rows]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
     want, days = {}, {}
-    for i, t, source in rows:
+    for i, t, source, _ in rows:
         key = t and "".join(c for c in t.lower() if c.isalnum())[:40]
         day = days.setdefault(i % 7 + 1, {})
         day[key] = day.get(key, False) or source == "src0"
@@ -217,7 +219,7 @@ def test_clusters_are_transitive(spark):
     rows = [(1, "Open Mic Night", "A", t), (2, "Open Mic Night", None, t), (3, "Open Mic Night", "B", t), (4, "Yoga", None, t), (5, "Open Mic Night", "A", datetime(2026, 1, 2))]
     df = spark.createDataFrame(rows, "id long, title string, location string, start_time timestamp_ntz")
     got = {r.id: r.cluster_id for r in cluster.cluster_titles(df, ["start_time"]).collect()}
-    assert got == {1: 0, 2: 0, 3: 0, 4: None}  # a slot with one event has no cluster
+    assert got == {1: 0, 2: 0, 3: 0, 4: None, 5: None}  # an event alone in its slot has no cluster
     kept = {r.id for r in cluster.legacy_dedupe(df, ["start_time"]).collect()}
     assert kept == {1, 4, 5}
 
@@ -355,8 +357,6 @@ def test_text_helpers(spark):
     assert one(spark, dates.parse_date(F.col("t")).cast("string"), t="Friday, January 2nd, 2026") == "2026-01-02"
     assert one(spark, dates.parse_time(F.col("t")), t="7:30 p.m.") == "19:30"
     assert one(spark, text.clean_command(F.col("t")), t="python scrapers/a.py --output x.ics  -q") == "python scrapers/a.py -q"
-    assert best_sentence("Tickets here. Join us for a night of music by the river! Zoom link", "Music") == "Join us for a night of music by the river!"
-    assert best_sentence("", "x") is None and best_sentence("too short", None) is None
 
 
 def test_exports(spark):
@@ -372,6 +372,48 @@ def test_classify_fans_out(spark):
     assert got == {1: "Music / Concerts", 2: "Music / Concerts", 3: "Health / Wellness", 4: "Food / Drink", 5: None}
 
 
+def test_snippets(spark):
+    rows = [
+        ("Tickets here. Join us for a night of music by the river! Zoom link", "Music", "Join us for a night of music by the river!", None),
+        ("<p>A &amp; B play<br>the very best of all the music</p>", "x", "the very best of all the music", None),
+        ("About us: come and join the very best of all singers from the town.", None, "About us: come and join the very best of all singers from the town.", "come and join the very best of all singers from the town."),
+        ("x" * 40 + " and the " + "y" * 51 + " z.", None, "x" * 40 + " and the " + "y" * 51 + "...", "x" * 40 + " and the..."),
+        ("Join from almost anywhere in the world and sing with us.", None, None, "Join from almost anywhere in the world and sing with us."),
+        ("The Jazz Night at the club", "The Jazz Night at the Club", None, None),
+        ("", "x", None, None), ("too short", None, None, None), (None, None, None, None),
+    ]
+    df = spark.createDataFrame([(i, *r[:2]) for i, r in enumerate(rows)], "i int, description string, title string")
+    for variant, at in ((SITE, 2), (REPORT, 3)):
+        got = {r.i: r.snippet for r in with_snippet(df, variant=variant).collect()}
+        assert got == {i: r[3] if at == 3 and r[3] else r[2] for i, r in enumerate(rows)}
+
+
+def test_dates_in_texts(spark):
+    days = {
+        "on 2026-02-03": "2026-02-03", "02.03.26": "2026-02-03", "Feb 3 2026": "2026-02-03", "Sat February 3, 2026 at 7": "2026-02-03", "Friday, January 2nd, 2026": "2026-01-02",
+        "2/3/26": "2026-02-03", "3 Mar 2026": "2026-03-03", "Smarch 3, 2026": None, "2026-13-45": None, "Feb 3": None, "": None,
+    }
+    times = {"7:30 p.m.": "19:30", "Doors 7pm": "19:00", "12AM": "00:00", "12:15 PM": "12:15", "18:00": "18:00", "2026-01-02": None, "7": None, "25:00": None, "noon": "12:00", "": None}
+    for text_, want in days.items():
+        assert one(spark, dates.parse_date(F.col("t")).cast("string"), t=text_) == want, text_
+    assert one(spark, dates.parse_date(F.col("t"), 2027).cast("string"), t="Room 4, Feb 3") is None  # the first word and number decide
+    assert one(spark, dates.parse_date(F.col("t"), 2027).cast("string"), t="Feb 3") == "2027-02-03"
+    for text_, want in times.items():
+        assert one(spark, dates.parse_time(F.col("t")), t=text_) == want, text_
+
+
+def test_clusters_keep_every_event(spark):
+    rows = [
+        (1, "Jazz Night", "Hall", "a"), (2, "jazz night", "", "a"), (3, "Night Jazz", "Bar", "a"), (4, "Chess", None, "a"), (5, "Jazz Night", "Hall", "b"), (6, "Jazz Night", "Hall", "b"),
+        (7, "Poetry slam", "x", "b"), (8, "Poetry slams", "", "b"), (9, "Jazz Night", "Hall", None), (10, "Jazz Night", "Hall", None), (11, None, None, "a"), (12, "Chess club", "x", "a"), (13, "Chess club", "y", "a"),
+    ]
+    df = spark.createDataFrame(rows, "id long, title string, location string, slot string")
+    got = {r.id: r.cluster_id for r in cluster.cluster_titles(df, ["slot"]).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 0, 5: 0, 6: 0, 7: 1, 8: 1, 9: None, 10: None, 11: None, 12: 0, 13: 0}
+    kept = {r.id for r in cluster.legacy_dedupe(df.fillna({"slot": "a"}), ["slot"]).collect()}
+    assert kept == {1, 3, 4, 5, 7, 11, 12}
+
+
 def test_upsert_stream(spark, tmp_path):
     src = str(tmp_path / "in")
     schema = "source_uid string, city string, id long, start_time timestamp"
@@ -381,5 +423,28 @@ def test_upsert_stream(spark, tmp_path):
     run()
     add([("a", "y", 9, datetime(2026, 1, 2))])
     run()
-    table = spark.read.parquet(f"{tmp_path}/t/gen={jobs.latest(spark, f'{tmp_path}/t')}")
-    assert {(r.source_uid, r.city, r.id) for r in table.collect()} == {("a", "y", 9), ("b", "x", 2)}
+    state = lambda: {(r.source_uid, r.city, r.id) for r in jobs.read_current(spark, str(tmp_path / "t")).collect()}
+    assert state() == {("a", "y", 9), ("b", "x", 2)}
+    # a batch that was published before its commit is replayed
+    for f in sorted((tmp_path / "c" / "commits").glob("*1*")):
+        f.unlink()
+    run()
+    assert state() == {("a", "y", 9), ("b", "x", 2)} and jobs.latest(spark, str(tmp_path / "t"))[0] == 2
+    # another checkpoint goes on from the current generation
+    add([("c", "z", 11, datetime(2026, 1, 3))])
+    jobs.upsert_stream(spark.readStream.schema(schema).parquet(src), str(tmp_path / "t"), str(tmp_path / "c2")).awaitTermination()
+    assert {u for u, _, _ in state()} == {"a", "b", "c"}
+
+
+def test_history_and_refresh(spark, tmp_path):
+    schema = "city string, feed string, date date, count int, error string, seq long"
+    src, table = str(tmp_path / "in"), str(tmp_path / "h")
+    add = lambda rows: spark.createDataFrame(rows, schema).write.mode("append").parquet(src)
+    run = lambda: jobs.history_stream(spark.readStream.schema(schema).parquet(src), table, str(tmp_path / "c"), 2).awaitTermination()
+    day = lambda n: datetime(2026, 1, n).date()
+    add([("x", "f", day(1), 3, None, 1), ("x", "f", day(2), 4, None, 2), ("x", "g", day(2), 4, None, 3)])
+    run()
+    add([("x", "f", day(2), 5, None, 4), ("x", "f", day(3), 6, None, 5)])
+    run()
+    assert {(r.feed, r.date.day, r["count"]) for r in jobs.read_current(spark, table).collect()} == {("f", 2, 5), ("f", 3, 6), ("g", 2, 4)}
+    assert jobs.refresh(spark.range(3), str(tmp_path / "r")).count() == 3 and jobs.refresh(spark.range(5), str(tmp_path / "r")).count() == 5
