@@ -4,11 +4,12 @@ Several sequence lengths are permitted.  Documents longer than the longest are c
 into pieces; pieces are dealt into shards of bounded total length along a global
 running sum, so that no task holds an unbounded group and a hot document id is
 spread.  Within a shard pieces go, longest first, into the open bin that they fill
-best; if none fits, a bin is opened.  Which size to open is optimised jointly: the
-shard is packed under every opening rule (each permitted length as the preferred
-size, and the smallest that fits), each result is downsized, every bin shrinking to
-the least permitted length that holds its contents, and the cheapest is kept.  The
-cost of a bin is its length plus OVERHEAD (what starting a sequence costs).
+best.  If none fits, a bin is opened, and every permitted length that holds the piece
+is tried on what is still to be packed: the bin is filled with the longest pieces that
+fit, shrunk to the least permitted length, and costed by the token, at its length plus
+OVERHEAD (what starting a sequence costs).  The length of least cost is opened, of
+equal ones the longest, which later pieces can still fill.  At the end every bin is
+downsized to the least permitted length that holds its contents.
 
 Edge cases: null and blank texts have no piece to pack; they keep one row with
 ``n_tokens`` 0 and no bin.  Repeated rows are packed each.  Extra columns are
@@ -17,15 +18,15 @@ ignored.  An empty table gives an empty result.
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right, insort
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import running_sum
+from .common import materialize, running_sum
 from .mixing import n_words
 
 CAPACITIES = (512, 1024, 2048, 4096, 8192)
@@ -33,14 +34,34 @@ OVERHEAD = 32
 SHARD_TOKENS = 2_000_000
 
 
-def best_fit(sizes: list[int], prefer: int, capacities: tuple[int, ...]) -> tuple[list[int], list[int], list[int]]:
-    """Best fit of ``sizes`` (taken in the given order): bin and offset of each
-    piece, and the downsized capacity of each bin.  New bins have the preferred
-    capacity, or the least that fits a larger piece."""
+def opening(rest: Counter, sizes: list[int], size: int, capacities: tuple[int, ...], overhead: int) -> int:
+    """The capacity to open for a piece of ``size``: the one of least cost a token once
+    filled from ``rest``, the counts by size of the pieces still to be packed; ``sizes``
+    are those that occur, ascending."""
+    costs = []
+    for cap in capacities[bisect_left(capacities, size) :]:
+        room, at = cap - size, len(sizes)
+        while room and (at := bisect_right(sizes, room, 0, at)):
+            at -= 1  # the longest that fits, as often as it fits and occurs
+            room -= sizes[at] * min(rest[sizes[at]], room // sizes[at])
+        full = cap - room
+        costs.append(((capacities[bisect_left(capacities, full)] + overhead) / full, -cap))
+    return -min(costs)[1]
+
+
+def best_fit(sizes: list[int], capacities: tuple[int, ...], overhead: int) -> tuple[list[int], list[int], list[int]]:
+    """Best fit of ``sizes``, given in descending order: bin and offset of each piece,
+    and the downsized capacity of each bin.  Of bins with equal room the latest is
+    filled."""
     free: list[list[int]] = [[] for _ in range(capacities[-1] + 1)]  # open bins by free room
     rooms: list[int] = []  # the rooms that occur, ascending
-    bins, offsets, used, caps = [], [], [], []
+    rest = Counter(sizes)
+    left = sorted(rest)
+    bins, offsets, used = [], [], []
     for size in sizes:
+        rest[size] -= 1
+        if not rest[size]:
+            left.pop()  # the largest that was left
         at = bisect_left(rooms, size)
         if at < len(rooms):
             room = rooms[at]
@@ -49,9 +70,8 @@ def best_fit(sizes: list[int], prefer: int, capacities: tuple[int, ...]) -> tupl
                 rooms.pop(at)
         else:
             b = len(used)
-            room = max(prefer, capacities[bisect_left(capacities, size)])
+            room = opening(rest, left, size, capacities, overhead)
             used.append(0)
-            caps.append(room)
         bins.append(b)
         offsets.append(used[b])
         used[b] += size
@@ -62,15 +82,9 @@ def best_fit(sizes: list[int], prefer: int, capacities: tuple[int, ...]) -> tupl
     return bins, offsets, [capacities[bisect_left(capacities, u)] for u in used]
 
 
-def cheapest(sizes: list[int], capacities: tuple[int, ...], overhead: int) -> tuple[list[int], list[int], list[int]]:
-    """The best-fit packing of least cost over all opening rules."""
-    packed = [best_fit(sizes, prefer, capacities) for prefer in (0, *capacities)]
-    return min(packed, key=lambda p: sum(p[2]) + overhead * len(p[2]))
-
-
 def pieces(docs: DataFrame, longest: int, tokens: Column) -> DataFrame:
     """(doc_id, piece, start, n_tokens): documents cut at the longest length."""
-    n = docs.select("doc_id", tokens.alias("n"))
+    n = materialize(docs.select("doc_id", tokens.alias("n")), "lengths")  # texts are counted once
     count = F.greatest(F.lit(1), F.ceil(F.col("n") / longest)).cast("int")
     cut = n.select("doc_id", "n", F.explode(F.sequence(F.lit(0), count - 1)).alias("piece"))
     start = (F.col("piece") * F.lit(longest)).cast("long")
@@ -101,7 +115,7 @@ def pack(
         size = table.column("n_tokens").to_numpy()
         order = np.lexsort((table.column("piece").to_numpy(), -size))
         table, size = table.take(order), size[order]
-        bins, offsets, caps = cheapest(size.tolist(), capacities, overhead)
+        bins, offsets, caps = best_fit(size.tolist(), capacities, overhead)
         bins_ = np.array(bins, np.int64)
         out = {n: table.column(n) for n in ("doc_id", "piece", "start", "n_tokens")}
         out["bin_id"] = pa.array(bins_ + (table.column("shard")[0].as_py() << 32))
