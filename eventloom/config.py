@@ -141,3 +141,45 @@ SNIPPET_POINTS = (
 )
 #: Snippets, fixed values: points for the title alone, and for the title and little else.
 SNIPPET_TITLE_POINTS = (-6, -4)
+
+#: Connectors that are configuration only, fixed values: source, kind, domain, zone, default
+#: location, and the site or page that its links are relative to.
+CONNECTORS = (
+    ("Bloomington Symphony Orchestra", "tribe", "bloomingtonsymphony.com", "America/Indiana/Indianapolis", "Buskirk-Chumley Theater, 114 E Kirkwood Ave, Bloomington, IN 47408", "https://www.bloomingtonsymphony.com/"),
+    ("Brewsters Beer Garden", "squarespace", "brewstersbeergarden.com", "America/Los_Angeles", "Brewsters Beer Garden, 229 Water St, Petaluma, CA 94952", "https://brewstersbeergarden.com"),
+    ("City Planning Consultations", "social_pinpoint", "haveyoursay.toronto.ca", "America/Toronto", "", "https://haveyoursay.toronto.ca/city-planning-development-review-community-consultations"),
+    ("City of Toronto Public Consultations", "social_pinpoint", "haveyoursay.toronto.ca", "America/Toronto", "", "https://haveyoursay.toronto.ca/events"),
+    ("Jazz House Kids", "tribe", "jazzhousekids.org", "America/New_York", "Montclair, NJ", "https://jazzhousekids.org/"),
+    ("Limestone Post", "cityspark", "limestonepost.org", "America/Indiana/Indianapolis", "", "https://limestonepost.org/calendar/"),
+    ("Mercury Theater", "squarespace", "mercurytheater.org", "America/Los_Angeles", "Mercury Theater, 3333 Petaluma Blvd N, Petaluma, CA 94952", "https://www.mercurytheater.org"),
+    ("NAMI Greater Bloomington", "tribe", "namigreaterbloomingtonarea.org", "America/Indiana/Indianapolis", "Bloomington, IN", "https://namigreaterbloomingtonarea.org/"),
+    ("NJ Poetry Events", "squarespace", "njpoetryevents.com", "America/New_York", "NJ", "https://www.njpoetryevents.com"),
+    ("Pushcart Players", "tribe", "pushcartplayers.org", "America/New_York", "Verona, NJ", "https://pushcartplayers.org/"),
+    ("Skyline Theatre Company", "tribe", "skylinetheatrecompany.org", "America/New_York", "Bloomfield, NJ", "https://skylinetheatrecompany.org/"),
+    ("The Bluebird", "seetickets", "thebluebird.ws", "America/Indiana/Indianapolis", "Bluebird Nightclub, 216 N Walnut St, Bloomington, IN", "https://www.thebluebird.ws/"),
+    ("Third Room", "seetickets", "thirdroom.art", "America/New_York", "Third Room, 46 Wall St, Asheville, NC 28801", "https://thirdroom.art/calendar/"),
+    ("Toronto Catholic District School Board Meetings", "escribe", "tcdsbpublishing.escribemeetings.com", "America/Toronto", "", "https://tcdsbpublishing.escribemeetings.com/"),
+    ("Toronto District School Board Meetings", "escribe", "pub-tdsb.escribemeetings.com", "America/Toronto", "", "https://pub-tdsb.escribemeetings.com/"),
+    ("Toronto Public Library", "bibliocommons", "tpl.bibliocommons.com", "America/Toronto", "", ""),
+    ("Volunteer Toronto", "bibliocommons", "tpl.bibliocommons.com", "America/Toronto", "", ""),
+    ("WFHB Community Calendar", "em_events", "wfhb.org", "America/Indiana/Indianapolis", "Bloomington, IN", "https://wfhb.org/"),
+    ("Writers Guild at Bloomington", "sugar_calendar", "writersguildbloomington.com", "America/Indiana/Indianapolis", "Bloomington, IN", "https://writersguildbloomington.com/events/"),
+)
+
+#: Bare quotes inside a JSON description, fixed values: the value's place, and what to escape in it.
+JSON_DESCRIPTION = r'"description":\s*"(.+?)"\s*[,}]'
+BARE_QUOTE = r'(?<!\\)"'
+
+#: Feed slugs, fixed values: where a provider shows (host or path) and by what, the lead of its
+#: slug, the pattern of the part that must be there (or null), and the pattern of an optional
+#: last part.
+SLUG_RULES = (
+    ("host", "meetup.com", "meetup_", r"meetup\.com/([^/]+)", None),
+    ("host", "tockify.com", "tockify_", r"/ics/([^/]+)", None),
+    ("path", "/iCalendar/iCalendar.aspx", "civicplus_", None, r"catID=(\d+)"),
+    ("path", "/fs/calendar-manager/", "", None, r"calendar_ids(?:%5B%5D|\[\])?=(\d+)"),
+    ("host", "calendar.google.com", "gcal_", r"ical/([^%/]+)", None),
+    ("host", "libcal.com", "libcal_", None, r"cid=(\d+)"),
+    ("host", "campuslabs.com", "campuslabs_", None, None),
+    ("path", "/live/ical/", "", None, r"group_id/(\d+)"),
+)

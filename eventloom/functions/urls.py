@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..config import SLUG_SKIPS
+from ..config import SLUG_RULES, SLUG_SKIPS
 
 
 def host(url: Column) -> Column:
@@ -26,25 +28,28 @@ def is_stale(url: Column, year: int, month: int) -> Column:
 
 
 def feed_slug(url: Column) -> Column:
-    """A readable file stem for a feed: nine provider rules in order, then domain and path."""
+    """A readable file stem for a feed: the first provider of SLUG_RULES that it shows, else
+    domain and path."""
     netloc, where = host(url), path(url)
     domain = F.split(F.replace(netloc, F.lit("www."), F.lit("")), r"\.")[0]
     squash = lambda c: F.regexp_replace(F.lower(F.regexp_replace(c, r"[^a-zA-Z0-9]+", "_")), r"^_+|_+$", "")
-    part = lambda p: F.regexp_extract(url, p, 1)
-    suffix = lambda p: F.when(part(p) != "", F.concat(F.lit("_"), part(p))).otherwise("")
-    ids = F.array_join(F.regexp_extract_all(url, F.lit(r"calendar_ids(?:%5B%5D|\[\])?=(\d+)"), F.lit(1)), "_")
-    school = F.when(ids != "", F.concat(domain, F.lit("_cal_"), ids)).otherwise(F.concat(domain, F.lit("_calendar_manager")))
-    label = lambda p, d: F.coalesce(F.nullif(F.regexp_extract(netloc, p, 1), F.lit("")), F.lit(d))
+    slug = F.when(F.lit(False), "")
+    for place, mark, lead, needed, last in SLUG_RULES:
+        shows = F.contains(netloc if place == "host" else where, F.lit(mark))
+        tail = F.when(F.regexp_extract(url, last, 1) != "", F.concat(F.lit("_"), F.regexp_extract(url, last, 1))).otherwise("") if last else F.lit("")
+        if needed:  # the part in the URL names the feed; that of one provider is kept as it is
+            part = F.regexp_extract(url, needed, 1)
+            shows, name = shows & (part != ""), part if lead == "tockify_" else squash(part)
+        elif place == "host":  # the account is the host's first label
+            name = F.coalesce(F.nullif(F.regexp_extract(netloc, rf"^([^.]+)\.{re.escape(mark)}", 1), F.lit("")), F.lit(mark.split(".")[0]))
+        else:
+            name = domain
+        if mark == "/live/ical/":
+            name = F.concat(domain, F.lit("_livewhale"))
+        if mark == "/fs/calendar-manager/":
+            ids = F.array_join(F.regexp_extract_all(url, F.lit(last), F.lit(1)), "_")
+            name, tail = F.substring(squash(F.when(ids != "", F.concat(domain, F.lit("_cal_"), ids)).otherwise(F.concat(domain, F.lit("_calendar_manager")))), 1, 50), F.lit("")
+        slug = slug.when(shows, F.concat(F.lit(lead), name, tail))
     parts = F.slice(F.filter(F.split(where, "/"), lambda p: (p != "") & ~p.isin(*SLUG_SKIPS)), 1, 2)
     plain = F.when(F.size(parts) > 0, F.concat(domain, F.lit("_"), F.array_join(parts, "_"))).otherwise(domain)
-    return (
-        F.when(F.contains(netloc, F.lit("meetup.com")) & (part(r"meetup\.com/([^/]+)") != ""), F.concat(F.lit("meetup_"), squash(part(r"meetup\.com/([^/]+)"))))
-        .when(F.contains(netloc, F.lit("tockify.com")) & (part(r"/ics/([^/]+)") != ""), F.concat(F.lit("tockify_"), part(r"/ics/([^/]+)")))
-        .when(F.contains(where, F.lit("/iCalendar/iCalendar.aspx")), F.concat(F.lit("civicplus_"), domain, suffix(r"catID=(\d+)")))
-        .when(F.contains(where, F.lit("/fs/calendar-manager/")), F.substring(squash(school), 1, 50))
-        .when(F.contains(netloc, F.lit("calendar.google.com")) & (part(r"ical/([^%/]+)") != ""), F.concat(F.lit("gcal_"), squash(part(r"ical/([^%/]+)"))))
-        .when(F.contains(netloc, F.lit("libcal.com")), F.concat(F.lit("libcal_"), label(r"^([^.]+)\.libcal\.com", "libcal"), suffix(r"cid=(\d+)")))
-        .when(F.contains(netloc, F.lit("campuslabs.com")), F.concat(F.lit("campuslabs_"), label(r"^([^.]+)\.campuslabs\.com", "campuslabs")))
-        .when(F.contains(where, F.lit("/live/ical/")), F.concat(domain, F.lit("_livewhale"), suffix(r"group_id/(\d+)")))
-        .otherwise(F.substring(squash(plain), 1, 50))
-    )
+    return slug.otherwise(F.substring(squash(plain), 1, 50))

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import json
+import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -78,15 +81,26 @@ def distinct_issues(issues: DataFrame) -> DataFrame:
 _OPS = {"eq": "=", "neq": "<>", "gt": ">", "gte": ">=", "lt": "<", "lte": "<="}
 
 
-def rest_filter(df: DataFrame, params: dict[str, str]) -> DataFrame:
+def rest_filter(df: DataFrame, params: dict[str, str], related: dict[str, tuple[DataFrame, str, str]] | None = None) -> DataFrame:
     """A table read by REST-style parameters: ``col=op.value`` with eq, neq, gt, gte, lt,
-    lte, in, is, not.is; and ``select``, ``order``, ``limit``, ``offset``."""
+    lte, like, ilike, in, is and not before each; ``or=(col.op.value,...)``; and ``select``,
+    ``order``, ``limit``, ``offset``.  A term ``name(columns)`` of ``select`` embeds the related
+    row as a struct, null if there is none; ``related`` gives its table, the column that
+    refers to it, and its key."""
     out = df
     for name, text in params.items():
-        if name in ("select", "order", "limit", "offset"):
-            continue
-        op, _, value = text.partition(".")
-        out = out.filter(_condition(F.col(name), op, value))
+        if name == "or":
+            terms = [t.split(".", 2) for t in _terms(text.strip()[1:-1])]
+            out = out.filter(reduce(or_, (_condition(F.col(c), op, value) for c, op, value in terms)))
+        elif name not in ("select", "order", "limit", "offset"):
+            op, _, value = text.partition(".")
+            out = out.filter(_condition(F.col(name), op, value))
+    terms = _terms(params.get("select", "*"))
+    for term in (t for t in terms if t.endswith(")")):
+        name, _, columns = term[:-1].partition("(")
+        table, refers, key = (related or {})[name]
+        chosen = F.struct(*[F.col(c) for c in (table.columns if columns == "*" else columns.split(","))])
+        out = out.join(table.select(F.col(key).alias(f"__{name}"), chosen.alias(name)), F.col(refers) == F.col(f"__{name}"), "left").drop(f"__{name}")
     if "order" in params:
         keys = []
         for term in params["order"].split(","):
@@ -100,8 +114,12 @@ def rest_filter(df: DataFrame, params: dict[str, str]) -> DataFrame:
         out = out.offset(int(params["offset"]))
     if "limit" in params:
         out = out.limit(int(params["limit"]))
-    chosen = params.get("select", "*")
-    return out if chosen == "*" else out.select(*chosen.split(","))
+    return out.select(*[t.partition("(")[0] for t in terms])
+
+
+def _terms(text: str) -> list[str]:
+    """Split at commas outside brackets."""
+    return re.findall(r"(?:[^,(]|\([^)]*\))+", text)
 
 
 def _condition(c: Column, op: str, value: str) -> Column:
@@ -112,6 +130,9 @@ def _condition(c: Column, op: str, value: str) -> Column:
         return c.isin(*[x.strip().strip('"') for x in value.strip("()").split(",")])
     if op == "is":
         return c.isNull() if value == "null" else c == F.lit(value == "true")
+    if op in ("like", "ilike"):
+        pattern = "".join(".*" if x == "*" else re.escape(x) for x in re.split(r"([*])", value))
+        return c.rlike(f"{'(?is)' if op == 'ilike' else '(?s)'}^{pattern}$")
     if op == "not":
         return ~_condition(c, *value.split(".", 1))
     raise ValueError(f"unknown operator {op}")

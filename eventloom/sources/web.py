@@ -1,4 +1,4 @@
-"""Event records in pages and feeds: JSON-LD, RSS, JSON APIs, class-marked HTML.
+"""Event records in pages and feeds: JSON-LD, RSS, class-marked HTML.
 
 Fetching is outside the engine; these take text columns."""
 
@@ -13,16 +13,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..config import BARE_QUOTE, JSON_DESCRIPTION
+from ..functions.html import unescape
 from ..functions.text import blank, strip_tags_spaced
 
+_DESCRIPTION, _QUOTE = re.compile(JSON_DESCRIPTION), re.compile(BARE_QUOTE)
 EVENT_EXTRAS = ("Festival", "Hackathon", "CourseInstance", "EventSeries")
 
 
 @F.pandas_udf(T.StringType())
 def repair_json(s: pd.Series) -> pd.Series:
     """Escape bare quotes inside description values."""
-    fix = lambda m: m[1] + re.sub(r'(?<!\\)"', r"\\" + '"', m[2]) + m[3]
-    return s.map(lambda x: None if x is None else re.sub(r'("description":\s*")(.+?)("\s*[,}])', fix, x))
+
+    def mended(text: str) -> str:
+        parts, at = [], 0
+        for value in _DESCRIPTION.finditer(text):
+            parts += [text[at : value.start(1)], _QUOTE.sub('\\\\"', value[1])]
+            at = value.end(1)
+        return "".join([*parts, text[at:]])
+
+    return s.map(lambda x: None if x is None else mended(x))
 
 
 def jsonld_blocks(pages: DataFrame, html: str = "html") -> DataFrame:
@@ -82,11 +92,12 @@ RSS_ITEM = "struct<title:string,link:string,description:string,pubDate:string,gu
 def rss_items(feeds: DataFrame, xml: str = "xml") -> DataFrame:
     """(feed, title, link, description, published) of RSS items and Atom entries in a text column."""
     body = F.regexp_extract_all(F.col(xml), F.lit(r"(?s)<(?:item|entry)\b[^>]*>(.*?)</(?:item|entry)>"), F.lit(1))
-    tag = lambda *names: F.coalesce(*[
-        F.nullif(F.trim(F.regexp_replace(F.regexp_extract("x", rf"(?s)<{n}\b[^>]*>(.*?)</{n}>", 1), r"(?s)^<!\[CDATA\[(.*)\]\]>$", "$1")), F.lit("")) for n in names
-    ])
+    cdata = r"(?s)^<!\[CDATA\[(.*)\]\]>$"
+    one = lambda n: F.trim(F.regexp_extract("x", rf"(?s)<{n}\b[^>]*>(.*?)</{n}>", 1))
+    plain = lambda c: F.when(c.rlike(cdata), F.regexp_replace(c, cdata, "$1")).otherwise(unescape(c))  # noqa: E731  entities mean themselves in CDATA only
+    tag = lambda *names: plain(F.coalesce(*[F.nullif(one(n), F.lit("")) for n in names]))
     rows = feeds.select("feed", F.explode(body).alias("x"))
-    link = F.coalesce(tag("link"), F.nullif(F.regexp_extract("x", r'<link\b[^>]*href="([^"]*)"', 1), F.lit("")))
+    link = F.coalesce(tag("link"), unescape(F.nullif(F.regexp_extract("x", r'<link\b[^>]*href="([^"]*)"', 1), F.lit(""))))
     published = tag("pubDate", "published", "updated")
     at = F.coalesce(
         F.try_to_timestamp(published),
@@ -96,49 +107,6 @@ def rss_items(feeds: DataFrame, xml: str = "xml") -> DataFrame:
     return rows.select("feed", tag("title").alias("title"), link.alias("link"), tag("description", "summary").alias("description"), tag("guid", "id").alias("guid"), at.alias("published"))
 
 
-#: Field paths of JSON event APIs: where the list is, then title, start, end, location, url.
-JSON_APIS = {
-    "tribe": ("$.events", "$.title", "$.start_date", "$.end_date", "$.venue.venue", "$.url"),
-    "cityspark": ("$.Value", "$.Name", "$.StartUTC", "$.EndUTC", "$.Venue", "$.Links[0].url"),
-    "ckan": ("$.result.records", "$.title", "$.start", "$.end", "$.location", "$.url"),
-    "bibliocommons": ("$.events", "$.definition.title", "$.definition.start", "$.definition.end", "$.definition.branchLocationId", "$.id"),
-    "godaddy": ("$.events", "$.title", "$.start", "$.end", "$.location", "$.url"),
-    "escribe": ("$.d", "$.MeetingName", "$.StartDate", "$.EndDate", "$.Location", "$.Url"),
-    "bookmanager": ("$.rows", "$.info.name", "$.info.from", "$.info.to", "$.info.location_text", "$.info.url"),
-    "squarespace": ("$.upcoming", "$.title", "$.startDate", "$.endDate", "$.location.addressTitle", "$.fullUrl"),
-    "social_pinpoint": ("$.data", "$.title", "$.start_at", "$.end_at", "$.location", "$.url"),
-    "dice": ("$.data", "$.name", "$.date", "$.date_end", "$.venue", "$.url"),
-}
-
-
-def api_events(responses: DataFrame, api: str, body: str = "body") -> DataFrame:
-    """Event records of a JSON API's pages: one row per listed object.  Numbers as starts are
-    epoch milliseconds."""
-    where, *paths = JSON_APIS[api]
-    rows = responses.select("source", F.explode(F.from_json(F.get_json_object(body, where), "array<string>")).alias("o"))
-    title, start, end, location, url = (F.get_json_object("o", p) for p in paths)
-    at = lambda c: F.coalesce(F.when(c.rlike(r"^\d{12,}$"), F.timestamp_millis(c.try_cast("bigint"))), F.try_to_timestamp(c))
-    out = rows.select("source", title.alias("title"), at(start).alias("start_time"), at(end).alias("end_time"), location.alias("location"), url.alias("url"))
-    return out.filter("title <> '' and start_time is not null")
-
-
-def elfsight_events(widgets: DataFrame, body: str = "body") -> DataFrame:
-    """Events of a widget's settings; location and type ids are looked up in the same document."""
-    settings = "$.data.settings"
-    entry = "array<struct<id:string,name:string>>"
-    rows = widgets.select(
-        "source", F.from_json(F.get_json_object(body, f"{settings}.locations"), entry).alias("places"),
-        F.from_json(F.get_json_object(body, f"{settings}.eventTypes"), entry).alias("types"),
-        F.explode(F.from_json(F.get_json_object(body, f"{settings}.events"), "array<string>")).alias("o"),
-    )
-    get = lambda p: F.get_json_object("o", p)
-    named = lambda known, ids: F.transform(F.filter(known, lambda e: F.array_contains(ids, e["id"])), lambda e: e["name"])
-    ids = lambda p: F.coalesce(F.from_json(get(p), "array<string>"), F.array(get(p)))
-    start = F.try_to_timestamp(F.concat_ws(" ", get("$.start.date"), get("$.start.time")))
-    out = rows.select("source", get("$.name").alias("title"), start.alias("start_time"), F.array_join(named(F.col("places"), ids("$.location")), ", ").alias("location"), named(F.col("types"), ids("$.eventType")).alias("types"), strip_tags_spaced(get("$.description")).alias("description"))
-    return out.withColumn("uid", F.substring(F.md5(F.concat_ws("-", "title", F.col("start_time").cast("string"))), 1, 16))
-
-
 #: CSS classes of event lists in HTML: the box, title, start, location.
 HTML_CLASSES = {
     "ai1ec": ("ai1ec-event", "ai1ec-event-title", "ai1ec-event-time", "ai1ec-event-location"),

@@ -9,7 +9,7 @@ from eventloom.functions import dates, geo, html, labels, recurrence, text, urls
 from eventloom.functions.similarity import token_set
 from eventloom.functions.snippet import REPORT, SITE, with_snippet
 from eventloom.operators import aggregates, classify, cluster, dedup, filters, store, windows
-from eventloom.sources import export, ics, registries, web
+from eventloom.sources import apis, export, ics, registries, web
 from eventloom.streaming import jobs
 
 
@@ -336,10 +336,10 @@ def test_rss_and_apis(spark):
     r = web.rss_items(spark.createDataFrame([("f", xml)], "feed string, xml string")).first()
     assert (r.title, r.link, r.published) == ("A & B", "http://x", datetime(2026, 1, 2, 10))
     body = '{"events":[{"title":"T","start_date":"2026-01-02 10:00:00","venue":{"venue":"V"},"url":"u"},{"title":""}]}'
-    r = web.api_events(spark.createDataFrame([("s", body)], "source string, body string"), "tribe").collect()
+    r = apis.api_events(spark.createDataFrame([("s", body)], "source string, body string"), "tribe").collect()
     assert [(x.title, x.location) for x in r] == [("T", "V")]
     body = '{"data":{"settings":{"locations":[{"id":"1","name":"L"}],"eventTypes":[{"id":"9","name":"Kind"}],"events":[{"name":"N","start":{"date":"2026-01-02","time":"10:00"},"location":["1"],"eventType":"9"}]}}}'
-    r = web.elfsight_events(spark.createDataFrame([("s", body)], "source string, body string")).first()
+    r = apis.elfsight_events(spark.createDataFrame([("s", body)], "source string, body string"), F.lit("2026-01-01").cast("timestamp_ntz")).first()
     assert (r.title, r.location, r.types, len(r.uid)) == ("N", "L", ["Kind"], 16)
     page = '<div class="em-event x"><h3 class="em-item-title"><a>Jazz</a> Night</h3><div class="em-event-date">Jan 2<br>2026</div></div>'
     r = web.html_events(spark.createDataFrame([("s", page)], "source string, html string"), "em_events").first()
