@@ -57,7 +57,7 @@ def s6_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     forms = (
         say("ATTACH;FMTTYPE=image/png:https://i/a"), say("X-TKF-FEATURED-IMAGE:https://i/k"), say("X-LIVEWHALE-IMAGE:https://i/width/80/height/60/", "\\,x"),
         F.concat(say("IMAGE;VALUE=URI;DISPLAY=THUMBNAIL:https://i/t"), F.lit("\r\n"), say("IMAGE;VALUE=URI;DISPLAY=BADGE:https://i/b")), say("IMAGE;VALUE=URI:https://i/p"),
-        say("X-WP-IMAGES-URL:thumbnail\;https://i/t,large\;https://i/l"), say("X-BEDEWORK-IMAGE:/public/Images/"), F.lit("X-OTHER:none"),
+        say("X-WP-IMAGES-URL:thumbnail\\;https://i/t,large\\;https://i/l"), say("X-BEDEWORK-IMAGE:/public/Images/"), F.lit("X-OTHER:none"),
     )
     line = F.element_at(F.array(*forms), (_kind(8) + 1).cast("int"))
     return ics.parse(_files(calendar(spark, sf_dir), line)).select(_id(), "image_url")
