@@ -2,18 +2,21 @@
 
 Lines are normalised (A-Z lower-cased, digits to 0, white space collapsed) and
 hashed; for each host (the document's ``source``) the distinct documents of a line
-are counted; lines in more than MAX_HOST_DOCS documents of their host are removed,
-and a document that keeps less than half of its words, or under MIN_WORDS, is
-rejected as depleted.
+are counted; lines in more than MAX_HOST_DOCS documents of their host and in more than
+MAX_HOST_MILLE thousandths of them are removed, so that ordinary short lines stay
+however large a host grows; and a document that keeps less than half of its words, or
+under MIN_WORDS, is rejected as depleted.
 
-Counting is one aggregation by (host, line) with map-side combine, so a line that
-a third of all documents share costs one row a task.  Frequent lines are joined
-back by Spark's choice: broadcast if small enough, else a shuffle.
+Rows are counted first, in one aggregation by (host, line) with map-side combine, so a
+line that a third of all documents share costs one row a task.  Only for lines that
+could be above the limits by their rows are the distinct documents counted.  Frequent
+lines are joined back by Spark's choice: broadcast if small enough, else a shuffle.
 
 Edge cases: a null text has no words; it and texts of fewer than MIN_WORDS words
-fail the base rules.  A null host is a host of its own.  Repeated rows are
-documents each (a row id is assigned when the counts are written).  Extra columns
-are ignored; an empty table gives an empty result.
+fail the base rules.  A null host is a host of its own.  Repeated rows are judged
+each (a row id is assigned when the counts are written), but count as one document of
+their doc_id; rows with a null doc_id are not counted.  Extra columns are ignored; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,6 +31,7 @@ from pyspark.sql import functions as F
 from .common import map_batches, materialize, mix64, span_hashes, word_spans
 
 MAX_HOST_DOCS = 200
+MAX_HOST_MILLE = 5
 MIN_WORDS = 10
 MIN_KEPT = 0.5
 _DIGITS = bytes.maketrans(b"123456789", b"0" * 9)
@@ -95,7 +99,9 @@ def line_keys(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return keys.astype(np.int64), np.bincount(inverse, weights=words).astype(np.int32)
 
 
-def judge(docs: DataFrame, max_host_docs: int = MAX_HOST_DOCS, host: str = "source") -> DataFrame:
+def judge(
+    docs: DataFrame, max_host_docs: int = MAX_HOST_DOCS, host: str = "source", max_host_mille: int = MAX_HOST_MILLE
+) -> DataFrame:
     """Per row of ``docs(doc_id, text, host)``: doc_id, the base counts, ``base_failed``,
     ``removed_words`` and ``kept``."""
 
@@ -125,18 +131,19 @@ def judge(docs: DataFrame, max_host_docs: int = MAX_HOST_DOCS, host: str = "sour
         ),
         "measures",
     )
-    lines = rows.select("row", "host", F.explode(F.arrays_zip("lines", "line_words")).alias("l")).select(
-        "row", "host", F.col("l.lines").alias("line"), F.col("l.line_words").alias("w")
-    )
-    frequent = (
-        lines.groupBy("host", "line").agg(F.count("*").alias("n")).filter(F.col("n") > max_host_docs).drop("n")
-    )
-    frequent = materialize(frequent, "frequent").select(F.col("host").alias("h"), F.col("line").alias("l"))
-    removed = (
-        lines.join(frequent, (F.col("line") == F.col("l")) & F.col("host").eqNullSafe(F.col("h")))
-        .groupBy("row")
-        .agg(F.sum("w").cast("long").alias("removed"))
+    lines = rows.select("row", "doc_id", "host", F.explode(F.arrays_zip("lines", "line_words")).alias("l")).select(
+        "row", "doc_id", "host", F.col("l.lines").alias("line"), F.col("l.line_words").alias("w")
     )
+    hosts = rows.groupBy("host").agg(F.count_distinct("doc_id").alias("docs")).withColumnRenamed("host", "h")
+    above = (F.col("n") > max_host_docs) & (F.col("n") * 1000 > F.col("docs") * max_host_mille)
+    often = lines.groupBy("host", "line").agg(F.count("*").alias("n")).filter(F.col("n") > max_host_docs)
+    often = often.join(materialize(hosts, "hosts"), F.col("host").eqNullSafe(F.col("h"))).filter(above)
+    often = materialize(often.select("h", F.col("line").alias("l"), "docs"), "often")
+    same = (F.col("line") == F.col("l")) & F.col("host").eqNullSafe(F.col("h"))
+    hits = materialize(lines.join(often, same).select("row", "doc_id", "h", "l", "docs", "w"), "hits")
+    frequent = hits.groupBy("h", "l").agg(F.count_distinct("doc_id").alias("n"), F.first("docs").alias("docs")).filter(above)
+    frequent = frequent.select(F.col("h").alias("host"), F.col("l").alias("line"))
+    removed = hits.join(frequent, same).groupBy("row").agg(F.sum("w").cast("long").alias("removed"))
     left = F.col("n_words") - F.coalesce("removed", F.lit(0))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     depleted = (left < MIN_WORDS) | (left < MIN_KEPT * F.col("n_words"))
