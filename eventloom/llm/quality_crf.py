@@ -11,6 +11,9 @@ each of its lines, then relabels the lines of bad documents by their own margina
 and fits again.  It uses a bounded sample: SAMPLE_PER_CLASS rows of either label,
 texts of at most SAMPLE_CHARS characters and SAMPLE_LINES lines.  Scoring reads whole texts.
 
+Chains run together only up to a bound on their padded length, so that a document of a
+million lines runs alone and takes memory in proportion to its own text.
+
 Edge cases: null, empty and blank texts are one empty line.  Repeated rows score
 alike; a null ``doc_id`` counts as held out.  With no labelled row, or one class
 only, every score is the share of label 1 (0.5 without rows).
@@ -19,6 +22,7 @@ only, every score is the share of label 1 (0.5 without rows).
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 from operator import eq
 
@@ -87,6 +91,15 @@ def with_neighbours(x: np.ndarray) -> np.ndarray:
     return np.hstack([x, np.vstack([zero, x[:-1]]), np.vstack([x[1:], zero]), np.ones((len(x), 1), x.dtype)])
 
 
+def potentials(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """``with_neighbours(x) @ weights`` without laying the neighbours side by side."""
+    own, before, after = (x @ weights[i * x.shape[1] : (i + 1) * x.shape[1]] for i in range(3))
+    own = own + weights[-1]
+    own[1:] += before[:-1]
+    own[:-1] += after[1:]
+    return own
+
+
 def _steps(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Row numbers of a padded (chains x longest) layout, and its mask."""
     start = np.concatenate([[0], np.cumsum(lengths)[:-1]])
@@ -95,9 +108,11 @@ def _steps(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.where(mask, at, 0), mask
 
 
-def forward_backward(unary: np.ndarray, lengths: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Marginals P(good) of each line and the pairwise marginals summed over all
-    neighbours (2 x 2), for chains laid end to end; ``unary`` is the good-label
+def forward_backward(
+    unary: np.ndarray, lengths: np.ndarray, trans: np.ndarray, with_pairs: bool = True
+) -> tuple[np.ndarray, np.ndarray]:
+    """Marginals P(good) of each line and, on demand, the pairwise marginals summed over
+    all neighbours (2 x 2), for chains laid end to end; ``unary`` is the good-label
     potential (bad has 0).  Chains run side by side, each in log space."""
     at, mask = _steps(lengths)
     n, longest = at.shape
@@ -116,7 +131,7 @@ def forward_backward(unary: np.ndarray, lengths: np.ndarray, trans: np.ndarray)
     both = fwd + bwd
     p = 1 / (1 + np.exp(np.clip(both[:, :, 0] - both[:, :, 1], -50, 50)))
     pairs = np.zeros((2, 2))
-    if longest > 1:
+    if longest > 1 and with_pairs:
         total = np.logaddexp(both[0, :, 0], both[0, :, 1])
         for a in (0, 1):
             for b in (0, 1):
@@ -125,6 +140,19 @@ def forward_backward(unary: np.ndarray, lengths: np.ndarray, trans: np.ndarray)
     return p.T[mask], pairs
 
 
+def side_by_side(lengths: np.ndarray, chains: int = 64, padded: int = 1 << 16) -> Iterator[np.ndarray]:
+    """Numbers of the chains that run together: of like length, at most ``chains``, and at
+    most ``padded`` lines once padded to the longest, unless a chain is longer alone."""
+    some: list[int] = []
+    for i in np.argsort(lengths, kind="stable").tolist():
+        if some and (len(some) == chains or (len(some) + 1) * lengths[i] > padded):
+            yield np.array(some)
+            some = []
+        some.append(i)
+    if some:
+        yield np.array(some)
+
+
 @dataclass(frozen=True)
 class Model:
     mean: np.ndarray
@@ -136,16 +164,12 @@ class Model:
 
     def marginals(self, xs: list[np.ndarray]) -> list[np.ndarray]:
         """P(good) for the lines of several documents."""
-        lengths = np.array([len(x) for x in xs])
-        unary = np.concatenate([with_neighbours((x - self.mean) / self.scale) for x in xs]) @ self.weights
         out: list[np.ndarray] = [np.empty(0)] * len(xs)
-        edges = np.concatenate([[0], np.cumsum(lengths)])
-        order = np.argsort(lengths, kind="stable")
-        for at in range(0, len(order), 64):  # chains of like length run together
-            some = order[at : at + 64]
-            u = np.concatenate([unary[edges[i] : edges[i + 1]] for i in some])
-            p, _ = forward_backward(u, lengths[some], self.trans)
-            for i, part in zip(some, np.split(p, np.cumsum(lengths[some])[:-1]), strict=True):
+        for some in side_by_side(np.array([len(x) for x in xs])):
+            lengths = np.array([len(xs[i]) for i in some])
+            u = np.concatenate([potentials((xs[i] - self.mean) / self.scale, self.weights) for i in some])
+            p, _ = forward_backward(u, lengths, self.trans, with_pairs=False)
+            for i, part in zip(some, np.split(p, np.cumsum(lengths)[:-1]), strict=True):
                 out[i] = part
         return out
 

@@ -9,7 +9,7 @@ every task.
 
 Edge cases: null, empty and blank texts have no feature and score the bias.
 Repeated rows score alike; a null ``doc_id`` counts as held out.  Labelled ids
-that occur repeatedly use their largest label.  With no labelled row, or one
+that occur repeatedly use their largest label and their least text.  With no labelled row, or one
 class only, every score is the share of the positive class (0.5 without rows).
 """
 
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, mix64, span_hashes, training_fold, word_spans
+from .common import map_batches, mix64, slices, span_hashes, training_fold, word_spans
 
 BITS = 20
 THRESHOLD = 0.5
@@ -116,7 +116,8 @@ def labelled_sample(
     )
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sample = texts.filter(F.coalesce(F.length("text"), F.lit(0)) <= chars).join(F.broadcast(picked), "doc_id")
-    return sample.dropDuplicates(["doc_id"]), (positive / n if n else 0.5)
+    # of a repeated id's texts the least, so that reruns agree
+    return sample.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y")), (positive / n if n else 0.5)
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> Model:
@@ -180,8 +181,7 @@ def filter_toxic(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
+            for part in slices(batch):
                 yield part.filter(pa.array(predictions(model, part.column(at).to_pylist(), memo) < THRESHOLD))
 
     return docs.mapInArrow(run, docs.schema)
