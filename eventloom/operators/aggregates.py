@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import CATEGORIES
@@ -97,11 +97,12 @@ def tzid_inventory(vevents: DataFrame, city_zone: Column) -> DataFrame:
         .when(F.col("value").rlike(r"^\d{8}T\d{6}$"), "(bare)")
     )
     rows = vevents.withColumn("kind", kind).filter("kind is not null")
-    return rows.groupBy("city", F.col("kind").alias("tzid")).agg(
-        F.count("*").alias("count"), F.countDistinct("file").alias("files"),
-        F.slice(F.array_sort(F.collect_set("file")), 1, 5).alias("sample_files"),
-        F.bool_or(F.col("kind") == city_zone).alias("matches_city"),
-    )
+    by_file = rows.groupBy("city", F.col("kind").alias("tzid"), "file").agg(F.count("*").alias("n"))
+    first = by_file.withColumn("place", F.row_number().over(Window.partitionBy("city", "tzid").orderBy("file"))).filter("place <= 5")
+    samples = first.groupBy("city", "tzid").agg(F.array_sort(F.collect_list("file")).alias("sample_files"))
+    made = by_file.groupBy("city", "tzid").agg(F.sum("n").alias("count"), F.count("file").alias("files"))
+    made = made.join(samples.select(F.col("city").alias("c"), F.col("tzid").alias("t"), "sample_files"), F.col("city").eqNullSafe(F.col("c")) & (F.col("tzid") == F.col("t")))
+    return made.select("city", "tzid", "count", "files", "sample_files", (F.col("tzid") == city_zone).alias("matches_city"))
 
 
 def status_counts(rows: DataFrame, key: str = "city", statuses: tuple[str, ...] = ("active", "pending", "removed")) -> DataFrame:
@@ -145,5 +146,10 @@ def cities(events: DataFrame) -> DataFrame:
 
 def geo_summary(dropped: DataFrame, keep: int = 3) -> DataFrame:
     """(source, source_id, location, count, titles): what the geo filter dropped, with the first titles."""
-    titles = F.slice(F.transform(F.array_sort(F.collect_list(F.struct("pos", "title"))), lambda x: x["title"]), 1, keep)
-    return dropped.groupBy("source", "source_id", "location").agg(F.count("*").alias("count"), titles.alias("titles"))
+    key = ["source", "source_id", "location"]
+    place = F.row_number().over(Window.partitionBy(*key).orderBy("pos", "title"))
+    first = dropped.select(*key, "pos", "title", place.alias("place")).filter(F.col("place") <= keep)
+    titles = F.transform(F.array_sort(F.collect_list(F.struct("place", "title"))), lambda x: x["title"])
+    shown = first.groupBy(*[F.col(c).alias(f"k_{c}") for c in key]).agg(titles.alias("titles"))
+    same = [F.col(c).eqNullSafe(F.col(f"k_{c}")) for c in key]
+    return dropped.groupBy(*key).agg(F.count("*").alias("count")).join(shown, same).select(*key, "count", "titles")

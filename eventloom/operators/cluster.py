@@ -28,23 +28,27 @@ def cluster_titles(events: DataFrame, slot: list[str], threshold: float = 0.85)
     rows = events.select("id", *slot, blank(F.col("title")).alias("title"), blank(F.col("location")).alias("location"))
     kind = [*slot, "title", "location"]
     kinds = materialize(rows.groupBy(*kind).agg(F.min("id").alias("rep"), F.count("*").alias("n")), "kinds")
+    # titles that meet in a slot, each pair once; without a common word only those of about the same length can be alike
     words = kinds.select("title").distinct().withColumn("words", title_words("title"))
-    known = materialize(kinds.dropna(subset=slot).join(words, "title"), "titles")
-    other = known.select(*slot, F.col("title").alias("title_b"), F.col("location").alias("location_b"), F.col("rep").alias("rep_b"), F.col("words").alias("words_b"))
-    place = (F.col("location") == "") | (F.col("location_b") == "") | (F.col("location") == F.col("location_b"))
-    # without a common word only titles of about the same length can be alike
+    titles = kinds.dropna(subset=slot).select(*slot, "title").distinct().join(words, "title")
     size = lambda c: F.length(F.array_join(c, " "))
+    other = titles.select(*slot, F.col("title").alias("title_b"), F.col("words").alias("words_b"))
     alike = F.arrays_overlap("words", "words_b") | (2 * F.least(size("words"), size("words_b")) >= threshold * (size("words") + size("words_b")))
-    pairs = known.join(other, slot).filter((F.col("rep") < F.col("rep_b")) & place & alike).select("rep", "rep_b", "title", "title_b")
-    scored = pairs.select("title", "title_b").distinct().filter(token_set_similarity("title", "title_b") >= threshold)
-    links = pairs.join(scored, ["title", "title_b"]).select(F.col("rep_b").alias("src"), F.col("rep").alias("dst"))
+    met = titles.join(other, slot).filter((F.col("title") < F.col("title_b")) & alike).select("title", "title_b").distinct()
+    scored = materialize(met.filter(token_set_similarity("title", "title_b") >= threshold), "alike")
+    same = kinds.select("title", F.col("title").alias("title_b")).distinct()
+    like = scored.union(scored.select("title_b", "title")).union(same)
+    near = kinds.select(*slot, F.col("title").alias("title_b"), F.col("location").alias("location_b"), F.col("rep").alias("rep_b"))
+    place = (F.col("location") == "") | (F.col("location_b") == "") | (F.col("location") == F.col("location_b"))
+    pairs = kinds.select(*slot, "title", "location", "rep").join(like, "title").join(near, [*slot, "title_b"])
+    links = pairs.filter((F.col("rep") < F.col("rep_b")) & place).select(F.col("rep_b").alias("src"), F.col("rep").alias("dst"))
     joined = kinds.join(components(links, "titles").withColumnRenamed("id", "rep"), "rep", "left").withColumn("group", F.coalesce("component", "rep"))
     joined = materialize(joined, "grouped")
     groups = joined.dropna(subset=slot).groupBy(*slot, "group").agg(F.sum("n").alias("size"), F.min(F.struct(F.lower("title"), "rep")).alias("first")).filter("size > 1")
     number = F.row_number().over(Window.partitionBy(*slot).orderBy("first")) - 1
     numbered = joined.join(groups.select("group", number.alias("cluster_id")), "group").select(*[F.col(c).alias(f"k_{c}") for c in kind], "cluster_id")
-    same = [F.col(c).eqNullSafe(F.col(f"k_{c}")) for c in kind]
-    return rows.join(numbered, same, "left").select("id", F.col("cluster_id").cast("int").alias("cluster_id"))
+    both = [F.col(c).eqNullSafe(F.col(f"k_{c}")) for c in kind]
+    return rows.join(numbered, both, "left").select("id", F.col("cluster_id").cast("int").alias("cluster_id"))
 
 
 def similar_pairs(events: DataFrame, slot: list[str], threshold: float, method: str = "levenshtein") -> DataFrame:
@@ -98,7 +102,12 @@ def prefix_groups(keys: DataFrame, min_length: int = 12, max_ratio: float = 0.75
     known = keys.select(F.col("city").alias("in"), F.col("day").alias("on"), F.col("title_key").alias("known"))
     found = begins.join(known, F.col("city").eqNullSafe(F.col("in")) & F.col("day").eqNullSafe(F.col("on")) & F.col("begin").eqNullSafe(F.col("known")))
     rows = found.groupBy("city", "day", "title_key", "has_agg").agg(F.min("n").alias("n")).withColumn("family", F.expr("substring(title_key, 1, n)"))
-    return rows.select("city", "day", "title_key", "has_agg", "family").groupBy("city", "day", "family").applyInPandas(run, "city string, day date, title_key string, merged_key string")
+    rows = materialize(rows.select("city", "day", "title_key", "has_agg", "family"), "families")
+    family = [F.col(c).eqNullSafe(F.col(f"f_{c}")) for c in ("city", "day", "family")]
+    several = rows.groupBy(*[F.col(c).alias(f"f_{c}") for c in ("city", "day", "family")]).agg(F.count("*").alias("members"))
+    counted = rows.join(several, family)
+    made = counted.filter("members > 1").groupBy("city", "day", "family").applyInPandas(run, "city string, day date, title_key string, merged_key string")
+    return made.unionByName(counted.filter("members = 1").select("city", "day", "title_key", F.col("title_key").alias("merged_key")))
 
 
 @lru_cache(maxsize=100_000)

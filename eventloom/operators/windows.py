@@ -51,13 +51,15 @@ def collapse_long_running(events: DataFrame, today: Column, minimum: int = 5) ->
     """Events with the same title, place and time of day at least ``minimum`` times keep the
     first of each 7 days from today, flagged; others stay."""
     lower = lambda c: F.lower(F.trim(F.coalesce(F.col(c), F.lit(""))))
-    key = [lower("title").alias("__t"), lower("location").alias("__l"), F.date_format("start_time", "HH:mm").alias("__h")]
-    rows = events.select("*", *key, F.floor(F.datediff("start_time", today) / 7).alias("__w"))
-    group = Window.partitionBy("__t", "__l", "__h")
-    week = Window.partitionBy("__t", "__l", "__h", "__w").orderBy("start_time", "id")
-    rows = rows.withColumn("__c", F.count("*").over(group)).withColumn("__n", F.row_number().over(week))
-    long = F.col("__c") >= minimum
-    return rows.filter(~long | (F.col("__n") == 1)).withColumn("is_recurring", long).drop("__t", "__l", "__h", "__w", "__c", "__n")
+    key = {"__t": lower("title"), "__l": lower("location"), "__h": F.coalesce(F.date_format("start_time", "HH:mm"), F.lit(""))}
+    rows = events.withColumns(key).withColumn("__w", F.floor(F.datediff("start_time", today) / 7))
+    # both aggregates combine on the map side, so that an event repeated for ever is no hot window
+    counts = rows.groupBy(*key).agg((F.count("*") >= minimum).alias("is_recurring"))
+    marked = rows.join(counts, list(key))
+    every = [*events.columns, "is_recurring"]
+    first = F.min_by(F.struct(*events.columns), F.struct("start_time", "id")).alias("e")
+    weekly = marked.filter("is_recurring").groupBy(*key, "__w").agg(first).select("e.*", F.lit(True).alias("is_recurring"))
+    return marked.filter("not is_recurring").select(every).unionByName(weekly)
 
 
 def build_delta(builds: DataFrame) -> DataFrame:

@@ -34,6 +34,15 @@ _stamp = lambda form="yyyyMMdd'T'HHmmss": F.date_format("start_time", form)  # n
 _kind = lambda n: F.col("id") % n
 
 
+@query("SELECT id, trim(title) AS title, strftime(start_time, '%Y%m%dT%H%M%S') AS dtstart_raw FROM cal")
+def s1_read_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calendar files written by city, and read whole."""
+    path = new_folder(spark, "calendars")
+    block = F.concat_ws("\r\n", F.lit("BEGIN:VEVENT"), _put("UID:", F.col("id").cast("string")), _put("SUMMARY:", F.col("title")), _put("DTSTART:", _stamp()), F.lit("END:VEVENT"))
+    calendar(spark, sf_dir).select("city", block.alias("value")).write.option("lineSep", "\r\n").partitionBy("city").text(path)
+    return ics.parse(ics.read_files(spark, path, pattern="*.txt")).select(_id(), "title", "dtstart_raw")
+
+
 @query(
     "SELECT id, CASE id % 4 WHEN 0 THEN strftime(start_time, '%Y-%m-%dT%H:%M:%S') || '-05:00' WHEN 1 THEN strftime(start_time - INTERVAL 8 HOUR, '%Y-%m-%dT%H:%M:%S') || '-08:00' WHEN 2 THEN strftime(start_time, '%Y-%m-%dT%H:%M:%S') || '-08:00' "
     "ELSE strftime(start_time, '%Y-%m-%dT00:00:00') || '-08:00' END AS start_time, id % 4 = 3 AS all_day FROM cal WHERE trim(title) <> ''"
@@ -226,6 +235,20 @@ def s20_area_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registries.area_registry(rows)
 
 
+@query(
+    ", l AS (SELECT city AS file, id * 4 + 1 AS line_no, city, 'scrape' AS phase, 'run ' || id AS command, CASE id % 3 WHEN 0 THEN 'error' ELSE 'warning' END AS level, CASE id % 3 WHEN 0 THEN 'http_error' ELSE 'parse_warning' END AS kind, "
+    "CASE id % 3 WHEN 0 THEN 'HTTP Error 404' ELSE 'Broken property in ' || id END AS message FROM feeds WHERE id % 3 < 2) "
+    "SELECT * FROM l UNION ALL SELECT city, id * 4 + 2, city, 'scrape', 'run ' || id, 'error', 'error', '[' || city || '][scrape] EXIT 1 run ' || id FROM feeds WHERE id % 2 = 1"
+)
+def s21_build_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mark = F.concat(F.lit("["), F.col("city"), F.lit("][scrape] "))
+    run, n = F.concat(F.lit("run "), F.col("id").cast("string")), F.col("id").cast("string")
+    said = F.when(_kind(3) == 0, "2024-01-10 - x - ERROR - HTTP Error 404").when(_kind(3) == 1, F.concat(F.lit("2024-01-10 - x - WARNING - Broken property in "), n)).otherwise("all is well")
+    lines = F.array(F.concat(mark, F.lit("RUN "), run), said, F.concat(mark, F.lit("EXIT "), _kind(2).cast("string"), F.lit(" "), run))
+    rows = feeds(spark, sf_dir).select(F.col("city").alias("file"), "id", F.posexplode(lines).alias("at", "line"))
+    return registries.build_issues(rows.select("file", (F.col("id") * 4 + F.col("at")).alias("line_no"), "line"))
+
+
 @query("SELECT city AS file, url, name FROM feeds WHERE url LIKE 'https://%'")
 def s22_feed_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = feeds(spark, sf_dir).select("city", "id", F.posexplode(F.array(F.concat(F.lit("# "), F.col("name"), F.lit(" ")), F.concat(F.lit(" "), F.col("url")))).alias("at", "line"))

@@ -11,9 +11,9 @@ from ..functions.text import blank, categories_list, ics_unescape, title_case
 from ..functions.urls import is_stale
 
 
-def read_files(spark: SparkSession, path: str, skip: tuple[str, ...] = ("combined",)) -> DataFrame:
-    """(file, stem, content) of ``*.ics`` files; bytes that are not UTF-8 are dropped."""
-    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.ics").load(path)
+def read_files(spark: SparkSession, path: str, skip: tuple[str, ...] = ("combined",), pattern: str = "*.ics") -> DataFrame:
+    """(file, stem, content) of calendar files; bytes that are not UTF-8 are dropped."""
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
     name = F.element_at(F.split("path", "/"), -1)
     text = F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("\ufffd"), F.lit(""))
     rows = raw.select(name.alias("file"), F.regexp_replace(name, r"\.ics$", "").alias("stem"), text.alias("content"))
