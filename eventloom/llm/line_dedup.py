@@ -138,7 +138,8 @@ def mark_repeats(docs: DataFrame, place: tuple[str, ...] = ()) -> DataFrame:
         F.col("p.windows").alias("windows"),
     )
     first = prints.groupBy("gram").agg(F.min("place").alias("first"), F.count("*").alias("c")).filter("c > 1").drop("c")
-    shared = materialize(prints.join(first, "gram"), "shared")
+    first = materialize(first, "first")
+    shared = materialize(prints.join(F.broadcast(first) if small(first) else first, "gram"), "shared")
     later = shared.filter("place <> first").select(
         F.col("place.row").alias("row"), F.col("first.row").alias("row0"),
         F.struct(F.col("place.at").alias("at"), F.col("first.at").alias("at0"), "gram", "windows").alias("p"),
@@ -162,7 +163,8 @@ def mark_repeats(docs: DataFrame, place: tuple[str, ...] = ()) -> DataFrame:
         F.struct("place.n", "place.id", "place.row", F.col("w.s").alias("at")).alias("place"),
     )
     earliest = windows.groupBy("a", "b").agg(F.min("place").alias("first"), F.count("*").alias("c")).filter("c > 1")
-    rest = windows.join(earliest, ["a", "b"]).filter("place <> first").select(F.col("place.row").alias("row"), "s", "e")
+    earliest = materialize(earliest, "earliest")
+    rest = windows.join(F.broadcast(earliest) if small(earliest) else earliest, ["a", "b"]).filter("place <> first").select(F.col("place.row").alias("row"), "s", "e")
     runs = (
         checked.filter("covered").select("row", "s", "e").union(rest)
         .groupBy("row").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("__runs"))
