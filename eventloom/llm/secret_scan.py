@@ -142,11 +142,11 @@ def candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, i
         while at < len(base) and base[at][1] <= run.start():
             at += 1
         pieces, start = [], run.start()
-        for s, e, _ in base[at:]:
-            if s >= run.end():
-                break
-            pieces.append((start, s))
-            start = max(start, e)
+        here = at  # base spans come by start; those of other kinds may end before an earlier one
+        while here < len(base) and base[here][0] < run.end():
+            pieces.append((start, base[here][0]))
+            start = max(start, base[here][1])
+            here += 1
         pieces.append((start, run.end()))
         for s, e in pieces:
             for kind in TOKENS:
