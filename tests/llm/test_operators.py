@@ -2,7 +2,7 @@
 and long texts, ties, repeated rows, empty tables and clashing column names."""
 
 import hashlib
-import json
+import math
 import random
 import re
 import zlib
@@ -159,6 +159,40 @@ def test_signature_is_circulant():
     assert (a[1:] == shifted).all()
 
 
+def plain_repeats(data):
+    """(id and normalised lines by number) of each row, the order of rows, the deleted lines."""
+    seen = set()
+    split = [(r[0], [(n, " ".join(re.sub("[A-Z]", lambda m: m[0].lower(), x).split(" "))) for n, x in enumerate((r[1] or "").split("\n")) if words(x)]) for r in data]
+    split = [(i, [(n, " ".join(words(x))) for n, x in lines]) for i, lines in split]
+    order = sorted(range(len(split)), key=lambda k: (split[k][0] is None, split[k][0] or 0, k))
+    gone = defaultdict(set)
+    for k in order:
+        lines = split[k][1]
+        for s in range(len(lines)):
+            n, e = 0, s
+            while e < len(lines) and n < line_dedup.RUN_WORDS:
+                n += len(words(lines[e][1]))
+                e += 1
+            if n < line_dedup.RUN_WORDS:
+                break
+            key = tuple(x for _, x in lines[s:e])
+            if key in seen:
+                gone[k] |= {lines[i][0] for i in range(s, e)}
+            seen.add(key)
+    return split, order, gone
+
+
+def plain_without_repeats(data):
+    """(doc_id, text) of what line dedup leaves."""
+    split, order, gone = plain_repeats(data)
+    out = Counter()
+    for k in order:
+        if not gone[k] or len(gone[k]) < len(split[k][1]):
+            text = data[k][1]
+            out[(data[k][0], "\n".join(x for n, x in enumerate(text.split("\n")) if n not in gone[k]) if gone[k] else text)] += 1
+    return out
+
+
 def test_line_dedup_equals_brute_force(spark):
     rnd = random.Random(3)
     line = lambda n: " ".join(rnd.choice("abcdefgh") + str(rnd.randrange(99)) for _ in range(n))
@@ -173,24 +207,7 @@ def test_line_dedup_equals_brute_force(spark):
     data = [(i, t, "en", "s", 1) for i, t in enumerate(texts)] + [(7, texts[7], "en", "s", 1)]
     df = spark.createDataFrame(data, DOCS).coalesce(1)
 
-    seen, want = {}, []
-    split = [(i, [(n, " ".join(x.lower().split())) for n, x in enumerate((t or "").split("\n")) if x.split()]) for i, t, *_ in data]
-    order = sorted(range(len(split)), key=lambda k: (split[k][0], k))
-    gone = defaultdict(set)
-    for k in order:
-        lines = split[k][1]
-        for s in range(len(lines)):
-            n, e = 0, s
-            while e < len(lines) and n < line_dedup.RUN_WORDS:
-                n += len(lines[e][1].split())
-                e += 1
-            if n < line_dedup.RUN_WORDS:
-                break
-            key = tuple(x for _, x in lines[s:e])
-            if key in seen:
-                gone[k] |= {lines[i][0] for i in range(s, e)}
-            else:
-                seen[key] = k
+    split, order, gone = plain_repeats(data)
     want = Counter((split[k][0], len(split[k][1]), len(gone[k]), ",".join(map(str, sorted(gone[k])))) for k in order)
     got = Counter(tuple(r) for r in line_dedup.digest(line_dedup.mark_repeats(df)).collect())
     assert got == want
@@ -198,14 +215,7 @@ def test_line_dedup_equals_brute_force(spark):
 
     clean = line_dedup.without_repeats(df)
     assert clean.columns == df.columns
-    texts_out = Counter((r.doc_id, r.text) for r in clean.collect())
-    expect = Counter()
-    for k in order:
-        t = data[k][1]
-        if gone[k] and len(gone[k]) == len(split[k][1]):
-            continue
-        expect[(data[k][0], "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone[k]) if gone[k] else t)] += 1
-    assert texts_out == expect
+    assert Counter((r.doc_id, r.text) for r in clean.collect()) == plain_without_repeats(data)
 
 
 def test_winnowing_guarantee():
@@ -308,31 +318,96 @@ def test_mixing_meets_targets(docs, rows, spark):
     assert mixing.mix(spark.createDataFrame([], DOCS)).count() == 0
 
 
-def test_topk_equals_brute_force(spark):
+def nearest(rows, k=20):
+    """Every query's best candidates by exact integers, the scores held within 64 bits."""
     import math
 
+    whole = lambda x: x is not None and math.isfinite(64 * x)
+    fine = [(i, [math.floor(64 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(map(whole, v))]
+    want = set()
+    for q, a in fine:
+        if q % 20 == 0:
+            dot = lambda b: min(max(sum(x * y for x, y in zip(a, b)), -(2**63)), 2**63 - 1)
+            got = sorted((-dot(b), i) for i, b in fine if i != q and len(b) == len(a))
+            want |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(got[:k])}
+    return want
+
+
+def test_topk_equals_brute_force(spark):
     rnd = random.Random(2)
     vecs = [(i, [rnd.uniform(-1, 1) for _ in range(6)]) for i in range(400)]
-    vecs += [(400, None), (401, [None] * 6), (402, [float("nan")] * 6), (403, [float("inf")] + [0.0] * 5), (404, [1.0, 2.0]), (420, [1.0, 3.0]), (None, [0.0] * 6)]
+    vecs += [(400, None), (401, [None] * 6), (402, [float("nan")] * 6), (403, [float("inf")] + [0.0] * 5), (404, [1.0, 2.0]), (420, [1.0, 3.0]), (None, [0.0] * 6), (440, []), (441, [])]
     vecs += [(405, vecs[1][1]), (5, vecs[5][1])]
     df = spark.createDataFrame([(i, v, 1) for i, v in vecs], "vec_id long, embedding array<float>, label int")
-    fine = [(i, [math.floor(64 * x) for x in spark_floats]) for i, spark_floats in ((r.vec_id, r.embedding) for r in df.collect()) if i is not None and spark_floats is not None and all(x is not None and math.isfinite(x) for x in spark_floats)]
-    want = set()
-    for q, a in fine:
-        if q % 20 == 0:
-            got = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in fine if i != q and len(b) == len(a))
-            want |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(got[:20])}
     got = topk_search.top_k(df, block=60, group=7).collect()
-    assert len(got) == len({tuple(r) for r in got}) or True
-    assert {tuple(r) for r in got} == want
+    assert len(got) == len({(r.query_id, r["rank"]) for r in got})
+    assert {tuple(r) for r in got} == nearest([(r.vec_id, r.embedding) for r in df.collect()])
     assert topk_search.top_k(df.limit(0)).count() == 0
 
 
-def rules_of(rows, limit):
+def test_topk_of_clusters_ties_and_huge_values(spark):
+    rnd = random.Random(3)
+    tops = [[rnd.uniform(-9, 9) for _ in range(4)] for _ in range(8)]
+    rows = [(i, [x + rnd.gauss(0, 0.05) for x in tops[i % 8]]) for i in range(500)]
+    rows += [(500 + i, tops[0]) for i in range(300)]  # one vector of a third of all rows
+    rows += [(900 + i, [1e30 * rnd.choice([1, -1, 0.5]), 3.0, 1e18, rnd.uniform(-1, 1)]) for i in range(40)] + [(1000, [1e300] * 4), (1001, [1.7e308, 0.0, 0.0, 0.0]), (1020, [-1e300, 1e300, 1.0, 2.0])]
+    df = spark.createDataFrame([(i, v, 0, 0) for i, v in rows], "vec_id long, embedding array<double>, dim int, `part` int")
+    got = topk_search.top_k(df, k=5, block=100, group=8).collect()
+    assert {tuple(r) for r in got} == nearest(rows, 5) and len(got) == len(nearest(rows, 5))
+
+
+def test_cover_tree_is_nested_separated_and_covering():
+    import numpy as np
+
+    rnd = np.random.default_rng(4)
+    x = np.concatenate([rnd.normal(c, 0.1, (200, 3)) for c in range(8)])
+    order, root = topk_search.cover_tree(x, 10)
+    y = x[order]
+    again = topk_search.restored(topk_search.stored(root))
+    levels, stack, count = {}, [root], 0
+    while stack:
+        node = stack.pop()
+        count += 1
+        far = np.linalg.norm(y[node.lo : node.hi] - y[node.centre], axis=1)
+        assert node.lo <= node.centre < node.hi and far.max() <= node.radius + 1e-9
+        levels.setdefault(node.level, []).append(node.centre)
+        if node.children:
+            assert [c.lo for c in node.children] + [node.hi] == [node.lo] + [c.hi for c in node.children]
+            assert node.centre in [c.centre for c in node.children]  # nested
+        for c in node.children:
+            assert np.linalg.norm(y[c.centre] - y[node.centre]) <= root.radius / topk_search.BASE**node.level * topk_search.BASE + 1e-9 or c.level > node.level + 1
+            stack.append(c)
+    for level, centres in levels.items():
+        gaps = np.linalg.norm(y[centres][:, None] - y[centres][None], axis=2)[np.triu_indices(len(centres), 1)]
+        assert (gaps > root.radius / topk_search.BASE**level).all()
+    assert count > 30 and sorted(order) == list(range(len(x))) and again == root
+
+
+def test_dual_search_prunes(monkeypatch):
+    import numpy as np
+
+    rnd = np.random.default_rng(5)
+    x = np.floor(np.concatenate([rnd.normal(c * 50, 1.0, (300, 3)) for c in range(8)]))
+    order, root = topk_search.cover_tree(x, 20)
+    q_order, q_root = topk_search.cover_tree(x[300:2400:50], 5)
+    ask = np.arange(300, 2400, 50)[q_order]
+    seen = []
+    leaves = topk_search._leaves
+    monkeypatch.setattr(topk_search, "_leaves", lambda best, at, qx, qi, dx, di, exact: (seen.append(len(qx) * len(dx)), leaves(best, at, qx, qi, dx, di, exact)))
+    best = topk_search.dual_search(x[ask], ask, q_root, x[order], order, root, 5, np.full(len(ask), topk_search.LOWEST))
+    assert sum(seen) < 0.3 * len(ask) * len(x)
+    for i, q in enumerate(ask):
+        want = sorted((-int(x[q] @ x[j]), j) for j in range(len(x)) if j != q)[:5]
+        assert list(zip(best.scores[i].tolist(), best.ids[i].tolist())) == [(-s, j) for s, j in want]
+
+
+def rules_of(rows, limit, mille=5):
     def lines(t):
         return [" ".join(re.sub("[1-9]", "0", re.sub("[A-Z]", lambda m: m[0].lower(), x)).split()) for x in (t or "").split("\n") if x.split()]
 
-    seen = Counter((s, x) for _, t, _, s, _ in rows for x in set(lines(t)))
+    docs = {(s, x, i) for i, t, _, s, _ in rows for x in lines(t) if i is not None}
+    seen = Counter((s, x) for s, x, _ in docs)
+    hosts = Counter(s for s, _ in {(s, i) for i, _, _, s, _ in rows if i is not None})
     out = Counter()
     for i, t, _, s, _ in rows:
         w = words(t)
@@ -342,7 +417,7 @@ def rules_of(rows, limit):
         ls = (t or "").split("\n")
         dup = sum(1 for k, x in enumerate(ls) if x.split() and x in ls[:k])
         failed = len(w) < 10 or 100 * len(hit) > 20 * len(w)
-        gone = sum(len(x.split()) for x in lines(t) if seen[(s, x)] > limit)
+        gone = sum(len(x.split()) for x in lines(t) if seen[(s, x)] > limit and 1000 * seen[(s, x)] > mille * hosts[s])
         left = len(w) - gone
         kept = not failed and left >= 10 and left >= 0.5 * len(w)
         out[(i, len(w), sum(map(len, w)), sum(ch in "#*$%&|<>" for ch in t or ""), dup, len(hit), failed, gone, kept)] += 1
@@ -353,10 +428,13 @@ def test_quality_rules_equal_brute_force(spark, rows):
     extra = [(2000 + i, f"Menu {i}\nHome | About\n" + "real words of the text here " * 1 + f"number {i} and more of it", "en", "host", 1) for i in range(12)]
     extra += [(3000 + i, "Menu 1\nHome | About\n" + "a b c d e f g h i j k l", "en", None, 1) for i in range(12)]
     extra.append((4000, "a b c d e a b c d e x y z\nq\nq\n\n\n#*&", "en", "z", 1))
+    extra += [(5000 + i % 9, "Nine ids only\n" + "words " * 12, "en", "nine", 1) for i in range(14)]  # 14 rows are 9 documents
+    extra += [(None, "Nine ids only\n" + "words " * 12, "en", "nine", 1) for i in range(3)]
     data = rows + extra
     df = spark.createDataFrame(data, DOCS)
-    got = Counter(tuple(r) for r in quality_rules.judge(df, max_host_docs=10).collect())
-    assert got == rules_of(data, 10)
+    for limit, mille in ((10, 5), (8, 5), (5, 900), (2, 300)):
+        got = Counter(tuple(r) for r in quality_rules.judge(df, max_host_docs=limit, max_host_mille=mille).collect())
+        assert got == rules_of(data, limit, mille)
     assert quality_rules.judge(df.limit(0)).count() == 0
 
 
@@ -450,10 +528,84 @@ def test_packing_is_whole_and_fits(docs, rows, spark):
 
 
 def test_best_fit_takes_the_tightest_bin():
-    bins, offsets, caps = packing.best_fit([60, 50, 14, 4], 64, (16, 64))
+    bins, offsets, caps = packing.best_fit([60, 50, 14, 4], (16, 64), 2)
     assert bins == [0, 1, 1, 0] and offsets == [0, 0, 50, 60] and caps == [64, 64]
 
 
+def plain_packing(sizes, capacities, overhead):
+    """Best fit with the least-cost opening, on plain lists: the contents of each bin."""
+    rooms, bins = [], []
+    for k, size in enumerate(sizes):
+        fits = [b for b, r in enumerate(rooms) if r >= size]
+        if fits:
+            least = min(rooms[b] for b in fits)
+            b = held[least][-1]
+        else:
+            best = None
+            for cap in [c for c in capacities if c >= size]:
+                room, rest = cap - size, sorted(sizes[k + 1 :], reverse=True)
+                for x in rest:
+                    if x <= room:
+                        room -= x
+                cost = (min(c for c in capacities if c >= cap - room) + overhead) / (cap - room)
+                if best is None or cost <= best[0]:
+                    best = (cost, cap)
+            b = len(rooms)
+            rooms.append(best[1])
+            bins.append([])
+        bins[b].append(size)
+        rooms[b] -= size
+        if k == 0:
+            held = {}
+        for r in held:
+            held[r] = [x for x in held[r] if x != b]
+        held.setdefault(rooms[b], []).append(b)
+    return bins
+
+
+def cost_of(bins, capacities, overhead):
+    return sum(min(c for c in capacities if c >= sum(b)) + overhead for b in bins)
+
+
+def least_cost(sizes, capacities, overhead):
+    """The optimum, by trying every partition."""
+    if not sizes:
+        return 0
+    best = [float("inf")]
+
+    def place(k, bins):
+        if cost_of(bins, capacities, overhead) >= best[0]:
+            return
+        if k == len(sizes):
+            best[0] = cost_of(bins, capacities, overhead)
+            return
+        for b in bins:
+            if sum(b) + sizes[k] <= capacities[-1]:
+                b.append(sizes[k])
+                place(k + 1, bins)
+                b.pop()
+        place(k + 1, [*bins, [sizes[k]]])
+
+    place(0, [])
+    return best[0]
+
+
+def test_packing_equals_plain_and_is_near_the_optimum():
+    rnd = random.Random(6)
+    total = optimum = 0
+    for n in [1, 2, 5, 7, 8] * 8 + [60] * 12:
+        capacities, overhead = rnd.choice([(16, 64), (8, 24, 64), (64,), (5, 7, 64)]), rnd.choice([0, 2, 9])
+        sizes = sorted((rnd.choice([rnd.randint(1, 64), rnd.randint(1, 12)]) for _ in range(n)), reverse=True)
+        bins, offsets, caps = packing.best_fit(sizes, capacities, overhead)
+        want = plain_packing(sizes, capacities, overhead)
+        assert [[s for s, b in zip(sizes, bins) if b == k] for k in range(len(caps))] == want
+        assert sum(caps) + overhead * len(caps) == cost_of(want, capacities, overhead)
+        if n <= 8:
+            total += cost_of(want, capacities, overhead)
+            optimum += least_cost(sizes, capacities, overhead)
+    assert optimum <= total <= 1.05 * optimum
+
+
 def test_crf_marginals_equal_enumeration():
     import itertools
 
@@ -517,36 +669,162 @@ def test_no_labels_and_no_rows(labelled, module):
     assert module.score(docs.limit(0), module.train(docs.limit(0), labels)).count() == 0
 
 
-def test_pipeline_stages(spark, labelled, tmp_path):
-    import corpus_pipeline
-
-    docs, labels = labelled
-    docs.write.parquet(str(tmp_path / "documents.parquet"))
-    labels.write.parquet(str(tmp_path / "labels.parquet"))
-    cur = spark.read.parquet(str(tmp_path / "documents.parquet"))
-    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "near_dedup", "mixing", "packing"]
-    for name, stage in corpus_pipeline.STAGES:
-        out = stage(spark, cur, str(tmp_path))
-        if name != "packing":
-            assert out.columns == docs.columns
-        if name in ("toxicity", "near_dedup", "line_dedup"):
-            assert 0 < out.count() <= cur.count()
-        out.write.parquet(str(tmp_path / name))
-        cur = spark.read.parquet(str(tmp_path / name))
-    assert "doc_id" in cur.columns
-    assert corpus_pipeline.run(spark, str(tmp_path)).count() == cur.count()
-
-
 def test_columns_with_clashing_names(spark):
+    names = ("size", "row", "__row", "__copies", "__copy", "__before", "__path", "__at", "__gone", "__place0", "copies", "finish", "src", "shuffle", "last", "path", "n", "key", "kept", "score", "held")
+    more = tuple(range(len(names)))
     df = spark.createDataFrame(
-        [(1, "a b c d e f", "s", 1, 2, 3), (2, "a b c d e f", "s", 1, 2, 3)],
-        "doc_id long, text string, source string, size int, `row` int, __row int",
+        [(1, "a b c d e f", "s", *more), (2, "a b c d e f", "s", *more), (None, None, None, *more)],
+        "doc_id long, text string, source string, " + ", ".join(f"`{n}` int" for n in names),
     )
     assert minhash_dedup.one_of_each(df).columns == df.columns
     assert line_dedup.without_repeats(df).columns == df.columns
     assert mixing.mixed_documents(df).columns == df.columns
-    assert minhash_dedup.near_duplicates(df).count() == 2
-    assert quality_rules.judge(df).count() == 2
-    assert secret_scan.digest(secret_scan.scan(df)).count() == 2
-    assert packing.pack(df).count() == 2
-    assert json.dumps(df.columns)
+    assert mixing.mixed_documents(df).count() == 2
+    assert minhash_dedup.near_duplicates(df).count() == 3
+    assert quality_rules.judge(df).count() == 3
+    assert secret_scan.digest(secret_scan.scan(df)).count() == 3
+    assert packing.pack(df).count() == 3
+    labels = spark.createDataFrame([(1, 1, 1), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    for module in (toxicity, quality_crf):
+        assert module.score(df, module.train(df, labels)).count() == 3
+    assert toxicity.filter_toxic(df, toxicity.train(df, labels.limit(0))).columns == df.columns
+    pages = df.withColumn("page_id", df.doc_id).withColumn("url", df.text).withColumn("host", df.text).withColumn("rule", df.text)
+    assert url_filter.judge_urls(pages).count() == 3
+
+
+def test_one_text_of_very_many_lines():
+    """It runs beside short ones, in memory of its own length, and alters no score."""
+    import tracemalloc
+
+    import numpy as np
+
+    rnd = np.random.default_rng(1)
+    w = rnd.normal(size=3 * quality_crf.WIDTH + 1)
+    model = quality_crf.Model(np.zeros(quality_crf.WIDTH), np.ones(quality_crf.WIDTH), w, np.array([[0.5, -0.2], [0.1, 0.3]]), 1.0, 0.0)
+    texts = ["a b\nc", "", "x. y\n\nz " * 5] * 21 + ["some words here\nMORE 12!\n" * 20_000]
+    got = [quality_crf.line_features(t) for t in texts]
+    xs, sizes = [x for x, _ in got], [s for _, s in got]
+    assert np.allclose(quality_crf.potentials(xs[2], w), quality_crf.with_neighbours(xs[2]) @ w)
+    tracemalloc.start()
+    scores = model.scores(xs, sizes)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 << 20
+    assert np.allclose(scores, [model.scores([x], [s])[0] for x, s in zip(xs, sizes)])
+    p = quality_crf.forward_backward(quality_crf.potentials(xs[2], w), np.array([len(xs[2])]), model.trans)[0]
+    q = (p * sizes[2]).sum() / sizes[2].sum()
+    z = math.log((q + 1e-3) / (1 - q + 1e-3))
+    assert scores[2] == pytest.approx(1 / (1 + math.exp(-z)))
+
+
+def test_slices_bound_rows_and_bytes(monkeypatch):
+    import pyarrow as pa
+
+    from eventloom.llm import common
+
+    monkeypatch.setattr(common, "SLICE_BYTES", 10)
+    batch = pa.RecordBatch.from_pydict({"i": list(range(9)), "t": ["aaaa", None, "b" * 50, "", "cccc", "cccc", "cccc", "d", "e"]})
+    parts = list(common.slices(batch, 4))
+    assert [x for p in parts for x in p.column(0).to_pylist()] == list(range(9))
+    assert all(p.num_rows <= 4 and (p.num_rows == 1 or sum(len(t or "") for t in p.column(1).to_pylist()) <= 10) for p in parts)
+
+
+def plain_spans(texts):
+    """All spans, from the definitions: every maximal run of an encoding's characters outside
+    base spans and =, the three tests, and Benjamini-Hochberg over the sorted p-values."""
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    kinds = [(set(alphabet + "+/"), 20), (set(alphabet + "-_"), 20), (set("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), 24), (set("0123456789ABCDEF"), 24)]
+    tail = lambda z: math.erfc(z / math.sqrt(2)) / 2
+    out, tests = [], []
+    for k, text in enumerate(texts):
+        text = text or ""
+        base = secret_scan.base_spans(text)
+        out.append({f"{name}:{s}:{e}" for s, e, name in base})
+        taken = {p for s, e, _ in base for p in range(s, e)}
+        spans = set()
+        for run in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text):
+            for chars, least in kinds:
+                p = run.start()
+                while p < run.end():
+                    e = p
+                    while e < run.end() and e not in taken and text[e] in chars:
+                        e += 1
+                    if e - p >= least:
+                        pad = e
+                        while pad < len(text) and text[pad] == "=":
+                            pad += 1
+                        spans.add((p, pad if pad == len(text) or not re.match(r"[A-Za-z0-9+/_=-]", text[pad]) else e))
+                    p = max(e, p + 1)
+        for s, e in spans:
+            body = text[s:e].rstrip("=")
+            n, chars = len(body), set(body)
+            if chars <= set("0123456789abcdef") or chars <= set("0123456789ABCDEF"):
+                size, least, values, agree = 16, 24, [int(c, 16) for c in body], 0.17
+            elif chars <= kinds[2][0]:
+                size, least, values, agree = 32, 24, ["ABCDEFGHIJKLMNOPQRSTUVWXYZ234567".index(c) for c in body], 0.065
+            else:
+                size, least, values, agree = 64, 20, [(alphabet + "+/").find(c) if c not in "-_" else 62 + "-_".index(c) for c in body], 0.065
+            if n < least:
+                continue
+            count = Counter(values)
+            chi = sum((count[v] - n / size) ** 2 / (n / size) for v in range(size))
+            uniform = tail((chi - (size - 1)) / math.sqrt(2 * (size - 1) * (1 - 1 / n)))
+            high = [v >= size / 2 for v in values]
+            a, b = sum(high), n - sum(high)
+            runs = 0.0
+            if a and b:
+                mean = 1 + 2 * a * b / n
+                var = (mean - 1) * (mean - 2) / (n - 1)
+                seen = 1 + sum(x != y for x, y in zip(high, high[1:]))
+                runs = min(2 * tail(abs(seen - mean) / math.sqrt(var)) if var > 0 else 0.0, 2 * tail(abs(a - n / 2) / math.sqrt(n / 4)))
+            mid = sum(values) / n
+            square = sum((v - mid) ** 2 for v in values)
+            serial = sum((x - mid) * (y - mid) for x, y in zip(values, values[1:])) / square if square else 1.0
+            shift = n * (n - 1) * agree * size / n - (n - size) - size
+            ordinary = tail((size - 1 + max(0.0, shift) - chi) / math.sqrt(2 * (size - 1) + 4 * max(1.0, shift)))
+            if size > 16 and sum((any(c.islower() for c in body), any(c.isupper() for c in body), any(c.isdigit() for c in body))) == 1:
+                ordinary = 1.0
+            random_like = min(uniform, runs, 2 * tail(abs(serial + 1 / n) * math.sqrt(n))) >= secret_scan.ALPHA
+            level = min(secret_scan.LEVELS - 1, int(-4 * math.log10(max(ordinary, 1e-300))))
+            tests.append((min(7, int(math.log2((e - s) / 16))), 10 ** (-level / 4) if random_like else 2.0, k, f"random:{s}:{e}"))
+    for c in range(8):
+        mine = sorted(t[1] for t in tests if t[0] == c)
+        good = [p for r, p in enumerate(mine, 1) if p <= secret_scan.FDR * sum(q <= p for q in mine) / len(mine)]
+        for t in tests:
+            if t[0] == c and good and t[1] <= max(good):
+                out[t[2]].add(t[3])
+    return out
+
+
+def test_secret_spans_equal_brute_force(spark):
+    rnd = random.Random(21)
+    b64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    secret = lambda: "".join(rnd.choices(rnd.choice([b64, b64[:-2] + "-_", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789ABCDEF"]), k=rnd.choice([22, 30, 44, 64, 130])))
+    word = lambda: "".join(rnd.choices("etaoinshrdlu", weights=[12, 9, 8, 7, 7, 7, 6, 6, 6, 4, 4, 3], k=rnd.randint(3, 30)))
+    make = (secret, word, word, lambda: word().title() + word().title() + str(rnd.randrange(99)), lambda: f"token={secret()}", lambda: f"X_KEY={secret()}==", lambda: "AKIA" + "B2" * 10, lambda: "0af9" * 8)
+    texts = [" ".join(rnd.choice(make)() for _ in range(rnd.randint(1, 12))) for _ in range(150)] + [None, "", "=" * 40, "-" * 40, "a" * 50_000, "\n".join("k" * 30 + str(i) for i in range(300))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: set(filter(None, r.spans.split(","))) for r in secret_scan.digest(secret_scan.scan(df)).collect()}
+    want = dict(enumerate(plain_spans(texts)))
+    assert got == want
+    assert sum(s.startswith("random") for v in want.values() for s in v) > 30
+    assert secret_scan.digest(secret_scan.scan(df.limit(0))).count() == 0
+
+
+def test_empty_tables_and_long_texts(spark):
+    docs = spark.createDataFrame([], DOCS)
+    assert line_dedup.digest(line_dedup.mark_repeats(docs)).count() == 0 and line_dedup.without_repeats(docs).count() == 0
+    assert minhash_dedup.near_duplicates(docs).count() == 0 and minhash_dedup.one_of_each(docs).count() == 0
+    assert mixing.mixed_documents(docs).count() == 0
+    rnd = random.Random(2)
+    long = "\n".join(" ".join(f"w{rnd.randrange(5000)}" for _ in range(12)) for _ in range(8000))
+    rows = [(1, long, "en", "s", 1), (2, long + " x", "en", "s", 1), (None, long, "en", "t", 1), (3, "a b", "en", "s", 1), (None, None, None, None, None)]
+    df = spark.createDataFrame(rows, DOCS)
+    labels = spark.createDataFrame([(1, 1, 0), (3, 0, 1)], "doc_id long, quality int, toxic int")
+    assert {(r.doc_id, r.component_id, r.kept) for r in minhash_dedup.near_duplicates(df).collect()} == {(1, 1, True), (2, 1, False), (None, 1, False), (3, 3, True), (None, None, False)}
+    removed = {(r.doc_id, r.n_lines): r.n_removed for r in line_dedup.digest(line_dedup.mark_repeats(df)).collect()}
+    assert removed == {(1, 8000): 0, (2, 8000): 7999, (None, 8000): 8000, (3, 1): 0, (None, 0): 0}
+    assert quality_rules.judge(df).filter("n_words > 90000").count() == 3
+    assert packing.pack(df).filter("n_tokens = 8192").count() == 3 * (96_000 // 8192)
+    for module in (toxicity, quality_crf):
+        assert module.score(df, module.train(df, labels)).count() == 5
