@@ -155,3 +155,8 @@ def match_errors(issues: DataFrame, feeds: DataFrame) -> DataFrame:
     keys = feeds.select(norm_key(F.col("name")).alias("key"), F.col("name").alias("feed"))
     single = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("feed").alias("feed")).filter("n = 1").drop("n")
     return issues.withColumn("key", norm_key(F.col("source"))).join(single, "key", "left").drop("key")
+
+
+def stale_feeds(history: DataFrame, on_disk: DataFrame) -> DataFrame:
+    """(feed): feeds that a report knows and that have no file any more."""
+    return history.select("feed").distinct().join(on_disk.select("feed"), "feed", "left_anti")

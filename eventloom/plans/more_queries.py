@@ -64,6 +64,12 @@ def f19_feed_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.feed_preview_counts(rows, _now())
 
 
+@query(f"SELECT id, start_time FROM cal WHERE start_time >= {NOW} ORDER BY start_time, CAST(id AS VARCHAR) LIMIT 10")
+def f19_feed_preview_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = calendar(spark, sf_dir).withColumn("uid", F.col("id").cast("string"))
+    return filters.feed_preview(rows, _now()).select("id", "start_time")
+
+
 @query("SELECT id FROM cal WHERE source IS NOT NULL AND list_has_any(list_transform(string_split(source, ','), lambda s: trim(s)), ['src1', 'src4'])")
 def f20_id_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = text.source_list(F.col("source"))
@@ -164,7 +170,7 @@ def k11_connector_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return web.connector_calendar(calendar(spark, sf_dir), _now()).select("id", "end_time")
 
 
-@query("SELECT '| ' || city || ' | ' || CAST(count(*) AS VARCHAR) || ' |' AS line FROM cal GROUP BY city")
+@query("SELECT 0 AS part, '| city | n |' AS line UNION ALL SELECT 1, '| --- | --- |' UNION ALL SELECT 2, '| ' || city || ' | ' || CAST(count(*) AS VARCHAR) || ' |' FROM cal GROUP BY city")
 def k10_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.markdown_rows(calendar(spark, sf_dir).groupBy("city").agg(F.count("*").alias("n")))
 

@@ -444,7 +444,7 @@ def x2_rss_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT DISTINCT feed FROM hist WHERE feed NOT IN (SELECT concat('feed', CAST(s_suppkey % 3 AS VARCHAR)) FROM supplier)")
 def x3_stale_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     on_disk = _table(spark, sf_dir, "supplier").selectExpr("concat('feed', cast(s_suppkey % 3 as string)) as feed")
-    return feed_history(spark, sf_dir).select("feed").distinct().join(on_disk, "feed", "left_anti")
+    return store.stale_feeds(feed_history(spark, sf_dir), on_disk)
 
 
 @query("SELECT doc_id, substr(lower(regexp_replace(regexp_replace(text, '^(the |a |an )', '', 'i'), '[^\\p{L}\\p{N}]', '', 'g')), 1, 40) AS title_key FROM documents")

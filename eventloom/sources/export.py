@@ -146,6 +146,9 @@ def user_calendars(picked: DataFrame, now: Column) -> DataFrame:
 
 
 def markdown_rows(df: DataFrame) -> DataFrame:
-    """(line): a Markdown table line for each row."""
-    cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns]
-    return df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
+    """(part, line): a Markdown table, its header and separator as parts 0 and 1, and a line
+    for each row as part 2."""
+    line = lambda cells: f"| {' | '.join(cells)} |"
+    head = df.sparkSession.createDataFrame([(0, line(df.columns)), (1, line(["---"] * len(df.columns)))], "part int, line string")
+    cells = [F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("|"), F.lit("\\|")) for c in df.columns]
+    return head.unionByName(df.select(F.lit(2).alias("part"), F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line")))

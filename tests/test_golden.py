@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from eventloom.functions import dates, geo, html, labels, recurrence, text, urls
 from eventloom.functions.similarity import token_set
+from eventloom.functions import registry
 from eventloom.functions.snippet import REPORT, SITE, with_snippet
 from eventloom.operators import aggregates, classify, cluster, dedup, filters, store, windows
 from eventloom.sources import apis, export, ics, registries, web
@@ -331,6 +332,25 @@ def test_jsonld(spark):
     assert got == {"A": "Hall, 1 Elm, Napa", "B": "Elsewhere", "C": "", "D": "", "E": ""}
 
 
+def test_jsonld_filters(spark):
+    blocks = web.jsonld_blocks(spark.createDataFrame([(1, PAGE)], "page_id long, html string"))
+    kept = web.jsonld_records(web.jsonld_events(blocks), now=F.lit("2026-01-03").cast("timestamp"), location_part="WHERE")
+    assert [r.title for r in kept.collect()] == ["B"]
+
+
+def test_sql_functions_and_hooks(spark):
+    registry.register(spark)
+    row = spark.sql("SELECT token_set_similarity('Jazz Night', 'night jazz') AS a, html_unescape('a &amp; b') AS b, title_words('B a b') AS c, sequence_similarity('x', 'x') AS d").first()
+    assert (row.a, row.b, row.c, row.d) == (1.0, "a & b", ["a", "b"], 1.0)
+    body = '{"events":[{"title":"Keep","start_date":"2026-01-02 10:00:00"},{"title":"Drop","start_date":"2026-01-02 10:00:00"}]}'
+    responses = spark.createDataFrame([("s", body)], "source string, body string")
+    made = apis.api_events(responses, "tribe", keep=F.get_json_object("o", "$.title") != "Drop", change=lambda df: df.withColumn("title", F.upper("title")))
+    assert [r.title for r in made.collect()] == ["KEEP"]
+    library = '{"entities":{"events":{"1":{"definition":{"title":"T","start":"2026-01-02T10:00","audienceIds":["x","y"]}},"2":{"definition":{"title":"U","start":"2026-01-02T10:00","audienceIds":["y"]}},"3":{"definition":{"title":"V","start":"2026-01-02T10:00","isCancelled":true,"audienceIds":["y"]}}}}}'
+    pages = spark.createDataFrame([("s", library)], "source string, body string")
+    assert [r.title for r in apis.api_events(pages, "bibliocommons", keep=apis.first_audience(("x", "y"), "y")).collect()] == ["U"]
+
+
 def test_rss_and_apis(spark):
     xml = "<rss><item><title><![CDATA[A & B]]></title><link>http://x</link><pubDate>Fri, 02 Jan 2026 10:00:00 +0000</pubDate></item></rss>"
     r = web.rss_items(spark.createDataFrame([("f", xml)], "feed string, xml string")).first()
