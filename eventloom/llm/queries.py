@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
+    fill_in_middle,
     line_dedup,
     minhash_dedup,
     mixing,
@@ -15,7 +16,9 @@ from . import (
     packing,
     quality_crf,
     quality_rules,
+    ranked_search,
     secret_scan,
+    token_counts,
     topk_search,
     toxicity,
     url_filter,
@@ -70,10 +73,23 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.digest(fill_in_middle.transform(_table(spark, sf_dir, "documents")))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.rank(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     made = (
         op1_quality_crf, op2_line_dedup, op3_url_filter, op4_minhash_dedup, op5_toxicity,
         op6_source_mixing, op7_topk_search, op8_quality_rules, op9_secret_scan, op10_packing,
+        op11_fill_in_middle, op12_ranked_search, op13_token_counts,
     )
     return {f.__name__: f for f in made}
 
@@ -88,4 +104,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_url_filter": url_filter.oracle(),
         "op6_source_mixing": mixing.oracle(),
         "op7_topk_search": topk_search.oracle(),
+        "op11_fill_in_middle": fill_in_middle.oracle(),
+        "op12_ranked_search": ranked_search.oracle(),
     }
