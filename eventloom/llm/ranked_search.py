@@ -97,6 +97,12 @@ class MaxTree:
         here = self.terms[at] == terms
         return at[here], times[here]
 
+    def scores(self, leaf: int) -> np.ndarray:
+        """Scores of the documents of a leaf range for the item that is searched."""
+        first, last = leaf * LEAF, min((leaf + 1) * LEAF, self.size)
+        a, b = self.starts[first], self.starts[last]
+        return np.add.reduceat(self.gain[a:b] * self._times[self.row[a:b]], self.starts[first:last] - a)
+
     def search(self, terms: np.ndarray, times: np.ndarray, k: int, floor: int) -> list[tuple[int, int]]:
         """(score, position) of the k best documents of at least ``floor`` (and above 0)."""
         rows, times = self.rows_of(terms, times)
@@ -116,11 +122,9 @@ class MaxTree:
                 for i in np.flatnonzero(below >= least):
                     heapq.heappush(nodes, (-int(below[i]), level - 1, at * FAN + int(i)))
                 continue
-            first, last = at * LEAF, min((at + 1) * LEAF, self.size)
-            a, b = self.starts[first], self.starts[last]
-            scores = np.add.reduceat(self.gain[a:b] * self._times[self.row[a:b]], self.starts[first:last] - a)
+            scores = self.scores(at)
             for i in np.flatnonzero(scores >= least):
-                entry = (int(scores[i]), -(first + int(i)))
+                entry = (int(scores[i]), -(at * LEAF + int(i)))
                 if len(best) < k:
                     heapq.heappush(best, entry)
                 elif entry > best[0]:
