@@ -8,7 +8,7 @@ the table lacks is encoded by the library once and remembered until the cache is
 Nothing but the counts leaves a task, so no pre-token is ever shuffled.
 
 What tier one holds changes the speed, never a count.  It is read from a bounded sample:
-SAMPLE_DOCS texts (of at most SAMPLE_CHARS characters) by hash, from SAMPLE_FILES files spread
+about SAMPLE_DOCS texts (of at most SAMPLE_CHARS characters), from SAMPLE_FILES files spread
 evenly over the table; of their pre-tokens the TABLE most frequent that occur twice or more.
 
 The regex library and the tokenizer library can know different Unicode versions.  Where a
@@ -144,7 +144,8 @@ def sample(docs: DataFrame) -> DataFrame:
         some = docs.where(path.isin(files[:: -(-len(files) // SAMPLE_FILES)])) if len(files) > SAMPLE_FILES else docs
     except AnalysisException:
         some = docs  # not read from files
-    return some.select(text).where("text IS NOT NULL").orderBy(F.xxhash64("text"), "text").limit(SAMPLE_DOCS)
+    rows = some.count()
+    return some.select(text).sample(min(1.0, SAMPLE_DOCS / max(rows, 1)), seed=13).limit(SAMPLE_DOCS)
 
 
 def frequent_lengths(texts: DataFrame, tokenizer: str) -> tuple[bytes, np.ndarray, np.ndarray]:
@@ -153,7 +154,7 @@ def frequent_lengths(texts: DataFrame, tokenizer: str) -> tuple[bytes, np.ndarra
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lengths, seen = Lengths(tokenizer, (b"", np.empty(0, int), np.empty(0, int))), Counter()
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            for text in batch.column(0).drop_null().to_pylist():
                 for units in lengths.units(text):
                     if not isinstance(units, str):
                         seen.update(units)
