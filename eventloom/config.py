@@ -42,14 +42,18 @@ SCHEMA_TYPES = {
 #: Substrings that mark a location as virtual.
 VIRTUAL = ("zoom", "online", "virtual", "webinar", "http://", "https://", "america/los_angeles", "america/new_york")
 
-#: State and province codes of an address.
+#: State and province codes of an address.
 REGIONS = (
-    "AL AK AZ AR CA CO CT DE FL GA HI ID IL IN IA KS KY LA ME MD MA MI MN MS MO MT NE NV NH NJ NM NY NC ND OH OK OR "
-    "PA RI SC SD TN TX UT VT VA WA WV WI WY DC AB BC MB NB NL NS NT NU ON PE QC SK YT"
-).split()
+    "AL", "AK", "AZ", "AR", "CA", "CO", "CT", "DE", "FL", "GA", "HI", "ID", "IL", "IN", "IA", "KS",
+    "KY", "LA", "ME", "MD", "MA", "MI", "MN", "MS", "MO", "MT", "NE", "NV", "NH", "NJ", "NM", "NY",
+    "NC", "ND", "OH", "OK", "OR", "PA", "RI", "SC", "SD", "TN", "TX", "UT", "VT", "VA", "WA", "WV",
+    "WI", "WY", "DC", "AB", "BC", "MB", "NB", "NL", "NS", "NT", "NU", "ON", "PE", "QC", "SK", "YT",
+)
 
-#: Street words of an address.
-STREETS = "street st avenue ave road rd drive dr boulevard blvd lane ln way court ct".split()
+#: Street words of an address.
+STREETS = (
+    "street", "st", "avenue", "ave", "road", "rd", "drive", "dr", "boulevard", "blvd", "lane", "ln", "way", "court", "ct",
+)
 
 #: PRODID pattern to platform, first match wins.
 PLATFORMS = (
@@ -183,3 +187,20 @@ SLUG_RULES = (
     ("host", "campuslabs.com", "campuslabs_", None, None),
     ("path", "/live/ical/", "", None, r"group_id/(\d+)"),
 )
+
+#: A weekday in words, ordinals in words, and the phrases that state a recurrence, in
+#: the order in which they are tried: pattern, frequency, group of the ordinal, group of the day.
+WEEKDAY = "sunday|monday|tuesday|wednesday|thursday|friday|saturday"
+ORDINALS = {"first": "1", "second": "2", "third": "3", "fourth": "4"}
+RECURRENCE_WORDS = (
+    (
+        rf"(?:every|on)\s+({WEEKDAY})s?"
+        r"(?![,\s]+(?:january|february|march|april|may|june|july|august|september|october|november|december"
+        r"|jan|feb|mar|apr|jun|jul|aug|sep|oct|nov|dec)\b)",
+        "WEEKLY", 0, 1,
+    ),
+    (r"\bevery\s+week\b|\bweekly\b", "WEEKLY", 0, 0),
+    (rf"(\d+)(?:st|nd|rd|th)\s+(?:and\s+\d+(?:st|nd|rd|th)\s+)?({WEEKDAY})", "MONTHLY", 1, 2),
+    (rf"(first|second|third|fourth)\s+({WEEKDAY})", "MONTHLY", 1, 2),
+    (r"\bmonthly\b", "MONTHLY", 0, 0),
+)

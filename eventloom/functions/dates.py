@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-import re
+from collections.abc import Callable
 from zoneinfo import available_timezones
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MONTHS = "january february march april may june july august september october november december"
+#: The months.
+MONTHS = {
+    "january": 1, "february": 2, "march": 3, "april": 4, "may": 5, "june": 6,
+    "july": 7, "august": 8, "september": 9, "october": 10, "november": 11, "december": 12,
+}
 
 
 def valid_zones(spark: SparkSession) -> DataFrame:
@@ -38,6 +42,12 @@ def instant(value: Column, zone: Column) -> Column:
     return F.when(F.endswith(F.trim(value), F.lit("Z")), wall).otherwise(F.to_utc_timestamp(wall, zone))
 
 
+def local_clock(value: Column, zone: Column) -> Column:
+    """The wall clock of ICS date-time text in ``zone``: with a Z converted, else as it is."""
+    wall = wall_clock(value)
+    return F.when(F.endswith(F.trim(value), F.lit("Z")), F.convert_timezone(F.lit("UTC"), zone, wall)).otherwise(wall)
+
+
 def iso_local(at: Column, zone: Column) -> Column:
     """ISO-8601 text of an instant in a zone, with offset."""
     local = F.from_utc_timestamp(at, zone)
@@ -58,10 +68,6 @@ def is_all_day(value: Column, params: Column) -> Column:
     )
 
 
-def day_offset(at: Column, today: Column) -> Column:
-    return F.datediff(at, today)
-
-
 def ordinal_weekday(d: Column) -> Column:
     """Which of its weekday in the month a date is: 1 for days 1-7."""
     return F.ceil(F.dayofmonth(d) / 7).cast("int")
@@ -73,10 +79,6 @@ def time_label(at: Column) -> Column:
     return F.when(F.date_format(at, "HH:mm") == "00:00", "").otherwise(t)
 
 
-def day_label(at: Column) -> Column:
-    return F.date_format(at, "EEE, MMM d")
-
-
 def normalize_captured(value: Column) -> Column:
     """Captured date-times: a date alone means 19:00; offsets and seconds are optional."""
     v = F.trim(value)
@@ -86,48 +88,108 @@ def normalize_captured(value: Column) -> Column:
     ).cast("timestamp_ntz")
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with the value computed once however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _month(word: Column) -> Column:
+    """The number of a month by its name or the first three letters of it."""
+    named = F.create_map(*[F.lit(x) for name, n in MONTHS.items() for key in dict.fromkeys((name, name[:3])) for x in (key, n)])
+    return F.try_element_at(named, word)
+
+
+def _tokens(text: Column) -> Column:
+    """Numbers, words, runs of blanks and single marks of a text; commas and the endings of
+    ordinals are left out, and ``p.m.`` is a word."""
+    bare = F.regexp_replace(F.lower(F.trim(text)), r"(?<=\d)(st|nd|rd|th)\b|(?<=[ap])[.]\s?(?=m)|(?<=[ap][.]?\s?m)[.]|,", "")
+    return F.regexp_extract_all(bare, F.lit(r"[0-9]+|[a-z]+|\s+|[^0-9a-z\s]"), F.lit(0))
+
+
+def _shape(tokens: Column) -> Column:
+    """One character a token, by which forms are recognised: d, D, #, Y for numbers of one to
+    four digits, M for a month, W for a weekday, a for AM or PM, w for another word, _ for blanks;
+    marks stand for themselves."""
+
+    def kind(t: Column) -> Column:
+        return (
+            F.when(t.rlike("^[0-9]"), F.substring(F.lit("dD#Y*"), F.least(F.length(t), F.lit(5)), F.lit(1)))
+            .when(t.rlike("^[^a-z]"), F.when(t.rlike(r"^\s"), "_").otherwise(t))
+            .when(_month(t).isNotNull(), "M")
+            .when(t.rlike("^(mon|tue|wed|thu|fri|sat|sun)"), "W")
+            .when(t.rlike("^[ap]m"), "a")
+            .otherwise("w")
+        )
+
+    return F.array_join(F.transform(tokens, kind), "")
+
+
+def _place(shape: Column, before: str, form: str) -> Column:
+    """At which token a form begins; null if it does not occur."""
+    pattern = f"^({before}){form}"
+    return F.when(shape.rlike(pattern), F.length(F.regexp_extract(shape, pattern, 1)))
+
+
+#: Accepted forms of a date, the first that occurs and is sound: what may stand before, the shape, and
+#: where in it year, month and day are.
+DATE_FORMS = (
+    (".*?", "Y-D-D", 0, 2, 4),
+    (".*?", "D[.]D[.]D", 4, 0, 2),
+    (".*?", "[MWwa]_[dD]_Y", 4, 0, 2),
+    ("(?:W_)?", "M_[dD]_Y$", 4, 0, 2),
+    ("(?:W_)?", "[dD]/[dD]/[DY]$", 4, 0, 2),
+    ("(?:W_)?", "[dD]_M_Y$", 4, 2, 0),
+)
+#: With a target year also this one.
+YEARLESS_FORM = (".*?", "[MWwa]_[dD]", None, 0, 2)
+
+
 def parse_date(text: Column, year: int | None = None) -> Column:
     """The first date found in a text: ``2026-02-03``, ``02.03.26`` (month first),
     ``February 3, 2026``, and, given a target ``year``, ``Feb 3``; beyond these, a text that is
     ``2/3/2026``, ``2/3/26`` or ``3 February 2026`` (a weekday before it).  Null if none is."""
-    t = F.trim(text)
-    at = lambda p: [F.nullif(F.regexp_extract(t, p, i), F.lit("")) for i in range(1, re.compile(p).groups + 1)]
-    numbers = {m: i % 12 + 1 for i, m in enumerate(f"{MONTHS} {' '.join(m[:3] for m in MONTHS.split())}".split())}
-    named = F.create_map(*[F.lit(x) for kv in numbers.items() for x in kv])
-    month = lambda c: F.try_element_at(named, F.lower(F.coalesce(c, F.lit("")))).cast("string")
-    day = lambda y, m, d: F.try_to_timestamp(F.concat_ws("-", y, m, d), F.lit("y-M-d"))
-    whole = lambda y, m, d: F.when(y.isNotNull() & m.isNotNull() & d.isNotNull(), day(y, m, d))
-    iso, dotted = at(r"(\d{4})-(\d{2})-(\d{2})"), at(r"(\d{2})\.(\d{2})\.(\d{2})")
-    full, short = at(r"([A-Za-z]+)\s+(\d{1,2}),?\s+(\d{4})"), at(r"([A-Za-z]+)\s+(\d{1,2})")
-    bare = F.regexp_replace(t, r"(?i)^(mon|tue|wed|thu|fri|sat|sun)[a-z]*,?\s+|(?<=\d)(st|nd|rd|th)\b", "")
-    plain = F.regexp_extract(bare, r"^([A-Za-z]+)\s+(\d{1,2}),?\s+(\d{4})$", 1)
-    found = (
-        F.when(iso[0].isNotNull(), day(*iso))
-        .when(dotted[0].isNotNull(), day(F.concat(F.lit("20"), dotted[2]), dotted[0], dotted[1]))
-        .when(month(full[0]).isNotNull(), day(full[2], month(full[0]), full[1]))
-    )
-    rest = [
-        F.when(month(plain).isNotNull(), day(F.regexp_extract(bare, r"(\d{4})$", 1), month(plain), F.regexp_extract(bare, r"(\d{1,2}),?\s+\d{4}$", 1))),
-        F.when(bare.rlike(r"^\d{1,2}/\d{1,2}/\d{4}$"), F.try_to_timestamp(bare, F.lit("M/d/yyyy"))),
-        F.when(bare.rlike(r"^\d{1,2}/\d{1,2}/\d{2}$"), F.try_to_timestamp(bare, F.lit("M/d/yy"))),
-        F.when(bare.rlike(r"^\d{1,2} [A-Za-z]+ \d{4}$"), whole(F.regexp_extract(bare, r"(\d{4})$", 1), month(F.regexp_extract(bare, r" ([A-Za-z]+) ", 1)), F.regexp_extract(bare, r"^(\d{1,2})", 1))),
-    ]
-    if year:
-        rest.append(whole(F.lit(str(year)), month(short[0]), short[1]))
-    return F.coalesce(found, *rest).cast("date")
+
+    def sound(tokens: Column, places: tuple) -> Callable[[Column], Column]:
+        def made(at: Column) -> Column:
+            y, m, d = (F.lit(str(year)) if p is None else F.get(tokens, at + p) for p in places)
+            y = F.when(F.length(y) == 2, F.concat(F.lit("20"), y)).otherwise(y)
+            m = F.coalesce(_month(m).cast("string"), F.when(m.rlike("^[0-9]+$"), m))
+            return F.when(m.isNotNull(), F.try_to_timestamp(F.concat_ws("-", y, m, d), F.lit("y-M-d")))
+
+        return made
+
+    def found(tokens: Column, shape: Column) -> Column:
+        forms = (*DATE_FORMS, YEARLESS_FORM) if year else DATE_FORMS
+        return F.coalesce(*[_let(_place(shape, before, form), sound(tokens, places)) for before, form, *places in forms])
+
+    return _let(_tokens(text), lambda tokens: _let(_shape(tokens), lambda shape: found(tokens, shape))).cast("date")
 
 
 def parse_time(text: Column) -> Column:
-    """The first time of day found in a text, as ``HH:mm``: with AM or PM (also ``p.m.``), else
-    ``18:00``; null without either.  A text may also be noon or midnight."""
-    t = F.regexp_replace(F.upper(F.trim(text)), r"([AP])\.\s?M\.?", "$1M")
-    half, clock = r"(\d{1,2}):?(\d{2})?\s*(AM|PM)", r"(\d{1,2}):(\d{2})"
-    part = lambda p, i: F.regexp_extract(t, p, i).try_cast("int")
-    pm = F.regexp_extract(t, half, 3) == "PM"
-    hour = F.when(t.rlike(half), part(half, 1) % 12 + F.when(pm, 12).otherwise(0)).otherwise(part(clock, 1))
-    minute = F.when(t.rlike(half), F.coalesce(part(half, 2), F.lit(0))).otherwise(part(clock, 2))
-    sound = (hour < 24) & (minute < 60) & (~t.rlike(half) | part(half, 1).between(0, 12))
-    return F.when(t == "NOON", "12:00").when(t == "MIDNIGHT", "00:00").when(sound, F.format_string("%02d:%02d", hour, minute))
+    """The first time of day found in a text, as ``HH:mm``: with AM or PM (also ``p.m.``, ``730pm``),
+    else ``18:00``; null without either.  A text may also be noon or midnight."""
+
+    def clock(hour: Column, minute: Column) -> Column:
+        said = F.format_string("%02d:%02d", hour.cast("int"), minute.cast("int"))
+        return F.when((hour < 24) & (minute < 60), said)
+
+    def halves(tokens: Column, at: Column) -> Column:
+        number = F.get(tokens, at).try_cast("int")
+        parted = F.get(tokens, at + 1) == ":"
+        packed = ~parted & (number > 99)
+        hour = F.when(packed, F.floor(number / 100)).otherwise(number)
+        minute = F.when(packed, number % 100).when(parted, F.get(tokens, at + 2).try_cast("int")).otherwise(0)
+        word = F.get(F.filter(F.slice(tokens, at + 1, 5), lambda t: t.rlike("^[ap]m")), F.lit(0))
+        return F.when(hour <= 12, clock(hour % 12 + F.when(F.startswith(word, F.lit("p")), 12).otherwise(0), minute))
+
+    def found(tokens: Column, shape: Column) -> Column:
+        half = _place(shape, ".*?", "(?:[dD](?::D)?|[#Y])_?a")
+        day = _let(_place(shape, ".*?", "[dD]:D"), lambda at: clock(F.get(tokens, at).try_cast("int"), F.get(tokens, at + 2).try_cast("int")))
+        return _let(half, lambda at: F.when(at.isNotNull(), halves(tokens, at)).otherwise(day))
+
+    word = F.lower(F.trim(text))
+    of_text = _let(_tokens(text), lambda tokens: _let(_shape(tokens), lambda shape: found(tokens, shape)))
+    return F.when(word == "noon", "12:00").when(word == "midnight", "00:00").otherwise(of_text)
 
 
 def repair_double_conversion(at: Column, host: Column, hosts: tuple[str, ...], zone: Column) -> Column:

@@ -5,7 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..config import CATEGORIES, COMMAND_CLASSES, LOG_CLASSES, OWN_PRODIDS, PLATFORMS
+from ..config import (
+    CATEGORIES,
+    COMMAND_CLASSES,
+    LOG_CLASSES,
+    ORDINALS,
+    OWN_PRODIDS,
+    PLATFORMS,
+    RECURRENCE_WORDS,
+    WEEKDAY,
+)
 from .text import blank
 
 
@@ -61,24 +70,30 @@ def category_label(answer: Column) -> Column:
     return F.when(F.array_contains(names, a), a).otherwise(F.get(inside, F.lit(0)))
 
 
-def recurrence_in_text(text: Column) -> Column:
-    """A recurrence rule that a description states in words; ordered patterns."""
-    t = F.lower(blank(text))
-    day = r"(monday|tuesday|wednesday|thursday|friday|saturday|sunday)s?"
-    code = lambda c: F.upper(F.substring(c, 1, 2))
-    nth = F.regexp_extract(t, rf"\b(first|second|third|fourth|last|1st|2nd|3rd|4th)\s+{day}\b", 1)
-    nth_day = F.regexp_extract(t, rf"\b(first|second|third|fourth|last|1st|2nd|3rd|4th)\s+{day}\b", 2)
-    number = (
-        F.when(nth.isin("first", "1st"), "1").when(nth.isin("second", "2nd"), "2").when(nth.isin("third", "3rd"), "3")
-        .when(nth.isin("fourth", "4th"), "4").otherwise("-1")
-    )
-    other = F.regexp_extract(t, rf"\bevery\s+other\s+{day}\b", 1)
-    every = F.regexp_extract(t, rf"\b(?:every|each)\s+{day}\b", 1)
-    plural = F.regexp_extract(t, r"\b(monday|tuesday|wednesday|thursday|friday|saturday|sunday)s\b", 1)
-    return (
-        F.when(other != "", F.concat(F.lit("FREQ=WEEKLY;INTERVAL=2;BYDAY="), code(other)))
-        .when(nth != "", F.concat(F.lit("FREQ=MONTHLY;BYDAY="), number, code(nth_day)))
-        .when(every != "", F.concat(F.lit("FREQ=WEEKLY;BYDAY="), code(every)))
-        .when(t.rlike(r"\b(daily|every day)\b"), "FREQ=DAILY")
-        .when(plural != "", F.concat(F.lit("FREQ=WEEKLY;BYDAY="), code(plural)))
-    )
+def recurrence_in_text(*texts: Column) -> Column:
+    """The recurrence rule that the first of some texts states in words.
+
+    RECURRENCE_WORDS is tried in order; a weekly rule without a day takes the first
+    weekday named in that text, else in any of the texts.  Null if no text states one."""
+    lower = [F.lower(blank(t)) for t in texts]
+    days = [F.nullif(F.regexp_extract(t, rf"\b({WEEKDAY})s?\b", 1), F.lit("")) for t in lower]
+    code = lambda day: F.upper(F.substring(day, 1, 2))
+    found = []
+    for at, t in enumerate(lower):
+        rule = None
+        for pattern, frequency, ordinal, day in RECURRENCE_WORDS:
+            said = F.lit(f"FREQ={frequency}")
+            if day:
+                number = F.regexp_extract(t, pattern, ordinal) if ordinal else F.lit("")
+                number = F.coalesce(F.try_element_at(_map(ORDINALS), number), F.regexp_replace(number, "^0+(?=.)", ""))
+                said = F.concat(said, F.lit(";BYDAY="), number, code(F.regexp_extract(t, pattern, day)))
+            elif frequency == "WEEKLY":
+                named = code(F.coalesce(days[at], *days))
+                said = F.concat_ws(";BYDAY=", said, named)
+            rule = F.when(t.rlike(pattern), said) if rule is None else rule.when(t.rlike(pattern), said)
+        found.append(rule)
+    return F.coalesce(*found)
+
+
+def _map(values: dict[str, str]) -> Column:
+    return F.create_map(*[F.lit(x) for kv in values.items() for x in kv])

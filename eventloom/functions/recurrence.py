@@ -1,10 +1,18 @@
 """Recurrence rules: text, and expansion into occurrences.
 
-Expansion is a JVM-side ``sequence`` over the wall-clock days of the window with a
-filter per rule part, then ``explode``: no Python runs.  Supported: FREQ DAILY,
-WEEKLY, MONTHLY (same day, or nth weekday), YEARLY; INTERVAL, COUNT, UNTIL, BYDAY,
-and excluded dates.  An occurrence must satisfy the rule; a start that does not is
-not an occurrence itself (RFC 5545 leaves this open).
+A recurrence set is what a rule yields, and the added dates, less the excluded ones; an
+instance that was moved replaces the one it names.  A rule is expanded without Python: a
+``sequence`` over the wall-clock days of the window, a filter with one test for each part,
+the times of day, and, for BYSETPOS, the rank of an occurrence in its period.
+
+Parts: FREQ (DAILY, WEEKLY, MONTHLY, YEARLY), INTERVAL, COUNT, UNTIL, WKST, BYMONTH, BYWEEKNO,
+BYYEARDAY, BYMONTHDAY, BYDAY, BYHOUR, BYMINUTE, BYSECOND, BYSETPOS.  Whether a part limits a
+period's days or expands them, membership of a day is the same test; what differs is the default
+of a missing part, the start's own month, day or weekday.  UNTIL with a time is compared as
+such, with a Z after conversion to the event's zone; a date alone includes its whole day.
+A row without a rule, or with a rule that this grammar does not accept, occurs once, at its start.
+A start that its rule does not yield is no occurrence (the standard leaves this open).  In
+the first week of a weekly rule, BYSETPOS counts from the start.
 """
 
 from __future__ import annotations
@@ -13,6 +21,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _DAYS = ("MO", "TU", "WE", "TH", "FR", "SA", "SU")
+_DAY = f"(?:{'|'.join(_DAYS)})"
+_NUMBERS = r"[+-]?\d{1,3}(?:,[+-]?\d{1,3})*"
+_PARTS = (
+    "FREQ=(?:DAILY|WEEKLY|MONTHLY|YEARLY)", r"INTERVAL=\d{1,6}", r"COUNT=\d{1,6}", r"UNTIL=\d{8}(?:T\d{6}Z?)?", f"WKST={_DAY}",
+    rf"BYDAY=(?:[+-]?\d{{0,2}}{_DAY})(?:,[+-]?\d{{0,2}}{_DAY})*",
+    f"BY(?:MONTH|WEEKNO|YEARDAY|MONTHDAY|HOUR|MINUTE|SECOND|SETPOS)={_NUMBERS}",
+)
+_GRAMMAR = rf"^(?:RRULE:)?(?=(?:.*;)?FREQ=)(?:(?:{'|'.join(_PARTS)})(?:;|$))+$"
 
 
 def part(rule: Column, name: str) -> Column:
@@ -31,73 +47,211 @@ def build_rule(freq: Column, interval: Column, byday: Column, until: Column) ->
     )
 
 
-def parse_rule(df: DataFrame, rule: str) -> DataFrame:
-    """Adds freq, every, byday (list), n (COUNT) and last (UNTIL date)."""
-    r = F.col(rule)
+def is_sound(rule: Column) -> Column:
+    """A rule that can be expanded."""
+    return F.coalesce(F.upper(F.trim(rule)).rlike(_GRAMMAR), F.lit(False))
+
+
+def parse_rule(rule: Column, start: Column, zone: Column | None = None) -> Column:
+    """The parts of a rule as a struct, with the defaults that the start gives to missing ones."""
+    rule = F.trim(rule)
+    listed = lambda name: F.filter(F.split(F.coalesce(part(rule, name), F.lit("")), ","), lambda d: d != "")
+    numbers = lambda name: F.transform(listed(name), lambda n: n.try_cast("int"))
+    freq = part(rule, "FREQ")
+    days = F.transform(listed("BYDAY"), lambda d: F.regexp_replace(d, "^[+]", ""))
+    # the number of a weekday means nothing in a day or week
+    days = F.when(freq.isin("DAILY", "WEEKLY"), F.transform(days, lambda d: F.right(d, F.lit(2)))).otherwise(days)
+    months, month_days, year_days, weeks = (numbers(f"BY{n}") for n in ("MONTH", "MONTHDAY", "YEARDAY", "WEEKNO"))
+    free = (F.size(days) + F.size(month_days) + F.size(year_days) + F.size(weeks)) == 0
+    own_weekday = F.element_at(F.array(*[F.lit(d) for d in _DAYS]), F.weekday(start) + 1)
+    until = part(rule, "UNTIL")
+    last = F.try_to_timestamp(F.rpad(F.substring(until, 1, 15), 15, "T235959"), F.lit("yyyyMMdd'T'HHmmss")).cast("timestamp_ntz")
+    if zone is not None:
+        last = F.when(F.endswith(until, F.lit("Z")), F.convert_timezone(F.lit("UTC"), zone, last)).otherwise(last)
+    own = lambda name, value: F.when(F.size(numbers(name)) > 0, F.array_sort(numbers(name))).otherwise(F.array(value))
+    hours, minutes, seconds = own("BYHOUR", F.hour(start)), own("BYMINUTE", F.minute(start)), own("BYSECOND", F.second(start))
+    clock = lambda h: F.flatten(F.transform(minutes, lambda m: F.transform(seconds, lambda s: h * 3600 + m * 60 + s)))
+    return F.struct(
+        is_sound(rule).alias("sound"),
+        freq.alias("freq"),
+        F.greatest(F.lit(1), F.coalesce(part(rule, "INTERVAL").try_cast("int"), F.lit(1))).alias("every"),
+        part(rule, "COUNT").try_cast("int").alias("n"),
+        last.alias("last"),
+        (F.coalesce(F.array_position(F.array(*[F.lit(d) for d in _DAYS]), part(rule, "WKST")), F.lit(1)) - 1).cast("int").alias("week_start"),
+        F.when(free & (freq == "YEARLY") & (F.size(months) == 0), F.array(F.month(start))).otherwise(months).alias("months"),
+        F.when(free & freq.isin("YEARLY", "MONTHLY"), F.array(F.dayofmonth(start))).otherwise(month_days).alias("month_days"),
+        year_days.alias("year_days"),
+        weeks.alias("weeks"),
+        F.when(free & (freq == "WEEKLY"), F.array(own_weekday)).otherwise(days).alias("days"),
+        # whether a numbered weekday is one of the month's or of the year's
+        ((freq == "MONTHLY") | (F.size(months) > 0)).alias("of_month"),
+        numbers("BYSETPOS").alias("places"),
+        F.array_distinct(F.flatten(F.transform(hours, clock))).alias("clock"),
+    )
+
+
+def _week_of(day: Column, week_start: Column) -> Column:
+    """The first day of a day's week."""
+    return F.date_sub(day, F.pmod(F.weekday(day) - week_start, F.lit(7)))
+
+
+def _period(day: Column, rule: Column) -> Column:
+    """The first day of the period that a day belongs to."""
+    return (
+        F.when(rule["freq"] == "YEARLY", F.trunc(day, "year"))
+        .when(rule["freq"] == "MONTHLY", F.trunc(day, "month"))
+        .when(rule["freq"] == "WEEKLY", _week_of(day, rule["week_start"]))
+        .otherwise(day)
+    )
+
+
+def _period_end(day: Column, rule: Column) -> Column:
+    first = _period(day, rule)
     return (
-        df.withColumn("freq", part(r, "FREQ"))
-        .withColumn("every", F.greatest(F.lit(1), F.coalesce(part(r, "INTERVAL").try_cast("int"), F.lit(1))))
-        .withColumn("byday", F.filter(F.split(F.coalesce(part(r, "BYDAY"), F.lit("")), ","), lambda d: d != ""))
-        .withColumn("n", part(r, "COUNT").try_cast("int"))
-        .withColumn("last", F.try_to_timestamp(F.substring(part(r, "UNTIL"), 1, 8), F.lit("yyyyMMdd")).cast("date"))
+        F.when(rule["freq"] == "YEARLY", F.date_sub(F.add_months(first, 12), 1))
+        .when(rule["freq"] == "MONTHLY", F.last_day(day))
+        .when(rule["freq"] == "WEEKLY", F.date_add(first, 6))
+        .otherwise(day)
     )
 
 
-def _fits(day: Column, first: Column) -> Column:
+def _fits(day: Column, first: Column, rule: Column) -> Column:
     """Does a day belong to the rule that starts on ``first``?"""
     code = F.element_at(F.array(*[F.lit(d) for d in _DAYS]), F.weekday(day) + 1)
-    nth = F.ceil(F.dayofmonth(day) / 7).cast("int").cast("string")
-    from_end = (-F.ceil((F.dayofmonth(F.last_day(day)) - F.dayofmonth(day) + 1) / 7)).cast("int").cast("string")
-    free = F.size("byday") == 0
-    listed = F.array_contains(F.col("byday"), code)
-    numbered = listed | F.array_contains(F.col("byday"), F.concat(nth, code)) | F.array_contains(F.col("byday"), F.concat(from_end, code))
+    of_month, in_month = F.dayofmonth(day), F.dayofmonth(F.last_day(day))
+    of_year = F.dayofyear(day)
+    in_year = F.dayofyear(F.date_sub(F.add_months(F.trunc(day, "year"), 12), 1))
+    at, size = F.when(rule["of_month"], of_month).otherwise(of_year), F.when(rule["of_month"], in_month).otherwise(in_year)
+    nth, from_end = F.ceil(at / 7).cast("int"), -(F.floor((size - at) / 7) + 1).cast("int")
+    # a week belongs to the year of its fourth day
+    middle = F.date_add(_week_of(day, rule["week_start"]), 3)
+    year_end = F.date_sub(F.add_months(F.trunc(middle, "year"), 12), 1)
+    last_middle = F.date_sub(year_end, F.pmod(F.weekday(year_end) - rule["week_start"] - 3, F.lit(7)))
+    week, weeks = (F.floor((F.dayofyear(m) - 1) / 7).cast("int") + 1 for m in (middle, last_middle))
     months = (F.year(day) - F.year(first)) * 12 + F.month(day) - F.month(first)
-    weeks = F.floor(F.datediff(F.date_trunc("week", day), F.date_trunc("week", first)) / 7)
-    same_day = F.dayofmonth(day) == F.dayofmonth(first)
-    every = F.col("every")
+    periods = (
+        F.when(rule["freq"] == "DAILY", F.datediff(day, first))
+        .when(rule["freq"] == "WEEKLY", F.datediff(_week_of(day, rule["week_start"]), _week_of(first, rule["week_start"])) / 7)
+        .when(rule["freq"] == "MONTHLY", months)
+        .otherwise(F.year(day) - F.year(first))
+    )
+    within = lambda name, *values: (F.size(rule[name]) == 0) | F.arrays_overlap(rule[name], F.array(*values))
     return (
-        F.when(F.col("freq") == "DAILY", (F.datediff(day, first) % every == 0) & (free | listed))
-        .when(F.col("freq") == "WEEKLY", (weeks % every == 0) & F.when(free, F.weekday(day) == F.weekday(first)).otherwise(listed))
-        .when(F.col("freq") == "MONTHLY", (months % every == 0) & F.when(free, same_day).otherwise(numbered))
-        .when(F.col("freq") == "YEARLY", (months % (every * 12) == 0) & same_day)
-        .otherwise(day == first)
+        (periods % rule["every"] == 0)
+        & within("months", F.month(day))
+        & within("month_days", of_month, of_month - in_month - 1)
+        & within("year_days", of_year, of_year - in_year - 1)
+        & within("weeks", week, week - weeks - 1)
+        & within("days", code, F.concat(nth.cast("string"), code), F.concat(from_end.cast("string"), code))
     )
 
 
-def expand(df: DataFrame, rule: str, start: str, from_day: Column, to_day: Column, excluded: str | None = None, out: str = "occurrence", limit: int | None = None) -> DataFrame:
-    """One row for each occurrence of ``rule`` in [from_day, to_day]; rows without a
+def _placed(times: Column, rule: Column) -> Column:
+    """The occurrences whose rank in their period, from either end, is among the places."""
+    periods = F.transform(times, lambda t: _period(t.cast("date"), rule))
+    backwards, n = F.reverse(periods), F.size(times)
+
+    def wanted(t: Column, i: Column) -> Column:
+        period = F.get(periods, i)
+        from_first = i - F.array_position(periods, period) + 2
+        from_last = i - n + F.array_position(backwards, period) - 1
+        return F.arrays_overlap(rule["places"], F.array(from_first.cast("int"), from_last.cast("int")))
+
+    return F.filter(times, wanted)
+
+
+def _with_times(rows: DataFrame, start: str, from_day: Column, to_day: Column, out: str, only: Column | None = None) -> DataFrame:
+    """Adds what the parsed rules (``__rule``) yield in whole days of [from_day, to_day], and before
+    where that must be counted, as the list ``out``; null without a sound rule or where not ``only``."""
+    r, begin, first = F.col("__rule"), F.col(start), F.to_date(F.col(start))
+    asked = r["sound"] if only is None else r["sound"] & only
+    ranked = F.size(r["places"]) > 0
+    stop = F.least(to_day, F.coalesce(F.to_date(r["last"]), to_day))
+    # a rule with COUNT must be counted from its start; others may begin at the window, with
+    # BYSETPOS at the beginning of its period (of the first week at the start)
+    lead = F.when(r["n"].isNotNull(), first).otherwise(F.greatest(first, from_day))
+    whole = F.when(r["freq"] == "WEEKLY", F.greatest(first, _period(lead, r))).otherwise(_period(lead, r))
+    lead, upto = F.when(ranked, whole).otherwise(lead), F.when(ranked, _period_end(stop, r)).otherwise(stop)
+    days = F.when(asked & (upto >= lead), F.sequence(lead, upto)).when(asked, F.array().cast("array<date>"))
+    days = F.filter(days, lambda d: _fits(d, first, r))
+    at = lambda d, s: d.cast("timestamp_ntz") + F.make_dt_interval(secs=s)
+    # the list is a column of its own, as ranks look it up for each of its members
+    rows = rows.withColumn(out, F.flatten(F.transform(days, lambda d: F.transform(r["clock"], lambda s: at(d, s)))))
+    times = F.when(ranked, _placed(F.col(out), r)).otherwise(F.col(out))
+    times = F.filter(times, lambda t: (t >= begin) & (r["last"].isNull() | (t <= r["last"])))
+    return rows.withColumn(out, F.when(r["n"].isNotNull(), F.slice(times, 1, F.greatest(r["n"], F.lit(0)))).otherwise(times))
+
+
+def _parsed(df: DataFrame, rule: str, start: str, zone: Column | None = None) -> DataFrame:
+    """Adds the struct ``__rule``.  It is generated, so that the optimizer cannot move the
+    parsing into the tests of single days."""
+    return df.select("*", F.explode_outer(F.array(parse_rule(F.col(rule), F.col(start), zone))).alias("__rule"))
+
+
+def expand(
+    df: DataFrame,
+    rule: str,
+    start: str,
+    from_day: Column,
+    to_day: Column,
+    excluded: str | None = None,
+    out: str = "occurrence",
+    limit: int | None = None,
+    added: str | None = None,
+    zone: Column | None = None,
+) -> DataFrame:
+    """One row for each occurrence of the set in [from_day, to_day]; rows without a sound
     rule occur once, at their start.  ``start`` is a wall clock (TIMESTAMP_NTZ), and so
-    is ``out``: 19:00 stays 19:00 across a clock change.  COUNT counts from the start;
-    ``limit`` bounds the occurrences of one rule."""
-    first = F.to_date(F.col(start))
-    stop = F.least(to_day, F.coalesce(F.col("last"), to_day))
-    # a rule with COUNT must be counted from its start; others may begin at the window
-    lead = F.when(F.col("n").isNotNull(), first).otherwise(F.greatest(first, from_day))
-    days = F.when(stop >= lead, F.sequence(lead, stop)).otherwise(F.array().cast("array<date>"))
-    hits = F.filter(days, lambda d: _fits(d, first))
-    hits = F.when(F.col("n").isNotNull(), F.slice(hits, 1, F.greatest(F.col("n"), F.lit(0)))).otherwise(hits)
-    hits = F.filter(hits, lambda d: (d >= from_day) & (d <= to_day))
+    is ``out``: 19:00 stays 19:00 across a clock change.  COUNT counts what the rule yields
+    from the start.  ``added`` is a list of wall clocks; ``excluded`` one of wall clocks or of
+    dates, which take out all of their day.  ``limit`` bounds the occurrences of one row."""
+    given, kinds = df.columns, {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    if excluded:  # generated for the same reason as the rule is
+        df = df.select("*", F.explode_outer(F.array(F.coalesce(F.col(excluded), F.array().cast(kinds[excluded])))).alias("__gone"))
+    rows = _with_times(_parsed(df, rule, start, zone), start, from_day, to_day, "__times")
+    none = F.array().cast("array<timestamp_ntz>")
+    times = F.coalesce("__times", F.when(F.col(start).isNotNull(), F.array(F.col(start))), none)
+    if added:
+        times = F.array_sort(F.array_union(times, F.coalesce(F.col(added), none)))
+    times = F.filter(times, lambda t: F.to_date(t).between(from_day, to_day))
     if limit is not None:
-        hits = F.slice(hits, 1, limit)
+        times = F.slice(times, 1, limit)
     if excluded:
-        hits = F.array_except(hits, F.coalesce(F.col(excluded), F.array().cast("array<date>")))
-    single = F.when(first.between(from_day, to_day), F.array(first)).otherwise(F.array().cast("array<date>"))
-    day = F.explode(F.when(F.coalesce(F.col(rule), F.lit("")) == "", single).otherwise(hits))
-    rows = parse_rule(df, rule).withColumn("__day", day)
-    seconds = F.unix_timestamp(F.col(start).cast("timestamp")) - F.unix_timestamp(first.cast("timestamp"))
-    made = F.timestamp_seconds(F.unix_timestamp(F.col("__day").cast("timestamp")) + seconds).cast("timestamp_ntz")
-    return rows.withColumn(out, made).drop("__day", "freq", "every", "byday", "n", "last")
+        by_day = kinds[excluded] == "array<date>"
+        times = F.filter(times, lambda t: ~F.array_contains("__gone", F.to_date(t) if by_day else t))
+    # an outer explode: for an inner one the optimizer would test the list before, expanding each rule twice
+    return rows.select(*given, F.explode_outer(times).alias(out)).where(F.col(out).isNotNull())
+
+
+def _repeats(df: DataFrame) -> Column:
+    """Whether a row stands for more than its start."""
+    ruled = F.coalesce(F.col("rrule"), F.lit("")) != ""
+    return ruled | (F.size("rdates") > 0) if "rdates" in df.columns else ruled
 
 
-def expand_events(df: DataFrame, today: Column, window_days: int = 90) -> DataFrame:
+def expand_events(df: DataFrame, today: Column, window_days: int = 90, zone: Column | None = None) -> DataFrame:
     """Events with ``rrule`` in the window from today; repeated instances get the uid
     suffix ``__YYYYMMDD`` and lose their rule.  Within a ``file`` that has any rule, all
-    its events pass through the window; other files have no horizon."""
-    ruled = df.groupBy("file").agg(F.bool_or(F.coalesce(F.col("rrule"), F.lit("")) != "").alias("__ruled"))
+    its events pass through the window; other files have no horizon.
+
+    ``rdates`` and ``exdates`` (lists of wall clocks) are added and taken out, and a row with
+    a ``recurrence_id`` (wall clock) replaces the instance of its uid that it names, wherever
+    in the window it was moved to; these three columns may be missing."""
+    lists = {n: n if n in df.columns else None for n in ("exdates", "rdates")}
+    ruled = df.groupBy("file").agg(F.bool_or(_repeats(df)).alias("__ruled"))
     marked = df.join(ruled, "file")
-    inside = expand(marked.filter("__ruled"), "rrule", "start_time", today, F.date_add(today, window_days))
+    inside = expand(
+        marked.filter("__ruled"), "rrule", "start_time", today, F.date_add(today, window_days),
+        excluded=lists["exdates"], added=lists["rdates"], zone=zone,
+    )
+    if "recurrence_id" in df.columns:
+        moved = df.where("recurrence_id IS NOT NULL").select(
+            F.col("file").alias("__file"), F.col("uid").alias("__uid"), F.col("recurrence_id").alias("__instance")
+        )
+        named = (F.col("file") == F.col("__file")) & (F.col("uid") == F.col("__uid")) & (F.col("occurrence") == F.col("__instance"))
+        inside = inside.join(moved.distinct(), named & F.col("recurrence_id").isNull(), "left_anti")
     suffix = F.concat(F.lit("__"), F.date_format("occurrence", "yyyyMMdd"))
-    repeated = F.coalesce(F.col("rrule"), F.lit("")) != ""
+    repeated = _repeats(df) | F.col("recurrence_id").isNotNull() if "recurrence_id" in df.columns else _repeats(df)
     inside = inside.withColumn("uid", F.when(repeated & ~F.endswith("uid", suffix), F.concat("uid", suffix)).otherwise(F.col("uid")))
     inside = inside.withColumn("start_time", F.col("occurrence")).withColumn("rrule", F.lit(None).cast("string")).drop("occurrence")
     return inside.unionByName(marked.filter("not __ruled")).drop("__ruled")
@@ -111,7 +265,18 @@ def expand_enrichments(df: DataFrame, from_day: Column, to_day: Column) -> DataF
     )
 
 
-def next_occurrence(df: DataFrame, now: Column, horizon_days: int = 366) -> DataFrame:
-    """(id, next_start) at or after ``now``."""
-    rows = expand(df, "rrule", "start_time", F.to_date(now), F.date_add(F.to_date(now), horizon_days))
-    return rows.filter(F.col("occurrence") >= now).groupBy("id").agg(F.min("occurrence").alias("next_start"))
+#: Days searched for a next occurrence, first of every rule and then of those that had none; in 28
+#: years every date has met every weekday, 29 February included.
+HORIZONS = (366, 28 * 366)
+
+
+def next_occurrence(df: DataFrame, now: Column) -> DataFrame:
+    """(id, next_start) at or after ``now``; ids without one are left out."""
+    today = F.to_date(now)
+    later = lambda c: F.filter(c, lambda t: t >= now)
+    rows = _with_times(_parsed(df, "rrule", "start_time"), "start_time", today, F.date_add(today, HORIZONS[0]), "__near")
+    once = F.when(~F.col("__rule")["sound"], F.array("start_time"))
+    rows = rows.withColumn("__near", later(F.coalesce("__near", once)))
+    rows = _with_times(rows, "start_time", today, F.date_add(today, HORIZONS[1]), "__far", F.size("__near") == 0)
+    found = F.array_min(F.when(F.size("__near") > 0, F.col("__near")).otherwise(later(F.col("__far"))))
+    return rows.select("id", found.alias("next_start")).groupBy("id").agg(F.min("next_start").alias("next_start")).where("next_start IS NOT NULL")

@@ -39,20 +39,13 @@ def source_matches_location(source: Column, location: Column) -> Column:
 def term_snippet(description: Column, term: Column, context: int = 40) -> Column:
     """The term in bold between ``context`` characters on either side; null if absent."""
     text = F.regexp_replace(F.regexp_replace(description, r"[\r\n]+", " "), r" {2,}", " ")
-    at = F.instr(F.lower(text), F.lower(term)) - 1
-    start = F.greatest(F.lit(0), at - context)
-    end = F.least(F.length(text), at + F.length(term) + context)
-    cut = lambda a, b: F.substring(text, a + 1, b - a)
-    made = F.concat(
-        F.when(start > 0, "...").otherwise(""),
-        cut(start, at),
-        F.lit("**"),
-        cut(at, at + F.length(term)),
-        F.lit("**"),
-        cut(at + F.length(term), end),
-        F.when(end < F.length(text), "...").otherwise(""),
-    )
-    return F.when((blank(description) != "") & (blank(term) != "") & (at >= 0), made)
+    quoted = F.concat(F.lit(r"(?iu)\Q"), F.replace(term, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+    sides = F.split(text, quoted, 2)
+    left, right = sides[0], F.get(sides, F.lit(1))
+    found = F.substring(text, F.length(left) + 1, F.length(term))
+    left = F.when(F.length(left) > context, F.concat(F.lit("..."), F.right(left, F.lit(context)))).otherwise(left)
+    right = F.when(F.length(right) > context, F.concat(F.left(right, F.lit(context)), F.lit("..."))).otherwise(right)
+    return F.when((blank(description) != "") & (blank(term) != ""), F.concat(left, F.lit("**"), found, F.lit("**"), right))
 
 
 def truncate(c: Column, length: int) -> Column:

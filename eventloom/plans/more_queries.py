@@ -87,7 +87,7 @@ def f21_names_containing(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def j15_next_occurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = calendar(spark, sf_dir).select("id", "start_time").withColumn("rrule", F.lit("RRULE:FREQ=WEEKLY"))
-    return recurrence.next_occurrence(rows, _now(), 51)
+    return recurrence.next_occurrence(rows, _now())
 
 
 @query("SELECT city, name, url, CASE WHEN feed_type = 'scraper' AND trim(coalesce(scraper_cmd, '')) <> '' THEN trim(scraper_cmd) ELSE 'curl -sL ''' || url || '''' END AS command FROM feeds")
@@ -151,10 +151,26 @@ def u10_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("SELECT id, CASE id % 5 WHEN 0 THEN 'FREQ=WEEKLY;INTERVAL=2;BYDAY=MO' WHEN 1 THEN 'FREQ=MONTHLY;BYDAY=3TH' WHEN 2 THEN 'FREQ=WEEKLY;BYDAY=SU' WHEN 3 THEN 'FREQ=DAILY' END AS rule FROM cal")
+#: Title, description, and the rule that they state.
+_SAID = (
+    ("", "Meets every Monday!", "FREQ=WEEKLY;BYDAY=MO"),
+    ("", "Join us on Thursdays at 7", "FREQ=WEEKLY;BYDAY=TH"),
+    ("", "Only on Monday, Jan 5", None),
+    ("", "This weekly walk sets out early, Sunday mornings", "FREQ=WEEKLY;BYDAY=SU"),
+    ("Weekly swim", "The pool opens at six, Tuesday to Friday", "FREQ=WEEKLY;BYDAY=TU"),
+    ("", "Potluck 2nd and 4th Friday", "FREQ=MONTHLY;BYDAY=2FR"),
+    ("", "Book club, first Wednesday, or the third Friday", "FREQ=MONTHLY;BYDAY=1WE"),
+    ("Monthly potluck", "every Saturday", "FREQ=MONTHLY"),
+    ("", "It happens every week", "FREQ=WEEKLY"),
+    ("", "every other Tuesday, or daily", None),
+    (None, None, None),
+)
+
+
+@query(f"SELECT id, CASE id % {len(_SAID)} {' '.join(f"WHEN {i} THEN '{r}'" for i, (_, _, r) in enumerate(_SAID) if r)} END AS rule FROM cal")
 def u17_recurrence_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = F.element_at(F.array(*[F.lit(x) for x in ("every other Monday", "on the third Thursday", "each Sunday", "open daily", "once")]), (F.col("id") % 5 + 1).cast("int"))
-    return calendar(spark, sf_dir).select("id", labels.recurrence_in_text(F.concat(F.lit("We meet "), said, F.lit("!"))).alias("rule"))
+    told = lambda at: F.element_at(F.array(*[F.lit(s[at]) for s in _SAID]), (F.col("id") % len(_SAID) + 1).cast("int"))
+    return calendar(spark, sf_dir).select("id", labels.recurrence_in_text(told(0), told(1)).alias("rule"))
 
 
 @query("SELECT id, CASE WHEN id % 2 = 0 THEN 'http://' || CAST(id AS VARCHAR) END AS url, CASE WHEN source IS NOT NULL AND len(list_filter(list_transform(string_split(source, ','), lambda s: trim(s)), lambda s: s <> '')) > 0 THEN array_to_string(list_filter(list_transform(string_split(source, ','), lambda s: trim(s)), lambda s: s <> ''), '|') END AS cats, regexp_replace(lower(coalesce(source, '')), '[^a-z0-9]', '', 'g') AS key FROM cal")

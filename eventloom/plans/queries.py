@@ -583,6 +583,59 @@ def u15_expand_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recurrence.expand(rows, "rrule", "start_time", F.expr("DATE '2024-01-01'"), F.expr("DATE '2024-06-30'")).select("id", "occurrence")
 
 
+#: Rules with, for SQL, the test of a day (d, the start s), and the ranks in a month or year that BYSETPOS asks for.
+_RULES = (
+    ("FREQ=MONTHLY;BYDAY=MO,TU,WE,TH,FR;BYSETPOS=-1", "isodow(d) < 6", "back = 1", "month"),
+    ("FREQ=DAILY;BYMONTH=2", "month(d) = 2", "", "day"),
+    ("FREQ=MONTHLY;BYMONTHDAY=15,-1", "day(d) = 15 OR day(d + 1) = 1", "", "month"),
+    ("FREQ=YEARLY;BYMONTH=3;BYDAY=2SU", "month(d) = 3 AND isodow(d) = 7 AND day(d) BETWEEN 8 AND 14", "", "year"),
+    ("FREQ=WEEKLY;INTERVAL=2;WKST=SU;BYDAY=SU,TU", "isodow(d) IN (2, 7) AND ((date_diff('day', DATE '2023-12-31', d) // 7) - (date_diff('day', DATE '2023-12-31', s) // 7)) % 2 = 0", "", "week"),
+    ("FREQ=YEARLY;BYYEARDAY=60,-1", "dayofyear(d) = 60 OR (month(d) = 12 AND day(d) = 31)", "", "year"),
+    ("FREQ=MONTHLY;BYDAY=FR,SA;BYSETPOS=1,3;COUNT=4", "isodow(d) IN (5, 6)", "rank IN (1, 3)", "month"),
+    ("FREQ=WEEKLY;BYDAY=TU;UNTIL=20240206T050000Z", "isodow(d) = 2 AND d + t <= TIMESTAMP '2024-02-06 00:00:00'", "", "week"),
+    ("FREQ=YEARLY;BYWEEKNO=20,-1;BYDAY=MO", "isodow(d) = 1 AND (week(d) = 20 OR week(d) = week(make_date(CAST(isoyear(d) AS INTEGER), 12, 28)))", "", "year"),
+    ("FREQ=MONTHLY;BYDAY=FR;BYMONTHDAY=13", "isodow(d) = 5 AND day(d) = 13", "", "month"),
+    ("FREQ=FORTNIGHTLY", None, "", "day"),
+    (None, None, "", "day"),
+)
+_RANKED = "".join(f" WHEN {i} THEN {place}" for i, (_, _, place, _) in enumerate(_RULES) if place)
+
+
+@query(
+    f", b AS (SELECT id, 'f' || city AS file, id % {len(_RULES)} AS kind, CAST(start_time AS DATE) AS s, start_time - date_trunc('day', start_time) AS t FROM cal), "
+    "w AS (SELECT *, unnest(generate_series(date_trunc('year', s), DATE '2024-12-31', INTERVAL 1 DAY)) AS d0 FROM b), g AS (SELECT * EXCLUDE (d0), CAST(d0 AS DATE) AS d FROM w), "
+    f"h AS (SELECT *, CASE kind {' '.join(f"WHEN {i} THEN date_trunc('{p}', d)" for i, (_, _, _, p) in enumerate(_RULES))} END AS period FROM g WHERE CASE kind {' '.join(f'WHEN {i} THEN {c or "d = s"}' for i, (_, c, _, _) in enumerate(_RULES))} END), "
+    "k AS (SELECT *, row_number() OVER (PARTITION BY id, period ORDER BY d) AS rank, row_number() OVER (PARTITION BY id, period ORDER BY d DESC) AS back FROM h), "
+    f"y AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d) AS nr FROM k WHERE d >= s AND CASE kind {_RANKED} ELSE true END), "
+    "u AS (SELECT id, kind, s + t AS begun, d + t AS ts FROM y WHERE (kind <> 6 OR nr <= 4) AND NOT (id % 3 = 0 AND d = s) UNION SELECT id, kind, s + t, s + INTERVAL 10 DAY + INTERVAL 90 MINUTE FROM b WHERE id % 4 = 0), "
+    "e AS (SELECT id, ts, kind < 11 OR id % 4 = 0 AS suffixed FROM u WHERE NOT (id % 5 = 0 AND ts = begun) UNION ALL SELECT id, s + t + INTERVAL 2 DAY, true FROM b WHERE id % 5 = 0) "
+    "SELECT id, ts AS start_time, 'uid-' || id || CASE WHEN suffixed THEN '__' || strftime(ts, '%Y%m%d') ELSE '' END AS uid FROM e WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-10-07'"
+)
+def u15_recurrence_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event as ICS text with a rule, dates taken out and added, and moved instances; parsed and expanded."""
+    ny, id_ = F.lit("America/New_York"), F.col("id")
+    local = lambda c: F.date_format(c, "yyyyMMdd'T'HHmmss")
+    utc = lambda c: F.concat(local(F.convert_timezone(ny, F.lit("UTC"), c)), F.lit("Z"))
+    rule = F.element_at(F.array(*[F.lit(r[0]) for r in _RULES]), (id_ % len(_RULES) + 1).cast("int"))
+    start = F.col("start_time")
+    more = F.to_date(start).cast("timestamp_ntz") + F.expr("INTERVAL '10 01:30' DAY TO MINUTE")
+    head = [F.lit("BEGIN:VEVENT"), F.concat(F.lit("UID:uid-"), id_.cast("string"))]
+    series = F.concat_ws(
+        "\r\n", *head, F.concat(F.lit("DTSTART;TZID=America/New_York:"), local(start)), F.concat(F.lit("RRULE:"), rule),
+        F.when(id_ % 3 == 0, F.concat(F.lit("EXDATE:20200101T000000Z,"), utc(start), F.lit("\r\nEXDATE;TZID=America/New_York:20200102T000000"))),
+        F.when(id_ % 4 == 0, F.concat(F.lit("RDATE;TZID=America/New_York;VALUE=PERIOD:"), local(more), F.lit("/PT1H"))), F.lit("END:VEVENT"),
+    )
+    moved = F.concat_ws(
+        "\r\n", *head, F.concat(F.lit("RECURRENCE-ID;TZID=America/New_York:"), local(start)),
+        F.concat(F.lit("DTSTART;TZID=America/New_York:"), local(start + F.expr("INTERVAL 2 DAYS"))), F.lit("END:VEVENT"),
+    )
+    body = F.concat_ws("\r\n", F.lit("BEGIN:VCALENDAR"), series, F.when(id_ % 5 == 0, moved), F.lit("END:VCALENDAR"))
+    files = calendar(spark, sf_dir).select(F.concat(F.lit("f"), "city").alias("file"), body.alias("content"))
+    rows = ics.with_recurrence(dates.with_event_zone(ics.parse(files), "tzid", ny), F.col("zone"))
+    made = recurrence.expand_events(rows, _today(), 270, F.col("zone"))
+    return made.select(F.regexp_extract("uid", r"^uid-(\d+)", 1).cast("bigint").alias("id"), "start_time", "uid")
+
+
 @query("SELECT id, 'FREQ=WEEKLY' || CASE WHEN id % 3 > 1 THEN ';INTERVAL=' || CAST(id % 3 AS VARCHAR) ELSE '' END || ';BYDAY=MO' || CASE WHEN id % 2 = 0 THEN ';UNTIL=' || strftime(start_time, '%Y%m%d') ELSE '' END AS rule FROM cal")
 def u16_build_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     until = F.when(F.col("id") % 2 == 0, F.col("start_time"))

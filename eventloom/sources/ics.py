@@ -48,6 +48,25 @@ def tzid(vevent: Column, name: str) -> Column:
     return F.regexp_extract(date_params(vevent, name), r"TZID=([^:;]+)", 1)
 
 
+def date_list(vevent: Column, name: str) -> Column:
+    """All raw values of a property that can have several (EXDATE, RDATE), of all its lines;
+    of a period its beginning."""
+    lines = F.regexp_extract_all(vevent, F.lit(rf"(?im)^{name}(?:;[^:\r\n]*)?:([^\r\n]*)"), F.lit(1))
+    values = F.flatten(F.transform(lines, lambda line: F.split(line, ",")))
+    return F.filter(F.transform(values, lambda v: F.trim(F.split(v, "/")[0])), lambda v: v != "")
+
+
+def with_recurrence(rows: DataFrame, zone: Column) -> DataFrame:
+    """Adds what ``recurrence.expand_events`` takes, as wall clocks in the event's ``zone``:
+    ``start_time``, ``exdates``, ``rdates``, ``recurrence_id``.  Values with a Z are converted;
+    malformed ones drop out; a date without a time has the time of the start."""
+    start = dates.local_clock(F.col("dtstart_raw"), zone)
+    of_day = F.substring("dtstart_raw", 9, 8)
+    clock = lambda v: dates.local_clock(F.when(v.rlike(r"^\d{8}$"), F.concat(v, of_day)).otherwise(v), zone)
+    known = lambda c: F.filter(F.transform(c, clock), lambda t: t.isNotNull())
+    return rows.withColumns({"start_time": start, "exdates": known(F.col("exdates_raw")), "rdates": known(F.col("rdates_raw")), "recurrence_id": clock(F.col("recurrence_id_raw"))})
+
+
 def image_url(vevent: Column) -> Column:
     """The first of six vendor forms."""
     get = lambda p: F.nullif(F.trim(F.regexp_extract(vevent, "(?im)" + p, 1)), F.lit(""))
@@ -75,7 +94,8 @@ def parse(files: DataFrame) -> DataFrame:
         "*",
         field(v, "SUMMARY").alias("title"), field(v, "LOCATION").alias("location"), field(v, "DESCRIPTION").alias("description"),
         field(v, "URL").alias("url"), F.nullif(F.trim(F.regexp_extract(v, r"UID:([^\r\n]+)", 1)), F.lit("")).alias("uid"),
-        F.nullif(raw_field(v, "RRULE"), F.lit("")).alias("rrule"), raw_field(v, "DTSTART").alias("dtstart_raw"),
+        F.nullif(raw_field(v, "RRULE"), F.lit("")).alias("rrule"), date_list(v, "EXDATE").alias("exdates_raw"), date_list(v, "RDATE").alias("rdates_raw"),
+        F.nullif(F.trim(raw_field(v, "RECURRENCE-ID")), F.lit("")).alias("recurrence_id_raw"), raw_field(v, "DTSTART").alias("dtstart_raw"),
         raw_field(v, "DTEND").alias("dtend_raw"), tzid(v, "DTSTART").alias("tzid"), tzid(v, "DTEND").alias("end_tzid"),
         date_params(v, "DTSTART").alias("dtstart_params"), field(v, "X-SOURCE").alias("x_source"),
         categories_list(field(v, "CATEGORIES")).alias("ics_categories"), image_url(v).alias("image_url"),

@@ -1,5 +1,7 @@
 """Hand-written expectations: time zones, recurrence, slugs, similarity, guards, reports."""
 
+import random
+from collections import defaultdict
 from datetime import date, datetime
 
 import pytest
@@ -110,15 +112,111 @@ def test_saturday_rule(spark):
     assert got == [datetime(2026, m, d, 14, 30) for m, d in days]
 
 
-@pytest.mark.parametrize("rule", ["FREQ=DAILY;INTERVAL=3", "FREQ=WEEKLY;BYDAY=MO,WE;UNTIL=20260301", "FREQ=MONTHLY;BYDAY=-1TU", "FREQ=MONTHLY;COUNT=4", "FREQ=YEARLY", "FREQ=WEEKLY;INTERVAL=2;COUNT=5"])
-def test_rules_equal_dateutil(spark, rule):
+def random_rule(rnd):
+    """A rule whose parts dateutil and the standard read alike, and a start."""
+    pick = lambda xs, n: sorted(rnd.sample(xs, rnd.randint(1, n)))
+    days = ["MO", "TU", "WE", "TH", "FR", "SA", "SU"]
+    listed = lambda xs: ",".join(map(str, xs))
+    freq = rnd.choice(["DAILY", "WEEKLY", "MONTHLY", "YEARLY"])
+    rule = [f"FREQ={freq}"]
+    if rnd.random() < 0.5:
+        rule.append(f"INTERVAL={rnd.randint(1, 3)}")
+    if rnd.random() < 0.35:
+        rule.append(f"BYMONTH={listed(pick(range(1, 13), 4))}")
+    monthly = freq == "MONTHLY" or "BYMONTH" in rule[-1]
+    kind = rnd.random()
+    if kind < 0.45:
+        numbered = freq in ("MONTHLY", "YEARLY") and rnd.random() < 0.5
+        most = 4 if monthly else 40
+        rule.append(f"BYDAY={listed(f'{rnd.choice([-1, 1]) * rnd.randint(1, most)}{d}' if numbered else d for d in pick(days, 3))}")
+    elif kind < 0.65 and freq != "WEEKLY":
+        rule.append(f"BYMONTHDAY={listed(pick([1, 2, 13, 15, 28, 30, 31, -1, -3], 3))}")
+    elif kind < 0.75 and freq == "YEARLY":
+        rule.append(f"BYYEARDAY={listed(pick([1, 60, 100, 366, -1, -200], 3))}")
+    elif kind < 0.85 and freq == "YEARLY":
+        rule += [f"BYWEEKNO={listed(pick([1, 10, 20, 52, 53, -1, -2], 3))}", f"BYDAY={listed(pick(days, 3))}"]
+    if rnd.random() < 0.2:
+        rule += [f"BYHOUR={listed(pick(range(8, 22), 2))}", f"BYMINUTE={listed(pick([0, 15, 30], 2))}"]
+    if rnd.random() < 0.3 and len(rule) > 1 and freq != "DAILY":
+        rule.append(f"BYSETPOS={listed(pick([1, 2, 3, -1, -2], 2))}")
+    if rnd.random() < 0.4:
+        rule.append(f"WKST={rnd.choice(days)}")
+    ending = rnd.random()
+    if ending < 0.3:
+        rule.append(f"COUNT={rnd.randint(1, 20)}")
+    elif ending < 0.6:
+        rule.append(f"UNTIL=2026{rnd.randint(1, 12):02d}{rnd.randint(1, 28):02d}T{rnd.choice(['000000', '120000', '190000'])}")
+    return ";".join(rule), datetime(2025, rnd.randint(1, 12), rnd.randint(1, 28), rnd.choice([0, 9, 19]), rnd.choice([0, 30]))
+
+
+def test_rules_equal_dateutil(spark):
+    """300 rules, the six of old, and those that were wrong once, over a window of half a year."""
     rrulestr = pytest.importorskip("dateutil.rrule").rrulestr
+    rnd = random.Random(5)
     start = datetime(2026, 1, 6, 19, 0)
-    df = spark.createDataFrame([(1, rule, start)], "id long, rrule string, start_time timestamp_ntz")
+    fixed = [
+        "FREQ=DAILY;INTERVAL=3", "FREQ=WEEKLY;BYDAY=MO,WE;UNTIL=20260301T235959", "FREQ=MONTHLY;BYDAY=-1TU", "FREQ=MONTHLY;COUNT=4", "FREQ=YEARLY", "FREQ=WEEKLY;INTERVAL=2;COUNT=5",
+        "FREQ=MONTHLY;BYDAY=MO,TU,WE,TH,FR;BYSETPOS=-1", "FREQ=DAILY;BYMONTH=2", "FREQ=WEEKLY;BYDAY=TU;UNTIL=20260203T120000", "FREQ=WEEKLY;INTERVAL=2;WKST=SU;BYDAY=SU,TU",
+        "FREQ=MONTHLY;BYMONTHDAY=15", "FREQ=MONTHLY;BYMONTHDAY=-1", "FREQ=YEARLY;BYMONTH=3;BYDAY=2SU", "FREQ=YEARLY;BYDAY=20MO", "FREQ=MONTHLY;BYDAY=FR;BYMONTHDAY=13",
+    ]
+    rules = [(r, start) for r in fixed] + [random_rule(rnd) for _ in range(300)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rules)], "id long, rrule string, start_time timestamp_ntz")
     lo, hi = date(2026, 1, 1), date(2026, 6, 30)
-    got = sorted(r.occurrence for r in recurrence.expand(df, "rrule", "start_time", F.lit(lo), F.lit(hi)).collect())
-    want = [d for d in rrulestr(rule.replace("20260301", "20260301T235959"), dtstart=start).between(datetime(2026, 1, 1), datetime(2026, 6, 30, 23), inc=True)]
-    assert got == want
+    got = defaultdict(list)
+    for r in recurrence.expand(df, "rrule", "start_time", F.lit(lo), F.lit(hi)).collect():
+        got[r.id].append(r.occurrence)
+    wrong = []
+    for i, (rule, at) in enumerate(rules):
+        want = rrulestr(rule, dtstart=at).between(datetime(2026, 1, 1), datetime(2026, 6, 30, 23, 59, 59), inc=True)
+        if sorted(got[i]) != want:
+            wrong.append((rule, at, sorted(got[i])[:4], want[:4], len(got[i]), len(want)))
+    assert not wrong, (len(wrong), wrong[:6])
+    assert sum(map(len, got.values())) > 3000
+
+
+def test_sets_and_unsound_rules(spark):
+    rows = [
+        (1, "FREQ=WEEKLY;UNTIL=20260120", datetime(2026, 1, 6, 19), [datetime(2026, 1, 13, 19)], [datetime(2026, 1, 7, 8), datetime(2026, 1, 20, 19), datetime(2027, 1, 1)]),
+        (2, "FREQ=HOURLY", datetime(2026, 1, 6, 19), None, None),
+        (3, "FREQ=DAILY;BYEASTER=1", datetime(2026, 1, 6, 19), None, None),
+        (4, "", datetime(2026, 1, 6, 19), [datetime(2026, 1, 6, 19)], None),
+        (5, None, None, None, None),
+        (6, "FREQ=DAILY;UNTIL=20260108T000000Z", datetime(2026, 1, 6, 19), None, None),
+        (7, "COUNT=3", datetime(2026, 1, 6, 19), None, None),
+        (8, "rrule:freq=daily;count=2", datetime(2026, 1, 6, 19), None, None),
+    ]
+    df = spark.createDataFrame(rows, "id long, rrule string, start_time timestamp_ntz, gone array<timestamp_ntz>, more array<timestamp_ntz>")
+    got = defaultdict(list)
+    ny = F.lit("America/New_York")
+    for r in recurrence.expand(df, "rrule", "start_time", F.lit(date(2026, 1, 1)), F.lit(date(2026, 1, 31)), excluded="gone", added="more", zone=ny).collect():
+        got[r.id].append(r.occurrence)
+    once = [datetime(2026, 1, 6, 19)]
+    assert {k: sorted(v) for k, v in got.items()} == {
+        1: [datetime(2026, 1, 6, 19), datetime(2026, 1, 7, 8), datetime(2026, 1, 20, 19)], 2: once, 3: once, 6: [*once, datetime(2026, 1, 7, 19)], 7: once, 8: [*once, datetime(2026, 1, 7, 19)],
+    }  # UNTIL of 6 is 19:00 of 7 January in New York
+    days = df.select("id", "rrule", "start_time", F.array(F.lit(date(2026, 1, 13))).alias("gone")).where("id = 1")
+    assert recurrence.expand(days, "rrule", "start_time", F.lit(date(2026, 1, 1)), F.lit(date(2026, 1, 31)), excluded="gone").count() == 2
+
+
+def test_moved_instances(spark):
+    body = "\r\n".join([
+        "BEGIN:VCALENDAR", "BEGIN:VEVENT", "UID:a", "DTSTART;TZID=America/New_York:20260106T190000", "RRULE:FREQ=WEEKLY;COUNT=4",
+        "EXDATE;TZID=America/New_York:20260113T190000", "EXDATE:20260128T000000Z", "RDATE;VALUE=DATE:20260131", "END:VEVENT",
+        "BEGIN:VEVENT", "UID:a", "RECURRENCE-ID:20260121T000000Z", "DTSTART;TZID=America/New_York:20260122T200000", "SUMMARY:moved", "END:VEVENT", "END:VCALENDAR",
+    ])
+    files = spark.createDataFrame([("f", body)], "file string, content string")
+    rows = ics.with_recurrence(ics.parse(files), F.lit("America/New_York"))
+    got = recurrence.expand_events(rows, F.lit(date(2026, 1, 1)), 60, F.lit("America/New_York")).orderBy("start_time").collect()
+    assert [(r.start_time, r.uid, r.title) for r in got] == [
+        (datetime(2026, 1, 6, 19), "a__20260106", None), (datetime(2026, 1, 22, 20), "a__20260122", "moved"), (datetime(2026, 1, 31, 19), "a__20260131", None),
+    ]
+
+
+def test_next_occurrence_in_far_years(spark):
+    rows = [(1, "FREQ=YEARLY;BYMONTH=2;BYMONTHDAY=29", datetime(2024, 2, 29, 9)), (2, "FREQ=DAILY;COUNT=2", datetime(2024, 1, 1)), (3, None, datetime(2099, 1, 1)), (4, None, datetime(2026, 5, 1))]
+    df = spark.createDataFrame(rows, "id long, rrule string, start_time timestamp_ntz")
+    got = {r.id: r.next_start for r in recurrence.next_occurrence(df, F.expr("TIMESTAMP_NTZ '2026-01-08 09:01:00'")).collect()}
+    assert got == {1: datetime(2028, 2, 29, 9), 3: datetime(2099, 1, 1), 4: datetime(2026, 5, 1)}
 
 
 def test_event_expansion_window(spark):
@@ -371,7 +469,7 @@ def test_text_helpers(spark):
     assert one(spark, html.html_text(F.col("h")), h="&lt;b&gt;x&lt;/b&gt; &amp; y") == "x & y"
     assert one(spark, labels.feed_content(F.col("c")), c=" <!DOCTYPE html>") == "not_ics:html"
     assert one(spark, labels.platform(F.col("p")), p="-//Org Name//domain.com//") == "skip"
-    assert one(spark, labels.recurrence_in_text(F.col("t")), t="Meets every other Tuesday") == "FREQ=WEEKLY;INTERVAL=2;BYDAY=TU"
+    assert one(spark, labels.recurrence_in_text(F.col("t")), t="Meets every other Tuesday") is None
     assert one(spark, labels.recurrence_in_text(F.col("t")), t="the 2nd Friday of the month") == "FREQ=MONTHLY;BYDAY=2FR"
     assert one(spark, dates.normalize_captured(F.col("t")).cast("string"), t="2026-01-02") == "2026-01-02 19:00:00"
     assert one(spark, dates.parse_date(F.col("t")).cast("string"), t="Friday, January 2nd, 2026") == "2026-01-02"
