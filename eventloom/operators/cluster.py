@@ -14,10 +14,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.similarity import levenshtein_similarity, title_words, token_set_similarity
 from ..functions.text import blank
 from ..scratch import materialize
 from .graph import components
+from .similar import alike
 
 
 def cluster_titles(events: DataFrame, slot: list[str], threshold: float = 0.85) -> DataFrame:
@@ -28,14 +28,7 @@ def cluster_titles(events: DataFrame, slot: list[str], threshold: float = 0.85)
     rows = events.select("id", *slot, blank(F.col("title")).alias("title"), blank(F.col("location")).alias("location"))
     kind = [*slot, "title", "location"]
     kinds = materialize(rows.groupBy(*kind).agg(F.min("id").alias("rep"), F.count("*").alias("n")), "kinds")
-    # titles that meet in a slot, each pair once; without a common word only those of about the same length can be alike
-    words = kinds.select("title").distinct().withColumn("words", title_words("title"))
-    titles = kinds.dropna(subset=slot).select(*slot, "title").distinct().join(words, "title")
-    size = lambda c: F.length(F.array_join(c, " "))
-    other = titles.select(*slot, F.col("title").alias("title_b"), F.col("words").alias("words_b"))
-    alike = F.arrays_overlap("words", "words_b") | (2 * F.least(size("words"), size("words_b")) >= threshold * (size("words") + size("words_b")))
-    met = titles.join(other, slot).filter((F.col("title") < F.col("title_b")) & alike).select("title", "title_b").distinct()
-    scored = materialize(met.filter(token_set_similarity("title", "title_b") >= threshold), "alike")
+    scored = materialize(alike(kinds.dropna(subset=slot), slot, threshold, "token_set").select("title", "title_b"), "alike")
     same = kinds.select("title", F.col("title").alias("title_b")).distinct()
     like = scored.union(scored.select("title_b", "title")).union(same)
     near = kinds.select(*slot, F.col("title").alias("title_b"), F.col("location").alias("location_b"), F.col("rep").alias("rep_b"))
@@ -51,20 +44,6 @@ def cluster_titles(events: DataFrame, slot: list[str], threshold: float = 0.85)
     return rows.join(numbered, both, "left").select("id", F.col("cluster_id").cast("int").alias("cluster_id"))
 
 
-def similar_pairs(events: DataFrame, slot: list[str], threshold: float, method: str = "levenshtein") -> DataFrame:
-    """(id_a, id_b, similarity) of pairs in one slot, each once."""
-    a = events.select("id", "title", *slot)
-    b = a.withColumnRenamed("id", "id_b").withColumnRenamed("title", "title_b")
-    pairs = a.join(b, slot).filter(F.col("id") < F.col("id_b"))
-    if method == "levenshtein":
-        x, y = F.length(blank(F.col("title"))), F.length(blank(F.col("title_b")))
-        pairs = pairs.filter(F.abs(x - y) <= (1 - threshold) * F.greatest(x, y) + 1e-9)  # a distance is no less
-        score = levenshtein_similarity(F.col("title"), F.col("title_b"))
-    else:
-        score = token_set_similarity("title", "title_b")
-    return pairs.select(F.col("id").alias("id_a"), "id_b", score.alias("similarity")).filter(F.col("similarity") >= threshold)
-
-
 def similarity_histogram(pairs: DataFrame) -> DataFrame:
     bucket = (F.floor(F.col("similarity") * 10) / 10).alias("bucket")
     return pairs.groupBy(bucket).agg(F.count("*").alias("pairs"))

@@ -47,19 +47,23 @@ def recent_history(history: DataFrame, keep: int = 90) -> DataFrame:
     return once.withColumn("__n", F.row_number().over(latest)).filter(F.col("__n") <= keep).drop("__n")
 
 
-def collapse_long_running(events: DataFrame, today: Column, minimum: int = 5) -> DataFrame:
-    """Events with the same title, place and time of day at least ``minimum`` times keep the
-    first of each 7 days from today, flagged; others stay."""
+def collapse_long_running(events: DataFrame, today: Column, minimum: int = 5, by: tuple[str, ...] = ("city",)) -> DataFrame:
+    """Events with the same title, place and time of day at least ``minimum`` times in a city keep
+    the first of each 7 days from today, flagged; others stay.  A table of one city without
+    that column takes ``by=()``."""
     lower = lambda c: F.lower(F.trim(F.coalesce(F.col(c), F.lit(""))))
     key = {"__t": lower("title"), "__l": lower("location"), "__h": F.coalesce(F.date_format("start_time", "HH:mm"), F.lit(""))}
+    key |= {f"__{c}": F.coalesce(F.col(c).cast("string"), F.lit("")) for c in by}
     rows = events.withColumns(key).withColumn("__w", F.floor(F.datediff("start_time", today) / 7))
-    # both aggregates combine on the map side, so that an event repeated for ever is no hot window
+    # both aggregates combine on the map side, so that an event repeated for ever is no hot window; only
+    # ids go through the second one, and the rows come back by their id
     counts = rows.groupBy(*key).agg((F.count("*") >= minimum).alias("is_recurring"))
     marked = rows.join(counts, list(key))
+    first = F.min_by("id", F.struct("start_time", "id")).alias("id")
+    weekly = marked.filter("is_recurring").groupBy(*key, "__w").agg(first).select("id")
     every = [*events.columns, "is_recurring"]
-    first = F.min_by(F.struct(*events.columns), F.struct("start_time", "id")).alias("e")
-    weekly = marked.filter("is_recurring").groupBy(*key, "__w").agg(first).select("e.*", F.lit(True).alias("is_recurring"))
-    return marked.filter("not is_recurring").select(every).unionByName(weekly)
+    kept = marked.filter("is_recurring").select(every).join(weekly, "id", "left_semi")
+    return marked.filter("not is_recurring").select(every).unionByName(kept)
 
 
 def build_delta(builds: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..config import CATEGORIES, COMMAND_CLASSES, LOG_CLASSES, REGIONS, SCHEMA_TYPES, STREETS, VIRTUAL
 from ..functions import dates, geo, labels, recurrence, text, urls
 from ..functions.snippet import snippet_sql, with_snippet
-from ..operators import aggregates, classify, cluster, dedup, filters, store, windows
+from ..operators import aggregates, classify, cluster, dedup, filters, similar, store, windows
 from ..scratch import new_folder
 from ..sources import export, ics, registries
 from ..streaming import jobs
@@ -149,7 +149,7 @@ def a12_timezone_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT floor(s * 10) / 10 AS bucket, count(*) AS pairs FROM b WHERE s >= 0.3 GROUP BY 1"
 )
 def a15_similarity_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cluster.similarity_histogram(cluster.similar_pairs(calendar(spark, sf_dir), ["city", "start_time"], 0.3))
+    return cluster.similarity_histogram(similar.similar_pairs(calendar(spark, sf_dir), ["city", "start_time"], 0.3))
 
 
 @query("SELECT CAST(min(date_diff('day', DATE '2024-01-10', CAST(start_time AS DATE))) AS INTEGER) AS first_day, CAST(max(date_diff('day', DATE '2024-01-10', CAST(start_time AS DATE))) AS INTEGER) AS last_day FROM cal")
@@ -307,10 +307,10 @@ def j2_picked_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.picked_events(picks, calendar(spark, sf_dir), notes).select("user_id", "event_id", "title", "description", "location", "url")
 
 
-@query("SELECT id, source_uid FROM cal c WHERE city = 'city1' AND source_uid IS NOT NULL AND NOT EXISTS (SELECT 1 FROM cal i WHERE i.source_uid = c.source_uid AND i.id % 2 = 0)")
+@query("SELECT id, source_uid FROM cal c WHERE city = 'city1' AND source_uid IS NOT NULL AND NOT EXISTS (SELECT 1 FROM cal i WHERE i.source_uid = c.source_uid AND i.id % 2 = 0 AND i.source_uid NOT LIKE '%3')")
 def j3_stale_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     cal = calendar(spark, sf_dir)
-    return store.stale_rows(cal, "city1", cal.filter("id % 2 = 0")).select("id", "source_uid")
+    return store.stale_rows(cal, "city1", cal.filter("id % 2 = 0 AND source_uid NOT LIKE '%3'")).select("id", "source_uid")
 
 
 @query(
@@ -387,8 +387,8 @@ def w4_first_by_uid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    ", k AS (SELECT id, start_time, lower(trim(title)) AS t, lower(trim(coalesce(location, ''))) AS l, strftime(start_time, '%H:%M') AS h, floor(date_diff('day', DATE '2024-01-10', CAST(start_time AS DATE)) / 7) AS w FROM cal) "
-    "SELECT id, start_time, count(*) OVER (PARTITION BY t, l, h) >= 5 AS is_recurring FROM k QUALIFY count(*) OVER (PARTITION BY t, l, h) < 5 OR row_number() OVER (PARTITION BY t, l, h, w ORDER BY start_time, id) = 1"
+    ", k AS (SELECT id, start_time, lower(trim(title)) AS t, lower(trim(coalesce(location, ''))) AS l, strftime(start_time, '%H:%M') AS h, floor(date_diff('day', DATE '2024-01-10', CAST(start_time AS DATE)) / 7) AS w, city FROM cal) "
+    "SELECT id, start_time, count(*) OVER (PARTITION BY city, t, l, h) >= 5 AS is_recurring FROM k QUALIFY count(*) OVER (PARTITION BY city, t, l, h) < 5 OR row_number() OVER (PARTITION BY city, t, l, h, w ORDER BY start_time, id) = 1"
 )
 def w5_collapse_long_running(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.collapse_long_running(calendar(spark, sf_dir), _today()).select("id", "start_time", "is_recurring")
@@ -473,19 +473,44 @@ def e3_prefix_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.prefix_groups(keys)
 
 
+_TITLED = (
+    "t AS (SELECT doc_id AS id, regexp_extract(text, '[^.!?\n]*') AS title, lang, CAST(doc_id % 7 AS INT) AS day, CASE WHEN doc_id % 4 > 0 THEN source END AS location FROM documents), "
+    "ev AS (SELECT * FROM t UNION ALL SELECT id + 1000000000, CASE id % 4 WHEN 0 THEN upper(title) || '!' WHEN 1 THEN 'An ' || title WHEN 2 THEN left(title, length(title) - 1) ELSE replace(title, 'en', 'n') END, lang, day, '' FROM t WHERE id % 3 = 0)"
+)
+
+
+def titled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events titled by the first sentence of a document, and changed copies of a third of them."""
+    docs, n = _table(spark, sf_dir, "documents"), F.col("id")
+    rows = docs.select(
+        F.col("doc_id").alias("id"), F.regexp_extract("text", r"[^.!?\n]*", 0).alias("title"), "lang",
+        (F.col("doc_id") % 7).cast("int").alias("day"), F.when(F.col("doc_id") % 4 > 0, F.col("source")).alias("location"),
+    )
+    title = F.col("title")
+    changed = (
+        F.when(n % 4 == 0, F.concat(F.upper(title), F.lit("!"))).when(n % 4 == 1, F.concat(F.lit("An "), title))
+        .when(n % 4 == 2, F.left(title, F.length(title) - 1)).otherwise(F.replace(title, F.lit("en"), F.lit("n")))
+    )
+    copies = rows.where(n % 3 == 0).select((n + 1000000000).alias("id"), changed.alias("title"), "lang", "day", F.lit("").alias("location"))
+    return rows.unionByName(copies)
+
+
 @query()
 def e9_cluster_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cluster.cluster_titles(calendar(spark, sf_dir), ["city", "start_time"])
+    return cluster.cluster_titles(titled(spark, sf_dir), ["lang", "day"])
 
 
 @query()
 def e10_legacy_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cluster.legacy_dedupe(calendar(spark, sf_dir), ["city", "start_time"])
+    return cluster.legacy_dedupe(titled(spark, sf_dir), ["lang", "day"])
 
 
-@query("SELECT a.id AS id_a, b.id AS id_b, 1 - levenshtein(lower(a.title), lower(b.title)) / greatest(length(a.title), length(b.title)) AS similarity FROM cal a JOIN cal b ON a.city = b.city AND a.start_time = b.start_time AND a.id < b.id WHERE similarity >= 0.6")
+@query(
+    f", {_TITLED} SELECT a.id AS id_a, b.id AS id_b, CASE WHEN greatest(length(a.title), length(b.title)) = 0 THEN 1.0 ELSE 1 - levenshtein(lower(a.title), lower(b.title)) / greatest(length(a.title), length(b.title)) END AS similarity "
+    "FROM ev a JOIN ev b ON a.lang = b.lang AND a.day = b.day AND a.id < b.id WHERE similarity >= 0.6"
+)
 def e11_similar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cluster.similar_pairs(calendar(spark, sf_dir), ["city", "start_time"], 0.6)
+    return similar.similar_pairs(titled(spark, sf_dir), ["lang", "day"], 0.6)
 
 
 @query("SELECT id, md5(title || '-' || strftime(start_time, '%Y-%m-%dT%H:%M:%S')) || '@x.org' AS uid, coalesce(nullif(source_uid, ''), md5(title || '|' || strftime(start_time, '%Y-%m-%dT%H:%M:%S'))) AS guid, substr(md5(title), 1, 16) AS short FROM cal")

@@ -386,8 +386,10 @@ def test_feed_history(spark):
 def test_collapse_needs_five(spark):
     rows = [(i, "T", "L", datetime(2026, 1, 1 + i, 10)) for i in range(5)] + [(10 + i, "U", "L", datetime(2026, 1, 1 + i, 10)) for i in range(4)]
     df = spark.createDataFrame(rows, "id long, title string, location string, start_time timestamp_ntz")
-    got = windows.collapse_long_running(df, F.lit(date(2026, 1, 3))).collect()
+    got = windows.collapse_long_running(df, F.lit(date(2026, 1, 3)), by=()).collect()
     assert sorted(r.id for r in got if r.is_recurring) == [0, 2] and sum(not r.is_recurring for r in got) == 4
+    cities = df.withColumn("city", F.when(F.col("id") < 2, "a"))  # three of five remain in one city
+    assert not any(r.is_recurring for r in windows.collapse_long_running(cities, F.lit(date(2026, 1, 3))).collect())
 
 
 def test_paging():
