@@ -7,13 +7,11 @@ with ``applyInPandas``, on the columns they need."""
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-from functools import lru_cache
-
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.similarity import ratio
 from ..functions.text import blank
 from ..scratch import materialize
 from .graph import components
@@ -89,11 +87,6 @@ def prefix_groups(keys: DataFrame, min_length: int = 12, max_ratio: float = 0.75
     return made.unionByName(counted.filter("members = 1").select("city", "day", "title_key", F.col("title_key").alias("merged_key")))
 
 
-@lru_cache(maxsize=100_000)
-def _ratio(a: str, b: str) -> float:
-    return SequenceMatcher(None, a, b).ratio()
-
-
 def legacy_dedupe(events: DataFrame, slot: list[str], threshold: float = 0.85) -> DataFrame:
     """Ids that stay when, in id order, an event goes if its title is like one already kept.
     A title's later events fare no better than its first, so that only these are compared."""
@@ -102,7 +95,7 @@ def legacy_dedupe(events: DataFrame, slot: list[str], threshold: float = 0.85) -
         kept: dict[str, int] = {}
         for i, t in pdf.sort_values("id")[["id", "title"]].itertuples(index=False):
             t = " ".join((t or "").lower().replace("@", " at ").replace("&", " and ").split())
-            if t not in kept and not any(_ratio(t, k) >= threshold for k in kept):
+            if t not in kept and not any(ratio(t, k, threshold) >= threshold for k in kept):
                 kept[t] = i
         return pd.DataFrame({"id": list(kept.values())})
 
