@@ -29,7 +29,7 @@ SELECT d.doc_id, (SELECT count(*) FROM b WHERE b.doc_id = d.doc_id) AS n_lines,
   coalesce((SELECT string_agg(CAST(num AS VARCHAR), ',' ORDER BY num) FROM g WHERE g.doc_id = d.doc_id), '') AS removed FROM documents d"""
 
 
-def quality_rules(max_host_docs: int, max_host_mille: int, min_words: int, min_kept: float) -> str:
+def quality_rules(few_docs: int, max_host_mille: int, min_words: int, min_kept: float) -> str:
     return f"""
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, {_WORDS.format('text')} AS w FROM documents),
 u AS (SELECT doc_id, unnest(w) AS w, unnest(range(len(w))) AS p FROM d),
@@ -42,7 +42,7 @@ dl AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id FROM l WHERE len({_WORDS
 nl AS (SELECT doc_id, source, array_to_string({_WORDS.format("translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000')")}, ' ') AS line, len({_WORDS.format('x')}) AS n FROM l),
 ho AS (SELECT source, count(DISTINCT doc_id) AS docs FROM d GROUP BY source),
 f AS (SELECT nl.source, line FROM nl JOIN ho ON ho.source IS NOT DISTINCT FROM nl.source WHERE n > 0 GROUP BY nl.source, line, docs
-  HAVING count(DISTINCT doc_id) > {max_host_docs} AND count(DISTINCT doc_id) * 1000 > docs * {max_host_mille}),
+  HAVING count(DISTINCT doc_id) > {few_docs} AND count(DISTINCT doc_id) * 1000 > docs * {max_host_mille}),
 rm AS (SELECT doc_id, sum(n) AS n FROM nl JOIN f ON f.line = nl.line AND f.source IS NOT DISTINCT FROM nl.source GROUP BY doc_id),
 m AS (SELECT d.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
   coalesce(dl.n, 0) AS n_dup_lines, coalesce(rw.n, 0) AS n_repeat_words, CAST(coalesce(rm.n, 0) AS BIGINT) AS removed_words

@@ -2,10 +2,10 @@
 
 Lines are normalised (A-Z lower-cased, digits to 0, white space collapsed) and
 hashed; for each host (the document's ``source``) the distinct documents of a line
-are counted; lines in more than MAX_HOST_DOCS documents of their host and in more than
-MAX_HOST_MILLE thousandths of them are removed, so that ordinary short lines stay
-however large a host grows; and a document that keeps less than half of its words, or
-under MIN_WORDS, is rejected as depleted.
+are counted; lines in more than MAX_HOST_MILLE thousandths of their host's documents (and in
+more than FEW_DOCS, without which a line would be frequent in any host of a handful) are
+removed; and a document that keeps less than half of its words, or under MIN_WORDS, is
+rejected as depleted.  The limit is a share at every size of a host.
 
 Rows are counted first, in one aggregation by (host, line) with map-side combine, so a
 line that a third of all documents share costs one row a task.  Only for lines that
@@ -30,8 +30,9 @@ from pyspark.sql import functions as F
 
 from .common import map_batches, materialize, mix64, span_hashes, word_spans
 
-MAX_HOST_DOCS = 200
-MAX_HOST_MILLE = 5
+MAX_HOST_MILLE = 50
+#: A line in so few documents of a host stays, whatever their share.
+FEW_DOCS = 5
 MIN_WORDS = 10
 MIN_KEPT = 0.5
 _DIGITS = bytes.maketrans(b"123456789", b"0" * 9)
@@ -100,7 +101,7 @@ def line_keys(text: str | None) -> tuple[np.ndarray, np.ndarray]:
 
 
 def judge(
-    docs: DataFrame, max_host_docs: int = MAX_HOST_DOCS, host: str = "source", max_host_mille: int = MAX_HOST_MILLE
+    docs: DataFrame, few_docs: int = FEW_DOCS, host: str = "source", max_host_mille: int = MAX_HOST_MILLE
 ) -> DataFrame:
     """Per row of ``docs(doc_id, text, host)``: doc_id, the base counts, ``base_failed``,
     ``removed_words`` and ``kept``."""
@@ -135,8 +136,8 @@ def judge(
         "row", "doc_id", "host", F.col("l.lines").alias("line"), F.col("l.line_words").alias("w")
     )
     hosts = rows.groupBy("host").agg(F.count_distinct("doc_id").alias("docs")).withColumnRenamed("host", "h")
-    above = (F.col("n") > max_host_docs) & (F.col("n") * 1000 > F.col("docs") * max_host_mille)
-    often = lines.groupBy("host", "line").agg(F.count("*").alias("n")).filter(F.col("n") > max_host_docs)
+    above = (F.col("n") > few_docs) & (F.col("n") * 1000 > F.col("docs") * max_host_mille)
+    often = lines.groupBy("host", "line").agg(F.count("*").alias("n")).filter(F.col("n") > few_docs)
     often = often.join(materialize(hosts, "hosts"), F.col("host").eqNullSafe(F.col("h"))).filter(above)
     often = materialize(often.select("h", F.col("line").alias("l"), "docs"), "often")
     same = (F.col("line") == F.col("l")) & F.col("host").eqNullSafe(F.col("h"))

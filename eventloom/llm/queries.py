@@ -99,7 +99,7 @@ def oracle_sql() -> dict[str, str]:
         "op2_line_dedup": oracles.LINE_DEDUP,
         "op4_minhash_dedup": oracles.NEAR_DUPLICATES,
         "op8_quality_rules": oracles.quality_rules(
-            quality_rules.MAX_HOST_DOCS, quality_rules.MAX_HOST_MILLE, quality_rules.MIN_WORDS, quality_rules.MIN_KEPT
+            quality_rules.FEW_DOCS, quality_rules.MAX_HOST_MILLE, quality_rules.MIN_WORDS, quality_rules.MIN_KEPT
         ),
         "op3_url_filter": url_filter.oracle(),
         "op6_source_mixing": mixing.oracle(),

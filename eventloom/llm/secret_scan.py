@@ -9,12 +9,14 @@ an encoding does not have, for each encoding in turn, and each distinct token is
 below the alphabet's middle, and (c) serial correlation.  Each test's p-value tells
 how a random string of that encoding would look; a token counts as random if no
 test rejects it.  What is controlled is the false discovery of *ordinary* text:
-the p-value of a token under ordinary text is the probability of so small a
-chi-squared value when letters follow a natural-language frequency (a non-central
-chi-squared, whose shift grows with length, so short tokens can hardly reach a
-small one).  Benjamini-Hochberg runs over all tested tokens of the corpus within length
-classes, those that a test rejects having p-value 1; their counts are a table bounded by
-LEVELS x classes.
+the p-value of a token under ordinary text combines two by Fisher's method: the probability of so
+small a chi-squared value when letters follow a natural-language frequency (a non-central
+chi-squared, whose shift grows with length), and a bound of the probability of so many runs
+of character classes (lower case, upper case, digits, marks) when neighbours differ in class
+with probability CHANGE.  One Benjamini-Hochberg control runs over all tested tokens of the
+corpus, those that a test rejects having p-value 1; it is length-aware by weights that double
+with each doubling of the length up to MOST_WEIGHT, so that a lone secret need not outweigh
+all ordinary tokens of its own length.  Its counts are a table bounded by LEVELS x length classes.
 
 Edge cases: a null text is empty and has no span.  Overlapping finds: a battery
 span never overlaps a base span; base spans of different kinds may overlap, as may
@@ -54,6 +56,8 @@ ENCODINGS = (("hex", 16, 24), ("base32", 32, 24), ("base64", 64, 20), ("base64ur
 ALPHA = 0.001
 FDR = 0.01
 LEVELS = 60
+CHANGE = 0.15
+MOST_WEIGHT = 8
 _ORDER = {c: i for i, c in enumerate("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")} | {"-": 62, "_": 63}
 
 
@@ -88,6 +92,19 @@ def _normal_tail(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2))
 
 
+def runs_bound(body: str) -> float:
+    """Chernoff's bound of the probability that ordinary text has so many runs of character classes."""
+    classes = [0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3 for c in body]
+    pairs = len(classes) - 1
+    share = sum(x != y for x, y in zip(classes, classes[1:])) / max(pairs, 1)
+    if share <= CHANGE:
+        return 1.0
+    divergence = share * math.log(share / CHANGE)
+    if share < 1:
+        divergence += (1 - share) * math.log((1 - share) / (1 - CHANGE))
+    return math.exp(-pairs * divergence)
+
+
 def battery(token: str) -> tuple[float, float, str] | None:
     """(least p-value as a random string, p-value as ordinary text, encoding), or
     None if the token is too short for its encoding."""
@@ -132,6 +149,8 @@ def battery(token: str) -> tuple[float, float, str] | None:
     kinds = sum((any(c.islower() for c in body), any(c.isupper() for c in body), any(c.isdigit() for c in body)))
     if kinds == 1 and name != "hex":
         ordinary = 1.0  # letters of one case only, or digits only: never told from words or numbers
+    both = max(ordinary * runs_bound(body), 1e-300)
+    ordinary = min(1.0, both * (1 - math.log(both)))  # Fisher's combination
     return min(uniform, p_runs, p_serial), ordinary, name
 
 
@@ -218,19 +237,20 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def thresholds(counts: dict[tuple[int, int], int], tested: dict[int, int]) -> dict[int, int]:
-    """Benjamini-Hochberg within each length class: the least level (largest p-value
-    class) that is discovered, or LEVELS if none is.  ``counts`` are of the tokens that
-    pass as random, ``tested`` of all."""
-    out = {}
-    for c in range(8):
-        total = tested.get(c, 0)
-        out[c] = LEVELS
-        above = 0
-        for level in range(LEVELS - 1, -1, -1):
-            above += counts.get((c, level), 0)
-            if above and 10 ** (-level / 4) <= FDR * above / total:
-                out[c] = level
-    return out
+    """Weighted Benjamini-Hochberg over all length classes: for each the least level (largest
+    p-value class) that is discovered, or LEVELS if none is.  ``counts`` are of the tokens
+    that pass as random, ``tested`` of all; the weights of all tested tokens have the mean 1."""
+    total = sum(tested.values())
+    plain = {c: min(MOST_WEIGHT, 2**c) for c in range(8)}
+    mean = sum(n * plain[c] for c, n in tested.items()) / total if total else 1.0
+    weighted = {(c, level): 10 ** (-level / 4) / (plain[c] / mean) for c in range(8) for level in range(LEVELS)}
+    bound = 0.0
+    for at in sorted({weighted[key] for key, n in counts.items() if n}, reverse=True):
+        found = sum(n for key, n in counts.items() if weighted[key] <= at)
+        if at <= FDR * found / total:
+            bound = at
+            break
+    return {c: next((level for level in range(LEVELS) if weighted[c, level] <= bound), LEVELS) for c in range(8)}
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -433,7 +433,7 @@ def test_quality_rules_equal_brute_force(spark, rows):
     data = rows + extra
     df = spark.createDataFrame(data, DOCS)
     for limit, mille in ((10, 5), (8, 5), (5, 900), (2, 300)):
-        got = Counter(tuple(r) for r in quality_rules.judge(df, max_host_docs=limit, max_host_mille=mille).collect())
+        got = Counter(tuple(r) for r in quality_rules.judge(df, few_docs=limit, max_host_mille=mille).collect())
         assert got == rules_of(data, limit, mille)
     assert quality_rules.judge(df.limit(0)).count() == 0
 
@@ -492,6 +492,35 @@ def test_control_counts_all_tested_tokens():
     assert not found and sum(tested.values()) == 2
 
 
+def test_lone_secrets_of_each_length_are_found(spark):
+    """One secret among the ordinary long words of 400 texts; recall by encoding and length."""
+    rnd = random.Random(31)
+    word = lambda n: "".join(rnd.choices("etaoinshrdlu", weights=[12, 9, 8, 7, 7, 7, 6, 6, 6, 4, 4, 3], k=n))
+    name = lambda: rnd.choice([word(rnd.randint(20, 30)), word(12).title() + word(12).title() + str(rnd.randrange(99)), f"{word(8)}-{word(9)}-{word(7)}", f"2024-0{rnd.randint(1, 9)}-1{rnd.randint(0, 9)}-{word(9)}-{word(8)}"])
+    ordinary = [f"the {name()} of {name()}" for _ in range(400)]
+    tested, counts = Counter(), Counter()
+    for t in ordinary:
+        _, found, n = secret_scan.scan_text(t)
+        tested += n
+        counts.update((secret_scan.length_class(e - s), secret_scan.level_of(p)) for s, e, p in found)
+    assert sum(tested.values()) > 700
+    assert set(secret_scan.thresholds(counts, tested).values()) == {secret_scan.LEVELS}  # nothing ordinary is called a secret
+    b64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    recall = {}
+    for kind, alphabet, lengths in (("base64", b64 + "+/", (20, 24, 32, 44)), ("base64url", b64 + "-_", (20, 43)), ("base32", b64[:26] + "234567", (32, 56, 96)), ("hex", "0123456789ABCDEF", (32, 40, 64))):
+        for n in lengths:
+            hits = 0
+            for _ in range(40):
+                _, found, more = secret_scan.scan_text("".join(rnd.choices(alphabet, k=n)))
+                one = Counter((secret_scan.length_class(e - s), secret_scan.level_of(p)) for s, e, p in found)
+                least = secret_scan.thresholds(counts + one, tested + more)
+                hits += any(level >= least[c] for c, level in one)
+            recall[kind, n] = hits / 40
+    assert all(r >= 0.9 for (kind, n), r in recall.items() if kind.startswith("base64") and n >= 24), recall
+    assert min(recall["base64", 20], recall["base64url", 20], recall["hex", 32]) >= 0.7, recall
+    assert recall["base32", 96] >= 0.9, recall  # shorter ones are seldom told from upper-case words
+
+
 def test_battery_tells_random_from_words():
     rnd = random.Random(4)
     b64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
@@ -784,15 +813,21 @@ def plain_spans(texts):
             ordinary = tail((size - 1 + max(0.0, shift) - chi) / math.sqrt(2 * (size - 1) + 4 * max(1.0, shift)))
             if size > 16 and sum((any(c.islower() for c in body), any(c.isupper() for c in body), any(c.isdigit() for c in body))) == 1:
                 ordinary = 1.0
+            marks = ["l" if c.islower() else "u" if c.isupper() else "d" if c.isdigit() else "m" for c in body]
+            share = sum(x != y for x, y in zip(marks, marks[1:])) / (n - 1)
+            apart = share * math.log(share / 0.15) + ((1 - share) * math.log((1 - share) / 0.85) if share < 1 else 0) if share > 0.15 else 0
+            q = max(ordinary * math.exp(-(n - 1) * apart), 1e-300)
+            ordinary = min(1.0, q - q * math.log(q))
             random_like = min(uniform, runs, 2 * tail(abs(serial + 1 / n) * math.sqrt(n))) >= secret_scan.ALPHA
             level = min(secret_scan.LEVELS - 1, int(-4 * math.log10(max(ordinary, 1e-300))))
             tests.append((min(7, int(math.log2((e - s) / 16))), 10 ** (-level / 4) if random_like else 2.0, k, f"random:{s}:{e}"))
-    for c in range(8):
-        mine = sorted(t[1] for t in tests if t[0] == c)
-        good = [p for r, p in enumerate(mine, 1) if p <= secret_scan.FDR * sum(q <= p for q in mine) / len(mine)]
-        for t in tests:
-            if t[0] == c and good and t[1] <= max(good):
-                out[t[2]].add(t[3])
+    # weighted Benjamini-Hochberg: p over the weight of its length, the weights of all tests having the mean 1
+    mean = sum(min(8, 2 ** t[0]) for t in tests) / max(len(tests), 1)
+    weighted = [(p * mean / min(8, 2**c), k, span) for c, p, k, span in tests]
+    good = [p for p, *_ in weighted if p < 1.5 and p <= secret_scan.FDR * sum(q <= p for q, *_ in weighted) / len(weighted)]
+    for p, k, span in weighted:
+        if good and p <= max(good):
+            out[k].add(span)
     return out
 
 
