@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, map_batches, materialize, mix64, placed, small, word_hashes
+from .common import components, fresh, map_batches, materialize, mix64, placed, small, word_hashes
 
 SHINGLE = 5
 BANDS = 32
@@ -198,14 +198,23 @@ def one_of_each(docs: DataFrame, as_read: bool = False) -> DataFrame:
     words fold into one.  ``as_read`` tells that ``docs`` is a table as read from files,
     which is then not copied."""
     rows, place = placed(docs, as_read, "dedupin")
-    judged = near_duplicates(rows, carry=tuple(place))
+    judged = materialize(near_duplicates(rows, carry=tuple(place)), "judged")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), *[F.col(c) for c in place]))
     group = F.when(F.col("n_shingles") > 0, F.col("component_id"))
     # rows without words and rows without any id are groups of their own
     alone = judged.filter(group.isNull()).select(*place)
     chosen = judged.filter(group.isNotNull()).groupBy(group.alias("g")).agg(best.alias("b"))
     chosen = chosen.select(*[F.col("b").getField(c).alias(c) for c in place])
-    return rows.join(chosen.union(alone), place, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    stays = materialize(chosen.union(alone), "stays")
+    goes = materialize(judged.select(*place).join(stays, place, "left_anti"), "goes")
+    if small(goes, 500_000):
+        # their places, two numbers each, are proven small; they are broadcast, and no text is shuffled
+        file = fresh(rows, "file")
+        files = materialize(goes.select(place[0]).distinct().withColumn(file, F.monotonically_increasing_id()), "files")
+        gone = goes.join(F.broadcast(files), place[0]).select(file, place[1])
+        kept = rows.join(F.broadcast(files), place[0], "left").join(F.broadcast(gone), [file, place[1]], "left_anti")
+        return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return rows.join(stays, place, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def link_components(members: DataFrame, sketched: DataFrame, docs: DataFrame) -> DataFrame:

@@ -100,7 +100,9 @@ def test_minhash_splits_large_buckets(spark, docs, rows, monkeypatch):
     assert got == Counter(comp)
 
 
-def test_one_of_each_keeps_one_row_a_group(docs, rows):
+@pytest.mark.parametrize("few", [True, False])
+def test_one_of_each_keeps_one_row_a_group(docs, rows, monkeypatch, few):
+    monkeypatch.setattr(minhash_dedup, "small", lambda *_: few)  # rows that go are broadcast, or all rows shuffled
     sets, comp = components_of(rows)
     kept = minhash_dedup.one_of_each(docs)
     assert kept.columns == docs.columns
