@@ -241,7 +241,16 @@ def without_repeats(docs: DataFrame, as_read: bool = False) -> DataFrame:
     marked = removed_lines(mark_repeats(rows, tuple(place))).filter(F.size("__gone") > 0).select(
         *[F.col(f"__place{i}").alias(c) for i, c in enumerate(place)], F.col("__gone").alias(gone), (F.size("__gone") == F.size("__at")).alias(whole)
     )
-    m = rows.join(materialize(marked, "gone"), place, "left").filter(~F.coalesce(F.col(whole), F.lit(False)))
+    marked = materialize(marked, "gone")
+    if small(marked, 500_000) and marked.agg(F.coalesce(F.sum(F.size(gone)), F.lit(0))).first()[0] <= 5_000_000:
+        # proven small: the rows that change are broadcast under a number of their file, and no text is shuffled
+        file = fresh(marked, "file")
+        files = materialize(marked.select(place[0]).distinct().withColumn(file, F.monotonically_increasing_id()), "files")
+        few = marked.join(F.broadcast(files), place[0]).drop(place[0])
+        m = rows.join(F.broadcast(files), place[0], "left").join(F.broadcast(few), [file, place[1]], "left")
+    else:
+        m = rows.join(marked, place, "left")
+    m = m.filter(~F.coalesce(F.col(whole), F.lit(False)))
     lines = F.split(F.col("text").cast("string"), "\n", -1)
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
     kept = F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
