@@ -11,11 +11,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.similarity import ratio
 from ..functions.text import blank
 from ..scratch import materialize
-from .graph import components
-from .similar import alike
+from .graph import components, displaced
+from .similar import alike, candidates, score
 
 
 def cluster_titles(events: DataFrame, slot: list[str], threshold: float = 0.85) -> DataFrame:
@@ -88,16 +87,29 @@ def prefix_groups(keys: DataFrame, min_length: int = 12, max_ratio: float = 0.75
 
 
 def legacy_dedupe(events: DataFrame, slot: list[str], threshold: float = 0.85) -> DataFrame:
-    """Ids that stay when, in id order, an event goes if its title is like one already kept.
-    A title's later events fare no better than its first, so that only these are compared."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: dict[str, int] = {}
-        for i, t in pdf.sort_values("id")[["id", "title"]].itertuples(index=False):
-            t = " ".join((t or "").lower().replace("@", " at ").replace("&", " and ").split())
-            if t not in kept and not any(ratio(t, k, threshold) >= threshold for k in kept):
-                kept[t] = i
-        return pd.DataFrame({"id": list(kept.values())})
-
-    first = events.groupBy(*slot, "title").agg(F.min("id").alias("id"))
-    return first.groupBy(*slot).applyInPandas(run, "id long")
+    """Ids that stay when, in id order, an event of a slot goes if its title is like one already kept.
+
+    Titles are compared in lower case with single blanks, ``at`` and ``and`` for their signs and
+    otherwise only the letters a to z and digits; one without any is like none, so that all such
+    events stay.  A title's later events fare no better than its first.  The rest is a graph from
+    titles to like ones before them, of which the events that stay are settled by rounds over all
+    slots."""
+    clean = F.trim(F.regexp_replace(F.lower(blank(F.col("title"))), r"(?U)[\s\x1c-\x1f]+", " "))
+    for sign, word in (("@", "at"), ("&", "and")):
+        clean = F.replace(clean, F.lit(sign), F.lit(word))
+    clean = F.regexp_replace(clean, "[^a-z0-9 ]", "")
+    rows = events.select("id", F.to_json(F.struct(*slot)).alias("slot"), clean.alias("title"))  # a null is a slot's value too
+    first = materialize(rows.where("title <> ''").groupBy("slot", "title").agg(F.min("id").alias("id")), "first")
+    found = candidates(first, ["slot"], threshold, "sequence")
+    found = found.union(found.select("title_b", "title"))
+    before = first.select("slot", F.col("title").alias("title_b"), F.col("id").alias("id_b"))
+    met = materialize(first.join(found, "title").join(before, ["slot", "title_b"]).where("id > id_b"), "met")
+    # the ratio depends on the order of its texts: the later event's comes first
+    wanted = met.select("title", "title_b").distinct()
+    wanted = wanted.repartition(int(events.sparkSession.conf.get("spark.sql.shuffle.partitions")), "title", "title_b")
+    like = wanted.where(score(F.col("title"), F.col("title_b"), "sequence", threshold) >= threshold)
+    kept = first.select("id")
+    gone = displaced(met.join(like, ["title", "title_b"]).select("id", "id_b"))
+    if gone is not None:
+        kept = kept.join(gone, "id", "left_anti")
+    return kept.union(rows.where("title = ''").select("id"))

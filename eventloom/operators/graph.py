@@ -39,3 +39,21 @@ def components(edges: DataFrame, label: str) -> DataFrame:
     return pairs.groupBy("id").agg(F.min("component").alias("component")).union(
         e.select(F.col("dst").alias("id"), F.col("dst").alias("component")).distinct()
     )
+
+
+def displaced(links: DataFrame) -> DataFrame | None:
+    """The ids that go when, in their order, each id of ``links(id, id_b)``, ``id_b`` the earlier, goes
+    if it is linked to one that stays; null if none goes.
+
+    In a round all ids without an open link to an earlier one stay, and what is linked to them goes.
+    There are as many rounds as the longest chain of open links, over which one written table
+    of the open links gets smaller."""
+    out = None
+    while True:
+        links = materialize(links, "open_links")
+        if links.isEmpty():
+            return out
+        stay = links.select("id_b").distinct().join(links.select(F.col("id").alias("id_b")), "id_b", "left_anti")
+        gone = materialize(links.join(stay, "id_b").select("id").distinct(), "displaced")
+        out = gone if out is None else out.union(gone)
+        links = links.join(gone, "id", "left_anti").join(gone.select(F.col("id").alias("id_b")), "id_b", "left_anti").select("id", "id_b")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, labels, recurrence, text
 from ..operators import aggregates, filters, sorting, windows
+from ..operators.runs import ranked
 from ..sources import export, registries, web
 from .adapter import calendar, feed_history, feeds
 from .queries import NOW, _now, _table, _today, query
@@ -96,7 +97,7 @@ def j14_repro_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _ranked(df: DataFrame, order: list) -> DataFrame:
-    return df.withColumn("place", F.row_number().over(Window.partitionBy("city").orderBy(*order)))
+    return ranked(df, ["city"], order).withColumn("place", F.col("place").cast("int"))
 
 
 @query("SELECT id, city, CAST(row_number() OVER (PARTITION BY city ORDER BY start_time, CASE WHEN id % 5 = 0 THEN 0 ELSE 1 END, CASE WHEN id % 5 = 0 THEN id % 3 END, title, id) AS INTEGER) AS place FROM cal")

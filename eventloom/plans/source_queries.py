@@ -246,7 +246,27 @@ def s21_build_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.when(_kind(3) == 0, "2024-01-10 - x - ERROR - HTTP Error 404").when(_kind(3) == 1, F.concat(F.lit("2024-01-10 - x - WARNING - Broken property in "), n)).otherwise("all is well")
     lines = F.array(F.concat(mark, F.lit("RUN "), run), said, F.concat(mark, F.lit("EXIT "), _kind(2).cast("string"), F.lit(" "), run))
     rows = feeds(spark, sf_dir).select(F.col("city").alias("file"), "id", F.posexplode(lines).alias("at", "line"))
-    return registries.build_issues(rows.select("file", (F.col("id") * 4 + F.col("at")).alias("line_no"), "line"))
+    return registries.build_issues(rows.select("file", (F.col("id") * 4 + F.col("at")).alias("line_no"), "line")).drop("source")
+
+
+@query(
+    ", l AS (SELECT id, id * 10 AS base, city, 'run ' || id AS run FROM feeds) "
+    "SELECT 'all' AS file, base + 1 AS line_no, city, 'scrape' AS phase, run AS command, run AS source, 'error' AS level, 'traceback' AS kind, 'ValueError: ' || id AS message FROM l WHERE id % 2 = 0 "
+    "UNION ALL SELECT 'all', base + 7, city, 'scrape', run || ' by late_' || id || '.py', 'late_' || id, 'error', 'traceback', 'KeyError: no date' FROM l "
+    "UNION ALL SELECT 'all', base + 6, city, 'scrape', run || ' by late_' || id || '.py', 'late_' || id, 'error', 'timeout', 'Read Timeout' FROM l"
+)
+def s21_tracebacks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One log of all feeds' lines: tracebacks inside commands and after them, a timeout below a script's name."""
+    n, mark = F.col("id").cast("string"), F.concat(F.lit("["), F.col("city"), F.lit("][scrape] "))
+    head, frame = F.lit("Traceback (most recent call last):"), lambda s: F.concat(F.lit('  File "/w/'), s, F.lit('.py", line 3'))
+    late = F.concat(F.lit("late_"), n)
+    lines = F.array(
+        F.concat(mark, F.lit("RUN run "), n), F.when(_kind(2) == 0, head).otherwise("all is well"), F.when(_kind(2) == 0, frame(F.lit("a"))).otherwise(""),
+        F.when(_kind(2) == 0, F.lit("    raise ValueError: inside")).otherwise("  well"), F.when(_kind(2) == 0, F.concat(F.lit("ValueError: "), n)).otherwise("done"),
+        F.concat(mark, F.lit("EXIT 0 run "), n, F.lit(" by late_"), n, F.lit(".py")), F.lit("  Read Timeout"), head, frame(late), F.lit("KeyError: no date"),
+    )
+    rows = feeds(spark, sf_dir).select("id", F.posexplode(lines).alias("at", "line"))
+    return registries.build_issues(rows.select(F.lit("all").alias("file"), (F.col("id") * 10 + F.col("at")).alias("line_no"), "line"))
 
 
 @query("SELECT city AS file, url, name FROM feeds WHERE url LIKE 'https://%'")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import log_issue, platform
+from ..operators.runs import automaton, carried
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
@@ -55,23 +56,79 @@ def prodids(files: DataFrame) -> DataFrame:
     return files.select("file", found.alias("prodid")).filter("prodid <> ''").withColumn("platform", platform(F.col("prodid")))
 
 
+#: Lines of a log, as they are matched; fixed values.
+RUN_LINE = r"^\[([^\]]+)\]\[([^\]]+)\]\s+RUN\s+(.+)$"
+EXIT_LINE = r"^\[([^\]]+)\]\[([^\]]+)\]\s+EXIT\s+(-?\d+)\s+(.+)$"
+LOGGED = r"(?:^|[\s\]])([A-Za-z0-9_]+) - (ERROR|WARNING) - (.*)$"
+TRACEBACK = "Traceback (most recent call last)"
+ERROR_LINE = r"(?i)error: the following arguments are required|HTTP Error \d+|ConnectionError|Timeout|: error:|(?<!Timeout)Error:"
+SCRIPT = r"(\w[\w-]*)\.py"
+TRACED_SCRIPT = r'File ".*?/(\w[\w-]*)\.py"'
+
+#: Outside a block, on the line after its head, further down; by (2 * closing + head).
+_BLOCK_STEPS = [[0, 1, 0, 1], [2, 2, 2, 2], [2, 2, 0, 0]]
+
+
 def build_issues(log: DataFrame) -> DataFrame:
-    """(file, line_no, city, phase, command, level, kind, message) of a build log.
-
-    ``[city][phase] RUN label`` opens a command, ``EXIT rc label`` closes it; between them
-    lines of level ERROR or WARNING are issues, and a failed exit is one."""
-    run = r"^\[([^\]]+)\]\[([^\]]+)\] RUN (.+)$"
-    leave = r"^\[([^\]]+)\]\[([^\]]+)\] EXIT (-?\d+) (.+)$"
-    order = Window.partitionBy("file").orderBy("line_no")
-    get = lambda p, i: F.nullif(F.regexp_extract("line", p, i), F.lit(""))
-    rows = log
-    for name, i in (("city", 1), ("phase", 2), ("command", 3)):
-        rows = rows.withColumn(name, F.last(F.coalesce(get(run, i), get(leave, i if i < 3 else 4)), ignorenulls=True).over(order))
-    level = F.when(F.col("line").rlike(r" - ERROR - "), "error").when(F.col("line").rlike(r" - WARNING - "), "warning").when(
-        F.col("line").rlike(r"^Traceback "), "error").when(get(leave, 3) != "0", "error")
-    message = F.coalesce(get(r" - (?:ERROR|WARNING) - (.*)$", 1), F.col("line"))
-    found = rows.withColumn("level", level).filter("level is not null").withColumn("message", message)
-    return found.select("file", "line_no", "city", "phase", "command", "level", log_issue(F.col("message"), F.col("level")).alias("kind"), "message")
+    """(file, line_no, city, phase, command, source, level, kind, message) of a build log with
+    (file, line_no, line), all without nulls.
+
+    ``[city][phase] RUN label`` opens a command and ``EXIT code label`` closes it.  Issues are
+    logged lines of level ERROR or WARNING, lines with a known sign of an error, tracebacks, and
+    failed exits.  A traceback is one issue, at its head: it goes on to the first line that is
+    neither blank nor indented, the line after the head aside, and its message is that line (the
+    head, if the log ends before).  Other lines of a traceback are no issues and no markers, but
+    for failed exits.  ``command`` is the label of the last marker; ``source`` the label that is
+    open, else the logger's name, the last script in the traceback, or the script named in the
+    line or the one above.
+
+    No task takes a whole file: see ``operators.runs``."""
+    line = F.col("line")
+    get = lambda p, i: F.nullif(F.regexp_extract(line, p, i), F.lit(""))
+    rows = log.select("file", "line_no", F.regexp_replace("line", r"\s+$", "").alias("line"))
+    marker, logged = line.rlike(RUN_LINE) | line.rlike(EXIT_LINE), line.rlike(LOGGED)
+    head = F.contains(line, F.lit(TRACEBACK)) & ~marker & ~logged
+    closing = (line != "") & ~F.startswith(line, F.lit(" "))
+    rows = rows.withColumn("symbol", closing.cast("int") * 2 + head.cast("int"))
+    rows = automaton(rows, "file", "line_no", "symbol", _BLOCK_STEPS)
+
+    outside, is_head = F.col("state") == 0, F.col("symbol") % 2 == 1
+    opened = F.struct(
+        F.coalesce(get(RUN_LINE, 1), get(EXIT_LINE, 1)).alias("city"), F.coalesce(get(RUN_LINE, 2), get(EXIT_LINE, 2)).alias("phase"),
+        F.trim(F.coalesce(get(RUN_LINE, 3), get(EXIT_LINE, 4))).alias("command"), line.rlike(RUN_LINE).alias("open"),
+    )
+    rows = carried(rows, ["file"], "line_no", {
+        "last": (F.when(outside & marker, opened), True),
+        "block": (F.when(outside & is_head, F.col("line_no")), True),
+        "above": (F.struct(get(SCRIPT, 1).alias("script")), False),
+    })
+
+    # the closing line is met in state 2 and leaves it
+    closes = (F.col("state") == 2) & (F.col("symbol") >= 2)
+    traced = get(TRACED_SCRIPT, 1)
+    inside = rows.where(~outside | is_head)
+    blocks = inside.groupBy("file", "block").agg(
+        F.max_by(traced, F.when(traced.isNotNull(), F.col("line_no"))).alias("traced"), F.max(F.when(closes, line)).alias("final")
+    )
+    blocks = blocks.select("file", F.col("block").alias("line_no"), "traced", "final", F.lit(True).alias("found"))
+
+    failed = F.coalesce(get(EXIT_LINE, 3).cast("bigint") != 0, F.lit(False))
+    seen = outside & ~marker
+    one = F.trim(line)
+    level = F.when(failed, "error").when(seen & logged, F.lower(get(LOGGED, 2))).when(seen & (is_head | line.rlike(ERROR_LINE)), "error")
+    rows = rows.withColumn("level", level).where("level is not null").join(blocks, ["file", "line_no"], "left")
+    label = F.when(F.col("last.open"), F.col("last.command"))
+    block, said = F.col("found").isNotNull(), F.regexp_extract(line, LOGGED, 3)
+    source = F.when(block, F.col("traced")).when(failed, get(EXIT_LINE, 4)).when(logged, F.regexp_replace(get(LOGGED, 1), "Scraper$", ""))
+    message = F.when(block, F.coalesce("final", "line")).when(logged & ~failed, said).otherwise(one)
+    kind = F.when(block, "traceback").otherwise(log_issue(F.col("message"), F.col("level")))
+    place = lambda i, name: F.coalesce(get(r"^\[([^\]]+)\]\[([^\]]+)\]", i), F.col(f"last.{name}")).alias(name)
+    return rows.withColumn("message", message).select(
+        "file", "line_no", place(1, "city"), place(2, "phase"),
+        F.coalesce(F.when(failed, get(EXIT_LINE, 4)), F.col("last.command")).alias("command"),
+        F.coalesce(label, source, F.when(~block & ~logged, F.coalesce(get(SCRIPT, 1), F.col("above.script")))).alias("source"),
+        "level", kind.alias("kind"), "message",
+    )
 
 
 def distinct_issues(issues: DataFrame) -> DataFrame:
