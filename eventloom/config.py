@@ -204,3 +204,33 @@ RECURRENCE_WORDS = (
     (rf"(first|second|third|fourth)\s+({WEEKDAY})", "MONTHLY", 1, 2),
     (r"\bmonthly\b", "MONTHLY", 0, 0),
 )
+
+_SEE = {"title": "p.title", "date": "p.date", "time": "span.see-showtime", "location": "p.venue", "url": "a.seetickets-buy-btn@href"}
+_SEE_BOX = ".seetickets-list-event-container"
+
+#: Connectors with a page layout of their own, fixed values: source, box, places, site, zone, hour of
+#: events without a time, default location.
+LAYOUTS = (
+    ("Aga Khan Museum", "section.c-masthead", {"title": "div.c-masthead__container h1.c-masthead__title", "date": "p.c-masthead__date-label", "time": "p.c-masthead__time-label"},
+     "https://agakhanmuseum.org", "America/Toronto", "00:00", "Aga Khan Museum"),
+    ("Carolina Theatre", ".eventCard", {"title": ".card__title", "date": ".month + .day", "time": ".card__info", "url": "a[href]@href"},
+     "https://carolinatheatre.org", "America/New_York", "19:00", "Carolina Theatre, 309 W Morgan St, Durham, NC 27701"),
+    ("Cinnabar Theater", "div.pp-content-post.type-show", {"title": "h3.pp-content-grid-title", "date": "div.pp-content-grid-content p", "url": "a.pp-post-link@href"},
+     "https://cinnabartheater.org", "America/Los_Angeles", "00:00", "Cinnabar Theater, 3333 Petaluma Blvd N, Petaluma, CA 94952"),
+    ("FAR Center for Contemporary Arts", ".entry-main div.mb-8", {"title": "h3 a", "date": "p.text-sm.mb-1", "url": "h3 a@href"},
+     "https://thefar.org", "America/Indiana/Indianapolis", "00:00", "FAR Center for Contemporary Arts, 505 W 4th St, Bloomington, IN"),
+    ("Flash", "article.listing", {"title": '[itemprop="name"]', "date": 'time[itemprop="startDate"]@datetime', "url": 'a[itemprop="url"]@href', "description": "div.server-content"},
+     "https://www.flashdc.com", "America/New_York", "22:00", "Flash Nightclub, 645 Florida Ave NW, Washington, DC 20001"),
+    ("Green Music Center", "div.event_container", {"title": ".title a", "date": ".e_month + .e_date", "time": ".e_time", "location": ".e_location", "url": ".summary a@href", "description": ".summary a"},
+     "https://gmc.sonoma.edu", "America/Los_Angeles", "20:00", "Green Music Center, 1801 E Cotati Ave, Rohnert Park, CA 94928"),
+    ("Lagunitas Brewing Company", ".event-row", {"title": ".desc h2", "date": ".date", "time": ".time-wrap .time", "url": ".buy-btn a@href"},
+     "https://lagunitas.com/taproom/petaluma/", "America/Los_Angeles", "00:00", "Lagunitas Brewing Company, 1280 N McDowell Blvd, Petaluma, CA 94954"),
+    ("The Bluebird", _SEE_BOX, _SEE, "https://www.thebluebird.ws", "America/Indiana/Indianapolis", "20:00", "Bluebird Nightclub, 216 N Walnut St, Bloomington, IN"),
+    ("Third Room", _SEE_BOX, _SEE, "https://thirdroom.art", "America/New_York", "20:00", "Third Room, 46 Wall St, Asheville, NC 28801"),
+    ("Toronto Community Housing", "a.node.node--type-event.node--view-mode-listing-item", {"title": "h3", "date": "time", "location": "p.address", "url": "&@href", "description": "p"},
+     "https://torontohousing.ca", "America/Toronto", "00:00", "Toronto"),
+    ("WFHB Community Calendar", ".em-event", {"title": ".em-item-title a", "date": ".em-event-date", "time": ".em-event-time", "location": ".em-event-location", "url": ".em-item-title a@href", "description": ".em-event-description"},
+     "https://wfhb.org", "America/Indiana/Indianapolis", "00:00", "Bloomington, IN"),
+    ("Writers Guild at Bloomington", ".sugar-calendar-event-list-block__listview__event", {"title": "[class*=__title]", "date": "[class*=__date]", "url": "a[href]@href"},
+     "https://writersguildbloomington.com", "America/Indiana/Indianapolis", "00:00", "Bloomington, IN"),
+)

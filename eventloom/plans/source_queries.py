@@ -3,13 +3,15 @@ driver's tables, and read back by the source's functions."""
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import CONNECTORS
+from ..config import CONNECTORS, LAYOUTS
 from ..functions import text
 from ..scratch import new_folder
-from ..sources import apis, export, ics, registries, web
+from ..sources import apis, export, ics, layouts, registries, web
 from .adapter import calendar, feeds
 from .queries import NOW, _now, _table, query
 
@@ -228,6 +230,68 @@ def s15_html_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def _element(step: str, attribute: str = "", value: Column | None = None) -> tuple[Column, Column]:
+    """The tags of an element that a selector step fits, with an attribute of a given value."""
+    tests = [t for t in layouts._step(step) if not attribute or t[0] != attribute]
+    tag = next((v for a, _, v in tests if not a), "div")
+    classes = " ".join(v for a, sign, v in tests if sign == "~=")
+    held = f' class="a {classes}"' if classes else ""
+    held += "".join(f' {a}="{v}z"' if sign == "^=" else f' {a}="z{v}"' if sign == "*=" else f' {a}="{v}"' for a, sign, v in tests if a and sign != "~=")
+    ends = F.concat(F.lit(f' {attribute}="'), value, F.lit('">')) if attribute else F.lit(">")
+    return F.concat(F.lit(f"<{tag}{held}"), ends), F.lit(f"</{tag}>")
+
+
+def _placed(place: str, value: Column) -> Column:
+    """A value at a place, below elements that its selector fits."""
+    path, _, attribute = place.partition("@")
+    tags = [_element(step) for step in path.split()[:-1]]
+    tags.append(_element(path.split()[-1], attribute, value))
+    return F.concat(*[a for a, _ in tags], F.lit("" if attribute else " <br>"), F.lit("") if attribute else value, *[b for _, b in reversed(tags)])
+
+
+def _page(places: dict[str, str], box: str, values: dict[str, Column]) -> Column:
+    """A page with an event's box between others' rests."""
+    joined = {"date": (_stamp("MMM"), _stamp("d"), F.lit(""))}
+    own = next(((p[2:], values[f]) for f, p in places.items() if p.startswith("&@")), ("", None))
+    outer, inner = box.split()[:-1], _element(box.split()[-1], *own)
+    parts = []
+    for field, place in places.items():
+        several = place.split(" + ")
+        if not place.startswith("&"):
+            parts += [_placed(p, v) for p, v in zip(several, joined[field] if len(several) > 1 else (values[field],), strict=False)]
+    tags = [_element(step) for step in outer]
+    return F.concat(F.lit("<html><h3>Events</h3>"), *[a for a, _ in tags], inner[0], *parts, inner[1], *[b for _, b in reversed(tags)], F.lit("<p class='date title time'>none</p></html>"))
+
+
+_LAYOUT_SQL = ", ".join(
+    f"({i}, '{source}', '{site.rstrip('/')}', {8 if zone.endswith('Angeles') else 5}, '{default}', {'time' in places or '@' in places['date'] or source.startswith('Toronto')}, {int(hour[:2])}, {'location' in places}, {'url' in places}, {' + ' in places['date']}, '{site}')"
+    for i, (source, _, places, site, zone, hour, default) in enumerate(LAYOUTS)
+)
+
+
+@query(
+    f", c AS (SELECT * FROM (VALUES {_LAYOUT_SQL}) v(n, source, base, hours, place, timed, hour, placed, linked, yearless, site)), "
+    f"e AS (SELECT cal.id, cal.title, nullif(trim(coalesce(cal.location, '')), '') AS location, cal.start_time, c.* EXCLUDE (n) FROM cal JOIN c ON c.n = cal.id % {len(LAYOUTS)}), "
+    "d AS (SELECT *, CASE WHEN yearless THEN CASE WHEN make_date(2024, month(start_time), day(start_time)) < DATE '2024-01-10' THEN make_date(2025, month(start_time), day(start_time)) ELSE make_date(2024, month(start_time), day(start_time)) END ELSE CAST(start_time AS DATE) END AS day FROM e) "
+    "SELECT source, trim(title) AS title, day + CASE WHEN timed THEN to_minutes(CAST(hour(start_time) * 60 + minute(start_time) AS BIGINT)) ELSE to_hours(hour) END + to_hours(hours) AS start_time, "
+    "CASE WHEN placed THEN coalesce(location, place) ELSE place END AS location, CASE WHEN linked THEN base || '/e/' || id ELSE site END AS url FROM d"
+)
+def s15_layout_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Connectors with page layouts of their own, an event each by its id."""
+    day = _stamp("MMMM d, yyyy")
+    clock = _stamp("h:mm a")
+    page = None
+    for i, (source, box, places, *_) in enumerate(LAYOUTS):
+        when = _stamp("yyyy-MM-dd'T'HH:mm:ss") if "@" in places["date"] else F.concat(day, F.lit(" "), clock) if source.startswith("Toronto") else day
+        values = {"title": F.col("title"), "date": when, "time": clock, "location": F.coalesce("location", F.lit("")), "url": F.concat(F.lit("/e/"), F.col("id").cast("string")), "description": F.lit("About it")}
+        made = _page(places, box, values)
+        page = F.when(_kind(len(LAYOUTS)) == i, made) if page is None else page.when(_kind(len(LAYOUTS)) == i, made)
+    names = F.array(*[F.lit(row[0]) for row in LAYOUTS])
+    pages = calendar(spark, sf_dir).select(F.get(names, _kind(len(LAYOUTS)).cast("int")).alias("source"), page.alias("html"))
+    made = layouts.layout_events(pages, date(2024, 1, 10))
+    return made.select("source", "title", "start_time", "location", "url")
+
+
 @query("SELECT city AS file, lower(name) AS name, id % 3 = 0 AS excluded FROM feeds WHERE id % 4 <> 1")
 def s20_area_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.when(_kind(4) == 1, "# only a note").otherwise(F.concat(F.when(_kind(3) == 0, F.element_at(F.array(F.lit("!"), F.lit("- ")), (_kind(2) + 1).cast("int"))).otherwise(""), F.upper("name"), F.lit("  # note")))
