@@ -6,7 +6,7 @@ from datetime import date, datetime
 import duckdb
 import pytest
 
-from eventloom.plans import more_queries, source_queries  # noqa: F401
+from eventloom.plans import more_queries, source_queries, state_queries  # noqa: F401
 from eventloom.plans.queries import ORACLES, QUERIES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
