@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import events_table
 from ..scratch import materialize, new_folder
 from ..streaming import feeds as feed_state
 from ..streaming import jobs
 from .adapter import calendar, feed_history
-from .queries import query
+from .queries import _INCOMING, query
 
 
 @query(
@@ -55,3 +56,36 @@ def i6_latest_items(spark: SparkSession, sf_dir: str) -> DataFrame:
         build.write.mode("append").parquet(src)
         feed_state.latest_stream(spark.readStream.schema(build.schema).parquet(src), table, state).awaitTermination()
     return jobs.read_current(spark, table)
+
+
+_CURATED = "SELECT source_uid, id AS event_id, concat('c', CAST(id % 7 AS {s})) AS category, id AS created_at FROM {t} WHERE source_uid LIKE 'u1%'"
+_FULL = _INCOMING.replace("source_uid FROM", "source_uid, 'new' AS category FROM")
+_WRITTEN = (
+    f", inc AS (SELECT * FROM ({_FULL}) WHERE coalesce(source_uid, '') <> '' QUALIFY row_number() OVER (PARTITION BY source_uid ORDER BY start_time, id) = 1), "
+    f"cur AS ({_CURATED.format(s='VARCHAR', t='cal')}), ov AS (SELECT source_uid, arg_max(category, created_at) AS c FROM cur GROUP BY 1), "
+)
+
+
+@query(
+    _WRITTEN + "n AS (SELECT id, title, start_time, city, source_uid, category FROM cal c WHERE NOT EXISTS (SELECT 1 FROM inc WHERE inc.source_uid = c.source_uid) "
+    "UNION ALL SELECT id, title, start_time, city, source_uid, category FROM inc) SELECT id, title, start_time, city, n.source_uid, coalesce(c, category) AS category FROM n LEFT JOIN ov ON ov.source_uid = n.source_uid"
+)
+def i5_overridden_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A third of the events written over the table, the curators' last categories on all."""
+    return events_table.events(spark, _written(spark, sf_dir))
+
+
+@query(
+    _WRITTEN + "f AS (SELECT source_uid, min(id) AS id FROM cal GROUP BY 1) SELECT cur.source_uid, coalesce(inc.id, f.id) AS event_id, cur.category, cur.created_at "
+    "FROM cur LEFT JOIN inc ON inc.source_uid = cur.source_uid LEFT JOIN f ON f.source_uid = cur.source_uid"
+)
+def i5_reattached_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The overrides after the same write, on the events that have their uid now."""
+    return events_table.overrides(spark, _written(spark, sf_dir))
+
+
+def _written(spark: SparkSession, sf_dir: str) -> str:
+    table, now = new_folder(spark, "events-table"), calendar(spark, sf_dir).select("id", "title", "start_time", "city", "source_uid", "category")
+    events_table.create(now, spark.sql(_CURATED.format(s="STRING", t="{cal}"), cal=now), table, 16)
+    events_table.write(spark.sql(_FULL.replace("FROM cal", "FROM {cal}"), cal=now), table)
+    return table
