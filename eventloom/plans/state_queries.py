@@ -1,15 +1,16 @@
-"""Registered queries of state that streams carry: each goes on from its checkpoint twice."""
+"""Registered queries of stored state: carried by streams, written by bucket, asked by SQL functions."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import procedures
 from ..operators import events_table
 from ..scratch import materialize, new_folder
 from ..streaming import feeds as feed_state
 from ..streaming import jobs
-from .adapter import calendar, feed_history
+from .adapter import calendar, feed_history, feeds
 from .queries import _INCOMING, query
 
 
@@ -89,3 +90,57 @@ def _written(spark: SparkSession, sf_dir: str) -> str:
     events_table.create(now, spark.sql(_CURATED.format(s="STRING", t="{cal}"), cal=now), table, 16)
     events_table.write(spark.sql(_FULL.replace("FROM cal", "FROM {cal}"), cal=now), table)
     return table
+
+
+def _procedures(spark: SparkSession, sf_dir: str) -> None:
+    cal = calendar(spark, sf_dir)
+    procedures.register(spark, events=cal, feeds=feeds(spark, sf_dir), overrides=spark.sql(_CURATED.format(s="STRING", t="{cal}"), cal=cal))
+
+
+_OF_CITY = "SELECT id, city, source, category, concat(city, source_uid) AS source_uid FROM {t}"
+_LISTED = "(city = 'city0' AND id % 2 = 0) OR (city = 'city1' AND id % 7 = 0)"
+
+
+@query(
+    f", own AS ({_OF_CITY.format(t='cal').replace('concat(city, source_uid)', 'city || source_uid')}), inc AS (SELECT DISTINCT source_uid FROM own WHERE ({_LISTED}) AND source_uid IS NOT NULL), n AS (SELECT count(*) AS n FROM inc), "
+    "g AS (SELECT city, count(*) AS events, count(*) FILTER (WHERE source_uid IS NOT NULL AND source_uid NOT IN (SELECT source_uid FROM inc)) AS gone FROM own GROUP BY city) "
+    "SELECT city, events, CASE WHEN n = 0 OR (2 * gone > events AND n < gone) THEN 0 ELSE gone END AS deleted, n > 0 AND 2 * gone > events AND n < gone AS refused FROM g CROSS JOIN n"
+)
+def p1_delete_stale_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Uids of a city's own; half of city 0, a part of city 1 and nothing of city 2 is listed."""
+    own = spark.sql(_OF_CITY.format(t="{cal}"), cal=calendar(spark, sf_dir))
+    incoming = own.filter(f"({_LISTED}) AND source_uid IS NOT NULL").select("source_uid").distinct()
+    procedures.register(spark, events=own, incoming=incoming)
+    return spark.sql("SELECT c.city, d.events, d.deleted, d.refused FROM (SELECT DISTINCT city FROM calendar_events) c, LATERAL delete_stale_events(c.city) d")
+
+
+@query("SELECT 3 AS feed, count(c.id) AS events_deleted, true AS feed_deleted FROM feeds f LEFT JOIN cal c ON c.city = f.city AND c.source = f.name WHERE f.id = 3 GROUP BY f.id")
+def p2_remove_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _procedures(spark, sf_dir)
+    return spark.sql("SELECT 3 AS feed, * FROM remove_feed(3)")
+
+
+@query(
+    f", cur AS ({_CURATED.format(s='VARCHAR', t='cal')}), ov AS (SELECT source_uid, arg_max(category, created_at) AS curated FROM cur GROUP BY 1) "
+    "SELECT id, cal.source_uid, category, curated FROM cal JOIN ov ON ov.source_uid = cal.source_uid WHERE category IS DISTINCT FROM curated"
+)
+def p3_overridden_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _procedures(spark, sf_dir)
+    return spark.sql("SELECT * FROM overridden_events()")
+
+
+@query(
+    "SELECT id, CASE WHEN feed_type <> 'scraper' OR status = 'removed' THEN NULL WHEN NOT regexp_full_match(url, 'cities/[a-z0-9-]+/[A-Za-z0-9._-]+[.]ics') THEN 'url' "
+    "WHEN trim(coalesce(scraper_cmd, '')) = '' THEN 'no command' WHEN NOT regexp_matches(scraper_cmd, '^python (scrapers|scripts)/') THEN 'command' END AS problem FROM "
+    "(SELECT id, CASE WHEN id % 4 = 0 THEN url ELSE concat('cities/c/', id, '.ics') END AS url, feed_type, status, scraper_cmd FROM feeds)"
+)
+def p4_scraper_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _procedures(spark, sf_dir)
+    rows = "SELECT id, CASE WHEN id % 4 = 0 THEN url ELSE concat('cities/c/', id, '.ics') END AS url, feed_type, status, scraper_cmd FROM calendar_feeds"
+    return spark.sql(f"SELECT id, scraper_row_problem(url, feed_type, status, scraper_cmd) AS problem FROM ({rows})")
+
+
+@query("SELECT city, name, count(DISTINCT id) AS event_count FROM (SELECT city, id, trim(unnest(string_split(source, ','))) AS name FROM cal) WHERE name <> '' GROUP BY city, name")
+def p5_source_name_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _procedures(spark, sf_dir)
+    return spark.sql("SELECT * FROM source_name_counts()")
