@@ -26,7 +26,7 @@ def i7_anomaly_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     for days in ("date < DATE '2024-01-11'", "date >= DATE '2024-01-11' AND date < DATE '2024-01-21'", "date >= DATE '2024-01-21'"):
         history.filter(days).write.mode("append").parquet(src)
         stream = spark.readStream.schema(history.schema).parquet(src)
-        feed_state.anomaly_log(stream, table, state, F.expr("DATE '2024-01-30'"), 14).awaitTermination()
+        feed_state.anomaly_log(stream, table, state, F.expr("DATE '2024-01-30'"), 14, 4).awaitTermination()
     return jobs.read_current(spark, table)
 
 

@@ -70,15 +70,18 @@ def pruned_log(log: DataFrame, new: DataFrame, today: Column, keep: int = ANOMAL
     return rows.dropDuplicates(["city", "feed", "date", "anomaly"])
 
 
-def anomaly_log(history: DataFrame, table: str, checkpoint: str, today: Column, keep: int = ANOMALY_DAYS) -> StreamingQuery:
-    """Carry the log of anomalies in a table of generations."""
-    conf = history.sparkSession.conf
-    before = conf.get(_STORE[0])
-    conf.set(*_STORE)
-    try:  # a query takes the setting when it starts
+def anomaly_log(history: DataFrame, table: str, checkpoint: str, today: Column, keep: int = ANOMALY_DAYS, partitions: int = 16) -> StreamingQuery:
+    """Carry the log of anomalies in a table of generations.  ``partitions`` holds for the
+    feeds' state, from the first run on; each is a store of its own, and a feed is one row."""
+    conf, settings = history.sparkSession.conf, {_STORE[0]: _STORE[1], "spark.sql.shuffle.partitions": str(partitions)}
+    before = {k: conf.get(k) for k in settings}
+    try:  # a query takes the settings when it starts
+        for k, v in settings.items():
+            conf.set(k, v)
         return generations(anomalies(history), table, checkpoint, lambda log, new: pruned_log(log, new, today, keep))
     finally:
-        conf.set(_STORE[0], before)
+        for k, v in before.items():
+            conf.set(k, v)
 
 
 def latest_items(memory: DataFrame, build: DataFrame, limit: int = LATEST_ITEMS) -> DataFrame:
