@@ -3,7 +3,9 @@
 A recurrence set is what a rule yields, and the added dates, less the excluded ones; an
 instance that was moved replaces the one it names.  A rule is expanded without Python: a
 ``sequence`` over the wall-clock days of the window, a filter with one test for each part,
-the times of day, and, for BYSETPOS, the rank of an occurrence in its period.
+the times of day, and, for BYSETPOS, the rank of an occurrence in its period.  That is done once for each
+distinct rule and start, and the days of a rule once for each distinct date of a start; events take
+their list by a join.
 
 Parts: FREQ (DAILY, WEEKLY, MONTHLY, YEARLY), INTERVAL, COUNT, UNTIL, WKST, BYMONTH, BYWEEKNO,
 BYYEARDAY, BYMONTHDAY, BYDAY, BYHOUR, BYMINUTE, BYSECOND, BYSETPOS.  Whether a part limits a
@@ -20,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import materialize
+
 _DAYS = ("MO", "TU", "WE", "TH", "FR", "SA", "SU")
 _DAY = f"(?:{'|'.join(_DAYS)})"
 _NUMBERS = r"[+-]?\d{1,3}(?:,[+-]?\d{1,3})*"
@@ -52,19 +56,29 @@ def is_sound(rule: Column) -> Column:
     return F.coalesce(F.upper(F.trim(rule)).rlike(_GRAMMAR), F.lit(False))
 
 
-def parse_rule(rule: Column, start: Column, zone: Column | None = None) -> Column:
-    """The parts of a rule as a struct, with the defaults that the start gives to missing ones."""
+def rule_parts(rule: Column) -> Column:
+    """The parts of a rule's text as a struct, its lists as lists."""
     rule = F.trim(rule)
     listed = lambda name: F.filter(F.split(F.coalesce(part(rule, name), F.lit("")), ","), lambda d: d != "")
-    numbers = lambda name: F.transform(listed(name), lambda n: n.try_cast("int"))
-    freq = part(rule, "FREQ")
-    days = F.transform(listed("BYDAY"), lambda d: F.regexp_replace(d, "^[+]", ""))
+    numbers = ("MONTH", "MONTHDAY", "YEARDAY", "WEEKNO", "HOUR", "MINUTE", "SECOND", "SETPOS")
+    return F.struct(
+        is_sound(rule).alias("sound"),
+        *[part(rule, n).alias(n) for n in ("FREQ", "INTERVAL", "COUNT", "UNTIL", "WKST")],
+        F.transform(listed("BYDAY"), lambda d: F.regexp_replace(d, "^[+]", "")).alias("BYDAY"),
+        *[F.transform(listed(f"BY{n}"), lambda d: d.try_cast("int")).alias(f"BY{n}") for n in numbers],
+    )
+
+
+def parse_rule(parts: Column, start: Column, zone: Column | None = None) -> Column:
+    """The ``rule_parts`` of a rule with the defaults that the start gives to missing ones."""
+    numbers = lambda name: parts[name]
+    freq = parts["FREQ"]
     # the number of a weekday means nothing in a day or week
-    days = F.when(freq.isin("DAILY", "WEEKLY"), F.transform(days, lambda d: F.right(d, F.lit(2)))).otherwise(days)
+    days = F.when(freq.isin("DAILY", "WEEKLY"), F.transform(parts["BYDAY"], lambda d: F.right(d, F.lit(2)))).otherwise(parts["BYDAY"])
     months, month_days, year_days, weeks = (numbers(f"BY{n}") for n in ("MONTH", "MONTHDAY", "YEARDAY", "WEEKNO"))
-    free = (F.size(days) + F.size(month_days) + F.size(year_days) + F.size(weeks)) == 0
+    free = (F.size(parts["BYDAY"]) + F.size(month_days) + F.size(year_days) + F.size(weeks)) == 0
     own_weekday = F.element_at(F.array(*[F.lit(d) for d in _DAYS]), F.weekday(start) + 1)
-    until = part(rule, "UNTIL")
+    until = parts["UNTIL"]
     last = F.try_to_timestamp(F.rpad(F.substring(until, 1, 15), 15, "T235959"), F.lit("yyyyMMdd'T'HHmmss")).cast("timestamp_ntz")
     if zone is not None:
         last = F.when(F.endswith(until, F.lit("Z")), F.convert_timezone(F.lit("UTC"), zone, last)).otherwise(last)
@@ -72,12 +86,12 @@ def parse_rule(rule: Column, start: Column, zone: Column | None = None) -> Colum
     hours, minutes, seconds = own("BYHOUR", F.hour(start)), own("BYMINUTE", F.minute(start)), own("BYSECOND", F.second(start))
     clock = lambda h: F.flatten(F.transform(minutes, lambda m: F.transform(seconds, lambda s: h * 3600 + m * 60 + s)))
     return F.struct(
-        is_sound(rule).alias("sound"),
+        parts["sound"].alias("sound"),
         freq.alias("freq"),
-        F.greatest(F.lit(1), F.coalesce(part(rule, "INTERVAL").try_cast("int"), F.lit(1))).alias("every"),
-        part(rule, "COUNT").try_cast("int").alias("n"),
+        F.greatest(F.lit(1), F.coalesce(parts["INTERVAL"].try_cast("int"), F.lit(1))).alias("every"),
+        parts["COUNT"].try_cast("int").alias("n"),
         last.alias("last"),
-        (F.coalesce(F.array_position(F.array(*[F.lit(d) for d in _DAYS]), part(rule, "WKST")), F.lit(1)) - 1).cast("int").alias("week_start"),
+        (F.coalesce(F.array_position(F.array(*[F.lit(d) for d in _DAYS]), parts["WKST"]), F.lit(1)) - 1).cast("int").alias("week_start"),
         F.when(free & (freq == "YEARLY") & (F.size(months) == 0), F.array(F.month(start))).otherwise(months).alias("months"),
         F.when(free & freq.isin("YEARLY", "MONTHLY"), F.array(F.dayofmonth(start))).otherwise(month_days).alias("month_days"),
         year_days.alias("year_days"),
@@ -160,6 +174,10 @@ def _placed(times: Column, rule: Column) -> Column:
     return F.filter(times, wanted)
 
 
+#: What decides whether a day belongs to a rule.
+_DAY_PARTS = ("freq", "every", "week_start", "months", "month_days", "year_days", "weeks", "days", "of_month")
+
+
 def _with_times(rows: DataFrame, start: str, from_day: Column, to_day: Column, out: str, only: Column | None = None) -> DataFrame:
     """Adds what the parsed rules (``__rule``) yield in whole days of [from_day, to_day], and before
     where that must be counted, as the list ``out``; null without a sound rule or where not ``only``."""
@@ -172,20 +190,42 @@ def _with_times(rows: DataFrame, start: str, from_day: Column, to_day: Column, o
     lead = F.when(r["n"].isNotNull(), first).otherwise(F.greatest(first, from_day))
     whole = F.when(r["freq"] == "WEEKLY", F.greatest(first, _period(lead, r))).otherwise(_period(lead, r))
     lead, upto = F.when(ranked, whole).otherwise(lead), F.when(ranked, _period_end(stop, r)).otherwise(stop)
-    days = F.when(asked & (upto >= lead), F.sequence(lead, upto)).when(asked, F.array().cast("array<date>"))
-    days = F.filter(days, lambda d: _fits(d, first, r))
+    # the days do not depend on the clock, so that all starts of a date share them
+    search = F.struct(*[r[n].alias(n) for n in _DAY_PARTS], first.alias("first"), lead.alias("lead"), upto.alias("upto"))
+    rows = rows.withColumn("__search", F.when(asked & (upto >= lead), search))
+    spread = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, but the work is here
+    q = F.col("__search")
+    found = rows.select("__search").where("__search is not null").distinct().repartition(spread, "__search")
+    found = found.select("__search", F.filter(F.sequence(q["lead"], q["upto"]), lambda d: _fits(d, q["first"], q)).alias("__days"))
+    rows = rows.join(found, "__search", "left").drop("__search")
+    days = F.coalesce("__days", F.when(asked, F.array().cast("array<date>")))
     at = lambda d, s: d.cast("timestamp_ntz") + F.make_dt_interval(secs=s)
     # the list is a column of its own, as ranks look it up for each of its members
     rows = rows.withColumn(out, F.flatten(F.transform(days, lambda d: F.transform(r["clock"], lambda s: at(d, s)))))
     times = F.when(ranked, _placed(F.col(out), r)).otherwise(F.col(out))
     times = F.filter(times, lambda t: (t >= begin) & (r["last"].isNull() | (t <= r["last"])))
-    return rows.withColumn(out, F.when(r["n"].isNotNull(), F.slice(times, 1, F.greatest(r["n"], F.lit(0)))).otherwise(times))
+    return rows.withColumn(out, F.when(r["n"].isNotNull(), F.slice(times, 1, F.greatest(r["n"], F.lit(0)))).otherwise(times)).drop("__days")
+
+
+def _distinct(df: DataFrame, rule: str, start: str, **more: Column) -> DataFrame:
+    """The distinct rules and starts of ``df``, and ``more``, with the parsed rule as the struct ``__rule``."""
+    columns = {"rrule": F.col(rule), "start": F.col(start), **more}
+    keys = df.select(*[c.alias(f"__{n}") for n, c in columns.items()]).distinct()
+    spread = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = keys.repartition(spread, *keys.columns)
+    # generated, so that the optimizer cannot move the parsing into the tests of single days
+    keys = keys.select("*", F.explode_outer(F.array(rule_parts(F.col("__rrule")))).alias("__parts"))
+    rule = parse_rule(F.col("__parts"), F.col("__start"), F.col("__zone") if "zone" in more else None)
+    return keys.select("*", F.explode_outer(F.array(rule)).alias("__rule")).drop("__parts")
 
 
-def _parsed(df: DataFrame, rule: str, start: str, zone: Column | None = None) -> DataFrame:
-    """Adds the struct ``__rule``.  It is generated, so that the optimizer cannot move the
-    parsing into the tests of single days."""
-    return df.select("*", F.explode_outer(F.array(parse_rule(F.col(rule), F.col(start), zone))).alias("__rule"))
+def _with_list(df: DataFrame, lists: DataFrame, rule: str, start: str, out: str, **more: Column) -> DataFrame:
+    """Adds the list ``out`` of a row's rule and start; ``lists`` are of the keys of ``_distinct``, and written,
+    so that Spark knows whether they can be broadcast."""
+    columns = {"rrule": F.col(rule), "start": F.col(start), **more}
+    lists = materialize(lists.select(*[f"__{n}" for n in columns], out), "occurrences")
+    same = [c.eqNullSafe(F.col(f"__{n}")) for n, c in columns.items()]
+    return df.join(lists, same).drop(*[f"__{n}" for n in columns])
 
 
 def expand(
@@ -208,7 +248,9 @@ def expand(
     given, kinds = df.columns, {f.name: f.dataType.simpleString() for f in df.schema.fields}
     if excluded:  # generated for the same reason as the rule is
         df = df.select("*", F.explode_outer(F.array(F.coalesce(F.col(excluded), F.array().cast(kinds[excluded])))).alias("__gone"))
-    rows = _with_times(_parsed(df, rule, start, zone), start, from_day, to_day, "__times")
+    more = {"from": from_day, "to": to_day} | ({} if zone is None else {"zone": zone})
+    lists = _with_times(_distinct(df, rule, start, **more), "__start", F.col("__from"), F.col("__to"), "__times")
+    rows = _with_list(df, lists, rule, start, "__times", **more)
     none = F.array().cast("array<timestamp_ntz>")
     times = F.coalesce("__times", F.when(F.col(start).isNotNull(), F.array(F.col(start))), none)
     if added:
@@ -274,9 +316,13 @@ def next_occurrence(df: DataFrame, now: Column) -> DataFrame:
     """(id, next_start) at or after ``now``; ids without one are left out."""
     today = F.to_date(now)
     later = lambda c: F.filter(c, lambda t: t >= now)
-    rows = _with_times(_parsed(df, "rrule", "start_time"), "start_time", today, F.date_add(today, HORIZONS[0]), "__near")
-    once = F.when(~F.col("__rule")["sound"], F.array("start_time"))
-    rows = rows.withColumn("__near", later(F.coalesce("__near", once)))
-    rows = _with_times(rows, "start_time", today, F.date_add(today, HORIZONS[1]), "__far", F.size("__near") == 0)
-    found = F.array_min(F.when(F.size("__near") > 0, F.col("__near")).otherwise(later(F.col("__far"))))
-    return rows.select("id", found.alias("next_start")).groupBy("id").agg(F.min("next_start").alias("next_start")).where("next_start IS NOT NULL")
+    rows = _with_times(_distinct(df, "rrule", "start_time"), "__start", today, F.date_add(today, HORIZONS[0]), "__near")
+    once = F.when(~F.col("__rule")["sound"], F.array("__start"))
+    rows = materialize(rows.withColumn("__near", later(F.coalesce("__near", once))), "near")
+    open_ = F.size("__near") == 0
+    found = F.array_min("__near")
+    if not rows.where(open_ & F.col("__rule")["sound"]).isEmpty():
+        rows = _with_times(rows, "__start", today, F.date_add(today, HORIZONS[1]), "__far", open_)
+        found = F.array_min(F.when(open_, later(F.col("__far"))).otherwise(F.col("__near")))
+    rows = _with_list(df, rows.withColumn("next_start", found).where("next_start is not null"), "rrule", "start_time", "next_start")
+    return rows.groupBy("id").agg(F.min("next_start").alias("next_start"))

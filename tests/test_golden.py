@@ -1,7 +1,7 @@
 """Hand-written expectations: time zones, recurrence, slugs, similarity, guards, reports."""
 
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 from datetime import date, datetime
 
 import pytest
@@ -568,3 +568,18 @@ def test_history_and_refresh(spark, tmp_path):
     run()
     assert {(r.feed, r.date.day, r["count"]) for r in jobs.read_current(spark, table).collect()} == {("f", 2, 5), ("f", 3, 6), ("g", 2, 4)}
     assert jobs.refresh(spark.range(3), str(tmp_path / "r")).count() == 3 and jobs.refresh(spark.range(5), str(tmp_path / "r")).count() == 5
+
+
+def test_events_share_the_search_of_their_rule(spark):
+    """Days are searched once for a rule and date, however many events have it."""
+    from eventloom.functions import recurrence
+
+    starts = [datetime(2026, 1, 1 + i % 2, 9) for i in range(40)] + [None]
+    rows = spark.createDataFrame([(i, s, ("FREQ=WEEKLY", "no rule", None)[i % 3]) for i, s in enumerate(starts)], "id long, start timestamp_ntz, rrule string")
+    searched = recurrence._distinct(rows, "rrule", "start")
+    assert searched.count() == 7
+    got = Counter(r.id for r in recurrence.expand(rows, "rrule", "start", F.lit(date(2026, 1, 1)), F.lit(date(2026, 1, 15))).collect())
+    assert got == {i: (3 if s.day == 1 else 2) if i % 3 == 0 else 1 for i, s in enumerate(starts) if s}
+    nexts = recurrence.next_occurrence(rows.withColumnRenamed("start", "start_time"), F.expr("TIMESTAMP_NTZ '2026-01-02 08:00:00'"))
+    want = {i: datetime(2026, 1, 8 if s.day == 1 else 2, 9) for i, s in enumerate(starts) if s and (i % 3 == 0 or s.day == 2)}
+    assert {r.id: r.next_start for r in nexts.collect()} == want
