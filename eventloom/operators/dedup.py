@@ -53,13 +53,16 @@ def merge_groups(events: DataFrame, group: list[str], aggregators: Column, pos:
     """Survivor and merged sources of each group: the first primary in ``pos`` order
     survives; names are sorted primaries, then sorted aggregators; ``source_urls`` maps
     each name to a URL, later rows overriding earlier ones."""
-    is_agg = F.array_contains(aggregators, F.col("source"))
-    names = F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(F.col(pos), source_list(F.col("source")).alias("n")))), lambda x: x["n"])))
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), source_list(F.col("source")).alias("n"), F.col("url").alias("u"))))
-    entries = F.flatten(F.transform(F.filter(ordered, lambda x: F.coalesce(x["u"], F.lit("")) != ""), lambda x: F.transform(x["n"], lambda s: F.struct(s.alias("key"), x["p"].alias("p"), x["u"].alias("value")))))
+    # first by source, so that a group's lists hold its different sources, not its events
+    url = F.col("url")
     rest = [c for c in events.columns if c not in group]
-    best = F.min_by(F.struct(*rest), F.struct(is_agg.cast("int"), F.col(pos)))
-    made = events.groupBy(*group).agg(best.alias("s"), names.alias("names"), F.array_sort(entries).alias("entries"), F.count("*").alias("members"))
+    linked = F.max(F.when(url != "", F.struct(F.col(pos).alias("p"), url.alias("u")))).alias("last")
+    kinds = events.groupBy(*group, F.col("source").alias("of")).agg(F.min_by(F.struct(*rest), pos).alias("s"), F.min(pos).alias("first"), linked, F.count("*").alias("n"))
+    listed = source_list(F.col("of"))
+    names = F.array_distinct(F.flatten(F.collect_list(listed)))
+    entries = F.flatten(F.collect_list(F.when(F.col("last").isNotNull(), F.transform(listed, lambda s: F.struct(s.alias("key"), F.col("last")["p"].alias("p"), F.col("last")["u"].alias("value"))))))
+    best = F.min_by("s", F.struct(F.array_contains(aggregators, F.col("of")).cast("int"), "first"))
+    made = kinds.groupBy(*group).agg(best.alias("s"), names.alias("names"), F.array_sort(entries).alias("entries"), F.sum("n").alias("members"))
     agg_of = lambda s: F.array_contains(aggregators, s)
     merged = F.concat(F.array_sort(F.filter("names", lambda s: ~agg_of(s))), F.array_sort(F.filter("names", agg_of)))
     # by name and place, a name's last URL is the one that another name or nothing follows
