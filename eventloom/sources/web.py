@@ -38,7 +38,7 @@ def repair_json(s: pd.Series) -> pd.Series:
 def jsonld_blocks(pages: DataFrame, html: str = "html") -> DataFrame:
     """One parsed ``block`` (variant) per JSON-LD script; broken ones are repaired or dropped."""
     raw = F.regexp_extract_all(F.col(html), F.lit(r'(?s)<script[^>]*type="application/ld\+json"[^>]*>(.*?)</script>'), F.lit(1))
-    rows = pages.drop(html).join(pages.select("page_id", F.explode(raw).alias("raw")), "page_id")
+    rows = pages.select(*[c for c in pages.columns if c != html], F.explode(raw).alias("raw"))
     good = rows.withColumn("block", F.try_parse_json("raw"))
     mended = good.filter("block is null").withColumn("block", F.try_parse_json(repair_json("raw")))
     return good.filter("block is not null").unionByName(mended.filter("block is not null")).drop("raw")
