@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from eventloom.operators import dedup
-from eventloom.sources import web
+from eventloom.sources import apis, web
 
 
 def plan(df):
@@ -25,3 +25,12 @@ def test_jsonld_blocks_without_join(spark):
     blocks = web.jsonld_blocks(pages)
     assert "Join" not in plan(blocks) and blocks.columns == ["page_id", "more", "block"]
     assert sorted(r.j for r in blocks.select(F.to_json("block").alias("j")).collect()) == ['{"a":1}', '{"a":2}']
+
+
+def test_widget_repetition_is_parsed_once(spark):
+    event = '{"name":"N","start":{"date":"2024-01-02","time":"09:00"},"repeatPeriod":"weeklyOn","repeatWeeklyOnDays":["tu"],"exceptions":[{"type":"skip","originalDate":1705363200000}]}'
+    widgets = spark.createDataFrame([("s", f'{{"data":{{"settings":{{"events":[{event}]}}}}}}')], "source string, body string")
+    out = apis.elfsight_events(widgets, F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00'"), months=1).select("start_time")
+    text = plan(out)
+    assert text.count("repeatWeeklyOnDays") == 1 and text.count("exceptions") == 1
+    assert sorted(r.start_time.day for r in out.collect()) == [2, 9, 23, 30]
