@@ -1,8 +1,11 @@
 """Steps whose work must not grow faster than their input."""
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from eventloom.operators import dedup
+from eventloom.functions import similarity
+from eventloom.operators import dedup, similar
 from eventloom.sources import apis, web
 
 
@@ -34,3 +37,34 @@ def test_widget_repetition_is_parsed_once(spark):
     text = plan(out)
     assert text.count("repeatWeeklyOnDays") == 1 and text.count("exceptions") == 1
     assert sorted(r.start_time.day for r in out.collect()) == [2, 9, 23, 30]
+
+
+def syllables(n):
+    """Texts with the same characters and much the same pairs of them, which an index of these cannot tell apart."""
+    rnd = np.random.default_rng(5)
+    made = [" ".join("".join(rnd.permutation(["th", "an", "er", "on", "ed", "in"])) for _ in range(k)) for k in rnd.integers(1, 12, n)]
+    return sorted({*made, *[t[:-1] + "x" for t in made[::9]]}, key=lambda t: (len(t), t))
+
+
+@pytest.mark.parametrize("method, of_both, threshold", [("levenshtein", False, 0.6), ("sequence", True, 0.85)])
+def test_like_texts_of_a_slot_by_blocks(spark, monkeypatch, method, of_both, threshold):
+    texts = syllables(150)
+    monkeypatch.setattr(similar, "BLOCK", 100)  # several blocks of a length
+    titles = spark.createDataFrame([(1, t) for t in texts], "slot long, title string")
+    rows = [(a, b) for i, a in enumerate(texts) for b in texts[i + 1 :]]
+    pairs = spark.createDataFrame(rows, "a string, b string").withColumn("d", F.levenshtein("a", "b"))
+    size = F.length("a") + F.length("b") if of_both else F.greatest(F.length("a"), F.length("b"))
+    want = {(min(r.a, r.b), max(r.a, r.b)) for r in pairs.where(F.col("d") <= (1 - threshold) * size + 1e-9).collect()}
+    got = [tuple(r) for r in similar.candidates(titles, ["slot"], threshold, method).collect()]
+    # no more than the distance lets through, which is exact for one method and close for the other
+    assert set(got) == want and len(got) == len(want) and 10 < len(want) < len(rows) / 4
+
+
+def test_distances_of_a_text_and_a_block(spark):
+    texts = ["", "a", "k" * 63, "k" * 64, "k" * 32 + "y" * 33, "\u00e9k" * 70, "ky" * 100, "k" * 300]
+    known, bits = similarity.bit_rows(texts)
+    sizes = np.array([len(t) for t in texts])
+    for text in (*texts[1:], "z" * 130):
+        rows = np.array([known.get(c, 0) for c in text])
+        want = spark.createDataFrame([(i, text, t) for i, t in enumerate(texts)], "i int, a string, b string").select("i", F.levenshtein("a", "b").alias("d"))
+        assert similarity.distances(rows, bits, sizes).tolist() == [r.d for r in want.orderBy("i").collect()]
