@@ -160,10 +160,10 @@ def _fits(day: Column, first: Column, rule: Column) -> Column:
     )
 
 
-def _placed(times: Column, rule: Column) -> Column:
-    """The occurrences whose rank in their period, from either end, is among the places."""
-    periods = F.transform(times, lambda t: _period(t.cast("date"), rule))
-    backwards, n = F.reverse(periods), F.size(times)
+def _placed(times: Column, periods: Column, backwards: Column, rule: Column) -> Column:
+    """The occurrences whose rank in their period, from either end, is among the places; the periods of
+    the occurrences, and these backwards, are columns, as they are looked up for each occurrence."""
+    n = F.size(times)
 
     def wanted(t: Column, i: Column) -> Column:
         period = F.get(periods, i)
@@ -200,11 +200,13 @@ def _with_times(rows: DataFrame, start: str, from_day: Column, to_day: Column, o
     rows = rows.join(found, "__search", "left").drop("__search")
     days = F.coalesce("__days", F.when(asked, F.array().cast("array<date>")))
     at = lambda d, s: d.cast("timestamp_ntz") + F.make_dt_interval(secs=s)
-    # the list is a column of its own, as ranks look it up for each of its members
     rows = rows.withColumn(out, F.flatten(F.transform(days, lambda d: F.transform(r["clock"], lambda s: at(d, s)))))
-    times = F.when(ranked, _placed(F.col(out), r)).otherwise(F.col(out))
+    # generated, so that the optimizer cannot move the periods of a whole list into the test of each member
+    periods = F.when(ranked, F.transform(out, lambda t: _period(t.cast("date"), r)))
+    rows = rows.select("*", F.explode_outer(F.array(F.struct(periods.alias("forth"), F.reverse(periods).alias("back")))).alias("__periods"))
+    times = F.when(ranked, _placed(F.col(out), F.col("__periods")["forth"], F.col("__periods")["back"], r)).otherwise(F.col(out))
     times = F.filter(times, lambda t: (t >= begin) & (r["last"].isNull() | (t <= r["last"])))
-    return rows.withColumn(out, F.when(r["n"].isNotNull(), F.slice(times, 1, F.greatest(r["n"], F.lit(0)))).otherwise(times)).drop("__days")
+    return rows.withColumn(out, F.when(r["n"].isNotNull(), F.slice(times, 1, F.greatest(r["n"], F.lit(0)))).otherwise(times)).drop("__days", "__periods")
 
 
 def _distinct(df: DataFrame, rule: str, start: str, **more: Column) -> DataFrame:
@@ -278,7 +280,9 @@ def expand_events(df: DataFrame, today: Column, window_days: int = 90, zone: Col
 
     ``rdates`` and ``exdates`` (lists of wall clocks) are added and taken out, and a row with
     a ``recurrence_id`` (wall clock) replaces the instance of its uid that it names, wherever
-    in the window it was moved to; these three columns may be missing."""
+    in the window it was moved to; these three columns may be missing.  The events are written
+    once, as the steps read them several times; what they come from is not read again."""
+    df = materialize(df, "events")
     lists = {n: n if n in df.columns else None for n in ("exdates", "rdates")}
     ruled = df.groupBy("file").agg(F.bool_or(_repeats(df)).alias("__ruled"))
     marked = df.join(ruled, "file")

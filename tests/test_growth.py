@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from eventloom.functions import similarity
+from eventloom.functions import recurrence, similarity
 from eventloom.operators import dedup, similar
 from eventloom.sources import apis, web
 
@@ -68,3 +68,25 @@ def test_distances_of_a_text_and_a_block(spark):
         rows = np.array([known.get(c, 0) for c in text])
         want = spark.createDataFrame([(i, text, t) for i, t in enumerate(texts)], "i int, a string, b string").select("i", F.levenshtein("a", "b").alias("d"))
         assert similarity.distances(rows, bits, sizes).tolist() == [r.d for r in want.orderBy("i").collect()]
+
+
+def test_periods_are_found_once_for_a_list(spark):
+    rows = spark.sql("SELECT 1 AS id, 'FREQ=MONTHLY;BYDAY=MO,TU,WE,TH,FR;BYSETPOS=1,-1' AS rrule, TIMESTAMP_NTZ '2024-01-01 09:00:00' AS start_time")
+    day = lambda d: F.lit(d).cast("date")
+    keys = recurrence._distinct(rows, "rrule", "start_time")
+    out = recurrence._with_times(keys, "__start", day("2024-01-01"), day("2024-03-31"), "times")
+    assert not [line for line in plan(out).splitlines() if "trunc(" in line and "array_position(" in line]
+    assert [f"{t:%m%d}" for t in out.first().times] == ["0101", "0131", "0201", "0229", "0301", "0329"]
+
+
+def test_events_with_rules_are_read_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(file):
+        read.add(1)
+        return file
+
+    rows = spark.sql("SELECT 'f' AS file, 'u' AS uid, 'FREQ=DAILY;COUNT=2' AS rrule, TIMESTAMP_NTZ '2024-01-02 09:00:00' AS start_time")
+    rows = rows.withColumn("file", F.udf(seen)("file"))
+    out = recurrence.expand_events(rows, F.lit("2024-01-01").cast("date"))
+    assert sorted(r.uid for r in out.collect()) == ["u__20240102", "u__20240103"] and read.value == 1
