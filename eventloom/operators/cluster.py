@@ -100,7 +100,7 @@ def legacy_dedupe(events: DataFrame, slot: list[str], threshold: float = 0.85) -
     clean = F.regexp_replace(clean, "[^a-z0-9 ]", "")
     rows = events.select("id", F.to_json(F.struct(*slot)).alias("slot"), clean.alias("title"))  # a null is a slot's value too
     first = materialize(rows.where("title <> ''").groupBy("slot", "title").agg(F.min("id").alias("id")), "first")
-    found = candidates(first, ["slot"], threshold, "sequence")
+    found = candidates(first, ["slot"], threshold, "sequence", "characters")
     found = found.union(found.select("title_b", "title"))
     before = first.select("slot", F.col("title").alias("title_b"), F.col("id").alias("id_b"))
     met = materialize(first.join(found, "title").join(before, ["slot", "title_b"]).where("id > id_b"), "met")

@@ -101,3 +101,28 @@ def test_sentences_try_one_side_of_an_edge_and_one_key(spark):
     patterns = {p for _, *ps, _, _ in snippet.SITE.points for p in ps if p} | set(snippet.SITE.rejects) | {snippet.SNIPPET_AFTER_LABEL}
     for p in patterns:
         assert texts.where(snippet.SITE.like(F.col("s"), p) != F.col("s").rlike(p.replace(r"\b", edge))).isEmpty(), p
+
+
+def common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+def test_subsequences_only_of_pairs_whose_characters_suffice(monkeypatch):
+    rnd = np.random.default_rng(7)
+    made = [" ".join(rnd.choice(["than", "eron", "edin", "wést", "ouly", "tion"], k)) for k in rnd.integers(1, 40, 120)]
+    texts = sorted({*made, *[t[:-2] + "x" for t in made[::5]]}, key=lambda t: (len(t), t))
+    tried, inner = [], similarity.in_common
+    monkeypatch.setattr(similarity, "in_common", lambda a, b, by_words: tried.extend(zip(a, b, strict=True)) or inner(a, b, by_words))
+    ids = np.arange(len(texts))
+    got = [(int(a), int(b)) for a, b in zip(*similarity.matching_pairs(ids, texts, ids, texts, 0.85, False), strict=True)]
+    every = [(i, j) for i in ids for j in ids if i < j]
+    assert sorted(got) == [(i, j) for i, j in every if common(texts[i], texts[j]) >= 0.425 * (len(texts[i]) + len(texts[j])) - 1e-9]
+    assert 15 < len(got) <= len(tried) < len(every) / 4
+    sides = ["", "a", "k" * 63, "k" * 64 + "y", "ky" * 100, *texts[::9]]
+    pairs = [(a, b) for a in sides for b in sides]
+    assert similarity.subsequences(*map(list, zip(*pairs, strict=True))).tolist() == [common(a, b) for a, b in pairs]
