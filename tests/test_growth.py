@@ -126,3 +126,30 @@ def test_subsequences_only_of_pairs_whose_characters_suffice(monkeypatch):
     sides = ["", "a", "k" * 63, "k" * 64 + "y", "ky" * 100, *texts[::9]]
     pairs = [(a, b) for a in sides for b in sides]
     assert similarity.subsequences(*map(list, zip(*pairs, strict=True))).tolist() == [common(a, b) for a, b in pairs]
+
+
+def test_words_of_the_same_syllables_are_few_candidates(spark):
+    rnd = np.random.default_rng(9)
+    made = [" ".join("".join(rnd.permutation(["th", "an", "er", "on"])[:3]) for _ in range(8)) for _ in range(90)]
+    texts = sorted({*made, *[t.replace("er", "r", 1) for t in made[::6]]})
+    titles = spark.createDataFrame([(1, t) for t in texts], "slot long, title string")
+    every = [(a, b) for i, a in enumerate(texts) for b in texts[i + 1 :]]
+    want = {(a, b) for a, b in every if similarity.token_set(a, b) >= 0.85}
+    sorted_words = lambda t: " ".join(sorted(set(t.split())))
+    rows = titles.select("slot", "title", F.monotonically_increasing_id().alias("tid")).collect()
+    named = spark.createDataFrame([(r.slot, r.tid, sorted_words(r.title)) for r in rows], "slot long, tid long, text string")
+    near = similar._by_blocks(named.select("slot", "tid"), named.select("tid", "text"), ["slot"], 0.85, "words")
+    # the characters of all these texts are nearly the same
+    assert len(want) > 100 and near.count() < len(every) / 10
+    scored = similar.alike(titles, ["slot"], 0.85, "token_set")
+    assert {(r.title, r.title_b) for r in scored.collect()} == want
+    # scores are taken above the shuffle that spreads the pairs
+    shown = plan(scored)
+    assert shown.index("token_set_at_least") < shown.index("RepartitionByExpression")
+
+
+def test_frequent_word_is_dealt_to_several_tasks(spark):
+    titles = spark.createDataFrame([(1, "the")] + [(1, f"the w{i} x{i}") for i in range(100)], "slot long, title string").withColumn("tid", F.monotonically_increasing_id())
+    words = titles.select("tid", F.split("title", " ").alias("words"))
+    met = similar._by_words(titles.select("slot", "tid"), words, ["slot"], 0.85)
+    assert met.count() == 100 and met.select(F.spark_partition_id()).distinct().count() > 1
