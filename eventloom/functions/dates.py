@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date
 from zoneinfo import available_timezones
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -144,10 +145,12 @@ DATE_FORMS = (
 YEARLESS_FORM = (".*?", "[MWwa]_[dD]", None, 0, 2)
 
 
-def parse_date(text: Column, year: int | None = None) -> Column:
+def parse_date(text: Column, year: int | None = None, since: date | None = None) -> Column:
     """The first date found in a text: ``2026-02-03``, ``02.03.26`` (month first),
     ``February 3, 2026``, and, given a target ``year``, ``Feb 3``; beyond these, a text that is
-    ``2/3/2026``, ``2/3/26`` or ``3 February 2026`` (a weekday before it).  Null if none is."""
+    ``2/3/2026``, ``2/3/26`` or ``3 February 2026`` (a weekday before it).  Null if none is.  Given
+    ``since`` in place of a year, ``Feb 3`` is the next one that is not before it."""
+    year = since.year if since else year
 
     def sound(tokens: Column, places: tuple) -> Callable[[Column], Column]:
         def made(at: Column) -> Column:
@@ -159,10 +162,19 @@ def parse_date(text: Column, year: int | None = None) -> Column:
         return made
 
     def found(tokens: Column, shape: Column) -> Column:
-        forms = (*DATE_FORMS, YEARLESS_FORM) if year else DATE_FORMS
-        return F.coalesce(*[_let(_place(shape, before, form), sound(tokens, places)) for before, form, *places in forms])
+        of = lambda before, form, *places: _let(_place(shape, before, form), sound(tokens, places)).cast("date")
+        dates = [of(*form) for form in DATE_FORMS]
+        if since:
+            dates.append(_let(of(*YEARLESS_FORM), lambda d: F.when(d < F.lit(since), F.add_months(d, 12)).otherwise(d)))
+        elif year:
+            dates.append(of(*YEARLESS_FORM))
+        return F.coalesce(*dates)
 
-    return _let(_tokens(text), lambda tokens: _let(_shape(tokens), lambda shape: found(tokens, shape))).cast("date")
+    return _let(_tokens(text), lambda tokens: _let(_shape(tokens), lambda shape: found(tokens, shape)))
+
+
+#: What a text with a time of day has somewhere, as cheap to find as most texts without one are to leave.
+_TIMELY = r":|[ap](?:[.]\s?|,+)?m"
 
 
 def parse_time(text: Column) -> Column:
@@ -170,17 +182,21 @@ def parse_time(text: Column) -> Column:
     else ``18:00``; null without either.  A text may also be noon or midnight."""
 
     def clock(hour: Column, minute: Column) -> Column:
-        said = F.format_string("%02d:%02d", hour.cast("int"), minute.cast("int"))
-        return F.when((hour < 24) & (minute < 60), said)
+        two = lambda n: F.lpad(n.cast("int").cast("string"), 2, "0")
+        said = lambda h: _let(minute, lambda m: F.when((h < 24) & (m < 60), F.concat(two(h), F.lit(":"), two(m))))
+        return _let(hour, said)
 
     def halves(tokens: Column, at: Column) -> Column:
-        number = F.get(tokens, at).try_cast("int")
         parted = F.get(tokens, at + 1) == ":"
-        packed = ~parted & (number > 99)
-        hour = F.when(packed, F.floor(number / 100)).otherwise(number)
-        minute = F.when(packed, number % 100).when(parted, F.get(tokens, at + 2).try_cast("int")).otherwise(0)
         word = F.get(F.filter(F.slice(tokens, at + 1, 5), lambda t: t.rlike("^[ap]m")), F.lit(0))
-        return F.when(hour <= 12, clock(hour % 12 + F.when(F.startswith(word, F.lit("p")), 12).otherwise(0), minute))
+
+        def of_number(number: Column) -> Column:
+            packed = ~parted & (number > 99)
+            hour = F.when(packed, F.floor(number / 100)).otherwise(number)
+            minute = F.when(packed, number % 100).when(parted, F.get(tokens, at + 2).try_cast("int")).otherwise(0)
+            return F.when(hour <= 12, clock(hour % 12 + F.when(F.startswith(word, F.lit("p")), 12).otherwise(0), minute))
+
+        return _let(F.get(tokens, at).try_cast("int"), of_number)
 
     def found(tokens: Column, shape: Column) -> Column:
         half = _place(shape, ".*?", "(?:[dD](?::D)?|[#Y])_?a")
@@ -189,7 +205,7 @@ def parse_time(text: Column) -> Column:
 
     word = F.lower(F.trim(text))
     of_text = _let(_tokens(text), lambda tokens: _let(_shape(tokens), lambda shape: found(tokens, shape)))
-    return F.when(word == "noon", "12:00").when(word == "midnight", "00:00").otherwise(of_text)
+    return F.when(word == "noon", "12:00").when(word == "midnight", "00:00").when(word.rlike(_TIMELY), of_text)
 
 
 def repair_double_conversion(at: Column, host: Column, hosts: tuple[str, ...], zone: Column) -> Column:

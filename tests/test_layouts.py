@@ -4,6 +4,7 @@ from datetime import date, datetime
 
 import pytest
 
+from eventloom.sources import layouts
 from eventloom.sources.layouts import Selectors, boxes, layout_events
 
 PLACES = {"title": "h2 a", "date": ".m + .d", "time": ".t", "url": "&@href", "location": "[data-at^=hall]", "description": "#about p"}
@@ -50,3 +51,38 @@ def test_dates(spark, day, time, start, end):
     rows = spark.createDataFrame([("s", html), ("s", None), ("other", html)], "source string, html string")
     (got,) = layout_events(rows, date(2026, 2, 1), LAYOUT).collect()
     assert (got.title, got.start_time, got.end_time, got.location, got.url) == ("T", start, end, "Here", "https://s.org/x?y=1")
+
+
+def test_known_tags_are_read_once(monkeypatch):
+    tried, inner = [], Selectors.fitting
+    monkeypatch.setattr(Selectors, "fitting", lambda self, tag, attrs: tried.append(tag) or inner(self, tag, attrs))
+    selectors = Selectors(".box", PLACES)
+    page = '<!doctype html><!-- no --><div class="a box"><script>a<b</script><h2><a href="x?a=1&amp;b">T<br/>&lt;</a></h2><p class=t>7 pm</p></div>'
+    first = boxes(page, selectors)
+    assert first == [{"title": ["T <"], "time": ["7 pm"]}] and tried == ["div", "script", "h2", "a", "br", "p"]
+    assert boxes(page, selectors) == first and len(tried) == 6
+
+
+@pytest.mark.parametrize("rest", ["", "<", "<p", "<!-- a", "<!-->", "<!---x-->", "<script>", "<script/>", "<p title='a>b'>", "<p x=a/>", "</ a>", "&am", "<style><p></style>", "</h2 >", "<P Class='t' class=m>x</P>"])
+def test_pages_by_known_tags_and_by_the_parser(rest):
+    for page in (HTML, HTML.replace("One", f"O{rest}ne"), HTML + rest):
+        parsed = layouts._Page(Selectors(".box", PLACES))
+        parsed.feed(page)
+        parsed.close()
+        read = layouts._Page(Selectors(".box", PLACES))
+        assert not read.read(page) or read.boxes == parsed.boxes
+        assert boxes(page, Selectors(".box", PLACES)) == boxes(page, SimpleSelectors(".box", PLACES))
+
+
+class SimpleSelectors(Selectors):
+    """Leaves each page to the parser."""
+
+    def tag(self, inner):
+        return None
+
+
+def test_dates_are_parsed_once(spark):
+    rows = spark.createDataFrame([("s", HTML)], "source string, html string")
+    plan = layout_events(rows, date(2026, 2, 1), LAYOUT)._jdf.queryExecution().optimizedPlan().toString()
+    parsed = [line for line in plan.splitlines() if "[0-9]+|[a-z]+" in line]
+    assert not any("Filter" in line for line in parsed) and sum("add_months" in line for line in parsed) == 1
