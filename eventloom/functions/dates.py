@@ -203,9 +203,11 @@ def parse_time(text: Column) -> Column:
         day = _let(_place(shape, ".*?", "[dD]:D"), lambda at: clock(F.get(tokens, at).try_cast("int"), F.get(tokens, at + 2).try_cast("int")))
         return _let(half, lambda at: F.when(at.isNotNull(), halves(tokens, at)).otherwise(day))
 
-    word = F.lower(F.trim(text))
-    of_text = _let(_tokens(text), lambda tokens: _let(_shape(tokens), lambda shape: found(tokens, shape)))
-    return F.when(word == "noon", "12:00").when(word == "midnight", "00:00").when(word.rlike(_TIMELY), of_text)
+    def of_text(word: Column) -> Column:
+        timely = _let(_tokens(word), lambda tokens: _let(_shape(tokens), lambda shape: found(tokens, shape)))
+        return F.when(word == "noon", "12:00").when(word == "midnight", "00:00").when(word.rlike(_TIMELY), timely)
+
+    return _let(F.lower(F.trim(text)), of_text)
 
 
 def repair_double_conversion(at: Column, host: Column, hosts: tuple[str, ...], zone: Column) -> Column:

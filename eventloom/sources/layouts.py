@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import LAYOUTS
-from ..functions.dates import parse_date, parse_time
+from ..functions.dates import _let, parse_date, parse_time
 from ..functions.text import blank
 
 FIELDS = ("title", "date", "time", "location", "url", "description")
@@ -271,8 +271,9 @@ def _clocks(texts: Column) -> tuple[Column, Column]:
     half = lambda i: parse_time(F.concat(F.regexp_extract(first, _HALVES, i), F.regexp_extract(first, _HALVES, 3), F.lit("m")))
     parts = F.split(first, r"\s*(?:[-\x{2013}]|\bto\b)\s*", 2)
     both = first.rlike(_HALVES)
-    whole = F.when(F.size(parts) > 1, parse_time(first))  # of one part it has been tried
-    start = F.when(both, half(1)).otherwise(F.coalesce(parse_time(F.get(parts, F.lit(0))), whole))
+    # a text of one part is not tried again
+    either = lambda parts: F.coalesce(parse_time(F.get(parts, F.lit(0))), F.when(F.size(parts) > 1, parse_time(first)))
+    start = F.when(both, half(1)).otherwise(_let(parts, either))
     return start, F.when(both, half(2)).otherwise(parse_time(F.coalesce(second, F.get(parts, F.lit(1)))))
 
 
