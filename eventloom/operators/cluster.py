@@ -1,8 +1,7 @@
 """Greedy and transitive matching of titles inside small blocks (a day, a time slot).
 
-Work is done on the distinct titles of a block, never on its events: pairs come from a
-join, each pair of titles is scored once however many blocks it occurs in, and clusters
-are the connected components of the links.  Only order-dependent passes run per block
+Work is done on the distinct titles of a block, never on its events; clusters are the connected
+components of links that the tasks hand on in place of the pairs they find.  Only order-dependent passes run per block
 with ``applyInPandas``, on the columns they need."""
 
 from __future__ import annotations
@@ -14,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.text import blank
 from ..scratch import materialize
 from .graph import components, displaced
-from .similar import alike, candidates, score
+from .similar import candidates, linked_titles, score
 
 
 def cluster_titles(events: DataFrame, slot: list[str], threshold: float = 0.85) -> DataFrame:
@@ -25,13 +24,7 @@ def cluster_titles(events: DataFrame, slot: list[str], threshold: float = 0.85)
     rows = events.select("id", *slot, blank(F.col("title")).alias("title"), blank(F.col("location")).alias("location"))
     kind = [*slot, "title", "location"]
     kinds = materialize(rows.groupBy(*kind).agg(F.min("id").alias("rep"), F.count("*").alias("n")), "kinds")
-    scored = materialize(alike(kinds.dropna(subset=slot), slot, threshold, "token_set").select("title", "title_b"), "alike")
-    same = kinds.select("title", F.col("title").alias("title_b")).distinct()
-    like = scored.union(scored.select("title_b", "title")).union(same)
-    near = kinds.select(*slot, F.col("title").alias("title_b"), F.col("location").alias("location_b"), F.col("rep").alias("rep_b"))
-    place = (F.col("location") == "") | (F.col("location_b") == "") | (F.col("location") == F.col("location_b"))
-    pairs = kinds.select(*slot, "title", "location", "rep").join(like, "title").join(near, [*slot, "title_b"])
-    links = pairs.filter((F.col("rep") < F.col("rep_b")) & place).select(F.col("rep_b").alias("src"), F.col("rep").alias("dst"))
+    links = linked_titles(kinds.dropna(subset=slot).select(*kind, "rep"), slot, threshold)
     joined = kinds.join(components(links, "titles").withColumnRenamed("id", "rep"), "rep", "left").withColumn("group", F.coalesce("component", "rep"))
     joined = materialize(joined, "grouped")
     groups = joined.dropna(subset=slot).groupBy(*slot, "group").agg(F.sum("n").alias("size"), F.min(F.struct(F.lower("title"), "rep")).alias("first")).filter("size > 1")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import materialize
+from ..scratch import discard, materialize, written
 
 
 def components(edges: DataFrame, label: str) -> DataFrame:
@@ -14,7 +14,7 @@ def components(edges: DataFrame, label: str) -> DataFrame:
 
     Alternating large-star and small-star steps; each step groups by one end of
     the edges with a map-side minimum, and its result is written to shared
-    storage.  The only thing that reaches the driver is a pair of counts."""
+    storage, in place of the last one's.  The only thing that reaches the driver is a pair of counts."""
     both = lambda e: e.select("src", "dst").union(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     digest = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()
     e = materialize(edges.filter("src <> dst").select("src", "dst").distinct(), f"{label}-edges")
@@ -30,7 +30,8 @@ def components(edges: DataFrame, label: str) -> DataFrame:
         low = down.groupBy("src").agg(F.min("dst").alias("m"))
         small = down.join(low, "src").select(F.col("dst").alias("src"), F.col("m").alias("dst"))
         e = small.union(low.select("src", F.col("m").alias("dst"))).filter("src <> dst").distinct()
-        e = materialize(e, f"{label}-star")
+        before, e = written[-1], materialize(e, f"{label}-star")
+        discard(e.sparkSession, [before])
         now = digest(e)
         if now == last:
             break
